@@ -7,15 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_encode
 from .exactdedup import exact_dedup
+from .langid import held_out, identify, train
 from .linededup import line_dedup
 from .mix import mix_plan
+from .quality import quality
+from .tokencount import token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies; all executors have it at the same place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(_read(spark, sf_dir, "documents"))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -25,14 +40,33 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out()), tokenizer("piece_bpe_32k.model"))
+    marked = docs.select(F.struct("doc_id", held_out().alias("held_out")).alias("key"), "text")
+    return identify(marked, model, "key").select("key.doc_id", "key.held_out", "lang_pred", "score")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op2_mix": op2_mix,
     "op3_line_dedup": op3_line_dedup,
+    "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_token_counts": op7_token_counts,
+    "op8_quality": op8_quality,
 }
 
 SPACE = "[ \\t\\n\\v\\f\\r]"
