@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_arrow, workspace, written
+
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Mark of a word's start in the vocabulary.
 START = "▁"
@@ -187,8 +189,6 @@ def train(labelled: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     counts stay distributed; only the expected uses of the pieces, at most one number for each piece and language, come to the
     driver in each of `rounds` rounds. prior: uses of each piece that are added to those expected.
     """
-    from .shared import workspace, written
-
     spark = labelled.sparkSession
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -199,7 +199,8 @@ def train(labelled: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         return Model(path, languages, p)
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
     rate = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample_rows / sizes[lang]))])[F.col("lang")]
-    counts = rows.where(draw < rate).select("lang", "text").mapInArrow(count_words, "lang string, word string, n long")
+    sample = rows.where(draw < rate).select("lang", "text")
+    counts = map_arrow(sample, count_words, "lang string, word string, n long")
     counts = written(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), workspace(spark, "words"))
     for _ in range(rounds):
         uses = counts.mapInArrow(expect(path, languages, p), "k long, piece long, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()
@@ -229,7 +230,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, f"id {dict(rows.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runs import Runs
-from .shared import SPACE, batch_of, batches, hash128, id_order, workspace, written
+from .shared import SPACE, batch_of, batches, hash128, id_order, map_arrow, workspace, written
 
 #: A line whose key is shorter than this many code points is never dropped.
 LEAST = 10
@@ -76,5 +76,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), id_order(F.col(id_col)).alias("order"), F.xxhash64(text).alias("row"), text.alias("text"))
     both = rows.join(lost, ["order", "row"], "left").select("id", "text", "places")
     kind = dict(rows.dtypes)["id"]
-    out = both.mapInArrow(rebuild, f"id {kind}, text string, n_lines long, n_dropped long, sha string")
+    out = map_arrow(both, rebuild, f"id {kind}, text string, n_lines long, n_dropped long, sha string")
     return out.toDF(id_col, "kept_text", "n_lines", "n_dropped", "kept_sha256")

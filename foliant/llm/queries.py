@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .exactdedup import exact_dedup
+from .htmlextract import main_text
 from .langid import held_out, identify, train
 from .linededup import line_dedup
 from .mix import mix_plan
 from .quality import quality
 from .tokencount import token_counts
+from .warc import warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_read(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -59,14 +65,21 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc(_read(spark, sf_dir, "pages"))
+    return index.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mix": op2_mix,
     "op3_line_dedup": op3_line_dedup,
     "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_main_text": op6_main_text,
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
+    "op10_warc": op10_warc,
 }
 
 SPACE = "[ \\t\\n\\v\\f\\r]"
@@ -123,5 +136,14 @@ WITH n AS (
 SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
 FROM n
+""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM g
 """,
 }

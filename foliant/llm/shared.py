@@ -74,3 +74,11 @@ def batches(ids: DataFrame, column: str, n: int) -> list[int]:
 def batch_of(column: Column, cuts: list[int]) -> Column:
     """The number of the range from batches() that a value lies in."""
     return sum(((column > c).cast("int") for c in cuts), F.lit(0))
+
+
+def map_arrow(df: DataFrame, run, schema: str, most: str = "16m") -> DataFrame:
+    """mapInArrow with batches of bounded bytes: by rows alone, 10,000 long texts could be one batch. A setting of the session's own stays."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    return df.mapInArrow(run, schema)
