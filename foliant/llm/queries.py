@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .exactdedup import exact_dedup
 from .htmlextract import main_text
+from .jaccardjoin import jaccard_join
 from .langid import held_out, identify, train
 from .linededup import line_dedup
 from .mix import mix_plan
@@ -65,6 +66,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_read(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc(_read(spark, sf_dir, "pages"))
     return index.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_main_text": op6_main_text,
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_warc": op10_warc,
 }
 
