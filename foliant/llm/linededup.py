@@ -45,22 +45,30 @@ def drops(docs: DataFrame, id_col: str, text_col: str, least: int, n_batches: in
 
 
 def rebuild(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From text and places: the kept text, the number of lines, of dropped ones, and the kept text's SHA-256."""
+    """From key, text and places: key, the kept text, the number of lines and of dropped ones, and the kept text's SHA-256."""
     for batch in source:
         kept, n_lines, n_dropped, sha = [], [], [], []
-        for text, places in zip(batch["text"], batch["places"]):
-            lines = (text.as_py() or "").split("\n")
+        for value, places in zip(batch["text"], batch["places"]):
+            text = value.as_py() or ""
+            lines = text.split("\n")
             gone = set(places.values.to_pylist()) if places.is_valid else ()
             if gone:
-                out = "\n".join([x for i, x in enumerate(lines) if i not in gone])
-            else:
-                out = text.as_py() or ""
-            kept.append(out)
+                text = "\n".join([x for i, x in enumerate(lines) if i not in gone])
+            kept.append(text)
             n_lines.append(len(lines))
             n_dropped.append(len(gone))
-            sha.append(hashlib.sha256(out.encode()).hexdigest())
-        new = {"text": pa.array(kept, pa.large_string() if batch.schema.field("text").type == pa.large_string() else pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "sha": pa.array(sha, pa.string())}
-        yield pa.RecordBatch.from_arrays([batch["id"], *new.values()], ["id", *new])
+            sha.append(hashlib.sha256(text.encode()).hexdigest())
+        new = [pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha, pa.string())]
+        yield pa.RecordBatch.from_arrays([batch["key"], *new], ["key", "kept_text", "n_lines", "n_dropped", "kept_sha256"])
+
+
+def _rebuilt(docs: DataFrame, key: Column, id_col: str, text_col: str, least: int, n_batches: int, fanout: int) -> DataFrame:
+    """key, kept_text, n_lines, n_dropped, kept_sha256 for each row of docs."""
+    lost = drops(docs, id_col, text_col, least, n_batches, fanout)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(key.alias("key"), id_order(F.col(id_col)).alias("order"), F.xxhash64(text).alias("row"), text.alias("text"))
+    both = rows.join(lost, ["order", "row"], "left").select("key", "text", "places")
+    return map_arrow(both, rebuild, f"key {rows.schema['key'].dataType.simpleString()}, kept_text string, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, n_batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -71,10 +79,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share an id count as one document. A document that loses all its lines gets an empty text. An empty table gives no rows.
     Only the two named columns are read, so others may have any name.
     """
-    lost = drops(docs, id_col, text_col, least, n_batches, fanout)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), id_order(F.col(id_col)).alias("order"), F.xxhash64(text).alias("row"), text.alias("text"))
-    both = rows.join(lost, ["order", "row"], "left").select("id", "text", "places")
-    kind = dict(rows.dtypes)["id"]
-    out = map_arrow(both, rebuild, f"id {kind}, text string, n_lines long, n_dropped long, sha string")
-    return out.toDF(id_col, "kept_text", "n_lines", "n_dropped", "kept_sha256")
+    return _rebuilt(docs, F.col(id_col), id_col, text_col, least, n_batches, fanout).withColumnRenamed("key", id_col)
+
+
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, n_batches: int = 4, fanout: int = 2) -> DataFrame:
+    """All rows and columns of docs with the text that line_dedup() keeps."""
+    rest = [c for c in docs.columns if c != text_col]
+    out = _rebuilt(docs, F.struct(*rest), id_col, text_col, least, n_batches, fanout)
+    return out.select(*[F.col("kept_text").alias(c) if c == text_col else F.col("key").getField(c).alias(c) for c in docs.columns])
