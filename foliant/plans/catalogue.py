@@ -1,10 +1,17 @@
-"""The queries over the driver's tables."""
+"""All queries over the driver's tables, with their SQL."""
 
 from __future__ import annotations
 
-QUERIES = {}
-SQL = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from . import search_queries, table_queries, text_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES, **search_queries.QUERIES, **table_queries.QUERIES}
+SQL: dict[str, str] = {**text_queries.SQL, **search_queries.SQL, **table_queries.SQL}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question end to end: exact similarity, top-k, documents, route."""
+    return search_queries.vector_topk(spark, sf_dir)
