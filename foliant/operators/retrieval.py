@@ -49,9 +49,10 @@ def similar(df: DataFrame, vector: str, query: list[float], score: str = "score"
     return df.where(F.col(vector).isNotNull()).withColumn(score, cosine(F.col(vector), q, norm_b=F.lit(size)))
 
 
-def vector_topk(chunks: DataFrame, query: list[float], k: int | None = None, vector: str = "embedding", key: str = "id") -> DataFrame:
-    """The chunks most similar to one query. Vectors are gone before rows leave a task."""
-    return top(similar(chunks, vector, query).drop(vector), checked_k(k, TEXT_K), key=key)
+def vector_topk(chunks: DataFrame, query: list[float], k: int | None = None, vector: str = "embedding", key: str = "id", documents: DataFrame | None = None) -> DataFrame:
+    """The chunks most similar to one query, with their documents where these are given. Vectors are gone before rows leave a task."""
+    rows = similar(chunks, vector, query).drop(vector)
+    return top(rows if documents is None else rows.join(_named(documents), "document_id"), checked_k(k, TEXT_K), key=key)
 
 
 def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int | None = None, vector: str = "embedding", key: str = "id", query_key: str = "query_id", other: bool = False) -> DataFrame:
@@ -121,11 +122,16 @@ def _best(sent, k: int, other: bool):
     return run
 
 
+def _named(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("id").alias("document_id"), F.col("file_name").alias("document_name"))
+
+
 def hybrid_topk(chunks: DataFrame, documents: DataFrame, index: DataFrame, question: str, query: list[float], k: int | None = None, stemming: bool = True, completed_only: bool = False) -> DataFrame:
     """The k chunks with the best blend of similarity and keyword rank, with their documents.
 
     chunks: id, document_id, embedding, ... ; documents: id, file_name, ... ; index: postings by chunk id. All chunks are scored
-    exactly; documents are joined to the k chunks that are left, which is the same while each chunk has its document.
+    exactly, and vectors are gone before anything is joined. A chunk without its document isn't found. completed_only: nor is one
+    of a document that isn't completed.
     """
     if is_empty(question):
         raise ValueError("the question is empty")
@@ -133,16 +139,14 @@ def hybrid_topk(chunks: DataFrame, documents: DataFrame, index: DataFrame, quest
     rows = similar(chunks, "embedding", query, "similarity").drop("embedding").join(ranks, "id", "left")
     rows = rows.withColumn("rank", F.coalesce("rank", F.lit(0.0)))
     rows = rows.withColumn("score", blend(F.col("similarity"), F.col("rank"), SIMILARITY_WEIGHT))
-    names = documents.select(F.col("id").alias("document_id"), F.col("file_name").alias("document_name"), *(["processing_status"] if completed_only else []))
-    if completed_only:
-        rows = rows.join(names.where("processing_status = 'completed'").select("document_id"), "document_id", "left_semi")
-    return top(rows, checked_k(k, TEXT_K)).join(names.drop("processing_status"), "document_id")
+    whole = documents.where("processing_status = 'completed'") if completed_only else documents
+    return top(rows.join(_named(whole), "document_id"), checked_k(k, TEXT_K))
 
 
 def image_topk(images: DataFrame, documents: DataFrame, query: list[float], k: int | None = None) -> DataFrame:
     """The k captioned images most similar to a query, with their documents."""
-    rows = top(similar(images, "caption_embedding", query).drop("caption_embedding"), checked_k(k, IMAGE_K))
-    return rows.join(documents.select(F.col("id").alias("document_id"), F.col("file_name").alias("document_name")), "document_id")
+    rows = similar(images, "caption_embedding", query).drop("caption_embedding")
+    return top(rows.join(_named(documents), "document_id"), checked_k(k, IMAGE_K))
 
 
 def is_empty(question: str | None) -> bool:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fulltext, vectors
 from ..operators import embedding, evaluation, retrieval
@@ -36,16 +37,9 @@ def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_topk(spark, sf_dir):
-    best = retrieval.vector_topk(_chunks(spark, sf_dir), _question(spark, sf_dir), 5)
-    met = F.max("score").over(_all()) >= retrieval.THRESHOLD
-    rows = best.join(_documents(spark, sf_dir).withColumnRenamed("id", "document_id"), "document_id")
-    return rows.select("id", "file_name", F.round("score", 6).alias("score"), F.when(met, "internal").otherwise("web").alias("route"))
-
-
-def _all():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(F.lit(0))
+    best = retrieval.vector_topk(_chunks(spark, sf_dir), _question(spark, sf_dir), 5, documents=_documents(spark, sf_dir))
+    met = F.max("score").over(Window.partitionBy(F.lit(0))) >= retrieval.THRESHOLD
+    return best.select("id", F.col("document_name").alias("file_name"), F.round("score", 6).alias("score"), F.when(met, "internal").otherwise("web").alias("route"))
 
 
 def vector_topk_batch(spark, sf_dir):
@@ -194,13 +188,13 @@ ROUTED = RETRIEVED + """, routed AS (
 
 SQL = {
     "vector_topk": f"""
-WITH best AS (SELECT e.vec_id AS id, {COSINE} AS score FROM embeddings e, (SELECT {FIRST} AS embedding) q ORDER BY score DESC, id LIMIT 5)
-SELECT id, source AS file_name, round(score, 6) AS score, CASE WHEN max(score) OVER () >= 0.3 THEN 'internal' ELSE 'web' END AS route FROM best JOIN documents ON doc_id = id
+WITH best AS (SELECT e.vec_id AS id, source AS file_name, {COSINE} AS score FROM embeddings e JOIN documents ON doc_id = vec_id, (SELECT {FIRST} AS embedding) q ORDER BY score DESC, id LIMIT 5)
+SELECT id, file_name, round(score, 6) AS score, CASE WHEN max(score) OVER () >= 0.3 THEN 'internal' ELSE 'web' END AS route FROM best
 """,
     "vector_topk_batch": RETRIEVED + "SELECT query_id, id, round(score, 6) AS score, rank FROM retrieved",
     "image_topk": f"""
-SELECT id, source AS document_name, round(score, 6) AS score
-FROM (SELECT e.vec_id AS id, {COSINE} AS score FROM embeddings e, (SELECT {FIRST} AS embedding) q WHERE e.label >= 5 ORDER BY score DESC, id LIMIT 3) JOIN documents ON doc_id = id
+SELECT id, document_name, round(score, 6) AS score
+FROM (SELECT e.vec_id AS id, source AS document_name, {COSINE} AS score FROM embeddings e JOIN documents ON doc_id = vec_id, (SELECT {FIRST} AS embedding) q WHERE e.label >= 5 ORDER BY score DESC, id LIMIT 3)
 """,
     "vector_validity": "SELECT vec_id AS id, len(embedding) = 64 AS valid, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings",
     "keyword_rank_one_term": POSTED + f"SELECT doc_id, round(least(count(*) * CAST(0.1 AS DOUBLE), 1.0), 9) AS rank FROM words WHERE lexeme = '{A}' GROUP BY doc_id",
@@ -219,7 +213,7 @@ FROM told
     "routing_accuracy": ROUTED + "SELECT count(*) AS total, count(*) FILTER (WHERE met) AS correct_count, CAST(count(*) FILTER (WHERE met) AS DOUBLE) / count(*) AS accuracy FROM told",
     "metric_summary": "SELECT 'quality' AS metric, round(avg(CAST(quality AS DOUBLE)), 4) AS value FROM labels UNION ALL SELECT 'toxic', round(avg(CAST(toxic AS DOUBLE)), 4) FROM labels",
     "prompt_context": RETRIEVED + r""", parts AS (
-  SELECT query_id, rank, 'Source ' || rank || ': ' || source || CASE WHEN lang = 'en' THEN ', page ' || doc_id ELSE '' END || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g') AS t
+  SELECT query_id, rank, 'Source ' || row_number() OVER (PARTITION BY query_id ORDER BY rank) || ': ' || source || CASE WHEN lang = 'en' THEN ', page ' || doc_id ELSE '' END || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g') AS t
   FROM retrieved JOIN documents ON doc_id = id
 ), whole AS (SELECT query_id, string_agg(t, chr(10) || chr(10) ORDER BY rank) AS context FROM parts GROUP BY query_id)
 SELECT query_id, md5(context) AS context_md5, CAST(length(context) AS BIGINT) AS length FROM whole
