@@ -39,7 +39,7 @@ HEADS = frozenset(("header", "topbar", "top-bar", "site-header", "page-header"))
 NESTED = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "option": ("select",)}
 SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -292,7 +292,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     least, share: a subtree is a template if so many different pages of the host have it. Null or empty html gives an empty text;
     pages with a null url count as one host. Malformed html is read as browsers do, roughly: an end tag without a start is passed
-    over, what is open at the end is closed. Ids may be null or repeated; an empty table gives no rows. Other columns aren't read.
+    over, what is open at the end is closed, a tag that the page's end cuts off is dropped. Ids may be null or repeated; an empty table gives no rows. Other columns aren't read.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     found = written(templates(rows, least, share), workspace(pages.sparkSession, "templates"))
