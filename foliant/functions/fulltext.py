@@ -208,3 +208,55 @@ def keyword_rank(index: DataFrame, id_col: str, query: Query) -> DataFrame:
         covers = covers.withColumn("inner", F.min("end").over(after)).where(F.col("inner").isNull() | (F.col("inner") > F.col("end")))
     noise = (F.col("end.pos") - F.col("begin.pos")) - (F.col("end.nth") - F.col("begin.nth"))
     return covers.groupBy(id_col).agg(F.sum(F.lit(WEIGHT) / (1 + noise)).alias("rank"))
+
+
+def cover_ranks(found: list[tuple[int, str]], query: Query) -> float:
+    """The rank of one document: found has positions and lexemes of its postings that the query names, in order. 0 where it doesn't match."""
+    at: dict[str, list[int]] = {}
+    for pos, lexeme in found:
+        at.setdefault(lexeme, []).append(pos)
+
+    def holds(term: Term) -> bool:
+        sets = [{p - d for p in at.get(x, ())} for x, d in zip(term.lexemes, term.distances)]
+        return bool(set.intersection(*sets))
+
+    wanted = {x for must, _ in query.alternatives for t in must for x in t.lexemes}
+    own = [(pos, lexeme) for pos, lexeme in found if lexeme in wanted]
+    ends: dict[int, int] = {}  # by the place of a cover's first posting, that of its last
+    for must, never in query.alternatives:
+        if not must or any(holds(t) for t in never) or not all(holds(t) for t in must if len(t.lexemes) > 1):
+            continue
+        lexemes, last = {x for t in must for x in t.lexemes}, {}
+        for n, (_, lexeme) in enumerate(own):
+            if lexeme in lexemes:
+                last[lexeme] = n
+                if len(last) == len(lexemes):
+                    begin = min(last.values())
+                    ends[begin] = min(n, ends.get(begin, n))
+    total, least = 0.0, len(own)
+    for begin in sorted(ends, reverse=True):
+        end = ends[begin]
+        if len(query.alternatives) == 1 or end < least:
+            total += WEIGHT / (1 + (own[end][0] - own[begin][0]) - (end - begin))
+        least = min(least, end)
+    return total
+
+
+def keyword_rank_batch(index: DataFrame, id_col: str, queries: dict[int, Query], query_col: str = "query_id") -> DataFrame:
+    """query_col, id_col, rank of all documents that match, for many queries in one pass over the index.
+
+    The lexemes of the queries, one row for each, meet the postings; what a query finds in a document is brought together, never
+    more than the document has words, and ranked there as keyword_rank() would.
+    """
+    spark = index.sparkSession
+    named = [(q, x) for q, query in queries.items() for x in sorted({x for a in query.alternatives for ts in a for t in ts for x in t.lexemes})]
+    wanted = spark.createDataFrame(named, "__q long, lexeme string")
+    rows = index.join(wanted, "lexeme").groupBy("__q", id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "lexeme"))).alias("found"))
+
+    def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in source:
+            ranks = [cover_ranks([(x["pos"], x["lexeme"]) for x in found], queries[q]) for q, found in zip(frame["__q"], frame["found"])]
+            yield pd.DataFrame({query_col: frame["__q"], id_col: frame[id_col], "rank": ranks})
+
+    kind = dict(index.dtypes)[id_col]
+    return rows.mapInPandas(run, f"`{query_col}` long, `{id_col}` {kind}, rank double").where("rank > 0")

@@ -55,21 +55,25 @@ def vector_topk(chunks: DataFrame, query: list[float], k: int | None = None, vec
     return top(rows if documents is None else rows.join(_named(documents), "document_id"), checked_k(k, TEXT_K), key=key)
 
 
-def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int | None = None, vector: str = "embedding", key: str = "id", query_key: str = "query_id", other: bool = False) -> DataFrame:
+def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int | None = None, vector: str = "embedding", key: str = "id", query_key: str = "query_id", other: bool = False, ranks: DataFrame | None = None, weight: float = SIMILARITY_WEIGHT) -> DataFrame:
     """query_key, key, score, rank: the k chunks most similar to each query (query_key, vector).
 
     Queries go over the chunks in blocks of QUERY_BLOCK, a matrix product for each batch of chunks; a task returns its k best for
     each query, and these few are ranked. So what is sent out and what is shuffled don't grow with the number of chunks times
-    queries. other: a query's own key isn't among its results.
+    queries. other: a query's own key isn't among its results. ranks: keyword ranks (query_key, key, rank) of those that have
+    one; scores then are `weight` of the similarity and the rest of the rank.
     """
     k = checked_k(k, TEXT_K)
     spark = chunks.sparkSession
     rows = chunks.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    if ranks is not None:
+        pairs = F.collect_list(F.struct(F.col(query_key).cast("long").alias("q"), F.least("rank", F.lit(1.0)).alias("r")))
+        rows = rows.join(ranks.groupBy(F.col(key).cast("long").alias("key")).agg(pairs.alias("ranks")), "key", "left")
     parts: list[DataFrame] = []
 
     def block(ids: list[int], vectors: list[list[float]]) -> DataFrame:
         sent = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(vectors, np.float64)))
-        return rows.mapInArrow(_best(sent, k, other), "query long, key long, score double")
+        return rows.mapInArrow(_best(sent, k, other, None if ranks is None else weight), "query long, key long, score double")
 
     ids: list[int] = []
     vectors: list[list[float]] = []
@@ -87,9 +91,10 @@ def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int | None = Non
     return top_by(found, ["query"], k, key="key").select(F.col("query").alias(query_key), F.col("key").alias(key), "score", "rank")
 
 
-def _best(sent, k: int, other: bool):
+def _best(sent, k: int, other: bool, weight: float | None = None):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = sent.value
+        place = {q: i for i, q in enumerate(ids.tolist())}
         queries = queries.reshape(len(ids), -1)
         sizes = np.sqrt((queries**2).sum(axis=1))
         keys = np.zeros((len(ids), 0), np.int64)
@@ -107,6 +112,13 @@ def _best(sent, k: int, other: bool):
             size = np.sqrt((v**2).sum(axis=1))
             with np.errstate(divide="ignore", invalid="ignore"):
                 new = (queries @ v.T) / (sizes[:, None] * size)
+            if weight is not None:
+                new *= weight
+                told = batch["ranks"].to_pylist()
+                for j, pairs in enumerate(t for t, f in zip(told, fits) if f):
+                    for x in pairs or ():
+                        if x["q"] in place:
+                            new[place[x["q"]], j] += (1 - weight) * x["r"]
             new[~np.isfinite(new)] = -np.inf
             if other:
                 new[own[None, :] == ids[:, None]] = -np.inf

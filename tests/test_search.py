@@ -176,3 +176,36 @@ def test_evaluation(spark):
     scores = spark.createDataFrame([("m", 0.5), ("m", float("nan")), ("m", 1.0), ("n", None)], "metric string, score double")
     assert {r[0]: r[1] for r in evaluation.metric_means(scores).collect()} == {"m": 0.75, "n": None}
     assert evaluation.retrieval_scores(results).first()["greatest"] == 0.5
+
+
+def test_batch_ranks_equal_single_ones(spark):
+    import random
+
+    rng = random.Random(11)
+    docs = [" ".join(rng.choice("cat dog bird the fish stone".split()) for _ in range(rng.randint(0, 20))) for _ in range(80)]
+    index = fulltext.postings(spark.createDataFrame(list(enumerate(docs)), "id int, text string"), "id", "text")
+    asked = ["cat", "cat dog", '"cat dog"', "cat dog bird", "cat -fish", "cat dog or stone", '"dog the cat" or bird -stone', "the", "-cat", "none"]
+    queries = {n: fulltext.parse(q) for n, q in enumerate(asked)}
+    many = {(r["query_id"], r["id"]): round(r["rank"], 9) for r in fulltext.keyword_rank_batch(index, "id", queries).collect()}
+    single = {(n, r["id"]): round(r["rank"], 9) for n, q in queries.items() for r in fulltext.keyword_rank(index, "id", q).collect()}
+    assert many == single and len({n for n, _ in many}) == 7
+
+
+def test_answers(spark):
+    from foliant.plans.answer import Settings, answer
+
+    chunks = spark.createDataFrame([(1, 10, [1.0, 0.0], "Wear gloves.", 3, None, None, None), (2, 11, [0.9, 0.1], "Hard hats.", None, "S", 1, 2), (3, 99, [1.0, 0.0], "an orphan", 1, None, None, None)], "id long, document_id long, embedding array<float>, content string, page int, section string, paragraph_start int, paragraph_end int")
+    docs = spark.createDataFrame([(10, "a.pdf"), (11, "b.docx")], "id long, file_name string")
+    index = fulltext.postings(chunks, "id", "content")
+    images = spark.createDataFrame([(7, 10, [1.0, 0.0]), (8, 10, None)], "id long, document_id long, caption_embedding array<float>")
+    questions = spark.createDataFrame([(1, "which gloves?"), (2, "weather today"), (3, " "), (4, "nothing known")], "query_id long, question string")
+    web = spark.createDataFrame([(2, 1, " Sun ", "http://w", None)], "query_id long, position int, title string, link string, snippet string")
+    model = lambda texts: ([[1.0, 0.0] if "gloves" in t else [0.0, -1.0] for t in texts], 1)
+    got = {r["query_id"]: r for r in answer(questions, chunks, docs, index, model, lambda p: F.concat(F.lit("re: "), p), images, web).collect()}
+    assert {q: r["route"] for q, r in got.items()} == {1: "internal", 2: "web", 4: "unavailable"}
+    one = got[1]
+    assert one["highest_retrieval_score"] == pytest.approx(0.8 + 0.2 * 0.1) and [s["title"] for s in one["sources"]] == ["a.pdf", "b.docx"] and one["sources"][0]["location"] == "Page 3" and one["images"] == [7]
+    assert one["answer"].startswith("re: Answer from") and "Source 1: a.pdf, page 3\nWear gloves.\n\nSource 2: b.docx" in one["answer"]
+    assert [s["url"] for s in got[2]["sources"]] == ["http://w"] and got[4]["answer"] == retrieval.NO_SOURCES and got[4]["sources"] is None
+    with pytest.raises(ValueError):
+        Settings(text_k=0)
