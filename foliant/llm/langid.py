@@ -29,14 +29,47 @@ UNKNOWN = 1e-7
 CACHE = 300_000
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Vocabulary(dict[str, int]):
+    """Numbers of pieces, and tables to find all pieces in a row of characters at once.
+
+    tables: for each length the sorted hashes of its pieces, with their numbers and characters. A hash is extended by a character
+    at a time; what it finds is compared character by character.
+    """
+
+    def __init__(self, found: dict[str, int]):
+        super().__init__(found)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in range(1, LONGEST + 1):
+            own = [p for p in self if len(p) == n]
+            if own:
+                codes = codepoints("".join(own)).reshape(-1, n)
+                keys = np.zeros(len(own), np.uint64)
+                for k in range(n):
+                    keys = extended(keys, codes[:, k])
+                by = np.argsort(keys)
+                self.tables[n] = keys[by], np.array([self[p] for p in own], np.int64)[by], codes[by]
+
+
+def codepoints(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def extended(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    x = keys * _BASE + codes.astype(np.uint64) + np.uint64(1)
+    return x ^ (x >> np.uint64(29))
+
+
 @lru_cache(maxsize=2)
-def pieces(path: str) -> dict[str, int]:
+def pieces(path: str) -> Vocabulary:
     """Pieces of letters in a sentencepiece model, with numbers from 1; 0 stands for an unknown character."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = [p for i in range(model.get_piece_size()) if LETTERS.fullmatch((p := model.id_to_piece(i)).lstrip(START) or "x") and len(p) <= LONGEST]
-    return {p: i + 1 for i, p in enumerate(dict.fromkeys(p for p in found if p.lower() == p))}
+    return Vocabulary({p: i + 1 for i, p in enumerate(dict.fromkeys(p for p in found if p.lower() == p))})
 
 
 def words_of(text: str) -> list[str]:
@@ -47,22 +80,33 @@ def words_of(text: str) -> list[str]:
 class Lattice:
     """All cuts of a list of words of at most UNSCALED characters: an edge for each piece that lies in a word."""
 
-    def __init__(self, words: list[str], vocabulary: dict[str, int]):
-        of, start, end, piece = [], [], [], []
-        get = vocabulary.get
-        for n, word in enumerate(words):
-            word = START + word
-            size = len(word)
-            for s in range(size):
-                for e in range(s + 1, min(size, s + LONGEST) + 1):
-                    p = get(word[s:e])
-                    if p or e == s + 1:
-                        of.append(n)
-                        start.append(s)
-                        end.append(e)
-                        piece.append(p or 0)
+    def __init__(self, words: list[str], vocabulary: Vocabulary):
         self.n, self.sizes = len(words), np.array([len(w) + 1 for w in words], np.int64)
-        self.of, self.start, self.end, self.piece = (np.array(x, np.int64) for x in (of, start, end, piece))
+        chars = codepoints(START + START.join(words)) if words else np.zeros(0, np.uint32)
+        word = np.repeat(np.arange(self.n), self.sizes)
+        ends = np.cumsum(self.sizes)
+        begins = (ends - self.sizes)[word]
+        found: list[tuple[np.ndarray, np.ndarray, int]] = []  # first characters, pieces, length
+        at, keys = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
+        for n in range(1, LONGEST + 1):
+            fits = at + n <= ends[word[at]]
+            at, keys = at[fits], keys[fits]
+            if not len(at):
+                break
+            keys = extended(keys, chars[at + n - 1])
+            piece = np.zeros(len(at), np.int64)
+            if n in vocabulary.tables:
+                known, numbers, codes = vocabulary.tables[n]
+                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = np.flatnonzero(known[place] == keys)
+                hit = hit[(chars[at[hit, None] + np.arange(n)] == codes[place[hit]]).all(axis=1)]
+                piece[hit] = numbers[place[hit]]
+            some = slice(None) if n == 1 else np.flatnonzero(piece)
+            found.append((at[some], piece[some], n))
+        first = np.concatenate([f[0] for f in found] or [at])
+        self.of, self.start = word[first], first - begins[first]
+        self.end = self.start + np.repeat([f[2] for f in found], [len(f[0]) for f in found]).astype(np.int64)
+        self.piece = np.concatenate([f[1] for f in found] or [at])
 
     def _sweep(self, p: np.ndarray, at: np.ndarray, to: np.ndarray, state: np.ndarray, order: range) -> np.ndarray:
         by = np.lexsort((self.of, to))
@@ -101,7 +145,7 @@ class Lattice:
         return np.bincount(self.piece, use, len(p))
 
 
-def scaled_log_probability(word: str, vocabulary: dict[str, int], p: np.ndarray) -> np.ndarray:
+def scaled_log_probability(word: str, vocabulary: Vocabulary, p: np.ndarray) -> np.ndarray:
     """[language]: the same sum for a word of any length; the last LONGEST sums are kept, divided by their largest one."""
     word = START + word
     kept, log = [np.ones(p.shape[1])], np.zeros(p.shape[1])
