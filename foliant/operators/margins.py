@@ -18,7 +18,8 @@ def _marked(pages: DataFrame, text: str) -> DataFrame:
     """pages with cleaned texts, the places of their first and last line, and what these are compared by."""
     first, last = _ends(F.col(text))
     lines = F.split(text, "\n", -1)
-    marked = pages.withColumn(text, clean_text(F.col(text))).withColumns({"__first": first, "__last": last})
+    once = F.explode(F.array(clean_text(F.col(text)))).alias(text)  # a plain column would be computed at each place that names it
+    marked = pages.select(*[once if c == text else F.col(c) for c in pages.columns]).withColumns({"__first": first, "__last": last})
     return marked.withColumns({"__head": margin_form(F.get(lines, F.col("__first"))), "__foot": margin_form(F.get(lines, F.col("__last")))})
 
 

@@ -54,7 +54,8 @@ def analyze(df: DataFrame, document: str = "document_id", order: str = "unit_ord
     """
     text = clean_text(clean_text(F.col("text"))) if clean_twice else clean_text(F.col("text"))
     rows = units(df).withColumn(file_type, F.ltrim(F.lower(F.col(file_type)), F.lit("."))).where(F.col(file_type).isin("pdf", "docx"))
-    rows = rows.withColumn("text", text).where("text <> ''")
+    # Exploded, a cleaned text is computed once: a filter on it would be pushed down and compute it again.
+    rows = rows.select(*[c for c in rows.columns if c != "text"], F.explode(F.filter(F.array(text), lambda t: t != "")).alias("text"))
     rows = rows.withColumns({n: required(F.col(n)) for n in ("style", "section", "content_type")} | {n: optional_int(F.col(n)) for n in ("page_number", "paragraph_number")})
     rows = rows.withColumn("heading_level", heading_level(F.col("text"), F.col("style"), F.col(file_type)))
     kind = body_type(F.col("text"), F.col("style"), F.col("content_type"), F.try_element_at("metadata", F.lit("content_type")))
