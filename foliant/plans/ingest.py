@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions.names import item_id
 from ..functions.vectors import is_valid
 from ..operators import embedding, structure, tables
@@ -16,7 +17,7 @@ from ..operators.validate import validate
 from ..sources import files as sources
 from ..sources.store import Store
 
-SCHEMAS = {"documents": tables.DOCUMENTS, "document_chunks": tables.CHUNKS, "work_units": "document_id string, " + sources.UNIT, "work_chunks": "document_id string, chunk_index int, content string, content_type string, token_count int, section_path array<string>, metadata string, file_name string, blob_name string, file_type string", "work_vectors": "item_id string, embedding array<float>, model string, total_tokens long, error string"}
+SCHEMAS = {"documents": tables.DOCUMENTS, "document_chunks": tables.CHUNKS, "document_images": tables.IMAGES, "image_blobs": "image_blob_name string, content binary", "work_images": "document_id string, image_index int, file_name string, blob string, mime_type string, width int, height int, caption string, caption_model string, error string, content binary", "work_units": "document_id string, " + sources.UNIT, "work_chunks": "document_id string, chunk_index int, content string, content_type string, token_count int, section_path array<string>, metadata string, file_name string, blob_name string, file_type string", "work_vectors": "item_id string, embedding array<float>, model string, total_tokens long, error string"}
 
 
 def preview(files: DataFrame, parsers: dict[str, sources.Parser] | None = None) -> DataFrame:
@@ -31,12 +32,37 @@ def incoming(files: DataFrame, container: Column) -> DataFrame:
     return rows.select(key.alias("document_id"), "path", "source_container", "source_blob_name", "file_name", "file_type", "mime_type", F.col("size").alias("file_size_bytes"), "checksum", F.lit("{}").alias("metadata"), "content")
 
 
-def ingest(store: Store, files: DataFrame, container: Column, model: Callable[[list[str]], Any], name: str, dimensions: int, now: Column, sizes: Sizes | None = None, parsers: dict[str, sources.Parser] | None = None) -> DataFrame:
+def _images(store: Store, new: DataFrame, ids: DataFrame, container: Column, captioner: Callable[[bytes, str], str], model: Callable[[list[str]], Any], name: str, now: Column) -> DataFrame:
+    """Takes in the images of documents: captions, vectors of the captions, bytes. Returns document_id and image_error of each document
+    with a caption that failed; its old images stay. All others get their new images, which may be none."""
+    found = sources.images(new).join(ids, "path").join(new.select("path", "source_blob_name"), "path")
+    size = sources.image_size(F.col("content"))
+    found = found.withColumns({"width": size["width"], "height": size["height"], "blob": names.image_blob(F.col("source_blob_name"), F.col("document_id"), F.col("image_index"), F.col("file_name"))})
+    told = store.write("work_images", embedding.caption(found, captioner, name))
+    failed = told.where("error is not null").groupBy("document_id").agg(F.max("error").alias("image_error"))
+    good = told.join(failed, "document_id", "left_anti")
+    vectors = embedding.embed(embedding.image_inputs(good), model, name)
+    rows = good.withColumn("item_id", names.image_item_id(F.col("document_id"), F.col("image_index"))).join(vectors.select("item_id", "embedding"), "item_id", "left")
+    rows = rows.select(
+        F.sha2("item_id", 256).alias("id"), "document_id", "image_index", F.col("file_name").alias("image_file_name"), container.alias("image_container"), F.col("blob").alias("image_blob_name"), "caption", F.col("embedding").alias("caption_embedding"),
+        "mime_type", "width", "height", F.lit("{}").alias("metadata"), now.alias("created_at"),
+    )
+    blobs = store.read("image_blobs").join(good.select(F.col("blob").alias("image_blob_name")), "image_blob_name", "left_anti")
+    store.write("image_blobs", blobs.unionByName(good.select(F.col("blob").alias("image_blob_name"), "content")))
+    replaced = ids.join(failed, "document_id", "left_anti")
+    store.write("document_images", tables.replace_children(store.read("document_images"), rows, replaced))
+    return failed
+
+
+def ingest(
+    store: Store, files: DataFrame, container: Column, model: Callable[[list[str]], Any], name: str, dimensions: int, now: Column, sizes: Sizes | None = None, parsers: dict[str, sources.Parser] | None = None, captioner: Callable[[bytes, str], str] | None = None
+) -> DataFrame:
     """Brings files (of sources.blobs()) into the store, and returns document_id, status, error of each.
 
     A document that is there already keeps id and time of creation, and its chunks are replaced. One that can't be parsed, has no
     text, has faulty chunks or no proper vectors is marked as failed, and its old chunks stay; the others go on. Running it again
-    over the same files ends in the same state. Steps are written, so none is computed twice.
+    over the same files ends in the same state. Steps are written, so none is computed twice. captioner: describes images; with it,
+    the images of docx files are stored too, and a caption that fails makes its document a failed one.
     """
     sizes = sizes or Sizes()
     new = incoming(files, container)
@@ -60,8 +86,9 @@ def ingest(store: Store, files: DataFrame, container: Column, model: Callable[[l
     bad = F.max(F.when(~is_valid(F.col("embedding"), dimensions), F.coalesce("error", F.lit("a vector is missing or has the wrong size"))))
     embedded = paired.groupBy("document_id").agg(bad.alias("no_vector"), F.count("*").alias("n"))
     unread = units.groupBy("document_id").agg(F.max("error").alias("unread"))
-    told = ids.join(unread, "document_id", "left").join(faulty.withColumnRenamed("collection", "document_id"), "document_id", "left").join(embedded, "document_id", "left")
-    error = F.coalesce("unread", "issues", "no_vector", F.when(F.col("n").isNull(), "the document has no text"))
+    unseen = _images(store, new, ids, container, captioner, model, name, now) if captioner else store.spark.createDataFrame([], "document_id string, image_error string")
+    told = ids.join(unread, "document_id", "left").join(unseen, "document_id", "left").join(faulty.withColumnRenamed("collection", "document_id"), "document_id", "left").join(embedded, "document_id", "left")
+    error = F.coalesce("unread", "issues", "no_vector", F.when(F.col("n").isNull(), "the document has no text"), "image_error")
     outcomes = told.select("document_id", F.when(error.isNull(), "completed").otherwise("failed").alias("status"), error.alias("error")).distinct()
 
     done = outcomes.where("status = 'completed'").select("document_id")

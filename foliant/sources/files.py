@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.names import document_mime, file_name, file_type, image_mime
-from ..functions.text import is_blank
+from ..functions.text import is_blank, required
 
 SUPPORTED = ("pdf", "docx")
 UNIT = "path string, unit_ordinal int, text string, page_number int, section string, paragraph_number int, style string, error string"
@@ -119,6 +119,50 @@ def images(files: DataFrame) -> DataFrame:
     return rows.select("path", "image_index", "i.file_name", image_mime(F.regexp_extract("i.file_name", r"\.([^.]+)$", 1)).alias("mime_type"), "i.content")
 
 
+def _size(data: bytes) -> tuple[int | None, int | None]:
+    """Width and height in the headers of png, gif, jpeg and bmp files."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
+    if data[:4] == b"GIF8" and len(data) >= 10:
+        return int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
+    if data[:2] == b"BM" and len(data) >= 26:
+        return int.from_bytes(data[18:22], "little"), abs(int.from_bytes(data[22:26], "little", signed=True))
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 9 < len(data) and data[at] == 0xFF:
+        if 0xC0 <= data[at + 1] <= 0xCF and data[at + 1] not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return None, None
+
+
+def image_size(content):
+    """width and height of images, null where they can't be read."""
+
+    @F.udf("struct<width:int,height:int>")
+    def size(data):
+        return _size(bytes(data or b""))
+
+    return size(content)
+
+
+def largest(found: DataFrame, by: str = "path", order: str = "image_index") -> DataFrame:
+    """Of each document the image with the greatest area, sizes that aren't known as 0; of equal ones the first."""
+    area = F.coalesce("width", F.lit(0)) * F.coalesce("height", F.lit(0))
+    return found.groupBy(by).agg(F.max_by(F.struct(*[c for c in found.columns if c != by]), F.struct(area, -F.col(order))).alias("i")).select(by, "i.*")
+
+
+def blob_name(name):
+    """A blob's name without white space around; null where it is blank or ends in . or .. as a folder does."""
+    bare = required(name)
+    return F.when(~file_name(bare).isin(".", "..") & (file_name(bare) != ""), bare)
+
+
+def mock_chunks(spark: SparkSession, question: str, keywords: list[str], rows: list[tuple], schema: str, k: int) -> DataFrame:
+    """Fixed chunks for tests: the first k rows if the question names a keyword, else none."""
+    asked = (question or "").lower()
+    return spark.createDataFrame(rows[: k if any(w.lower() in asked for w in keywords) else 0], schema)
+
+
 def distinct_images(found: DataFrame, order: str = "place") -> DataFrame:
     """Images (path, page_number, xref, ...) each once a page, numbered through the document from 0."""
     first = Window.partitionBy("path", "page_number", "xref").orderBy(order)

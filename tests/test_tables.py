@@ -138,6 +138,30 @@ def test_ingest(spark, folder, tmp_path, model):
     assert len(store.versions("document_chunks")) == 2
 
 
+def test_ingest_with_images(spark, folder, tmp_path, model):
+    store, now = Store(spark, str(tmp_path / "store"), SCHEMAS), F.lit(NOW).cast("timestamp")
+    run = lambda captioner: {r["document_id"]: r["error"] for r in ingest(store, files.blobs(spark, folder).where("name = 'good.docx'"), F.lit("c"), model, "m", 2, now, captioner=captioner).collect()}
+    assert list(run(lambda data, mime: f"{mime} of {len(data)} bytes").values()) == [None]
+    image = store.read("document_images").first()
+    assert image["caption"] == "image/jpeg of 6 bytes" and image["caption_embedding"] == [21.0, 1.0] and image["image_blob_name"].startswith("extracted-images/good/") and image["image_blob_name"].endswith("/0000_a.jpeg")
+    assert bytes(store.read("image_blobs").first()["content"]) == b"\xff\xd8data"
+    assert list(run(lambda data, mime: "").values()) == ["the model gave no caption"]
+    assert store.read("documents").first()["processing_status"] == "failed" and store.read("document_images").count() == 1
+
+
+def test_image_sizes(spark):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + (48).to_bytes(2, "big") + (64).to_bytes(2, "big") + b"\0" * 10
+    gif = b"GIF89a" + (3).to_bytes(2, "little") + (4).to_bytes(2, "little")
+    rows = spark.createDataFrame([("d", 0, png), ("d", 1, jpeg), ("d", 2, gif), ("d", 3, b"x"), ("d", 4, None)], "path string, image_index int, content binary")
+    sized = rows.withColumn("s", files.image_size(F.col("content"))).select("path", "image_index", "s.*")
+    assert [tuple(r)[2:] for r in sized.orderBy("image_index").collect()] == [(640, 480), (64, 48), (3, 4), (None, None), (None, None)]
+    assert files.largest(sized).first()["image_index"] == 0
+    names = spark.createDataFrame([(" a/b.pdf ",), ("a/..",), ("a/",), (" ",)], "n string")
+    assert [r[0] for r in names.select(files.blob_name(F.col("n"))).collect()] == ["a/b.pdf", None, None, None]
+    assert files.mock_chunks(spark, "What about PPE?", ["ppe"], [(1,), (2,)], "i int", 1).count() == 1 and files.mock_chunks(spark, "no", ["ppe"], [(1,)], "i int", 1).count() == 0
+
+
 def test_stream(spark, folder, tmp_path, model):
     at = str(tmp_path / "store")
     query = watch(spark, folder, at, str(tmp_path / "checkpoint"), model, "m", 2, files_a_batch=2)
