@@ -18,7 +18,7 @@ LEAST = 10
 
 def line_key(line: Column) -> Column:
     """line without white space at both ends and with A-Z lower-cased."""
-    stripped = F.regexp_replace(line, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    stripped = F.regexp_replace(line, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
     return F.translate(stripped, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 _made: dict[str, SparkSession] = {}
+_tables: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,8 +42,53 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small new file, complete or not there at all."""
+    jvm = spark._jvm
+    to, by = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    files = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(by, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not files.rename(by, to):
+        raise OSError(f"{path} can't be written")
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, sorted; none if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in files.listStatus(at)) if files.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    source = files.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
+def created() -> list[str]:
+    """The workspaces that release() will delete."""
+    return list(_made)
+
+
+def named(spark: SparkSession, table: str) -> str:
+    """table, which release() is to take out of the catalog."""
+    _tables[table] = spark
+    return table
+
+
 def release() -> None:
     """Deletes all that operators have written so far. DataFrames that they returned can't be used after it."""
+    for table, spark in list(_tables.items()):
+        if spark.sparkContext._jsc is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        del _tables[table]
     for path, spark in list(_made.items()):
         if spark.sparkContext._jsc is not None:
             delete(spark, path)

@@ -78,7 +78,7 @@ def test_line_dedup(make, odd, n):
 
 def test_lines_in_many_documents(make):
     rng = random.Random(2)
-    pool = ["A common line here", "  a COMMON line here\t", "short", "ÄÖÜ is kept as is", "äöü is kept as is", "", "line with\x0btab inside", "x" * 10, "y" * 9]
+    pool = ["A common line here", "  a COMMON line here\t", "short", "ÄÖÜ is kept as is", "äöü is kept as is", "", "line with\x0btab inside", "x" * 10, "y" * 9, "ends oddly \u2028", "ends oddly\u2028", "\x85 ends oddly \x85"]
     rows = [(i, "\n".join(rng.choice(pool + [f"own line of {i} {rng.random()}"] * 3) for _ in range(rng.randint(1, 8)))) for i in rng.sample(range(1000), 120)]
     rows += [(rows[0][0], "A common line here\nA common line here\nnew"), (5000, "\r\n\n a common line here \r\n")]
     same(line_dedup(make(rows), n_batches=6, fanout=2).collect(), lines(rows))
@@ -104,11 +104,23 @@ def test_runs_levels_and_reopening(spark):
         assert all(len(level) <= 2 for level in index.levels)
     assert {(r["h1"], r["h2"]): r["v"] for r in index.all().collect()} == seen and index.all().count() == len(seen)
     assert len(index.levels) == 3
-    again = Runs(spark, index.path, fanout=2, buckets=3)
-    again.levels = index.levels
+    for t in index.tables():
+        spark.sql(f"DROP TABLE {t}")  # as in a new session
+    again = Runs(spark, index.path)
+    assert again.levels == index.levels and again.buckets == 3
     assert again.new(spark.createDataFrame([(*next(iter(seen)), 1), (99, 99, 1)], "h1 long, h2 long, v int")).count() == 1
 
 
+def test_new_rows_against_a_digest_index(make, spark, tmp_path):
+    from foliant.llm.exactdedup import add, digests
+
+    at = f"file://{tmp_path}/index"
+    add(Runs(spark, at, buckets=2), digests(make([(1, "a b"), (2, "c")])))
+    add(Runs(spark, at), digests(make([(3, "a  b"), (4, "d"), (5, "d")])))
+    again = Runs(spark, at)
+    assert sorted(r["keep_order"] for r in again.all().collect()) == [1, 2, 4] and len(again.tables()) == 2
+
+
 def test_the_runs_are_joined_without_a_shuffle(spark):
     index = Runs(spark, fanout=4, buckets=3)
     one = spark.range(100).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"))
