@@ -8,12 +8,12 @@ from pyspark.sql.window import Window
 
 from ..functions import headings, names, text
 from ..operators import chunks, margins, structure, validate
-from ..session import table
+from ..session import spread, table
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a docx file whose lines are its paragraphs."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = docs.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("unit_ordinal", "text"))
     return rows.withColumns({"file_type": F.lit("docx"), "paragraph_number": F.col("unit_ordinal") + 1})
 
@@ -42,7 +42,7 @@ def trailing_words(spark, sf_dir):
 
 
 def clean_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
 FIXTURE = [
@@ -98,12 +98,12 @@ def analyze_pages(spark, sf_dir):
 
 
 def repeated_margins(spark, sf_dir):
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), "text")
+    pages = spread(table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), "text"))
     return margins.repeated_lines(pages, ratio=0.02).select("document_id", "place", "line", "n")
 
 
 def clean_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), "doc_id", "text")
+    pages = spread(table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), "doc_id", "text"))
     return margins.clean_pages(pages, ratio=0.02).select("doc_id", F.md5("text").alias("text_md5"))
 
 

@@ -31,3 +31,15 @@ def session(cpus: str | int = "*", app: str = "foliant", **more: str) -> SparkSe
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder; the path goes to Spark's reader as it is."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
+    """df over as many partitions as there are cores, where a plain scan has fewer: a step that takes long for each row then keeps all
+    cores busy, at the price of one exchange of what it reads. A scan with enough partitions, a small one, and what has been
+    exchanged before stay as they are.
+    """
+    plan = df._jdf.queryExecution()
+    if "Adaptive" in plan.executedPlan().getClass().getSimpleName() or int(str(plan.optimizedPlan().stats().sizeInBytes())) < least_bytes:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
