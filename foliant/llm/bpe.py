@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .shared import map_arrow
 
 #: Words that a task remembers at most; beyond it, it starts afresh.
@@ -237,4 +238,4 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
-    return map_arrow(rows, encoder(path, with_ids, with_text), schema).withColumnRenamed("id", id_col)
+    return map_arrow(spread(rows), encoder(path, with_ids, with_text), schema).withColumnRenamed("id", id_col)

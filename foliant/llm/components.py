@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import workspace, written
+from .shared import delete, workspace, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -37,3 +37,4 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state, n = after, n + 1
         now = written(_small(_large(now)), f"{at}/{n}")
+        delete(edges.sparkSession, f"{at}/{n - 1}")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .shared import map_arrow, workspace, written
 
 # Names of elements and attributes in HTML, and usual names of what surrounds an article.
@@ -270,7 +271,7 @@ def templates(pages: DataFrame, least: int, share: float) -> DataFrame:
     Copies of a page count once, else the text that they share would look like a template. As each template is in a share of its
     host's pages, a host's list is no longer than the mean number of subtrees a page, over the share.
     """
-    found = map_arrow(pages.select("host", "html"), subtrees, "host string, subtree long, page long")
+    found = map_arrow(spread(pages.select("host", "html")), subtrees, "host string, subtree long, page long")
     found = written(found.distinct(), workspace(pages.sparkSession, "subtrees"))
     sizes = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     counts = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -296,7 +297,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     found = written(templates(rows, least, share), workspace(pages.sparkSession, "templates"))
-    both = rows.join(found, "host", "left").select("id", "url", "html", "templates")
+    both = spread(rows).join(found, "host", "left").select("id", "url", "html", "templates")
     kinds = dict(rows.dtypes)
     out = map_arrow(both, extract, f"id {kinds['id']}, url {kinds['url']}, text string, n_chars long")
     return out.toDF(id_col, url_col, "text", "n_chars")

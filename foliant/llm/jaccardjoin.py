@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import spread
 from .components import components
-from .shared import SPACE, id_order, map_arrow, workspace, written
+from .shared import SPACE, delete, id_order, map_arrow, workspace, written
 
 WORD = re.compile(f"[^{SPACE}]+")
 WORDS, THRESHOLD = 5, 0.8
@@ -310,7 +311,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     spark, at = docs.sparkSession, workspace(docs.sparkSession, "jaccard")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(id_order(F.col(id_col)).alias("order"), F.xxhash64(text).alias("row"), text.alias("text"))
-    sketches = written(map_arrow(rows, sketch(words), "order long, row long, k1 long, k2 long, sig binary"), f"{at}/sketches")
+    sketches = written(map_arrow(spread(rows), sketch(words), "order long, row long, k1 long, k2 long, sig binary"), f"{at}/sketches")
     sets = sketches.where(F.col("k1").isNotNull()).groupBy("k1", "k2")
     nodes = sets.agg(F.min(F.struct("order", "row")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), f"{at}/nodes")
@@ -343,6 +344,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     first = known.groupBy("root").agg(F.min("first").alias("class"))
     known = known.join(first, "root").select("k1", "k2", "class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     known = written(known, f"{at}/classes")
+    for done in ("nodes", "buckets", "near", "links", "known"):  # nothing that is returned reads them
+        delete(spark, f"{at}/{done}")
     out = sketches.select("order", "row", "k1", "k2").join(known, ["k1", "k2"], "left")
     return out.select("order", "row", F.coalesce("class", F.struct("order", "row")).alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .shared import map_arrow, workspace, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -244,7 +245,7 @@ def train(labelled: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
     rate = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample_rows / sizes[lang]))])[F.col("lang")]
     sample = rows.where(draw < rate).select("lang", "text")
-    counts = map_arrow(sample, count_words, "lang string, word string, n long")
+    counts = map_arrow(spread(sample), count_words, "lang string, word string, n long")
     counts = written(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), workspace(spark, "words"))
     for _ in range(rounds):
         uses = counts.mapInArrow(expect(path, languages, p), "k long, piece long, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()
@@ -274,7 +275,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, run, f"id {dict(rows.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return map_arrow(spread(rows), run, f"id {dict(rows.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id"):

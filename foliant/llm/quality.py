@@ -12,6 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .shared import SPACE, map_arrow
 
 WORD = re.compile(f"[^{SPACE}]+")
@@ -111,11 +112,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     repeated; an empty table gives no rows. Only the two named columns are read. No shuffle.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, judge(bands or Bands()), f"id {dict(rows.dtypes)['id']}, {RESULT}").withColumnRenamed("id", id_col)
+    return map_arrow(spread(rows), judge(bands or Bands()), f"id {dict(rows.dtypes)['id']}, {RESULT}").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", bands: Bands | None = None) -> DataFrame:
     """The rows of docs, all columns, whose text quality() keeps. A row's columns travel with it; nothing is joined."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
-    judged = map_arrow(rows, judge(bands or Bands()), f"row {rows.schema['row'].dataType.simpleString()}, {RESULT}")
+    judged = map_arrow(spread(rows), judge(bands or Bands()), f"row {rows.schema['row'].dataType.simpleString()}, {RESULT}")
     return judged.where("kept").select("row.*")

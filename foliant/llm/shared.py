@@ -17,13 +17,12 @@ _tables: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, which is for tests in local mode only, one is set here."""
+    """The folder in spark.checkpoint.dir. Where that is unset, which is for local mode only, one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.gettempdir()}/foliant-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .shared import SPACE, map_arrow
 
 WORD = re.compile(f"[^{SPACE}]+")
@@ -105,4 +106,4 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     trie of bounded size, but for a single word of more characters than that.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, counter(path), f"id {dict(rows.dtypes)['id']}, n_pretokens long, n_tokens long").withColumnRenamed("id", id_col)
+    return map_arrow(spread(rows), counter(path), f"id {dict(rows.dtypes)['id']}, n_pretokens long, n_tokens long").withColumnRenamed("id", id_col)
