@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from .shared import delete, workspace, written
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, path: str) -> DataFrame:
     """Each node gives its larger neighbours to the least of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), path)
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, path: str) -> DataFrame:
     """Each node gives its smaller neighbours and itself to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(down.groupBy("a").agg(F.min("b").alias("m")), path)
     given = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return given.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
@@ -26,7 +26,8 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of its component, for each node of edges (a, b: long) but the roots.
 
-    The number of rounds grows with the logarithm of the longest path. Edges of a node to itself are passed over.
+    The number of rounds grows with the logarithm of the longest path. Edges of a node to itself are passed over. Minima are written
+    before edges are joined with them: the join then stands on exchanges of its own, and a node with very many edges is split.
     """
     at, n = workspace(edges.sparkSession, "components"), 0
     now = written(edges.select("a", "b").where("a <> b").distinct(), f"{at}/0")
@@ -36,5 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         if after == state or not after[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state, n = after, n + 1
-        now = written(_small(_large(now)), f"{at}/{n}")
-        delete(edges.sparkSession, f"{at}/{n - 1}")
+        large = written(_large(now, f"{at}/{n}-a"), f"{at}/{n}-large")
+        now = written(_small(large, f"{at}/{n}-b"), f"{at}/{n}")
+        for done in (f"{n - 1}", f"{n}-a", f"{n}-b", f"{n}-large"):
+            delete(edges.sparkSession, f"{at}/{done}")
