@@ -17,7 +17,7 @@ from ..operators.validate import validate
 from ..sources import files as sources
 from ..sources.store import Store
 
-SCHEMAS = {"documents": tables.DOCUMENTS, "document_chunks": tables.CHUNKS, "document_images": tables.IMAGES, "image_blobs": "image_blob_name string, content binary", "work_images": "document_id string, image_index int, file_name string, blob string, mime_type string, width int, height int, caption string, caption_model string, error string, content binary", "work_units": "document_id string, " + sources.UNIT, "work_chunks": "document_id string, chunk_index int, content string, content_type string, token_count int, section_path array<string>, metadata string, file_name string, blob_name string, file_type string", "work_vectors": "item_id string, embedding array<float>, model string, total_tokens long, error string"}
+SCHEMAS = {"documents": tables.DOCUMENTS, "document_chunks": tables.CHUNKS, "document_images": tables.IMAGES, "image_blobs": "image_blob_name string, content binary", "work_images": "document_id string, image_index int, file_name string, blob string, mime_type string, page_number int, width int, height int, caption string, caption_model string, error string, content binary", "work_units": "document_id string, " + sources.UNIT, "work_chunks": "document_id string, chunk_index int, content string, content_type string, token_count int, section_path array<string>, metadata string, file_name string, blob_name string, file_type string", "work_vectors": "item_id string, embedding array<float>, model string, total_tokens long, error string"}
 
 
 def preview(files: DataFrame, parsers: dict[str, sources.Parser] | None = None) -> DataFrame:
@@ -44,7 +44,7 @@ def _images(store: Store, new: DataFrame, ids: DataFrame, container: Column, cap
     vectors = embedding.embed(embedding.image_inputs(good), model, name)
     rows = good.withColumn("item_id", names.image_item_id(F.col("document_id"), F.col("image_index"))).join(vectors.select("item_id", "embedding"), "item_id", "left")
     rows = rows.select(
-        F.sha2("item_id", 256).alias("id"), "document_id", "image_index", F.col("file_name").alias("image_file_name"), container.alias("image_container"), F.col("blob").alias("image_blob_name"), "caption", F.col("embedding").alias("caption_embedding"),
+        F.sha2("item_id", 256).alias("id"), "document_id", "image_index", "page_number", F.col("file_name").alias("image_file_name"), container.alias("image_container"), F.col("blob").alias("image_blob_name"), "caption", F.col("embedding").alias("caption_embedding"),
         "mime_type", "width", "height", F.lit("{}").alias("metadata"), now.alias("created_at"),
     )
     blobs = store.read("image_blobs").join(good.select(F.col("blob").alias("image_blob_name")), "image_blob_name", "left_anti")
@@ -62,7 +62,7 @@ def ingest(
     A document that is there already keeps id and time of creation, and its chunks are replaced. One that can't be parsed, has no
     text, has faulty chunks or no proper vectors is marked as failed, and its old chunks stay; the others go on. Running it again
     over the same files ends in the same state. Steps are written, so none is computed twice. captioner: describes images; with it,
-    the images of docx files are stored too, and a caption that fails makes its document a failed one.
+    the images of the files are stored too, and a caption that fails makes its document a failed one.
     """
     sizes = sizes or Sizes()
     new = incoming(files, container)

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.names import document_mime, file_name, file_type, image_mime
 from ..functions.text import is_blank, required
+from .pdf import pdf_images, pdf_units
 
 SUPPORTED = ("pdf", "docx")
 UNIT = "path string, unit_ordinal int, text string, page_number int, section string, paragraph_number int, style string, error string"
@@ -83,11 +84,11 @@ Parser = Callable[[bytes], list[dict[str, Any]]]
 
 
 def parse(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
-    """Units (UNIT) of documents. parsers: by file type, for types beyond docx; a PDF parser is passed in, the engine has none.
+    """Units (UNIT) of documents. parsers: by file type, in place of the engine's own or for other types.
 
     A file that can't be parsed gives one row with an error and no text, and the others go on.
     """
-    known: dict[str, Parser] = {"docx": docx_units, **(parsers or {})}
+    known: dict[str, Parser] = {"docx": docx_units, "pdf": pdf_units, **(parsers or {})}
     names = [c.split()[0] for c in UNIT.split(", ")]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,14 +110,18 @@ def parse(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFra
 
 
 def images(files: DataFrame) -> DataFrame:
-    """image_index, file_name, mime_type and content of the images in docx files, numbered within each."""
+    """image_index, file_name, mime_type, content and page_number of the images in documents, numbered within each. Files that can't be read have none."""
 
-    @F.udf("array<struct<file_name:string,content:binary>>")
-    def found(content):
-        return [(x["file_name"], x["content"]) for x in docx_images(bytes(content))]
+    @F.udf("array<struct<file_name:string,content:binary,page_number:int>>")
+    def found(kind, content):
+        try:
+            rows = docx_images(bytes(content)) if kind == "docx" else pdf_images(bytes(content))
+        except Exception:  # parse() tells what is wrong with the file
+            return []
+        return [(x["file_name"], x["content"], x.get("page_number")) for x in rows]
 
-    rows = files.where("file_type = 'docx'").select("path", F.posexplode(found("content")).alias("image_index", "i"))
-    return rows.select("path", "image_index", "i.file_name", image_mime(F.regexp_extract("i.file_name", r"\.([^.]+)$", 1)).alias("mime_type"), "i.content")
+    rows = files.select("path", F.posexplode(found("file_type", "content")).alias("image_index", "i"))
+    return rows.select("path", "image_index", "i.file_name", image_mime(F.regexp_extract("i.file_name", r"\.([^.]+)$", 1)).alias("mime_type"), "i.content", "i.page_number")
 
 
 def _size(data: bytes) -> tuple[int | None, int | None]:

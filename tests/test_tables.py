@@ -1,5 +1,6 @@
 import io
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.operators import chat, tables
 from foliant.plans.ingest import SCHEMAS, ingest, preview
 from foliant.sources import files
+from foliant.sources.pdf import pdf_images, pdf_units
 from foliant.sources.store import Store
 from foliant.streaming.ingest import watch
 
@@ -91,6 +93,46 @@ def docx(*paragraphs, image=False):
     return out.getvalue()
 
 
+def pdf(packed=True, extra=b""):
+    """Two pages: the first has no text, the second has words in three fonts, in two streams, and a JPEG image."""
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <00DC> <0002> <0062> endbfchar 1 beginbfrange <0010> <0012> <0065> endbfrange"
+    one = b"BT /F1 12 Tf 50 700 Td (Safe \\(work\\) ) Tj [(with ) -20 (glo) 30 (ves) -300 (on)] TJ 0 -14 Td (second\\040line) Tj ET"
+    two = b"BI /W 1 ID xx EI BT /F2 9 Tf 1 0 0 1 50 600 Tm <000100020010> Tj /F3 9 Tf 1 0 0 1 90 600 Tm (A\x80) Tj T* (end \\344) Tj ET % comment" + b"\nBT /F1 9 Tf 0 -9 Td (" + b"More words for a chunk of fair size. " * 4 + b") Tj ET"
+    squeeze = lambda b: zlib.compress(b) if packed else b
+    kind = b"/Filter /FlateDecode " if packed else b""
+    stream = lambda about, b: b"<< " + about + b" /Length %d >>\nstream\n" % len(b) + b + b"\nendstream"
+    parts = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 /Resources << /Font << /F1 7 0 R /F2 8 0 R /F3 9 0 R >> /XObject << /I 11 0 R /J 11 0 R >> >> >>",
+        3: b"<< /Type /Page /Parent 2 0 R /Resources << >> >>", 4: b"<< /Type /Page /Parent 2 0 R /Contents [5 0 R 6 0 R] >>", 5: stream(kind, squeeze(one)), 6: stream(kind, squeeze(two)),
+        10: stream(kind, squeeze(cmap)), 11: stream(b"/Type /XObject /Subtype /Image /Width 64 /Height 48 /Filter /DCTDecode", b"\xff\xd8jpeg"),
+    }
+    fonts = {7: b"<< /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding >>", 8: b"<< /Type /Font /Subtype /Type0 /ToUnicode 10 0 R >>", 9: b"<< /Type /Font /Subtype /Type1 /Encoding << /Differences [ 128 /Udieresis ] >> >>"}
+    if packed:  # the fonts in an object stream
+        offsets, body = [], b""
+        for n, b in fonts.items():
+            offsets.append(b"%d %d" % (n, len(body)))
+            body += b + b" "
+        head = b" ".join(offsets) + b" "
+        parts[12] = stream(b"/Type /ObjStm /N 3 /First %d " % len(head) + kind, squeeze(head + body))
+    else:
+        parts |= fonts
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n" % n + b + b"\nendobj\n" for n, b in parts.items()) + b"trailer << /Root 1 0 R " + extra + b">>"
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_pdf(packed):
+    (unit,) = pdf_units(pdf(packed))
+    assert unit["page_number"] == 2
+    lines = unit["text"].split("\n")
+    assert lines[:4] == ["Safe (work) with gloves on", "second line", "Übe AÜ", "end ä"] and lines[4].startswith("More words")
+    (image,) = pdf_images(pdf(packed))
+    assert image["file_name"] == "page-2-image-0.jpg" and image["content"] == b"\xff\xd8jpeg" and (image["width"], image["height"]) == (64, 48)
+    with pytest.raises(ValueError):
+        pdf_units(b"no pdf")
+    with pytest.raises(ValueError):
+        pdf_units(pdf(packed, b"/Encrypt 1 0 R "))
+
+
 @pytest.fixture
 def folder(tmp_path):
     at = tmp_path / "blobs"
@@ -98,7 +140,7 @@ def folder(tmp_path):
     (at / "good.docx").write_bytes(docx(("H1", "Safety"), ("", ""), ("", "Workers must wear gloves. " * 10), image=True))
     (at / "sub" / "bad.DOCX").write_bytes(b"no zip")
     (at / "empty.docx").write_bytes(docx(("", " ")))
-    (at / "scan.pdf").write_bytes(b"%PDF")
+    (at / "scan.pdf").write_bytes(pdf())
     (at / "notes.txt").write_bytes(b"not a document")
     return str(at)
 
@@ -110,7 +152,7 @@ def test_parsing(spark, folder):
     assert {r["file_type"] for r in docs.collect()} == {"docx", "pdf"}
     units = {(r["path"].rsplit("/", 1)[-1], r["paragraph_number"]): r for r in preview(found).collect()}
     assert units["good.docx", 1]["style"] == "Heading 1" and units["good.docx", 3]["section"] == "Safety"
-    assert "zip" in units["bad.DOCX", None]["error"].lower() and units["scan.pdf", None]["error"] == "no parser for pdf"
+    assert "zip" in units["bad.DOCX", None]["error"].lower() and units["scan.pdf", None]["error"] is None and units["scan.pdf", None]["page_number"] == 2
     images = files.images(docs.where("name = 'good.docx'")).collect()
     assert [(r["file_name"], r["mime_type"], r["image_index"]) for r in images] == [("a.jpeg", "image/jpeg", 0)]
     with pytest.raises(ValueError):
@@ -167,7 +209,7 @@ def test_stream(spark, folder, tmp_path, model):
     query = watch(spark, folder, at, str(tmp_path / "checkpoint"), model, "m", 2, files_a_batch=2)
     query.awaitTermination()
     states = {r["source_blob_name"]: r["processing_status"] for r in Store(spark, at, SCHEMAS).read("documents").collect()}
-    assert states == {"good.docx": "completed", "scan.pdf": "failed", "empty.docx": "failed", "sub/bad.DOCX": "failed"}
+    assert states == {"good.docx": "completed", "scan.pdf": "completed", "empty.docx": "failed", "sub/bad.DOCX": "failed"}
 
 
 def test_csv_and_json(spark, tmp_path):
