@@ -15,12 +15,17 @@ def titles(messages: DataFrame, chat: str = "conv_id", turn: str = "turn") -> Da
     return first.select(chat, chat_title(F.col("question")).alias("title"))
 
 
-def history(messages: DataFrame, active: int | None = None, chat: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """chat, label, messages, place: chats that have messages, newest (the greatest chat) first."""
-    sizes = messages.groupBy(chat).agg(F.count("*").alias("messages"))
-    rows = titles(messages, chat, turn).join(sizes, chat)
-    label = history_title(F.col("title"), F.col(chat) == F.lit(active) if active is not None else F.lit(False))
-    return rows.select(chat, label.alias("label"), "messages", F.row_number().over(Window.orderBy(F.desc(chat))).alias("place"))
+def history(messages: DataFrame, active: int | None = None, chat: str = "conv_id", turn: str = "turn", user: str | None = None) -> DataFrame:
+    """user, chat, label, messages, place: chats that have messages, newest (the greatest chat) first.
+
+    user: whose chats they are; each user's are numbered for themselves. Without it they count as one user's.
+    """
+    keys = [user, chat] if user else [chat]
+    asked = F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col(turn)))
+    rows = messages.groupBy(*keys).agg(asked.alias("question"), F.count("*").alias("messages")).where("question is not null")
+    label = history_title(chat_title(F.col("question")), F.col(chat) == F.lit(active) if active is not None else F.lit(False))
+    newest = Window.partitionBy(user or F.lit(0)).orderBy(F.desc(chat))
+    return rows.select(*keys, label.alias("label"), "messages", F.row_number().over(newest).alias("place"))
 
 
 def after(actions: DataFrame, user: str = "user_id", order: str = "seq") -> DataFrame:
