@@ -32,7 +32,7 @@ HASHES = BANDS * ROWS
 #: Hashes that are compared before each look at the posterior probability, and the probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
 #: Nodes of a block. Larger buckets are cut, so a task holds two blocks at most.
-BLOCK = 512
+BLOCK = 1024
 #: Nodes of a tile within a block, and columns of the tile's matrix.
 TILE, COLUMNS = 256, 8192
 CACHE = 500_000
