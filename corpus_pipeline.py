@@ -9,14 +9,14 @@ from foliant.llm.bpe import bpe_encode
 from foliant.llm.jaccardjoin import keep_first
 from foliant.llm.linededup import drop_lines
 from foliant.llm.mix import mix
-from foliant.llm.quality import keep_good
+from foliant.llm.quality import Bands, keep_good
 from foliant.llm.queries import tokenizer
 from foliant.llm.shared import workspace, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return keep_good(docs)
+    return keep_good(docs, bands=Bands())
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import zstandard
@@ -22,44 +22,75 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of the ratio of UTF-8 bytes to zstandard bytes.
+    """Limits of the ratio of UTF-8 bytes to zstandard bytes, by default those that fit() gives for the labelled good documents of sf0.1.
 
-    up_to: upper lengths in bytes of all bands but the last. low, high: the ratios that a document of each band may have. The
-    ratio of prose rises with the length, as a short text hardly repeats and pays for the frame. Base64 and random bytes stay
-    below 1.35 at any length, a passage that is repeated soon exceeds 4.
+    up_to: upper lengths in bytes of all bands but the last. low, high: the ratios that a document of each band may have; chunk_low,
+    chunk_high: those that a chunk may have. The ratio of prose rises with the length, as a short text hardly repeats and pays for
+    the frame; words with symbols or links between them repeat more than prose of their length.
     chunk: bytes of a fixed chunk; the last one counts if it has at least `least` bytes or is the only one, with the band of its
     own length.
     """
 
     level: int = 3
-    up_to: tuple[int, ...] = (512, 1024, 4096, 16384, 65536)
-    low: tuple[float, ...] = (1.05, 1.2, 1.38, 1.42, 1.42, 1.42)
-    high: tuple[float, ...] = (2.4, 2.7, 3.2, 3.6, 4.2, 4.8)
+    up_to: tuple[int, ...] = (256, 512, 768, 1024, 1536, 2048, 3072, 4096, 6144, 8192, 16384, 65536)
+    low: tuple[float, ...] = (1.05, 1.3, 1.35, 1.52, 1.62, 1.73, 1.78, 1.88, 1.95, 2.01, 2.05, 1.42, 1.42)
+    high: tuple[float, ...] = (2.4, 1.86, 1.89, 1.98, 2.07, 2.13, 2.2, 2.26, 2.34, 2.37, 2.45, 4.2, 4.8)
+    chunk_low: tuple[float, ...] = (1.05, 1.05, 1.2, 1.2, 1.66, 1.75, 1.83, 1.92, 1.42, 1.42, 1.42, 1.42, 1.42)
+    chunk_high: tuple[float, ...] = (2.4, 2.4, 2.7, 2.7, 2.08, 2.1, 2.21, 2.28, 3.6, 3.6, 3.6, 4.2, 4.8)
     chunk: int = 4096
     least: int = 1024
 
     def verdict(self, raw: bytes, packed: zstandard.ZstdCompressor) -> tuple[float, float, float, bool]:
         """Ratio of the whole, least and largest ratio of a chunk, and whether all lie within their bands."""
         whole = self.ratio(raw, packed)
-        good = self.within(len(raw), whole)
+        good = self.within(len(raw), whole, self.low, self.high)
         low = high = whole
         if len(raw) > self.chunk:
             ratios = []
-            for at in range(0, len(raw), self.chunk):
-                part = raw[at : at + self.chunk]
-                if len(part) >= self.least:
-                    ratios.append(r := self.ratio(part, packed))
-                    good = good and self.within(len(part), r)
+            for part in self.chunks(raw):
+                ratios.append(r := self.ratio(part, packed))
+                good = good and self.within(len(part), r, self.chunk_low, self.chunk_high)
             low, high = min(ratios), max(ratios)
         return whole, low, high, good
 
+    def chunks(self, raw: bytes) -> list[bytes]:
+        parts = [raw[at : at + self.chunk] for at in range(0, len(raw), self.chunk)]
+        return [x for x in parts if len(x) >= self.least or len(parts) == 1]
+
     @staticmethod
     def ratio(raw: bytes, packed: zstandard.ZstdCompressor) -> float:
         return len(raw) / len(packed.compress(raw)) if raw else 0.0
 
-    def within(self, length: int, ratio: float) -> bool:
+    def within(self, length: int, ratio: float, low: tuple[float, ...], high: tuple[float, ...]) -> bool:
         i = bisect_left(self.up_to, length)
-        return self.low[i] <= ratio <= self.high[i]
+        return low[i] <= ratio <= high[i]
+
+    @classmethod
+    def fit(cls, good: Iterable[bytes], up_to: tuple[int, ...], share: float = 0.005, margins: tuple[float, float] = (0.08, 0.02), fewest: int = 50) -> Bands:
+        """Bands from documents that are known to be good: in each band the ratio below and that above which `share` of them lie,
+        moved outwards by the lower and the upper of the margins, a part of itself. The lower is wide: what mixes languages is a little
+        below prose of one, and base64, the junk on that side, far below. A band with fewer than `fewest` of them has the limits of WIDE."""
+        sizes = [*up_to, up_to[-1] + 1]
+        low, high = ([limits[bisect_left(WIDE.up_to, n)] for n in sizes] for limits in (WIDE.low, WIDE.high))
+        bands = cls(up_to=up_to, low=tuple(low), high=tuple(high), chunk_low=tuple(low), chunk_high=tuple(high))
+        packed = zstandard.ZstdCompressor(level=bands.level)
+        wholes, chunks = ([[] for _ in sizes] for _ in range(2))
+        for raw in good:
+            wholes[bisect_left(up_to, len(raw))].append(cls.ratio(raw, packed))
+            for part in bands.chunks(raw) if len(raw) > bands.chunk else ():
+                chunks[bisect_left(up_to, len(part))].append(cls.ratio(part, packed))
+        limits = []
+        for kind in (wholes, chunks):
+            for of, scale, old in ((share, 1 - margins[0], low), (1 - share, 1 + margins[1], high)):
+                cut = [sorted(x)[round(of * (len(x) - 1))] * scale if len(x) >= fewest else None for x in kind]
+                limits.append(tuple(o if c is None else round(c, 2) for c, o in zip(cut, old)))
+        return replace(bands, **dict(zip(("low", "high", "chunk_low", "chunk_high"), limits)))
+
+
+#: Hand-set limits for text of a kind that nothing is known of: base64 and random bytes stay below 1.35 at any length, a passage that
+#: is repeated soon exceeds 4. They reject nothing that is near to prose.
+_LOW, _HIGH = (1.05, 1.2, 1.38, 1.42, 1.42, 1.42), (2.4, 2.7, 3.2, 3.6, 4.2, 4.8)
+WIDE = Bands(up_to=(512, 1024, 4096, 16384, 65536), low=_LOW, high=_HIGH, chunk_low=_LOW, chunk_high=_HIGH)
 
 
 def repeated(words: list[str]) -> int:
@@ -108,15 +139,15 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     """id_col, the counts, base_failed, kept, and the three ratios for each row of docs.
 
     kept is false if base_failed (fewer than 50 words, or more than half of them in repeated 3-word windows), else true where the
-    document and all its chunks lie within the bands. A null text counts as empty: no words, ratio 0, failed. Ids may be null or
+    document and all its chunks lie within the bands, WIDE unless others are given. A null text counts as empty: no words, ratio 0, failed. Ids may be null or
     repeated; an empty table gives no rows. Only the two named columns are read. No shuffle.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(spread(rows), judge(bands or Bands()), f"id {dict(rows.dtypes)['id']}, {RESULT}").withColumnRenamed("id", id_col)
+    return map_arrow(spread(rows), judge(bands or WIDE), f"id {dict(rows.dtypes)['id']}, {RESULT}").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", bands: Bands | None = None) -> DataFrame:
-    """The rows of docs, all columns, whose text quality() keeps. A row's columns travel with it; nothing is joined."""
+    """The rows of docs, all columns, whose text quality() keeps with these bands. A row's columns travel with it; nothing is joined."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
-    judged = map_arrow(spread(rows), judge(bands or Bands()), f"row {rows.schema['row'].dataType.simpleString()}, {RESULT}")
+    judged = map_arrow(spread(rows), judge(bands or WIDE), f"row {rows.schema['row'].dataType.simpleString()}, {RESULT}")
     return judged.where("kept").select("row.*")

@@ -14,7 +14,7 @@ from .jaccardjoin import jaccard_join
 from .langid import held_out, identify, train
 from .linededup import line_dedup
 from .mix import mix_plan
-from .quality import quality
+from .quality import Bands, quality
 from .tokencount import token_counts
 from .warc import warc
 
@@ -63,7 +63,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(_read(spark, sf_dir, "documents"))
+    return quality(_read(spark, sf_dir, "documents"), bands=Bands())
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

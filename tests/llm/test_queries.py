@@ -85,3 +85,11 @@ def _kept(text):
     words = quality.WORD.findall(text or "")
     failed = len(words) < quality.LEAST_WORDS or 100 * quality.repeated(words) > quality.MOST_REPEATED * len(words)
     return not failed and quality.Bands().verdict((text or "").encode(), zstandard.ZstdCompressor(level=3))[3]
+
+
+def test_quality_rejects_by_bands(spark, sf_dir):
+    """Of the labelled documents that pass the base rules, the bands keep the good ones and reject bad ones."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = QUERIES["op8_quality"](spark, sf_dir).where("not base_failed").join(labels, "doc_id").select("quality", "kept").collect()
+    good, bad = ([r["kept"] for r in found if r["quality"] == k] for k in (1, 0))
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.5 * len(bad) and bad

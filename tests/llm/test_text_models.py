@@ -182,3 +182,20 @@ def test_compression_bands(make):
     assert whole > 1000 and not good and low <= high
     assert [r["doc_id"] for r in quality.keep_good(make(rows)).orderBy("doc_id").collect()] == [1, 2, 6]
     assert quality.keep_good(make(rows)).columns == make(rows).columns
+
+
+def test_bands_tell_links_and_symbols_from_prose(make):
+    rng = random.Random(7)
+    syllables = ["th", "er", "an", "in", "on", "ed", "nd", "ha", "re", "ou", "ea", "ing", "tion", "st", "en", "of", "wh", "ti", "es", "or", "sh", "ly", "ble", "at"]
+    words = lambda n: ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+    prose = lambda n: " ".join(w + rng.choice(["", "", "", "", ",", ".\n"]) for w in words(n))
+    links = lambda n: " | ".join(words(n))
+    symbols = lambda n: " ".join(w + rng.choice(["###", "$$$", "%%%", "&&&", "***"]) for w in words(n))
+    bands = quality.Bands.fit([prose(rng.randint(100, 2000)).encode() for _ in range(600)], (768, 1536, 3072, 4096, 8192, 16384))
+    kinds = [prose] * 20 + [links, symbols] * 10
+    for given in (bands, quality.Bands()):
+        kept = {r["doc_id"]: r["kept"] for r in quality.quality(make([(i, kind(900)) for i, kind in enumerate(kinds)]), bands=given).collect()}
+        assert given is not bands or sum(kept[i] for i in range(20)) >= 18
+        assert not any(kept[i] for i in range(20, 40))
+    few = quality.Bands.fit([], (512, 1024))
+    assert (few.low, few.high) == (quality.WIDE.low[:3], quality.WIDE.high[:3]) == (few.chunk_low, few.chunk_high)
