@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from .shared import map_arrow, workspace, written
+from .shared import hash128, map_arrow, workspace, written
 
 # Names of elements and attributes in HTML, and usual names of what surrounds an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -28,6 +28,7 @@ BLOCK = frozenset(
     " tfoot th thead tr ul".split()
 )
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th figure figcaption hgroup details summary".split())
+LISTS = frozenset("ul ol dl table figure details".split())
 GONE = frozenset("nav aside form footer menu dialog button select option input search svg object canvas audio video head".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 AROUND = frozenset(
@@ -45,6 +46,11 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 TEXT, OPEN, CLOSE = 0, 1, 2
+#: Kinds of subtrees: containers; whole lists and tables within an article; paragraphs and the like outside and inside of articles.
+PAGE, BOX, LIST, LOOSE, PROSE = 0, 1, 2, 3, 4
+#: By kind: of how many different pages of the host a template is, and for paragraphs of which share of those of the host or a section.
+LEAST = {BOX: 5, LIST: 20, LOOSE: 5, PROSE: 20}
+SHARE = {BOX: 0.1, LIST: 0.1, LOOSE: 0.1, PROSE: 0.8}
 
 
 class Page:
@@ -140,13 +146,27 @@ class Page:
                 return out
         return []
 
-    def hash(self, n: int) -> int:
-        """Of an element with all that it holds: names and texts, white space aside, without attributes."""
-        _, _, start, stop = self.nodes[n]
-        digest = blake2b(digest_size=8)
-        for kind, value in zip(self.kinds[start:stop], self.values[start:stop]):
-            digest.update((f"{kind}{' '.join(value.split())}\n").encode("utf-8", "replace"))
-        return int.from_bytes(digest.digest(), "big", signed=True)
+    def hashes(self) -> dict[int, tuple[int, int]]:
+        """By the place where an element starts: a hash of it with all that it holds, names and texts, white space aside, without
+        attributes, and the number of letters of its text. One pass."""
+        out: dict[int, tuple[int, int]] = {}
+        ends = {start: stop for _, _, start, stop in self.nodes}
+        stack = [[-1, blake2b(digest_size=8), 0]]
+        for i, (kind, value) in enumerate(zip(self.kinds, self.values)):
+            if kind == TEXT:
+                words = value.split()
+                stack[-1][1].update(f"{TEXT}{' '.join(words)}\n".encode("utf-8", "replace"))
+                stack[-1][2] += sum(map(len, words))
+                continue
+            if kind == OPEN:
+                stack.append([i, blake2b(f"{OPEN}{value}\n".encode("utf-8", "replace"), digest_size=8), 0])
+            if kind == CLOSE or ends[i] == i + 1:
+                start, digest, letters = stack.pop()
+                raw = digest.digest()
+                out[start] = int.from_bytes(raw, "big", signed=True), letters
+                stack[-1][1].update(raw)
+                stack[-1][2] += letters
+        return out
 
     def text(self, regions: list[tuple[int, int]], without: list[tuple[int, int]]) -> str:
         """Text of the regions, outside of the ranges `without`, each sorted by start."""
@@ -204,34 +224,65 @@ def is_around(name: str, attributes: str, inside: bool) -> bool:
 
 
 class Content:
-    """What of a page may be main text: its regions, what is cut out of them by name, and the subtrees that could be templates."""
+    """What of a page may be main text: its regions, what is cut out of them by name, and the subtrees that could be templates.
+
+    candidates: node and kind of each subtree that could change the text if it were deleted: those within the regions, and those
+    that hold a region. What else lies outside of the regions is dropped in any case. A subtree with more than two thirds of the
+    page's text is the page itself, not a template.
+    """
 
     def __init__(self, source: str):
         self.page = page = Page(source)
         main = page.articles()
         self.regions = [(page.nodes[n][2], page.nodes[n][3]) for n in main] or [(0, len(page.kinds))]
         self.cut: list[tuple[int, int]] = []
-        self.candidates: list[int] = []
+        self.candidates: list[tuple[int, int]] = []
         r, end = 0, -1
         for n, (name, attributes, start, stop) in enumerate(page.nodes):
             while r < len(self.regions) and self.regions[r][1] <= start:
                 r += 1
             if r == len(self.regions):
                 break
-            if start < self.regions[r][0] or start < end:
+            if start < end:
                 continue
-            if n not in main and is_around(name, attributes, bool(main)):
+            block = name in BLOCK and name not in ("html", "body", "head", "article", "main")
+            if start < self.regions[r][0]:
+                if block and stop > self.regions[r][0]:
+                    self.candidates.append((n, BOX))
+            elif n not in main and is_around(name, attributes, bool(main)):
                 self.cut.append((start, stop))
                 end = stop
-            elif name in BLOCK and name not in ("html", "body", "head", "article", "main") and not (main and name in FLOW):
-                # Paragraphs, headings, lists and tables of an article are the author's own, even where articles share them.
-                self.candidates.append(n)
+            elif block and n not in main:
+                if name not in FLOW:
+                    kind = BOX
+                elif name in LISTS:
+                    kind = LIST if main else BOX
+                else:
+                    kind = PROSE if main else LOOSE
+                self.candidates.append((n, kind))
+
+    def subtrees(self) -> list[tuple[int, int, int, int]]:
+        """Kind, hash, start and stop of the candidates with text."""
+        if not self.candidates:
+            return []
+        found, nodes = self.page.hashes(), self.page.nodes
+        most = 2 * sum(len("".join(v.split())) for start, stop in self.regions for k, v in zip(self.page.kinds[start:stop], self.page.values[start:stop]) if k == TEXT)
+        most -= 2 * sum(found[start][1] for start, _ in self.cut)
+        out = []
+        for n, kind in self.candidates:
+            _, _, start, stop = nodes[n]
+            h, letters = found[start]
+            if 0 < 3 * letters <= most:
+                out.append((kind, h, start, stop))
+        return out
 
     def text(self, templates: set[int]) -> str:
-        cut = self.cut
-        if templates and self.candidates:
-            cut = _outer(sorted([*cut, *((self.page.nodes[n][2], self.page.nodes[n][3]) for n in self.candidates if self.page.hash(n) in templates)]))
-        return self.page.text(self.regions, cut)
+        """templates: hashes of subtrees to delete. A page of which they would leave nothing stays as it is."""
+        if templates:
+            cut = [(start, stop) for _, h, start, stop in self.subtrees() if h in templates]
+            if cut and (text := self.page.text(self.regions, _outer(sorted([*self.cut, *cut])))):
+                return text
+        return self.page.text(self.regions, self.cut)
 
 
 def _outer(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -250,33 +301,55 @@ def host(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url.cast("string")), r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]*)", 1), F.lit(""))
 
 
-def subtrees(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, subtree, page: a hash of each candidate subtree with text, once a page, and one of the page's whole text."""
-    for batch in source:
-        hosts, hashes, pages = [], [], []
-        for name, value in zip(batch["host"].to_pylist(), batch["html"]):
-            content = Content(value.as_py() or "")
-            if content.candidates:
-                page = int.from_bytes(blake2b(content.text(set()).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-                for h in {content.page.hash(n) for n in content.candidates}:
-                    hosts.append(name)
-                    hashes.append(h)
-                    pages.append(page)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(pages, pa.int64())], ["host", "subtree", "page"])
+def section(url: Column) -> Column:
+    """First folder of a URL's path; empty if there is none."""
+    return F.coalesce(F.regexp_extract(url.cast("string"), r"//[^/?#]*/([^/?#]+)/", 1), F.lit(""))
+
 
+KEY = ("host", "section", "h1", "h2")
 
-def templates(pages: DataFrame, least: int, share: float) -> DataFrame:
-    """host, templates: hashes of the subtrees that at least `least` different texts of a host and `share` of them have.
 
-    Copies of a page count once, else the text that they share would look like a template. As each template is in a share of its
-    host's pages, a host's list is no longer than the mean number of subtrees a page, over the share.
+def subtrees(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """KEY of the page, kind and hash of each of its subtrees that could be a template, and a hash of the page's whole text. A row of
+    the kind PAGE stands for the page itself."""
+    for batch in source:
+        at, kinds, hashes, pages = [], [], [], []
+        for i, value in enumerate(batch["html"]):
+            content = Content(value.as_py() or "")
+            page = int.from_bytes(blake2b(content.text(set()).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+            for kind, h in {(PAGE, 0), *(x[:2] for x in content.subtrees())}:
+                at.append(i)
+                kinds.append(kind)
+                hashes.append(h)
+                pages.append(page)
+        rows = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch[c].take(rows) for c in KEY), pa.array(kinds, pa.int32()), pa.array(hashes, pa.int64()), pa.array(pages, pa.int64())], [*KEY, "kind", "subtree", "page"])
+
+
+def templates(pages: DataFrame, least: int) -> DataFrame:
+    """KEY, templates: for each page with any, the hashes of its subtrees that are templates.
+
+    Containers, and whole lists and tables, are templates by the number of different texts of the host that have them, however
+    large the host is. Paragraphs that articles share are told from templates by their share of the host or of a section of it.
+    Copies of a page count once, else the text that they share would look like a template. A page's list is no longer than the page.
     """
-    found = map_arrow(spread(pages.select("host", "html")), subtrees, "host string, subtree long, page long")
-    found = written(found.distinct(), workspace(pages.sparkSession, "subtrees"))
-    sizes = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    counts = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    many = counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
-    return many.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+    spark = pages.sparkSession
+    found = written(map_arrow(spread(pages.select("html", *KEY)), subtrees, "host string, section string, h1 long, h2 long, kind int, subtree long, page long"), workspace(spark, "subtrees"))
+    both = F.array_distinct(F.array(F.struct("host", F.lit(None).cast("string").alias("section")), F.struct("host", "section")))
+    whole = F.array(F.struct("host", F.lit(None).cast("string").alias("section")))
+    scope = F.to_json(F.col("scope")).alias("scope")
+    scoped = found.where(F.col("kind") != PAGE).withColumn("scope", F.explode(F.when(F.col("kind").isin(*SHARE), both).otherwise(whole))).withColumn("scope", scope)
+    by = ["scope", "kind", "subtree"]
+    number = F.create_map(*[F.lit(x) for kind, n in LEAST.items() for x in (kind, least * n // LEAST[BOX])])[F.col("kind")]
+    counts = scoped.select(*by, "page").distinct().groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= number)
+    counts = written(counts, workspace(spark, "recurring"))
+    sizes = found.where(F.col("kind") == PAGE).select("host", "section", "page").select(F.explode(both).alias("scope"), "page").select(scope, "page").distinct()
+    sizes = written(sizes.groupBy("scope").agg(F.count("*").alias("pages")), workspace(spark, "sizes"))
+    share = F.create_map(*[F.lit(x) for kind, n in SHARE.items() for x in (kind, n)])[F.col("kind")]
+    shared = counts.where(F.col("kind").isin(*SHARE)).join(sizes, "scope").where(F.col("n") >= share * F.col("pages"))
+    many = counts.where(~F.col("kind").isin(*SHARE)).select(*by).union(shared.select(*by))
+    many = written(many, workspace(spark, "recurring"))
+    return scoped.join(many, by).groupBy(*KEY).agg(F.collect_set("subtree").alias("templates"))
 
 
 def extract(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,16 +361,18 @@ def extract(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["id"], batch["url"], text, pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 5, share: float = 0.1) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 5) -> DataFrame:
     """id_col, url_col, text, n_chars for each row of pages.
 
-    least, share: a subtree is a template if so many different pages of the host have it. Null or empty html gives an empty text;
+    least: a container is a template if so many different pages of the host have it; LEAST and SHARE say what holds for lists and
+    paragraphs, whose numbers go with it. Null or empty html gives an empty text;
     pages with a null url count as one host. Malformed html is read as browsers do, roughly: an end tag without a start is passed
     over, what is open at the end is closed, a tag that the page's end cuts off is dropped. Ids may be null or repeated; an empty table gives no rows. Other columns aren't read.
     """
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    found = written(templates(rows, least, share), workspace(pages.sparkSession, "templates"))
-    both = spread(rows).join(found, "host", "left").select("id", "url", "html", "templates")
+    html, url = F.col(html_col).cast("string"), F.col(url_col)
+    rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), html.alias("html"), host(url).alias("host"), section(url).alias("section"), *hash128(html))
+    found = written(templates(rows, least), workspace(pages.sparkSession, "templates"))
+    both = spread(rows).join(found, list(KEY), "left").select("id", "url", "html", "templates")
     kinds = dict(rows.dtypes)
     out = map_arrow(both, extract, f"id {kinds['id']}, url {kinds['url']}, text string, n_chars long")
     return out.toDF(id_col, url_col, "text", "n_chars")

@@ -133,3 +133,15 @@ def test_a_damaged_archive_is_an_error():
     assert [f["warc-record-id"] for _, _, f, _ in warc.records(good * 2)] == ["<urn:page:1>"] * 2
     with pytest.raises(ValueError):
         list(warc.records(good[:-6]))
+
+
+def test_templates_within_articles(spark):
+    rng = random.Random(2)
+    own = lambda i: f"<p>own text {i} {rng.random()} and {rng.random()} and {rng.random()} and {rng.random()}</p>"
+    rest = "<p>Sign up for the letter</p><ul><li>Related one</ul><table><tr><td>Advert</table>"
+    rows = [(i, f"http://a.org/s/{i}", f"<article>{own(i)}{rest if i % 10 else rest[:29]}</article>") for i in range(60)]
+    rows += [(100 + i, f"http://b.org/s/{i}", f"<article>{own(i)}{'<p>Shared quote</p>' if i % 3 == 0 else ''}</article>") for i in range(90)]
+    found = {r["page_id"]: r["text"] for r in htmlextract.main_text(pages(spark, rows)).collect()}
+    assert all(f"own text {r[0] % 100} " in found[r[0]] for r in rows)
+    assert not any(x in found[i] for i in range(60) for x in ("letter", "Related", "Advert"))
+    assert all("Shared quote" in found[100 + i] for i in range(0, 90, 3))
