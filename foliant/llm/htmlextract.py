@@ -50,7 +50,7 @@ TEXT, OPEN, CLOSE = 0, 1, 2
 PAGE, BOX, LIST, LOOSE, PROSE = 0, 1, 2, 3, 4
 #: By kind: of how many different pages of the host a template is, and for paragraphs of which share of those of the host or a section.
 LEAST = {BOX: 5, LIST: 20, LOOSE: 5, PROSE: 20}
-SHARE = {BOX: 0.1, LIST: 0.1, LOOSE: 0.1, PROSE: 0.8}
+SHARE = {LOOSE: 0.1, PROSE: 0.8}
 
 
 class Page:

@@ -145,3 +145,14 @@ def test_templates_within_articles(spark):
     assert all(f"own text {r[0] % 100} " in found[r[0]] for r in rows)
     assert not any(x in found[i] for i in range(60) for x in ("letter", "Related", "Advert"))
     assert all("Shared quote" in found[100 + i] for i in range(0, 90, 3))
+
+
+def test_templates_of_a_large_host(spark):
+    """The verdict about a box on nine pages doesn't change as the host grows."""
+    rng = random.Random(4)
+    own = lambda i: f"<p>own text {i} {rng.random()} and {rng.random()} and {rng.random()}</p>"
+    rows = [(i, f"http://a.org/{i}", f"<body><div>{own(i)}</div>{'<div>Latest in this part</div>' if i < 9 else ''}</body>") for i in range(150)]
+    rows += [(1000 + i, f"http://a.org/s/{i}", f"<body><div><p>{'copied ' * 40}</p></div><b>{i}</b></body>") for i in range(9)]
+    found = {r["page_id"]: r["text"] for r in htmlextract.main_text(pages(spark, rows)).collect()}
+    assert not any("Latest" in t for t in found.values()) and all(f"own text {i} " in found[i] for i in range(150))
+    assert all("copied" in found[1000 + i] for i in range(9))
