@@ -134,16 +134,37 @@ class Page:
                 return  # an inline end tag doesn't end a block
 
     def articles(self) -> list[int]:
-        """The elements that hold the page's main text: the outermost articles, or else main elements; none if there are neither."""
-        for names in (("article",), ("main",)):
-            out, end = [], -1
-            for n, (name, attributes, start, stop) in enumerate(self.nodes):
-                if start >= end and (name in names or names == ("main",) and "main" in attributes and _attributes(attributes).get("role") == "main"):
-                    if not is_comment(attributes):
-                        out.append(n)
-                        end = stop
-            if out:
-                return out
+        """The elements that hold the page's main text: the outermost articles, or the main elements where they hold text outside of
+        articles; none if there are neither. Articles and main elements within what surrounds the main text, such as the teasers in
+        an aside, don't count unless there are no others and they hold more text than the page has outside of such surroundings."""
+        found: dict[tuple[bool, bool], list[int]] = {}
+        ends, around, taken = {}, -1, []
+        for n, (name, attributes, start, stop) in enumerate(self.nodes):
+            if name == "article" and not is_comment(attributes):
+                kind = True
+            elif name == "main" or "main" in attributes and _attributes(attributes).get("role") == "main":
+                kind = False
+            else:
+                if start >= around and is_around(name, attributes, False):
+                    around = stop
+                    taken.append((start, stop))
+                continue
+            key = kind, start < around
+            if start >= ends.get(key, -1):
+                found.setdefault(key, []).append(n)
+                ends[key] = stop
+        for inside in (False, True):
+            articles, main = found.get((True, inside), []), found.get((False, inside), [])
+            if articles and main:
+                without = _outer(sorted([*(() if inside else taken), *((self.nodes[n][2], self.nodes[n][3]) for n in articles)]))
+                within = {n for n in articles if any(self.nodes[m][2] > self.nodes[n][2] and self.nodes[m][3] < self.nodes[n][3] for m in main)}
+                if not within and self.text([(self.nodes[m][2], self.nodes[m][3]) for m in main], without):
+                    return main
+            if chosen := articles or main:
+                regions = [(self.nodes[n][2], self.nodes[n][3]) for n in chosen]
+                if inside and len(self.text(regions, [])) < len(self.text([(0, len(self.kinds))], taken)):
+                    return []
+                return chosen
         return []
 
     def hashes(self) -> dict[int, tuple[int, int]]:

@@ -135,6 +135,22 @@ def test_a_damaged_archive_is_an_error():
         list(warc.records(good[:-6]))
 
 
+@pytest.mark.parametrize(
+    "html,expected",
+    [
+        ("<main><p>long text</p></main><aside><article class='card'>teaser</article></aside>", "long text"),
+        ("<main><p>long text</p></main><div><article class='card'>teaser</article></div>", "long text"),
+        ("<div><p>long text</p></div><div class='related'><article>teaser</article></div>", "long text"),
+        ("<main><h1>T</h1><article>body</article><nav>n</nav></main>", "T body"),
+        ("<main><nav>n</nav><article>body</article></main>", "body"),
+        ("<main></main><article>body</article>", "body"),
+        ("<div class='with-sidebar'><article>body</article></div>", "body"),
+    ],
+)
+def test_teasers_are_not_the_main_text(html, expected):
+    assert text(html) == expected
+
+
 def test_templates_within_articles(spark):
     rng = random.Random(2)
     own = lambda i: f"<p>own text {i} {rng.random()} and {rng.random()} and {rng.random()} and {rng.random()}</p>"
