@@ -29,8 +29,9 @@ WORDS, THRESHOLD = 5, 0.8
 #: At a similarity of 0.8, 32 bands of 4 hashes miss a pair once in 20 million times.
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
-#: Hashes that are compared before each look at the posterior probability, and the probability below which a pair is dropped.
-STEP, TOLERANCE = 16, 1e-6
+#: Hashes that are compared before each look at the posterior probability, and the probability below which a pair is dropped. All
+#: looks together lose a pair of similarity 0.8 with probability 1.1e-11, far less than the bands.
+STEP, TOLERANCE = 16, 1e-12
 #: Nodes of a block. Larger buckets are cut, so a task holds two blocks at most.
 BLOCK = 1024
 #: Nodes of a tile within a block, and columns of the tile's matrix.

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -143,3 +144,14 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: find(n) for n in root if find(n) != n}
     assert components(spark.createDataFrame([(1, 1)], "a long, b long")).collect() == []
+
+
+def test_pruning_loses_less_than_the_bands():
+    """Probability that a pair of similarity 0.8 fails at one of the looks, and that no band has it."""
+    left, lost = np.ones(1), 0.0
+    one = np.array([math.comb(jj.STEP, k) * 0.8**k * 0.2 ** (jj.STEP - k) for k in range(jj.STEP + 1)])
+    for least in jj.least_matches():
+        left = np.convolve(left, one)
+        lost += left[:least].sum()
+        left[:least] = 0
+    assert lost < 1e-3 * (1 - 0.8**jj.ROWS) ** jj.BANDS
