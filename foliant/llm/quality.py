@@ -27,18 +27,17 @@ class Bands:
     up_to: upper lengths in bytes of all bands but the last. low, high: the ratios that a document of each band may have; chunk_low,
     chunk_high: those that a chunk may have. The ratio of prose rises with the length, as a short text hardly repeats and pays for
     the frame; words with symbols or links between them repeat more than prose of their length.
-    chunk: bytes of a fixed chunk; the last one counts if it has at least `least` bytes or is the only one, with the band of its
-    own length.
+    chunk: bytes of a fixed chunk. The last one is the end of the text, and overlaps the one before, so that every byte is in a
+    chunk of that length.
     """
 
     level: int = 3
     up_to: tuple[int, ...] = (256, 512, 768, 1024, 1536, 2048, 3072, 4096, 6144, 8192, 16384, 65536)
     low: tuple[float, ...] = (1.05, 1.3, 1.35, 1.52, 1.62, 1.73, 1.78, 1.88, 1.95, 2.01, 2.05, 1.42, 1.42)
     high: tuple[float, ...] = (2.4, 1.86, 1.89, 1.98, 2.07, 2.13, 2.2, 2.26, 2.34, 2.37, 2.45, 4.2, 4.8)
-    chunk_low: tuple[float, ...] = (1.05, 1.05, 1.2, 1.2, 1.66, 1.75, 1.83, 1.92, 1.42, 1.42, 1.42, 1.42, 1.42)
-    chunk_high: tuple[float, ...] = (2.4, 2.4, 2.7, 2.7, 2.08, 2.1, 2.21, 2.28, 3.6, 3.6, 3.6, 4.2, 4.8)
+    chunk_low: tuple[float, ...] = (1.05, 1.05, 1.2, 1.2, 1.38, 1.38, 1.38, 1.93, 1.42, 1.42, 1.42, 1.42, 1.42)
+    chunk_high: tuple[float, ...] = (2.4, 2.4, 2.7, 2.7, 3.2, 3.2, 3.2, 2.28, 3.6, 3.6, 3.6, 4.2, 4.8)
     chunk: int = 4096
-    least: int = 1024
 
     def verdict(self, raw: bytes, packed: zstandard.ZstdCompressor) -> tuple[float, float, float, bool]:
         """Ratio of the whole, least and largest ratio of a chunk, and whether all lie within their bands."""
@@ -54,8 +53,8 @@ class Bands:
         return whole, low, high, good
 
     def chunks(self, raw: bytes) -> list[bytes]:
-        parts = [raw[at : at + self.chunk] for at in range(0, len(raw), self.chunk)]
-        return [x for x in parts if len(x) >= self.least or len(parts) == 1]
+        starts = [*range(0, len(raw) - self.chunk, self.chunk), max(0, len(raw) - self.chunk)]
+        return [raw[at : at + self.chunk] for at in starts]
 
     @staticmethod
     def ratio(raw: bytes, packed: zstandard.ZstdCompressor) -> float:

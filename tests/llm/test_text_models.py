@@ -199,3 +199,16 @@ def test_bands_tell_links_and_symbols_from_prose(make):
         assert not any(kept[i] for i in range(20, 40))
     few = quality.Bands.fit([], (512, 1024))
     assert (few.low, few.high) == (quality.WIDE.low[:3], quality.WIDE.high[:3]) == (few.chunk_low, few.chunk_high)
+
+
+def test_the_end_of_a_text_is_judged():
+    rng = random.Random(8)
+    noise = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(900))
+    raw = "".join(rng.choice(["river ", "stone ", "over ", "cloud ", "seven "]) for _ in range(900)).encode()[:4096]
+    packed, bands = zstandard.ZstdCompressor(level=3), quality.Bands()
+    tail = raw + b"same " * 180
+    for text in (raw + noise.encode(), tail, tail * 3):
+        parts = bands.chunks(text)
+        assert {len(p) for p in parts} == {4096} and text.startswith(parts[0]) and text.endswith(parts[-1]) and len(parts) == -(-len(text) // 4096)
+    assert bands.chunks(raw) == [raw]
+    assert bands.verdict(tail, packed)[2] == max(bands.ratio(tail[:4096], packed), bands.ratio(tail[-4096:], packed)) > bands.verdict(raw, packed)[0]
