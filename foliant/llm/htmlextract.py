@@ -1,7 +1,8 @@
 """HTML extraction: the main text of pages, after templates that a site repeats are removed.
 
-Element subtrees are hashed and counted for each host in Spark; a subtree that many different pages of its host have is a template
-and is deleted. Elements that are no article by their tag, role or class go as well, recurring or not.
+The subtrees of all block elements of a page are hashed, bottom-up, and counted for each host in Spark; a subtree that many
+different pages of its host have is a template and is deleted. What remains goes through a second rule: where a page marks up its
+article, the rest of it goes, and so do elements that are no article by their tag, role or class, recurring or not.
 """
 
 from __future__ import annotations
@@ -9,12 +10,13 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..session import spread
 from .shared import hash128, map_arrow, workspace, written
@@ -46,11 +48,14 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 TEXT, OPEN, CLOSE = 0, 1, 2
+#: Elements whose content isn't shown.
+UNSEEN = RAW | {"head"}
+PARAGRAPHS = FLOW - LISTS
 #: Kinds of subtrees: containers; whole lists and tables within an article; paragraphs and the like outside and inside of articles.
 PAGE, BOX, LIST, LOOSE, PROSE = 0, 1, 2, 3, 4
 #: By kind: of how many different pages of the host a template is, and for paragraphs of which share of those of the host or a section.
-LEAST = {BOX: 5, LIST: 20, LOOSE: 5, PROSE: 20}
-SHARE = {LOOSE: 0.1, PROSE: 0.8}
+LEAST = {BOX: 3, LIST: 20, LOOSE: 5, PROSE: 20}
+SHARE = {LOOSE: 0.5, PROSE: 0.8}
 
 
 class Page:
@@ -92,6 +97,8 @@ class Page:
         self.values.append(value)
 
     def _start(self, name: str, attributes: str) -> None:
+        if name in BLOCK and name != "head" and self.open["head"]:
+            self._end_open(("head",), ())
         if name in BLOCK and self.open["p"]:
             self._end_open(("p",), BLOCK)
         if name in NESTED and any(self.open[x] for x in SAME.get(name, (name,))):
@@ -168,18 +175,24 @@ class Page:
         return []
 
     def hashes(self) -> dict[int, tuple[int, int]]:
-        """By the place where an element starts: a hash of it with all that it holds, names and texts, white space aside, without
-        attributes, and the number of letters of its text. One pass."""
+        """By the place where an element starts: a hash of it with all that it holds and shows, names and texts, white space aside,
+        without attributes, and the number of letters of its text. -1 stands for the whole page. One pass, bottom-up: an element's
+        hash goes into that of the one around it."""
         out: dict[int, tuple[int, int]] = {}
         ends = {start: stop for _, _, start, stop in self.nodes}
-        stack = [[-1, blake2b(digest_size=8), 0]]
+        stack, unseen = [[-1, blake2b(digest_size=8), 0]], 0
         for i, (kind, value) in enumerate(zip(self.kinds, self.values)):
+            if i < unseen:
+                continue
             if kind == TEXT:
                 words = value.split()
                 stack[-1][1].update(f"{TEXT}{' '.join(words)}\n".encode("utf-8", "replace"))
                 stack[-1][2] += sum(map(len, words))
                 continue
             if kind == OPEN:
+                if value in UNSEEN:
+                    unseen = ends[i]
+                    continue
                 stack.append([i, blake2b(f"{OPEN}{value}\n".encode("utf-8", "replace"), digest_size=8), 0])
             if kind == CLOSE or ends[i] == i + 1:
                 start, digest, letters = stack.pop()
@@ -187,6 +200,7 @@ class Page:
                 out[start] = int.from_bytes(raw, "big", signed=True), letters
                 stack[-1][1].update(raw)
                 stack[-1][2] += letters
+        out[-1] = 0, stack[0][2]
         return out
 
     def text(self, regions: list[tuple[int, int]], without: list[tuple[int, int]]) -> str:
@@ -247,63 +261,68 @@ def is_around(name: str, attributes: str, inside: bool) -> bool:
 class Content:
     """What of a page may be main text: its regions, what is cut out of them by name, and the subtrees that could be templates.
 
-    candidates: node and kind of each subtree that could change the text if it were deleted: those within the regions, and those
-    that hold a region. What else lies outside of the regions is dropped in any case. A subtree with more than two thirds of the
-    page's text is the page itself, not a template.
+    candidates: node and kind of each block element that is shown, wherever it stands. names: whether the second rule holds; without
+    it the whole page is the region, and nothing but what isn't shown is cut.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, names: bool = True):
         self.page = page = Page(source)
-        main = page.articles()
-        self.regions = [(page.nodes[n][2], page.nodes[n][3]) for n in main] or [(0, len(page.kinds))]
+        self.main = page.articles() if names else []
+        self.regions = [(page.nodes[n][2], page.nodes[n][3]) for n in self.main] or [(0, len(page.kinds))]
         self.cut: list[tuple[int, int]] = []
         self.candidates: list[tuple[int, int]] = []
-        r, end = 0, -1
+        chosen = set(self.main)
+        r, end, unseen = 0, -1, -1
         for n, (name, attributes, start, stop) in enumerate(page.nodes):
             while r < len(self.regions) and self.regions[r][1] <= start:
                 r += 1
-            if r == len(self.regions):
-                break
-            if start < end:
+            if start < unseen or n in chosen:
                 continue
-            block = name in BLOCK and name not in ("html", "body", "head", "article", "main")
-            if start < self.regions[r][0]:
-                if block and stop > self.regions[r][0]:
-                    self.candidates.append((n, BOX))
-            elif n not in main and is_around(name, attributes, bool(main)):
+            inside = r < len(self.regions) and self.regions[r][0] <= start
+            if name in UNSEEN:
+                unseen = stop
+            elif name in BLOCK and name not in ("html", "body", "article", "main"):
+                prose = inside and bool(self.main)
+                self.candidates.append((n, (PROSE if prose else LOOSE) if name in PARAGRAPHS else LIST if prose and name in LISTS else BOX))
+            if inside and start >= end and (name in UNSEEN or names and is_around(name, attributes, bool(self.main))):
                 self.cut.append((start, stop))
                 end = stop
-            elif block and n not in main:
-                if name not in FLOW:
-                    kind = BOX
-                elif name in LISTS:
-                    kind = LIST if main else BOX
-                else:
-                    kind = PROSE if main else LOOSE
-                self.candidates.append((n, kind))
-
-    def subtrees(self) -> list[tuple[int, int, int, int]]:
-        """Kind, hash, start and stop of the candidates with text."""
+
+    def subtrees(self) -> list[tuple[int, int, int, int, int]]:
+        """Kind, hash, start, stop and number of letters of the candidates with text. What has more than two thirds of the text of
+        the regions isn't among them, for it is the text itself; what lies outside of the regions is, however large."""
         if not self.candidates:
             return []
         found, nodes = self.page.hashes(), self.page.nodes
-        most = 2 * sum(len("".join(v.split())) for start, stop in self.regions for k, v in zip(self.page.kinds[start:stop], self.page.values[start:stop]) if k == TEXT)
-        most -= 2 * sum(found[start][1] for start, _ in self.cut)
-        out = []
+        most = 2 * (sum(found[nodes[n][2]][1] for n in self.main) if self.main else found[-1][1])
+        most -= 2 * sum(found[start][1] for start, _ in self.cut if start in found)
+        out, r = [], 0
         for n, kind in self.candidates:
             _, _, start, stop = nodes[n]
+            while r < len(self.regions) and self.regions[r][1] <= start:
+                r += 1
             h, letters = found[start]
-            if 0 < 3 * letters <= most:
-                out.append((kind, h, start, stop))
+            outside = r == len(self.regions) or stop <= self.regions[r][0]
+            if letters and (outside or 3 * letters <= most):
+                out.append((kind, h, start, stop, letters))
         return out
 
     def text(self, templates: set[int]) -> str:
-        """templates: hashes of subtrees to delete. A page of which they would leave nothing stays as it is."""
+        """The text that is left after the templates, given by their hashes, are deleted and the second rule is applied. Where that is
+        nothing, the page is a copy of others: the largest subtree of its text counts as its own and stays whole."""
         if templates:
-            cut = [(start, stop) for _, h, start, stop in self.subtrees() if h in templates]
-            if cut and (text := self.page.text(self.regions, _outer(sorted([*self.cut, *cut])))):
+            found = [x for x in self.subtrees() if x[1] in templates]
+            if text := self._without(found):
                 return text
-        return self.page.text(self.regions, self.cut)
+            within = [x for x in found if any(start <= x[2] < stop for start, stop in self.regions)]
+            if within:
+                _, _, start, stop, _ = max(within, key=lambda x: x[4])
+                if text := self._without([x for x in found if x[3] <= start or x[2] >= stop]):
+                    return text
+        return self._without([])
+
+    def _without(self, found: list[tuple[int, int, int, int, int]]) -> str:
+        return self.page.text(self.regions, _outer(sorted([*self.cut, *(x[2:4] for x in found)])))
 
 
 def _outer(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -330,70 +349,81 @@ def section(url: Column) -> Column:
 KEY = ("host", "section", "h1", "h2")
 
 
-def subtrees(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """KEY of the page, kind and hash of each of its subtrees that could be a template, and a hash of the page's whole text. A row of
-    the kind PAGE stands for the page itself."""
-    for batch in source:
-        at, kinds, hashes, pages = [], [], [], []
-        for i, value in enumerate(batch["html"]):
-            content = Content(value.as_py() or "")
-            page = int.from_bytes(blake2b(content.text(set()).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-            for kind, h in {(PAGE, 0), *(x[:2] for x in content.subtrees())}:
-                at.append(i)
-                kinds.append(kind)
-                hashes.append(h)
-                pages.append(page)
-        rows = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch[c].take(rows) for c in KEY), pa.array(kinds, pa.int32()), pa.array(hashes, pa.int64()), pa.array(pages, pa.int64())], [*KEY, "kind", "subtree", "page"])
+def subtrees(names: bool):
+    """KEY of the page, kind and hash of each of its subtrees that could be a template, and a hash of the page's text by the second
+    rule alone. A row of the kind PAGE stands for the page itself."""
 
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            at, kinds, hashes, pages = [], [], [], []
+            for i, value in enumerate(batch["html"]):
+                content = Content(value.as_py() or "", names)
+                page = int.from_bytes(blake2b(content.text(set()).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+                for kind, h in {(PAGE, 0), *(x[:2] for x in content.subtrees())}:
+                    at.append(i)
+                    kinds.append(kind)
+                    hashes.append(h)
+                    pages.append(page)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(rows) for c in KEY), pa.array(kinds, pa.int32()), pa.array(hashes, pa.int64()), pa.array(pages, pa.int64())], [*KEY, "kind", "subtree", "page"])
 
-def templates(pages: DataFrame, least: int) -> DataFrame:
-    """KEY, templates: for each page with any, the hashes of its subtrees that are templates.
+    return run
+
+
+def templates(pages: DataFrame, least: Mapping[int, int] = LEAST, names: bool = True) -> DataFrame:
+    """KEY, templates: for each page (KEY, html) with any, the hashes of its subtrees that are templates.
 
     Containers, and whole lists and tables, are templates by the number of different texts of the host that have them, however
     large the host is. Paragraphs that articles share are told from templates by their share of the host or of a section of it.
     Copies of a page count once, else the text that they share would look like a template. A page's list is no longer than the page.
     """
     spark = pages.sparkSession
-    found = written(map_arrow(spread(pages.select("html", *KEY)), subtrees, "host string, section string, h1 long, h2 long, kind int, subtree long, page long"), workspace(spark, "subtrees"))
-    both = F.array_distinct(F.array(F.struct("host", F.lit(None).cast("string").alias("section")), F.struct("host", "section")))
-    whole = F.array(F.struct("host", F.lit(None).cast("string").alias("section")))
-    scope = F.to_json(F.col("scope")).alias("scope")
-    scoped = found.where(F.col("kind") != PAGE).withColumn("scope", F.explode(F.when(F.col("kind").isin(*SHARE), both).otherwise(whole))).withColumn("scope", scope)
+    found = written(map_arrow(spread(pages.select("html", *KEY)), subtrees(names), "host long, section long, h1 long, h2 long, kind int, subtree long, page long"), workspace(spark, "subtrees"))
+    whole, part = F.array("host"), F.array("host", F.xxhash64("host", "section"))
+    scope = F.explode(F.when(F.col("kind").isin(PAGE, *SHARE), part).otherwise(whole)).alias("scope")
+    scoped = found.select(scope, "kind", "subtree", "page", *KEY)
     by = ["scope", "kind", "subtree"]
-    number = F.create_map(*[F.lit(x) for kind, n in LEAST.items() for x in (kind, least * n // LEAST[BOX])])[F.col("kind")]
-    counts = scoped.select(*by, "page").distinct().groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= number)
-    counts = written(counts, workspace(spark, "recurring"))
-    sizes = found.where(F.col("kind") == PAGE).select("host", "section", "page").select(F.explode(both).alias("scope"), "page").select(scope, "page").distinct()
-    sizes = written(sizes.groupBy("scope").agg(F.count("*").alias("pages")), workspace(spark, "sizes"))
+    number = F.create_map(*[F.lit(x) for kind in LEAST for x in (kind, least.get(kind, LEAST[kind]))])[F.col("kind")]
+    counts = scoped.select(*by, "page").distinct().groupBy(*by).agg(F.count("*").alias("n"))
+    counts = written(counts.where((F.col("kind") == PAGE) | (F.col("n") >= number)), workspace(spark, "recurring"))
+    sizes = counts.where(F.col("kind") == PAGE).select("scope", F.col("n").alias("pages"))
     share = F.create_map(*[F.lit(x) for kind, n in SHARE.items() for x in (kind, n)])[F.col("kind")]
     shared = counts.where(F.col("kind").isin(*SHARE)).join(sizes, "scope").where(F.col("n") >= share * F.col("pages"))
-    many = counts.where(~F.col("kind").isin(*SHARE)).select(*by).union(shared.select(*by))
+    many = counts.where(~F.col("kind").isin(PAGE, *SHARE)).select(*by).union(shared.select(*by))
     many = written(many, workspace(spark, "recurring"))
     return scoped.join(many, by).groupBy(*KEY).agg(F.collect_set("subtree").alias("templates"))
 
 
-def extract(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in source:
-        texts = []
-        for value, found in zip(batch["html"], batch["templates"]):
-            texts.append(Content(value.as_py() or "").text(set(found.values.to_pylist()) if found.is_valid else set()))
-        text = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays([batch["id"], batch["url"], text, pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
+def extract(names: bool):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            texts = []
+            for value, found in zip(batch["html"], batch["templates"]):
+                texts.append(Content(value.as_py() or "", names).text(set(found.values.to_pylist()) if found.is_valid else set()))
+            text = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["url"], text, pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
+    return run
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 5) -> DataFrame:
+
+def keyed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """id, url, html and KEY: hashes of host and section, and two of the html."""
+    html, url = F.col(html_col).cast("string"), F.col(url_col)
+    return pages.select(F.col(id_col).alias("id"), url.alias("url"), html.alias("html"), F.xxhash64(host(url)).alias("host"), F.xxhash64(section(url)).alias("section"), *hash128(html))
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: Mapping[int, int] = LEAST, names: bool = True) -> DataFrame:
     """id_col, url_col, text, n_chars for each row of pages.
 
-    least: a container is a template if so many different pages of the host have it; LEAST and SHARE say what holds for lists and
-    paragraphs, whose numbers go with it. Null or empty html gives an empty text;
+    least: by kind (BOX, LIST, LOOSE, PROSE), of how many different pages of its host a template is. names: whether the second rule
+    follows; without it the counts alone decide. Null or empty html gives an empty text;
     pages with a null url count as one host. Malformed html is read as browsers do, roughly: an end tag without a start is passed
-    over, what is open at the end is closed, a tag that the page's end cuts off is dropped. Ids may be null or repeated; an empty table gives no rows. Other columns aren't read.
+    over, what is open at the end is closed, a tag that the page's end cuts off is dropped. Ids may be null or repeated; rows with
+    the same html on one host count once. An empty table gives no rows. Other columns aren't read, whatever their names.
     """
-    html, url = F.col(html_col).cast("string"), F.col(url_col)
-    rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), html.alias("html"), host(url).alias("host"), section(url).alias("section"), *hash128(html))
-    found = written(templates(rows, least), workspace(pages.sparkSession, "templates"))
+    rows = keyed(pages, id_col, url_col, html_col)
+    found = written(templates(rows, least, names), workspace(pages.sparkSession, "templates"))
     both = spread(rows).join(found, list(KEY), "left").select("id", "url", "html", "templates")
-    kinds = dict(rows.dtypes)
-    out = map_arrow(both, extract, f"id {kinds['id']}, url {kinds['url']}, text string, n_chars long")
+    kinds = {f.name: f.dataType for f in rows.schema}
+    out = map_arrow(both, extract(names), StructType([StructField("id", kinds["id"]), StructField("url", kinds["url"]), StructField("text", StringType()), StructField("n_chars", LongType())]))
     return out.toDF(id_col, url_col, "text", "n_chars")

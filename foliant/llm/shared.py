@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of the corpus contracts, as the inside of a character class.
 SPACE = r"\x20\x09-\x0D"
@@ -121,7 +122,7 @@ def batch_of(column: Column, cuts: list[int]) -> Column:
     return sum(((column > c).cast("int") for c in cuts), F.lit(0))
 
 
-def map_arrow(df: DataFrame, run, schema: str, most: str = "16m") -> DataFrame:
+def map_arrow(df: DataFrame, run, schema: str | StructType, most: str = "16m") -> DataFrame:
     """mapInArrow with batches of bounded bytes: by rows alone, 10,000 long texts could be one batch. A setting of the session's own stays."""
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:

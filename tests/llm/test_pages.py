@@ -1,5 +1,7 @@
 import random
+import re
 from hashlib import sha1
+from urllib.parse import urlsplit
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +57,17 @@ def test_deep_and_long_pages():
     assert len(text("<article>" + "<p>word" * 50_000 + "</article>").split()) == 50_000
 
 
+def test_deep_pages_hash_in_one_pass():
+    import time
+
+    for html in ("<div>" * 20_000 + "x" + "</div>" * 20_000, "<article>" + "<div>word" * 20_000 + "</article>"):
+        content = htmlextract.Content(html)
+        before = time.process_time()
+        found = content.subtrees()
+        assert time.process_time() - before < 2
+        assert all(letters for *_, letters in found)
+
+
 def test_templates_of_a_host(spark):
     rng = random.Random(1)
     own = lambda i: f"<p>own text {i} {rng.random()}</p>"
@@ -145,6 +158,7 @@ def test_a_damaged_archive_is_an_error():
         ("<main><nav>n</nav><article>body</article></main>", "body"),
         ("<main></main><article>body</article>", "body"),
         ("<div class='with-sidebar'><article>body</article></div>", "body"),
+        ("<html><head><title>t</title><body><p>head never closed</p>", "head never closed"),
     ],
 )
 def test_teasers_are_not_the_main_text(html, expected):
@@ -172,3 +186,71 @@ def test_templates_of_a_large_host(spark):
     found = {r["page_id"]: r["text"] for r in htmlextract.main_text(pages(spark, rows)).collect()}
     assert not any("Latest" in t for t in found.values()) and all(f"own text {i} " in found[i] for i in range(150))
     assert all("copied" in found[1000 + i] for i in range(9))
+
+
+def scrambled(rng, i, parts):
+    """A page without any tag or class that tells what it is."""
+    name = lambda: f" class='{''.join(rng.choice('abcdefghij') for _ in range(6))}'"
+    box = lambda x: f"<div{name()}>{x}</div>"
+    return f"<html><body{name()}>{''.join(map(box, parts))}<script>track({i})</script></body></html>"
+
+
+def scrambled_site(seed, n):
+    """(page_id, url, html) and the articles of a host with three layouts, in which a few pages share a passage and one is copied."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("aeiounrst") for _ in range(rng.randint(2, 8)))
+    text = lambda k: " ".join(word() for _ in range(k))
+    layouts = [("".join(f"<p>{text(2)}</p>" for _ in range(5)), text(9), f"<ul><li>{text(2)}<li>{text(3)}</ul>", text(12)) for _ in range(3)]
+    shared, copied = text(20), [text(30), text(40)]
+    rows, articles = [], {}
+    for i in range(n):
+        own = copied if i % 17 == 0 else [text(rng.randint(10, 40)) for _ in range(rng.randint(2, 5))]
+        if i % 13 == 5:
+            own = [*own, shared]
+        head, ad, side, foot = rng.choice(layouts)
+        body = "".join(f"<p>{x}</p>" for x in own)
+        rows.append((i, f"http://s{seed}.org/{i}", scrambled(rng, i, [head, ad, body, side, foot])))
+        articles[i] = " ".join(own)
+    return rows, articles
+
+
+def test_articles_without_any_telling_name(spark):
+    rows, articles = scrambled_site(1, 120)
+    for names in (True, False):
+        found = {r["page_id"]: r["text"] for r in htmlextract.main_text(pages(spark, rows), names=names).collect()}
+        assert found == articles
+
+
+def recurring(rows, names=True):
+    """Templates of each host by hand: {host: hashes}, and by page the hashes that it has."""
+    by, sizes, own, verdicts = {}, {}, {}, {}
+    for i, url, html in rows:
+        content = htmlextract.Content(html or "", names)
+        host = urlsplit(url).hostname
+        first = re.match(r"https?://[^/]+/([^/?#]+)/", url)
+        scopes = [host, (host, first[1] if first else "")]
+        key = content.text(set())
+        own[i] = scopes, [x[:2] for x in content.subtrees()]
+        for scope in scopes:
+            sizes.setdefault(scope, set()).add(key)
+            for x in own[i][1]:
+                by.setdefault((scope, *x), set()).add(key)
+    for i, (scopes, found) in own.items():
+        verdicts[i] = {
+            h for kind, h in found for scope in (scopes if kind in htmlextract.SHARE else scopes[:1])
+            if len(by[scope, kind, h]) >= htmlextract.LEAST[kind] and len(by[scope, kind, h]) >= htmlextract.SHARE.get(kind, 0) * len(sizes[scope])
+        }
+    return verdicts
+
+
+def test_recurrence_by_brute_force(spark, sf_dir):
+    """On real pages and on a scrambled host: which subtrees are deleted, and the text that is left, page by page."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet").select("page_id", "url", "html").collect()]
+    rows += [(10**6 + i, u, h) for i, u, h in scrambled_site(2, 60)[0]]
+    expected = recurring(rows)
+    keys = htmlextract.keyed(pages(spark, rows))
+    found = htmlextract.templates(keys, htmlextract.LEAST).join(keys, list(htmlextract.KEY)).select("id", "templates").collect()
+    assert {r["id"]: set(r["templates"]) for r in found} == {i: v for i, v in expected.items() if v}
+    assert sum(1 for i, v in expected.items() if v and i < 10**6) > 0
+    texts = {r["page_id"]: r["text"] for r in htmlextract.main_text(pages(spark, rows)).collect()}
+    assert texts == {i: htmlextract.Content(h).text(expected[i]) for i, _, h in rows}
