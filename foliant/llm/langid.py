@@ -15,15 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..session import spread
 from .shared import map_arrow, workspace, written
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters and of characters that are neither digits nor letters but count as numbers, such as fractions.
+RUNS = re.compile(r"[^\W\d_]+")
 #: Mark of a word's start in the vocabulary.
 START = "▁"
-#: Longest piece, and the longest word that is summed without rescaling: its probability stays in a double's range.
-LONGEST, UNSCALED = 16, 32
+#: Longest piece, and words from this length on are summed by logarithms: a shorter one's probability stays in a double's range.
+LONGEST, LONG = 16, 32
+#: Words that are summed together, and characters of long ones.
+TOGETHER, CHARACTERS = 4000, 100_000
 #: Probability of a character that no piece has, in all languages alike.
 UNKNOWN = 1e-7
 #: Words that a task remembers at most.
@@ -69,20 +73,36 @@ def pieces(path: str) -> Vocabulary:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    found = [p for i in range(model.get_piece_size()) if LETTERS.fullmatch((p := model.id_to_piece(i)).lstrip(START) or "x") and len(p) <= LONGEST]
+    found = [p for i in range(model.get_piece_size()) if ((p := model.id_to_piece(i)).lstrip(START) or "x").isalpha() and len(p) <= LONGEST]
     return Vocabulary({p: i + 1 for i, p in enumerate(dict.fromkeys(p for p in found if p.lower() == p))})
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, lower-cased."""
-    return LETTERS.findall(text.lower())
+    found = RUNS.findall(text.lower())
+    if found and not "".join(found).isalpha():
+        return "".join([c if c.isalpha() else " " for run in found for c in (*run, " ")]).split()
+    return found
+
+
+def parted(words: list[str]) -> Iterator[slice]:
+    """Slices of words, sorted by length, that are summed together: either all shorter than LONG, or of bounded size, or one word."""
+    at = 0
+    while at < len(words):
+        to = at + 1
+        while to < len(words) and (to - at < TOGETHER if len(words[to]) < LONG else len(words[at]) >= LONG and (to - at + 1) * len(words[to]) <= CHARACTERS):
+            to += 1
+        yield slice(at, to)
+        at = to
 
 
 class Lattice:
-    """All cuts of a list of words of at most UNSCALED characters: an edge for each piece that lies in a word."""
+    """All cuts of a list of words: an edge for each piece that lies in a word. If any is of LONG characters or more, all sums are
+    kept as logarithms, else as they are."""
 
     def __init__(self, words: list[str], vocabulary: Vocabulary):
         self.n, self.sizes = len(words), np.array([len(w) + 1 for w in words], np.int64)
+        self.long = int(self.sizes.max(initial=0)) > LONG
         chars = codepoints(START + START.join(words)) if words else np.zeros(0, np.uint32)
         word = np.repeat(np.arange(self.n), self.sizes)
         ends = np.cumsum(self.sizes)
@@ -109,57 +129,47 @@ class Lattice:
         self.end = self.start + np.repeat([f[2] for f in found], [len(f[0]) for f in found]).astype(np.int64)
         self.piece = np.concatenate([f[1] for f in found] or [at])
 
-    def _sweep(self, p: np.ndarray, at: np.ndarray, to: np.ndarray, state: np.ndarray, order: range) -> np.ndarray:
+    def _sweep(self, p: np.ndarray, at: np.ndarray, to: np.ndarray, first: np.ndarray, order: range) -> np.ndarray:
+        """[word, position, language]: from 1 at the positions `first`, the sum over the ways to each position."""
+        state = np.full((self.n, int(self.sizes.max(initial=0)) + 1, p.shape[1]), -np.inf if self.long else 0.0)
+        state[np.arange(self.n), first] = 0 if self.long else 1
         by = np.lexsort((self.of, to))
         bounds = np.searchsorted(to[by], np.arange(state.shape[1] + 1))
         for x in order:
             mine = by[bounds[x] : bounds[x + 1]]
             if len(mine):
                 of = self.of[mine]
-                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                state[of[first], x] += np.add.reduceat(state[of, at[mine]] * p[self.piece[mine]], first, axis=0)
+                cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                before, piece = state[of, at[mine]], p[self.piece[mine]]
+                if self.long:
+                    state[of[cuts], x] = np.logaddexp.reduceat(before + piece, cuts, axis=0)
+                else:
+                    state[of[cuts], x] = np.add.reduceat(before * piece, cuts, axis=0)
         return state
 
     def forward(self, p: np.ndarray) -> np.ndarray:
-        """[word, position, language]: the sum over the cuts of what precedes the position. p: [piece, language]."""
-        width = int(self.sizes.max(initial=0)) + 1
-        state = np.zeros((self.n, width, p.shape[1]))
-        state[:, 0] = 1
-        return self._sweep(p, self.start, self.end, state, range(1, width))
+        """The sum over the cuts of what precedes a position. p: [piece, language]; logarithms where the lattice is long."""
+        return self._sweep(p, self.start, self.end, np.zeros(self.n, np.int64), range(1, int(self.sizes.max(initial=0)) + 1))
 
     def backward(self, p: np.ndarray) -> np.ndarray:
-        width = int(self.sizes.max(initial=0)) + 1
-        state = np.zeros((self.n, width, p.shape[1]))
-        state[np.arange(self.n), self.sizes] = 1
-        return self._sweep(p, self.end, self.start, state, range(width - 2, -1, -1))
+        return self._sweep(p, self.end, self.start, self.sizes, range(int(self.sizes.max(initial=0)) - 1, -1, -1))
 
     def log_probabilities(self, p: np.ndarray) -> np.ndarray:
         """[word, language]"""
-        return np.log(self.forward(p)[np.arange(self.n), self.sizes])
+        whole = self.forward(np.log(p) if self.long else p)[np.arange(self.n), self.sizes]
+        return whole if self.long else np.log(whole)
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece, for one language, where word i stands counts[i] times."""
         p = p.reshape(-1, 1)
-        before, after = self.forward(p)[..., 0], self.backward(p)[..., 0]
+        q = np.log(p) if self.long else p
+        before, after = self.forward(q)[..., 0], self.backward(q)[..., 0]
         whole = before[np.arange(self.n), self.sizes]
-        use = before[self.of, self.start] * p[self.piece, 0] * after[self.of, self.end] * (counts / whole)[self.of]
-        return np.bincount(self.piece, use, len(p))
-
-
-def scaled_log_probability(word: str, vocabulary: Vocabulary, p: np.ndarray) -> np.ndarray:
-    """[language]: the same sum for a word of any length; the last LONGEST sums are kept, divided by their largest one."""
-    word = START + word
-    kept, log = [np.ones(p.shape[1])], np.zeros(p.shape[1])
-    for e in range(1, len(word) + 1):
-        total = np.zeros(p.shape[1])
-        for back in range(1, len(kept) + 1):
-            piece = vocabulary.get(word[e - back : e], 0)
-            if piece or back == 1:
-                total = total + kept[-back] * p[piece]
-        kept = [*kept[-LONGEST + 1 :], total]
-        top = np.maximum.reduce(kept)
-        kept, log = [x / top for x in kept], log + np.log(top)
-    return log + np.log(kept[-1])
+        if self.long:
+            share = np.exp(before[self.of, self.start] + q[self.piece, 0] + after[self.of, self.end] - whole[self.of])
+        else:
+            share = before[self.of, self.start] * q[self.piece, 0] * after[self.of, self.end] / whole[self.of]
+        return np.bincount(self.piece, share * counts[self.of], len(p))
 
 
 class Model:
@@ -172,14 +182,9 @@ class Model:
         if len(self.cache) > CACHE:
             self.cache.clear()
         vocabulary, cache = pieces(self.path), self.cache
-        new = [w for w in set(words) if w not in cache]
-        short = [w for w in new if len(w) < UNSCALED]
-        for i in range(0, len(short), 4000):
-            part = short[i : i + 4000]
-            cache.update(zip(part, Lattice(part, vocabulary).log_probabilities(self.p)))
-        for word in new:
-            if len(word) >= UNSCALED:
-                cache[word] = scaled_log_probability(word, vocabulary, self.p)
+        new = sorted({w for w in words if w not in cache}, key=len)
+        for some in parted(new):
+            cache.update(zip(new[some], Lattice(new[some], vocabulary).log_probabilities(self.p)))
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """Language and its posterior among all, given equal priors; the first by name where two are equal. Texts without a letter: und, 0."""
@@ -211,16 +216,14 @@ def expect(path: str, languages: list[str], p: np.ndarray):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, total = pieces(path), np.zeros_like(p)
         for batch in source:
-            by: dict[str, tuple[list[str], list[int]]] = {}
+            by: dict[str, list[tuple[str, int]]] = {}
             for lang, word, n in zip(*(batch[c].to_pylist() for c in ("lang", "word", "n"))):
-                if len(word) < UNSCALED:
-                    words, counts = by.setdefault(lang, ([], []))
-                    words.append(word)
-                    counts.append(n)
-            for lang, (words, counts) in by.items():
-                k = languages.index(lang)
-                for i in range(0, len(words), 4000):
-                    total[:, k] += Lattice(words[i : i + 4000], vocabulary).expected(p[:, k], np.array(counts[i : i + 4000], float))
+                by.setdefault(lang, []).append((word, n))
+            for lang, found in by.items():
+                found.sort(key=lambda x: len(x[0]))
+                words, counts, k = [x[0] for x in found], np.array([x[1] for x in found], float), languages.index(lang)
+                for some in parted(words):
+                    total[:, k] += Lattice(words[some], vocabulary).expected(p[:, k], counts[some])
         piece, k = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(piece, pa.int64()), pa.array(total[piece, k], pa.float64())], ["k", "piece", "n"])
 
@@ -228,8 +231,10 @@ def expect(path: str, languages: list[str], p: np.ndarray):
 
 
 def train(labelled: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4000, rounds: int = 3, prior: float = 0.05) -> Model:
-    """A model from rows with a language.
+    """A model from rows with a language; without any, one that knows no language.
 
+    Words of any length count. Null and empty texts add nothing, rows without a language aren't read further. A row that comes
+    twice counts twice; ids may be null, such rows are picked or left together. Other columns aren't read, whatever their names.
     sample_rows: rows of a language to learn from, about; a hash of the id picks them, their texts are read whole. The word
     counts stay distributed; only the expected uses of the pieces, at most one number for each piece and language, come to the
     driver in each of `rounds` rounds. prior: uses of each piece that are added to those expected.
@@ -260,8 +265,10 @@ def train(labelled: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred, score for each row of docs. Only these two columns are read, and only the text has a say.
 
-    A text that is null or has no letter gives `und` and the score 0, and so does each text where nothing could be learnt. An
-    empty table gives no rows. The model, of a size that vocabulary and languages bound, is broadcast.
+    A text that is null or has no letter (a character that Unicode calls one) gives `und` and the score 0, and so does each text
+    where nothing could be learnt. Rows with equal texts get the same language, rows that come twice stay two; ids may be null. An
+    empty table gives no rows. A single run of letters is held whole, with 8 bytes for each letter and language. The model, of a
+    size that vocabulary and languages bound, is broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.path, model.languages, model.p))
 
@@ -275,7 +282,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(spread(rows), run, f"id {dict(rows.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    schema = StructType([StructField("id", rows.schema["id"].dataType), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return map_arrow(spread(rows), run, schema).withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -106,17 +106,35 @@ def test_forward_sums_all_cuts():
     found = langid.Lattice(words, vocabulary).log_probabilities(p)
     for w, x in zip(words, found):
         assert x == pytest.approx(np.log(every_cut(w, vocabulary, p)))
-        assert langid.scaled_log_probability(w, vocabulary, p) == pytest.approx(x)
-    assert np.isfinite(langid.scaled_log_probability("ab" * 5000, vocabulary, p)).all()
+    for w in ["ab" * 5000, "nationtheqüeue" * 40, "n" * 32]:
+        lattice = langid.Lattice([w, "nation"], vocabulary)
+        assert lattice.long and np.isfinite(lattice.log_probabilities(p)).all()
+        assert lattice.log_probabilities(p)[1] == pytest.approx(found[2])
+    lattice = langid.Lattice(["nationtheq" * 3], vocabulary)
+    plain, uses = lattice.log_probabilities(p), lattice.expected(p[:, 0], np.array([3.0]))
+    lattice.long = True
+    assert lattice.log_probabilities(p) == pytest.approx(plain) and lattice.expected(p[:, 0], np.array([3.0])) == pytest.approx(uses)
+
+
+def test_words_are_parted_by_length():
+    words = sorted(["a" * n for n in range(1, 60)] + ["b" * 60_000, "c" * 60_000] + ["d"] * 9000, key=len)
+    parts = [words[s] for s in langid.parted(words)]
+    assert [w for p in parts for w in p] == words and list(langid.parted([])) == []
+    assert all(len(p) <= langid.TOGETHER and (len(p) == 1 or len(p[-1]) < langid.LONG or len(p[0]) >= langid.LONG and len(p) * len(p[-1]) <= langid.CHARACTERS) for p in parts)
+
+
+def test_words_are_letters():
+    assert langid.words_of("½ ² ① x½y Straße3 ωΧ_a ٣ Ⅷ") == ["x", "y", "straße", "ωχ", "a"]
 
 
 def test_expected_uses():
     """Each character of each word is covered by the pieces that are expected."""
     vocabulary = langid.pieces(PIECES)
     p = np.full(len(vocabulary) + 1, 1e-4)
-    uses = langid.Lattice(["nation", "the"], vocabulary).expected(p, np.array([2.0, 3.0]))
     lengths = np.array([1, *map(len, vocabulary)])
-    assert (uses * lengths).sum() == pytest.approx(2 * 7 + 3 * 4)
+    for word in ("nation", "nation" * 50):
+        uses = langid.Lattice([word, "the"], vocabulary).expected(p, np.array([2.0, 3.0]))
+        assert (uses * lengths).sum() == pytest.approx(2 * (len(word) + 1) + 3 * 4)
 
 
 def test_language(spark, sf_dir):
@@ -135,10 +153,24 @@ def test_language_of_odd_texts(make, odd, spark):
     found = langid.identify(make([(1, None), (2, "123 .."), (None, "straße"), (4, "word " * 3 + "w" * 3000)]), model).collect()
     assert [(r["doc_id"], r["lang_pred"]) for r in found] == [(1, "und"), (2, "und"), (None, "en"), (4, "en")] and found[0]["score"] == 0
     assert langid.identify(make([]), model).collect() == []
+    twice = langid.identify(make([(1, "½ ²"), (2, "①"), (3, "the river"), (3, "the river"), (None, "")]), model).collect()
+    assert sorted((r["doc_id"] or 0, r["lang_pred"], r["score"] == 0) for r in twice) == [(0, "und", True), (1, "und", True), (2, "und", True), (3, "en", False), (3, "en", False)]
     nothing = langid.train(make([]), PIECES)
     assert [r["lang_pred"] for r in langid.identify(make([(1, "text")]), nothing).collect()] == ["und"]
 
 
+def test_languages_without_spaces(spark):
+    """Each word is a run of 60 characters, the two languages differ in how often they use them."""
+    rng = random.Random(3)
+    text = lambda weights: " ".join("".join(rng.choices("abdegiklmnoprstu", weights, k=60)) for _ in range(4))
+    rising = list(range(1, 17))
+    rows = [(i, text(rising if i % 2 else rising[::-1]), "aa" if i % 2 else "bb") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df.where("doc_id < 40"), PIECES)
+    found = langid.identify(df.where("doc_id >= 40"), model).collect()
+    assert len(found) == 40 and all(r["lang_pred"] == ("aa" if r["doc_id"] % 2 else "bb") for r in found)
+
+
 def counted(text):
     text = text or ""
     words = quality.WORD.findall(text)
