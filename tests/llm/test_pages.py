@@ -3,6 +3,7 @@ import re
 from hashlib import sha1
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,18 +133,49 @@ def test_archives_round_trip(spark, tmp_path):
     merged = warc.merge_index(runs).withColumn("part", F.spark_partition_id()).collect()
     keys = [(r["url_key"], r["timestamp"], r["id"] is None, r["id"] or 0) for r in merged]
     assert keys == sorted(keys) and len(merged) == len(rows)
+    assert sorted(map(tuple, (r[:-1] for r in merged)), key=repr) == sorted(map(tuple, found), key=repr)
     one = next(r for r in found if r["id"] == 502)
     content = open(one["run"].removeprefix("file:"), "rb").read()
     assert content[one["offset"] : one["offset"] + one["length"]].endswith(b"long long \r\n\r\n")
 
 
+def test_capture_histories(spark, tmp_path):
+    """Several captures of a URL come in the order of their times; records of rows that share an id, or have none, differ in theirs."""
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 2, None]), f"http://h.org/{i % 3}", f"{i % 4} " * 800, f"2020-0{rng.randint(1, 9)}-03T00:00:0{i % 10}Z") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, `at.time` string")
+    for name, table in (("text", df), ("time", df.withColumn("at.time", F.to_timestamp("`at.time`")))):
+        found = [r for r in warc.merge_index(warc.warc(table, date_col="at.time", path=str(tmp_path / name)), most=7).collect()]
+        keys = [(r["url_key"], r["timestamp"], r["id"] is None, r["id"] or 0) for r in found]
+        assert keys == sorted((warc.url_key(u), d, i is None, i or 0) for i, u, _, d in rows)
+        archives = {path: open(path.removeprefix("file:"), "rb").read() for path in {r["run"] for r in found}}
+        fields = [f for content in archives.values() for _, _, f, _ in warc.records(content)]
+        assert len({f["warc-record-id"] for f in fields}) == len(rows)
+        assert all(("warc-refers-to-target-uri" in f) == (f["warc-type"] == "revisit") for f in fields)
+
+
+def test_merge_holds_columns_only():
+    """Runs between two borders are merged in blocks of 5000 rows."""
+    names = [c.split()[0] for c in warc.CAPTURE.split(", ")]
+    rng = random.Random(7)
+    rows = []
+    for run in range(30):
+        rows += [{"url_key": k, "timestamp": "t", "id": i, "run": f"r{run}", "seq": n, **dict.fromkeys(names[5:])} for n, (k, i) in enumerate(sorted((f"k{rng.randint(0, 50)}", rng.randint(0, 9)) for _ in range(400)))]
+    whole = pa.Table.from_pylist(rows, pa.schema([(n, pa.int64() if n in ("id", "seq") else pa.string()) for n in names[:5]] + [(n, pa.string()) for n in names[5:]]))
+    out = list(warc.merge(iter(whole.to_batches(max_chunksize=700))))
+    assert [b.num_rows for b in out] == [5000, 5000, 2000]
+    got = [tuple(r[c] for c in warc.ORDER) for b in out for r in b.to_pylist()]
+    assert got == sorted(tuple(r[c] for c in warc.ORDER) for r in rows)
+    assert list(warc.merge(iter([]))) == []
+
+
 def test_warc_of_nothing(spark):
     assert warc.warc(pages(spark, [])).collect() == []
 
 
 def test_a_damaged_archive_is_an_error():
-    good = (warc.record(1, "http://a", warc.DATE, "hi", "d", 2, None, False) + "\r\n\r\n").encode()
-    assert [f["warc-record-id"] for _, _, f, _ in warc.records(good * 2)] == ["<urn:page:1>"] * 2
+    good = (warc.record("a/1", 1, "http://a", warc.DATE, "hi", "d", 2, False) + "\r\n\r\n").encode()
+    assert [f["page-id"] for _, _, f, _ in warc.records(good * 2)] == ["1"] * 2
     with pytest.raises(ValueError):
         list(warc.records(good[:-6]))
 
