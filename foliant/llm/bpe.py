@@ -19,9 +19,10 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..session import spread
-from .shared import map_arrow
+from .shared import column, map_arrow
 
 #: Words that a task remembers at most; beyond it, it starts afresh.
 CACHE = 400_000
@@ -235,7 +236,10 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     an empty table gives no rows. Only the two named columns are read. No shuffle; a task holds one Arrow batch and a
     bounded cache of words.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = dict(rows.dtypes)["id"]
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
-    return map_arrow(spread(rows), encoder(path, with_ids, with_text), schema).withColumnRenamed("id", id_col)
+    rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
+    schema = [rows.schema["id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+    if with_ids:
+        schema.append(StructField("ids", ArrayType(IntegerType())))
+    if with_text:
+        schema.append(StructField("decoded", StringType()))
+    return map_arrow(spread(rows), encoder(path, with_ids, with_text), StructType(schema)).withColumnRenamed("id", id_col)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runs import Runs
-from .shared import SPACE, batch_of, batches, id_order, workspace, written
+from .shared import SPACE, batch_of, batches, column, workspace, written
 
 
 def normalised(text):
@@ -15,9 +15,8 @@ def normalised(text):
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, order (the id, null after all others) and digest (32 bytes, SHA-256 of the normalised text) of each row."""
-    text = normalised(F.col(text_col).cast("string"))
-    return docs.select(F.col(id_col).alias("id"), id_order(F.col(id_col)).alias("order"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    """order (the id) and digest (32 bytes, SHA-256 of the normalised text) of each row."""
+    return docs.select(column(id_col).alias("order"), F.unhex(F.sha2(normalised(column(text_col).cast("string")), 256)).alias("digest"))
 
 
 def keyed(df: DataFrame) -> DataFrame:
@@ -28,15 +27,15 @@ def keyed(df: DataFrame) -> DataFrame:
 
 def add(index: Runs, new: DataFrame) -> None:
     """Puts the digests of new rows (order, digest) into the index. A digest that the index has keeps its row there;
-    of equal new ones, the smallest order is stored."""
+    of equal new ones, the smallest order is stored, and null only where there is no other."""
     index.add(keyed(new).groupBy("h1", "h2").agg(F.min("order").alias("keep_order")))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_batches: int = 4, fanout: int = 2) -> DataFrame:
     """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
-    Rows arrive in n_batches batches of ascending id, so the row that stays is the one with the smallest id. Null ids come after
-    all others, and a null text equals an empty one. Of rows with the same id and text all are kept or dropped alike. An empty
+    Rows arrive in n_batches batches of ascending id, so the row that stays is the one with the smallest id. Ids may be of any type
+    that can be sorted; texts sort by their bytes, so "10" is before "9". Null ids come after all others, and a null text equals an empty one. Of rows with the same id and text all are kept or dropped alike. An empty
     table gives no rows. Other columns of docs are not read, whatever their names.
     """
     spark, at = docs.sparkSession, workspace(docs.sparkSession, "exact")
@@ -49,11 +48,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = stored.groupBy("h1", "h2").agg(F.count("*").alias("group_size"))
     groups = index.all().join(sizes, ["h1", "h2"])
     groups = written(groups, f"{at}/groups")
-    last = (1 << 63) - 1
     return stored.join(groups, ["h1", "h2"]).select(
-        F.col("id").alias(id_col),
-        F.when(F.col("keep_order") < last, F.col("keep_order")).alias("keep_id"),
+        F.col("order").alias(id_col),
+        F.col("keep_order").alias("keep_id"),
         "group_size",
-        (F.col("order") == F.col("keep_order")).alias("kept"),
+        F.col("order").eqNullSafe(F.col("keep_order")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..session import spread
-from .shared import hash128, map_arrow, workspace, written
+from .shared import column, hash128, map_arrow, workspace, written
 
 # Names of elements and attributes in HTML, and usual names of what surrounds an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -408,8 +408,8 @@ def extract(names: bool):
 
 def keyed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, html and KEY: hashes of host and section, and two of the html."""
-    html, url = F.col(html_col).cast("string"), F.col(url_col)
-    return pages.select(F.col(id_col).alias("id"), url.alias("url"), html.alias("html"), F.xxhash64(host(url)).alias("host"), F.xxhash64(section(url)).alias("section"), *hash128(html))
+    html, url = column(html_col).cast("string"), column(url_col)
+    return pages.select(column(id_col).alias("id"), url.alias("url"), html.alias("html"), F.xxhash64(host(url)).alias("host"), F.xxhash64(section(url)).alias("section"), *hash128(html))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: Mapping[int, int] = LEAST, names: bool = True) -> DataFrame:

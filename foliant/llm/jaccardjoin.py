@@ -18,11 +18,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..session import spread
 from .components import components
-from .shared import SPACE, delete, id_order, map_arrow, workspace, written
+from .shared import SPACE, column, delete, map_arrow, placed, workspace, written
 
 WORD = re.compile(f"[^{SPACE}]+")
 WORDS, THRESHOLD = 5, 0.8
@@ -310,11 +311,12 @@ def _meeting(members: DataFrame, run, schema: str) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """order, row, class (order and row of the first of the class) and n_links for each row of docs; see jaccard_join()."""
     spark, at = docs.sparkSession, workspace(docs.sparkSession, "jaccard")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(id_order(F.col(id_col)).alias("order"), F.xxhash64(text).alias("row"), text.alias("text"))
-    sketches = written(map_arrow(spread(rows), sketch(words), "order long, row long, k1 long, k2 long, sig binary"), f"{at}/sketches")
+    text = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    rows = docs.select(column(id_col).alias("order"), F.xxhash64(text).alias("row"), text.alias("text"))
+    of_sketch = [*rows.schema.fields[:2], *(StructField(n, LongType()) for n in ("k1", "k2")), StructField("sig", BinaryType())]
+    sketches = written(map_arrow(spread(rows), sketch(words), StructType(of_sketch)), f"{at}/sketches")
     sets = sketches.where(F.col("k1").isNotNull()).groupBy("k1", "k2")
-    nodes = sets.agg(F.min(F.struct("order", "row")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    nodes = sets.agg(F.min(placed("order", "row")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), f"{at}/nodes")
 
     banded = map_arrow(nodes.select("node", "sig"), bands, "bucket_key long, band long, node long")
@@ -333,8 +335,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     whole = "bucket long, bi long, bj long, band long, block long, node long, copies long"
     near = written(_meeting(members, meet(False, threshold), whole), f"{at}/near")
 
-    wanted = nodes.join(near.select("node").distinct(), "node").select("node", "k1", "first.order", "first.row")
-    of = map_arrow(rows.join(wanted, ["order", "row"]).select("node", "k1", "text"), shingle_sets(words), "node long, shingles binary")
+    wanted = nodes.join(near.select("node").distinct(), "node").select("node", "k1", F.col("first.order").alias("of"), F.col("first.row").alias("which"))
+    texts = rows.join(wanted, F.col("order").eqNullSafe(F.col("of")) & (F.col("row") == F.col("which")))
+    of = map_arrow(texts.select("node", "k1", "text"), shingle_sets(words), "node long, shingles binary")
     linked = written(_meeting(near.join(of, "node"), meet(True, threshold), "node long, links long, root long"), f"{at}/links")
 
     roots = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -348,7 +351,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     for done in ("nodes", "buckets", "near", "links", "known"):  # nothing that is returned reads them
         delete(spark, f"{at}/{done}")
     out = sketches.select("order", "row", "k1", "k2").join(known, ["k1", "k2"], "left")
-    return out.select("order", "row", F.coalesce("class", F.struct("order", "row")).alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("order", "row", F.coalesce("class", placed("order", "row")).alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -356,21 +359,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Two rows are linked if the Jaccard similarity of their sets of `words` successive words is at least `threshold`; n_links is the
     number of other rows that a row is linked with, copies included. class_id is the smallest id among the rows that links connect
-    with it. A text of fewer words is one shingle; a null, empty or blank text has no links and is a class of its own. Null ids
-    come after all others. An empty table gives no rows. Only the two named columns are read.
+    with it. A text of fewer words is one shingle; a null, empty or blank text has no links and is a class of its own. Ids may be of
+    any type that can be sorted; texts sort by their bytes, so "10" is before "9". Null ids come after all others. An empty table gives no rows. Only the two named columns are read.
     """
-    last = (1 << 63) - 1
     out = classes(docs, id_col, text_col, words, threshold, block)
-    whole = lambda c: F.when(c < last, c)
-    return out.select(whole(F.col("order")).alias(id_col), whole(F.col("class.order")).alias("class_id"), "n_links")
+    return out.select(F.col("order").alias(id_col), F.col("class.order").alias("class_id"), "n_links")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, that come first in their class by id; of rows with the same id and text, one."""
+    """The rows of docs, all columns, that come first in their class by id; of rows with the same id and text, any one. Null ids and
+    texts, ids of other types and an empty table are dealt with as in jaccard_join(): each row without words is a class of its own,
+    but rows without words that share an id, or have none, stay as one for each text. Other columns may have any name and type."""
     found = classes(docs, id_col, text_col, words, threshold)
-    firsts = found.where((F.col("order") == F.col("class.order")) & (F.col("row") == F.col("class.row"))).select(F.col("order").alias("__order"), F.col("row").alias("__row")).distinct()
-    firsts = written(firsts, workspace(docs.sparkSession, "firsts"))
-    whole = docs.select(F.struct("*").alias("__doc"), id_order(F.col(id_col)).alias("__order"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__row"))
-    both = whole.join(firsts, ["__order", "__row"])
-    nth = F.row_number().over(Window.partitionBy("__order", "__row").orderBy(F.lit(0)))
-    return both.withColumn("__nth", nth).where("__nth = 1").select("__doc.*")
+    first = F.col("order").eqNullSafe(F.col("class.order")) & (F.col("row") == F.col("class.row"))
+    firsts = written(found.where(first).select("order", "row").distinct(), workspace(docs.sparkSession, "firsts"))
+    text = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    whole = docs.select(F.struct("*").alias("doc"), column(id_col).alias("of"), F.xxhash64(text).alias("which"))
+    both = whole.join(firsts, F.col("of").eqNullSafe(F.col("order")) & (F.col("which") == F.col("row")))
+    nth = F.row_number().over(Window.partitionBy("of", "which").orderBy(F.lit(0)))
+    return both.withColumn("nth", nth).where("nth = 1").select("doc.*")

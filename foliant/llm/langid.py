@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..session import spread
-from .shared import map_arrow, workspace, written
+from .shared import column, map_arrow, workspace, written
 
 #: Runs of letters and of characters that are neither digits nor letters but count as numbers, such as fractions.
 RUNS = re.compile(r"[^\W\d_]+")
@@ -240,7 +240,7 @@ def train(labelled: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     driver in each of `rounds` rounds. prior: uses of each piece that are added to those expected.
     """
     spark = labelled.sparkSession
-    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = labelled.where(column(lang_col).isNotNull()).select(column(id_col).cast("string").alias("id"), column(lang_col).cast("string").alias("lang"), column(text_col).cast("string").alias("text"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages, vocabulary = sorted(sizes), pieces(path)
     p = np.full((len(vocabulary) + 1, len(languages)), 1 / max(1, len(vocabulary)))
@@ -281,11 +281,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 found += own.predict(texts[i : i + 256])
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
     schema = StructType([StructField("id", rows.schema["id"].dataType), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return map_arrow(spread(rows), run, schema).withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id"):
     """Whether a row is never learnt from: crc32 of the id as text, modulo 5, is 0. A null id counts as an empty text, whose crc32 is 0."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
+    return F.crc32(F.coalesce(column(id_col).cast("string"), F.lit(""))) % 5 == 0

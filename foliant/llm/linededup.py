@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .runs import Runs
-from .shared import SPACE, batch_of, batches, hash128, id_order, map_arrow, workspace, written
+from .shared import SPACE, batch_of, batches, column, hash128, map_arrow, workspace, written
 
 #: A line whose key is shorter than this many code points is never dropped.
 LEAST = 10
@@ -24,8 +25,8 @@ def line_key(line: Column) -> Column:
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """order, row (a hash of the text, for rows that share an id), at (place of the line), h1, h2: of lines with a key long enough."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = docs.select(id_order(F.col(id_col)).alias("order"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
+    text = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    lines = docs.select(column(id_col).alias("order"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
     keys = lines.where(F.length("line") >= least).select("order", "row", "at", line_key(F.col("line")).alias("key"))
     return keys.where(F.length("key") >= least).select("order", "row", "at", *hash128(F.col("key")))
 
@@ -33,14 +34,14 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> Data
 def drops(docs: DataFrame, id_col: str, text_col: str, least: int, n_batches: int, fanout: int) -> DataFrame:
     """order, row and the places of the lines to drop, for each row that loses any."""
     spark, at = docs.sparkSession, workspace(docs.sparkSession, "lines")
-    ids = docs.select(id_order(F.col(id_col)).alias("order"))
-    cuts = batches(ids, "order", n_batches)
+    cuts = batches(docs.select(column(id_col).alias("order")), "order", n_batches)
     found = written(occurrences(docs, id_col, text_col, least).withColumn("batch", batch_of(F.col("order"), cuts)), f"{at}/lines", "batch")
     index = Runs(spark, f"{at}/index", fanout)
     for i in range(len(cuts) + 1):
         index.add(found.where(F.col("batch") == i).groupBy("h1", "h2").agg(F.min("order").alias("order")))
     # A key lies in one run, with the document that holds it first; that document keeps its lines of this key, all others lose theirs.
-    lost = found.drop("batch").join(index.all(), ["h1", "h2", "order"], "left_anti")
+    firsts = index.all().select("h1", "h2", F.col("order").alias("first"))
+    lost = found.drop("batch").join(firsts.withColumnsRenamed({"h1": "f1", "h2": "f2"}), (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & F.col("order").eqNullSafe(F.col("first")), "left_anti")
     return lost.groupBy("order", "row").agg(F.sort_array(F.collect_list("at")).alias("places"))
 
 
@@ -64,26 +65,29 @@ def rebuild(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rebuilt(docs: DataFrame, key: Column, id_col: str, text_col: str, least: int, n_batches: int, fanout: int) -> DataFrame:
     """key, kept_text, n_lines, n_dropped, kept_sha256 for each row of docs."""
-    lost = drops(docs, id_col, text_col, least, n_batches, fanout)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(key.alias("key"), id_order(F.col(id_col)).alias("order"), F.xxhash64(text).alias("row"), text.alias("text"))
-    both = rows.join(lost, ["order", "row"], "left").select("key", "text", "places")
-    return map_arrow(both, rebuild, f"key {rows.schema['key'].dataType.simpleString()}, kept_text string, n_lines long, n_dropped long, kept_sha256 string")
+    lost = drops(docs, id_col, text_col, least, n_batches, fanout).withColumnsRenamed({"order": "of", "row": "which"})
+    text = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    rows = docs.select(key.alias("key"), column(id_col).alias("order"), F.xxhash64(text).alias("row"), text.alias("text"))
+    both = rows.join(lost, F.col("order").eqNullSafe(F.col("of")) & (F.col("row") == F.col("which")), "left").select("key", "text", "places")
+    new = [StructField("kept_text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept_sha256", StringType())]
+    return map_arrow(both, rebuild, StructType([rows.schema["key"], *new]))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, n_batches: int = 4, fanout: int = 2) -> DataFrame:
     """id_col, kept_text, n_lines, n_dropped, kept_sha256 for each row of docs.
 
     A key of at least `least` code points that several documents hold stays in the document with the smallest id only, there with
-    all its lines. Null ids count as one document after all others, null texts as empty, which is one empty line. Rows that
+    all its lines. Ids may be of any type that can be sorted; texts sort by their bytes, so "10" is before "9". Null ids count as
+    one document after all others, null texts as empty, which is one empty line. Rows that
     share an id count as one document. A document that loses all its lines gets an empty text. An empty table gives no rows.
-    Only the two named columns are read, so others may have any name.
+    Only the two named columns are read, so others may have any name. A line may be of any length; a text is held whole.
     """
-    return _rebuilt(docs, F.col(id_col), id_col, text_col, least, n_batches, fanout).withColumnRenamed("key", id_col)
+    return _rebuilt(docs, column(id_col), id_col, text_col, least, n_batches, fanout).withColumnRenamed("key", id_col)
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, n_batches: int = 4, fanout: int = 2) -> DataFrame:
-    """All rows and columns of docs with the text that line_dedup() keeps."""
+    """All rows and columns of docs with the text that line_dedup() keeps, as a string and never null: ids, nulls, repeated rows and
+    an empty table are dealt with as there. The other columns travel with their row, whatever their names and types."""
     rest = [c for c in docs.columns if c != text_col]
-    out = _rebuilt(docs, F.struct(*rest), id_col, text_col, least, n_batches, fanout)
+    out = _rebuilt(docs, F.struct(*map(column, rest)), id_col, text_col, least, n_batches, fanout)
     return out.select(*[F.col("kept_text").alias(c) if c == text_col else F.col("key").getField(c).alias(c) for c in docs.columns])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import SPACE, workspace, written
+from .shared import SPACE, column, workspace, written
 
 #: A document is never taken more often than this.
 MOST = 3
@@ -68,7 +68,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     of their own. A source without words has the rate 0. An empty table gives no rows. Only the three named columns are read.
     """
     path = workspace(docs.sparkSession, "mix")
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"))
+    sized = docs.select(column(id_col).alias("id"), column(source_col).cast("string").alias("source"), words(column(text_col)).alias("size"))
     sized = written(sized, f"{path}/sized")
     shares = written(targets(sized, path, weights, most), f"{path}/targets").withColumnRenamed("source", "of")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
@@ -80,14 +80,15 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The rows of docs, all columns, each as often as mix_plan() says.
 
-    Rate and copies depend on a row's source and id alone, so the plan's join is on the few sources, not on the rows.
+    Rate and copies depend on a row's source and id alone, so the plan's join is on the few sources, not on the rows. Null ids,
+    sources and texts, repeated rows and an empty table are dealt with as in mix_plan(); a text without words is taken as its source
+    is. Other columns may have any name and type.
     """
     path = workspace(docs.sparkSession, "mixed")
-    sized = docs.select(F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"))
+    sized = docs.select(column(source_col).cast("string").alias("source"), words(column(text_col)).alias("size"))
     shares = written(targets(sized, path, weights, most), f"{path}/targets")
-    rates = shares.select(F.col("source").alias("__of"), F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0).alias("__rate"))
-    whole = docs.select(F.struct("*").alias("__row"))
-    key = lambda c: F.col("__row").getField(c)
-    out = whole.join(rates, key(source_col).cast("string").eqNullSafe(F.col("__of")))
-    copies = F.floor("__rate") + (uniform(key(id_col), seed) < F.col("__rate") - F.floor("__rate")).cast("long")
-    return out.withColumn("__n", copies).where("__n > 0").select("__row", F.explode(F.sequence(F.lit(1), "__n"))).select("__row.*")
+    rates = shares.select(F.col("source").alias("of"), F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0).alias("rate"))
+    whole = docs.select(F.struct("*").alias("row"), column(source_col).cast("string").alias("source"), column(id_col).alias("id"))
+    out = whole.join(rates, F.col("source").eqNullSafe(F.col("of")))
+    copies = F.floor("rate") + (uniform(F.col("id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
+    return out.withColumn("n", copies).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), "n"))).select("row.*")

@@ -11,9 +11,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from ..session import spread
-from .shared import SPACE, map_arrow
+from .shared import SPACE, column, map_arrow
 
 WORD = re.compile(f"[^{SPACE}]+")
 SYMBOLS = "#*$%&|<>"
@@ -131,7 +132,11 @@ def judge(bands: Bands):
     return run
 
 
-RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, least_chunk_ratio double, largest_chunk_ratio double"
+RESULT = [
+    *(StructField(n, LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+    *(StructField(n, BooleanType()) for n in ("base_failed", "kept")),
+    *(StructField(n, DoubleType()) for n in ("ratio", "least_chunk_ratio", "largest_chunk_ratio")),
+]
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands | None = None) -> DataFrame:
@@ -141,12 +146,14 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     document and all its chunks lie within the bands, WIDE unless others are given. A null text counts as empty: no words, ratio 0, failed. Ids may be null or
     repeated; an empty table gives no rows. Only the two named columns are read. No shuffle.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(spread(rows), judge(bands or WIDE), f"id {dict(rows.dtypes)['id']}, {RESULT}").withColumnRenamed("id", id_col)
+    rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
+    return map_arrow(spread(rows), judge(bands or WIDE), StructType([rows.schema["id"], *RESULT])).withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", bands: Bands | None = None) -> DataFrame:
-    """The rows of docs, all columns, whose text quality() keeps with these bands. A row's columns travel with it; nothing is joined."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
-    judged = map_arrow(spread(rows), judge(bands or WIDE), f"row {rows.schema['row'].dataType.simpleString()}, {RESULT}")
+    """The rows of docs, all columns, whose text quality() keeps with these bands. A row's columns travel with it, whatever their
+    names and types; nothing is joined. Null, empty and blank texts go; a row that comes twice stays or goes twice; ids have no say.
+    An empty table gives no rows."""
+    rows = docs.select(column(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
+    judged = map_arrow(spread(rows), judge(bands or WIDE), StructType([rows.schema["row"], *RESULT]))
     return judged.where("kept").select("row.*")

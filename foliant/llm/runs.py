@@ -51,7 +51,7 @@ class Runs:
         if self.passing:
             named(self.spark, name)
         df.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.path}/{name}").saveAsTable(name)
-        self.schema = self.schema or ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+        self.schema = self.schema or ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
         return name
 
     def _become(self, levels: list[list[str]]) -> None:

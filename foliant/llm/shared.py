@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -21,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where that is unset, which is for local mode only, one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.gettempdir()}/foliant-shared"
     return found.rstrip("/")
@@ -106,20 +107,27 @@ def hash128(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(0x5BD1E995), *cols).alias("h2")]
 
 
-def id_order(doc_id: Column) -> Column:
-    """doc_id as a long, null after all others."""
-    return F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1))
+def column(name: str) -> Column:
+    """The column of that name, whatever characters are in it."""
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
-def batches(ids: DataFrame, column: str, n: int) -> list[int]:
-    """Upper bounds, without the last, that cut the values of column into at most n ranges of about the same number of rows."""
-    cuts = ids.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 1000)).first()[0] if n > 1 else None
-    return sorted(set(cuts or []))
+def placed(order: str = "order", *more: str) -> Column:
+    """A struct that sorts as order does, null after all others, and then as `more` do."""
+    return F.struct(F.col(order).isNull().alias("none"), order, *more)
 
 
-def batch_of(column: Column, cuts: list[int]) -> Column:
-    """The number of the range from batches() that a value lies in."""
-    return sum(((column > c).cast("int") for c in cuts), F.lit(0))
+def batches(ids: DataFrame, name: str, n: int, sample: int = 1000) -> list:
+    """Upper bounds, without the last, that cut the values of a column into at most n ranges of about the same number of rows, as told
+    by the `sample` values whose hashes are least. Values may be of any type that can be sorted; nulls have a say in no bound."""
+    some = ids.select(name, F.xxhash64(name).alias("h")).where(F.col(name).isNotNull()).orderBy("h").limit(sample if n > 1 else 0)
+    values = sorted(r[0] for r in some.collect())
+    return sorted({values[i * len(values) // n] for i in range(1, n)}) if values else []
+
+
+def batch_of(value: Column, cuts: list) -> Column:
+    """The number of the range from batches() that a value lies in; null is in the last."""
+    return sum((F.coalesce(value > F.lit(c), F.lit(True)).cast("int") for c in cuts), F.lit(0))
 
 
 def map_arrow(df: DataFrame, run, schema: str | StructType, most: str = "16m") -> DataFrame:

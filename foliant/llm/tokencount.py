@@ -15,9 +15,10 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import spread
-from .shared import SPACE, map_arrow
+from .shared import SPACE, column, map_arrow
 
 WORD = re.compile(f"[^{SPACE}]+")
 START = "▁"
@@ -105,5 +106,5 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     or repeated; an empty table gives no rows. Only the two named columns are read. No shuffle; a task holds one batch and one
     trie of bounded size, but for a single word of more characters than that.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(spread(rows), counter(path), f"id {dict(rows.dtypes)['id']}, n_pretokens long, n_tokens long").withColumnRenamed("id", id_col)
+    rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
+    return map_arrow(spread(rows), counter(path), StructType([rows.schema["id"], StructField("n_pretokens", LongType()), StructField("n_tokens", LongType())])).withColumnRenamed("id", id_col)
