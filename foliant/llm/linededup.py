@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .runs import Runs
-from .shared import SPACE, batch_of, batches, column, hash128, map_arrow, workspace, written
+from .shared import batch_of, batches, column, hash128, map_arrow, workspace, written
 
 #: A line whose key is shorter than this many code points is never dropped.
 LEAST = 10
@@ -19,8 +19,7 @@ LEAST = 10
 
 def line_key(line: Column) -> Column:
     """line without white space at both ends and with A-Z lower-cased."""
-    stripped = F.regexp_replace(line, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
-    return F.translate(stripped, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.btrim(line, F.lit(" \t\n\x0b\f\r")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:

@@ -91,3 +91,17 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
                 assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
             assert out.count() <= 3 * len(rows)
             stage(spark, docs.where("text is null or text = ''"), "").collect()
+
+
+def test_long_lines_of_white_space(spark):
+    """The time to strip a line grows with its length, not with the square of it."""
+    text = "x" + " " * 1_000_000 + "y\n" + "\t" * 1_000_000 + "end of it all\nEND OF IT ALL"
+    df = spark.createDataFrame([(1, "END of it all"), (2, text)], "doc_id long, text string")
+    before = time.time()
+    found = {r["doc_id"]: r["n_dropped"] for r in linededup.line_dedup(df, n_batches=1).collect()}
+    assert found == {1: 0, 2: 2} and time.time() - before < 20
+    from pyspark.sql import functions as F
+
+    one = spark.range(1).select(F.concat(F.lit("x"), F.repeat(F.lit(" "), 1_000_000), F.lit("y")).alias("line"))
+    before = time.time()
+    assert one.select(F.length(linededup.line_key(F.col("line")))).first()[0] == 1_000_002 and time.time() - before < 2
