@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 #: White space of the corpus contracts, as the inside of a character class.
 SPACE = r"\x20\x09-\x0D"
@@ -118,10 +118,16 @@ def placed(order: str = "order", *more: str) -> Column:
 
 
 def batches(ids: DataFrame, name: str, n: int, sample: int = 1000) -> list:
-    """Upper bounds, without the last, that cut the values of a column into at most n ranges of about the same number of rows, as told
-    by the `sample` values whose hashes are least. Values may be of any type that can be sorted; nulls have a say in no bound."""
-    some = ids.select(name, F.xxhash64(name).alias("h")).where(F.col(name).isNotNull()).orderBy("h").limit(sample if n > 1 else 0)
-    values = sorted(r[0] for r in some.collect())
+    """Upper bounds, without the last, that cut the values of a column into at most n ranges of about the same number of rows. Values
+    may be of any type that can be sorted; nulls have a say in no bound. Of values other than integers about `sample`, picked by
+    their hashes, tell the bounds, which balance the ranges and have no say in what comes out."""
+    if n <= 1:
+        return []
+    if isinstance(ids.schema[name].dataType, IntegralType):
+        return sorted(set(ids.agg(F.percentile_approx(name, [i / n for i in range(1, n)], 1000)).first()[0] or []))
+    some = ids.where(F.col(name).isNotNull())
+    share = min(1.0, sample / max(1, some.count()))
+    values = sorted(r[0] for r in some.where(F.pmod(F.xxhash64(name), F.lit(1 << 40)) < int(share * (1 << 40))).select(name).distinct().collect())
     return sorted({values[i * len(values) // n] for i in range(1, n)}) if values else []
 
 
