@@ -14,12 +14,13 @@ from collections.abc import Iterator, Mapping
 from hashlib import blake2b
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from ..session import spread
-from .shared import column, hash128, map_arrow, workspace, written
+from .shared import column, delete, hash128, map_arrow, workspace, written
 
 # Names of elements and attributes in HTML, and usual names of what surrounds an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -370,27 +371,27 @@ def subtrees(names: bool):
     return run
 
 
-def templates(pages: DataFrame, least: Mapping[int, int] = LEAST, names: bool = True) -> DataFrame:
-    """KEY, templates: for each page (KEY, html) with any, the hashes of its subtrees that are templates.
+def templates(pages: DataFrame, least: Mapping[int, int] = LEAST, names: bool = True, at: str | None = None) -> DataFrame:
+    """KEY, templates: for each page (KEY, html) with any, the hashes of its subtrees that are templates. at: where steps are written.
 
     Containers, and whole lists and tables, are templates by the number of different texts of the host that have them, however
     large the host is. Paragraphs that articles share are told from templates by their share of the host or of a section of it.
     Copies of a page count once, else the text that they share would look like a template. A page's list is no longer than the page.
     """
-    spark = pages.sparkSession
-    found = written(map_arrow(spread(pages.select("html", *KEY)), subtrees(names), "host long, section long, h1 long, h2 long, kind int, subtree long, page long"), workspace(spark, "subtrees"))
+    at = at or workspace(pages.sparkSession, "pages")
+    found = written(map_arrow(spread(pages.select("html", *KEY)), subtrees(names), "host long, section long, h1 long, h2 long, kind int, subtree long, page long"), f"{at}/subtrees")
     whole, part = F.array("host"), F.array("host", F.xxhash64("host", "section"))
     scope = F.explode(F.when(F.col("kind").isin(PAGE, *SHARE), part).otherwise(whole)).alias("scope")
     scoped = found.select(scope, "kind", "subtree", "page", *KEY)
     by = ["scope", "kind", "subtree"]
     number = F.create_map(*[F.lit(x) for kind in LEAST for x in (kind, least.get(kind, LEAST[kind]))])[F.col("kind")]
     counts = scoped.select(*by, "page").distinct().groupBy(*by).agg(F.count("*").alias("n"))
-    counts = written(counts.where((F.col("kind") == PAGE) | (F.col("n") >= number)), workspace(spark, "recurring"))
+    counts = written(counts.where((F.col("kind") == PAGE) | (F.col("n") >= number)), f"{at}/counts")
     sizes = counts.where(F.col("kind") == PAGE).select("scope", F.col("n").alias("pages"))
     share = F.create_map(*[F.lit(x) for kind, n in SHARE.items() for x in (kind, n)])[F.col("kind")]
     shared = counts.where(F.col("kind").isin(*SHARE)).join(sizes, "scope").where(F.col("n") >= share * F.col("pages"))
     many = counts.where(~F.col("kind").isin(PAGE, *SHARE)).select(*by).union(shared.select(*by))
-    many = written(many, workspace(spark, "recurring"))
+    many = written(many, f"{at}/recurring")
     return scoped.join(many, by).groupBy(*KEY).agg(F.collect_set("subtree").alias("templates"))
 
 
@@ -398,14 +399,23 @@ def extract(names: bool):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             texts = []
-            for value, found in zip(batch["html"], batch["templates"]):
-                texts.append(Content(value.as_py() or "", names).text(set(found.values.to_pylist()) if found.is_valid else set()))
+            for value, found in zip(batch["packed"], batch["templates"]):
+                html = zstandard.decompress(value.as_py()).decode() if value.is_valid else ""
+                texts.append(Content(html, names).text(set(found.values.to_pylist()) if found.is_valid else set()))
             text = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([batch["id"], batch["url"], text, pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     return run
 
 
+def packed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column compressed: html on its way through a shuffle."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in source:
+        small = [squeeze.compress(value.as_py().encode()) if value.is_valid else None for value in batch["html"]]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(small, pa.binary())], [*batch.schema.names[:-1], "packed"])
+
+
 def keyed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, html and KEY: hashes of host and section, and two of the html."""
     html, url = column(html_col).cast("string"), column(url_col)
@@ -421,9 +431,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     over, what is open at the end is closed, a tag that the page's end cuts off is dropped. Ids may be null or repeated; rows with
     the same html on one host count once. An empty table gives no rows. Other columns aren't read, whatever their names.
     """
+    spark, at = pages.sparkSession, workspace(pages.sparkSession, "pages")
     rows = keyed(pages, id_col, url_col, html_col)
-    found = written(templates(rows, least, names), workspace(pages.sparkSession, "templates"))
-    both = spread(rows).join(found, list(KEY), "left").select("id", "url", "html", "templates")
+    found = written(templates(rows, least, names, at), f"{at}/templates")
+    for done in ("subtrees", "counts", "recurring"):
+        delete(spark, f"{at}/{done}")
     kinds = {f.name: f.dataType for f in rows.schema}
+    small = map_arrow(spread(rows.select("id", "url", *KEY, "html")), packed, StructType([*(StructField(n, kinds[n]) for n in ("id", "url", *KEY)), StructField("packed", BinaryType())]))
+    # Lists grow with the pages, so they aren't broadcast, whatever their size; copies of a page are split as a skewed key.
+    both = small.join(found.hint("merge"), list(KEY), "left").select("id", "url", "packed", "templates")
     out = map_arrow(both, extract(names), StructType([StructField("id", kinds["id"]), StructField("url", kinds["url"]), StructField("text", StringType()), StructField("n_chars", LongType())]))
     return out.toDF(id_col, url_col, "text", "n_chars")
