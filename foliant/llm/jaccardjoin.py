@@ -33,8 +33,8 @@ HASHES = BANDS * ROWS
 #: Hashes that are compared before each look at the posterior probability, and the probability below which a pair is dropped. All
 #: looks together lose a pair of similarity 0.8 with probability 1.1e-11, far less than the bands.
 STEP, TOLERANCE = 16, 1e-12
-#: Nodes of a block. Larger buckets are cut, so a task holds two blocks at most.
-BLOCK = 1024
+#: Nodes of a block, and about the bytes of their shingles. Larger buckets are cut, so a task holds two blocks at most.
+BLOCK, BLOCK_BYTES = 1024, 64 << 20
 #: Nodes of a tile within a block, and columns of the tile's matrix.
 TILE, COLUMNS = 256, 8192
 CACHE = 500_000
@@ -253,14 +253,15 @@ def meet(exact: bool, threshold: float):
 
 
 def sketch(words: int):
-    """order, row, k1, k2 (the digest of the set; null for a text without words) and sig."""
+    """order, row, k1, k2 (the digest of the set; null for a text without words), sig, and size, the number of shingles."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in source:
-            k1, k2, sigs = [], [], []
+            k1, k2, sigs, sizes = [], [], [], []
             for value in batch["text"]:
                 s = shingler(value.as_py() or "")
+                sizes.append(len(s))
                 if len(s):
                     digest = xxhash.xxh3_128_digest(s.tobytes())
                     k1.append(int.from_bytes(digest[:8], "big", signed=True))
@@ -270,20 +271,21 @@ def sketch(words: int):
                     k1.append(None)
                     k2.append(None)
                     sigs.append(None)
-            yield pa.RecordBatch.from_arrays([batch["order"], batch["row"], pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary())], ["order", "row", "k1", "k2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch["order"], batch["row"], pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], ["order", "row", "k1", "k2", "sig", "size"])
 
     return run
 
 
 def bands(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """bucket_key, band, node: BANDS rows for each node."""
+    """bucket_key, band, node, size: BANDS rows for each node."""
     for batch in source:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             keys = band_keys(np.frombuffer(b"".join(part["sig"].to_pylist()), np.uint32).reshape(-1, HASHES))
             node = np.repeat(np.asarray(part["node"]), BANDS)
             band = np.tile(np.arange(BANDS), part.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(band, pa.int64()), pa.array(node, pa.int64())], ["bucket_key", "band", "node"])
+            size = np.repeat(np.asarray(part["size"]), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(band, pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int64())], ["bucket_key", "band", "node", "size"])
 
 
 def shingle_sets(words: int):
@@ -313,20 +315,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     spark, at = docs.sparkSession, workspace(docs.sparkSession, "jaccard")
     text = F.coalesce(column(text_col).cast("string"), F.lit(""))
     rows = docs.select(column(id_col).alias("order"), F.xxhash64(text).alias("row"), text.alias("text"))
-    of_sketch = [*rows.schema.fields[:2], *(StructField(n, LongType()) for n in ("k1", "k2")), StructField("sig", BinaryType())]
+    of_sketch = [*rows.schema.fields[:2], *(StructField(n, LongType()) for n in ("k1", "k2")), StructField("sig", BinaryType()), StructField("size", LongType())]
     sketches = written(map_arrow(spread(rows), sketch(words), StructType(of_sketch)), f"{at}/sketches")
     sets = sketches.where(F.col("k1").isNotNull()).groupBy("k1", "k2")
-    nodes = sets.agg(F.min(placed("order", "row")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    nodes = sets.agg(F.min(placed("order", "row")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("size").alias("size"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), f"{at}/nodes")
 
-    banded = map_arrow(nodes.select("node", "sig"), bands, "bucket_key long, band long, node long")
-    buckets = banded.groupBy("bucket_key", "band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y")).where("n > 1")
-    kept = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket_key")).alias("one"))  # buckets of the same nodes
-    kept = written(kept.select("one.*", "n", F.monotonically_increasing_id().alias("bucket")), f"{at}/buckets")
+    banded = map_arrow(nodes.select("node", "sig", "size"), bands, "bucket_key long, band long, node long, size long")
+    buckets = banded.groupBy("bucket_key", "band").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y")).where("n > 1")
+    kept = buckets.groupBy("n", "size", "x", "y").agg(F.min(F.struct("band", "bucket_key")).alias("one"))  # buckets of the same nodes
+    n_blocks = F.least("n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") * 8 / BLOCK_BYTES)))
+    kept = written(kept.select("one.*", n_blocks.alias("n_blocks"), F.monotonically_increasing_id().alias("bucket")), f"{at}/buckets")
 
-    members = banded.join(kept, ["bucket_key", "band"]).select("bucket", "band", "n", "node")
-    n_blocks, own = F.ceil(F.col("n") / block), F.pmod(F.xxhash64("node"), F.col("n_blocks"))
-    members = members.withColumn("n_blocks", n_blocks).withColumn("block", own)
+    members = banded.drop("size").join(kept, ["bucket_key", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
     meets = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("other")
     members = members.select("bucket", "band", "node", "block", meets)
     members = members.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "block", "node")

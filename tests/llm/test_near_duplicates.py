@@ -83,6 +83,13 @@ def test_groups_in_blocks(make, block):
     assert found(make, rows, block=block) == brute(rows)
 
 
+def test_blocks_of_bounded_bytes(make, monkeypatch):
+    """Long texts are dealt to more blocks than their number asks for; the result is the same."""
+    rows = groups(random.Random(5), [1] * 5 + [12, 20])
+    monkeypatch.setattr(jj, "BLOCK_BYTES", 4000)
+    assert found(make, rows) == brute(rows)
+
+
 def test_many_copies_and_near_copies(make):
     rng = random.Random(6)
     base = prose(rng, 150)
