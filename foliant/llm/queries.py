@@ -15,7 +15,7 @@ from .langid import held_out, identify, train
 from .linededup import line_dedup
 from .mix import mix_plan
 from .quality import Bands, quality
-from .tokencount import token_counts
+from .tokencount import fit, token_counts
 from .warc import warc
 
 
@@ -59,7 +59,8 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    docs = _read(spark, sf_dir, "documents")
+    return token_counts(docs, fit(docs, tokenizer("piece_bpe_32k.model")))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

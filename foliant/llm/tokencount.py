@@ -2,14 +2,16 @@
 
 The distinct pre-tokens of a batch are put in a trie. A node holds the best score of its prefix and the number of pieces that reach
 it, computed when the node is made, from its ancestors on the path: prefixes that words share are scored once. The number at a
-word's last node is the word's count.
+word's last node is the word's count. The vocabulary is a public one; its pieces' probabilities are fitted to the words of all
+documents, by counting how often the best cuts use each.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -18,69 +20,148 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import spread
-from .shared import SPACE, column, map_arrow
+from .shared import SPACE, column, delete, map_arrow, workspace, written
 
 WORD = re.compile(f"[^{SPACE}]+")
 START = "▁"
 #: Nodes of a trie; a task drops the trie when it has more, and starts a new one.
 NODES = 1_500_000
+#: Distinct words that a task counts before it hands them on.
+WORDS = 1_000_000
 
 
 class Unigram:
-    """Pieces with log-probabilities by Zipf's law over their rank in a public vocabulary file, and bytes for characters without a piece."""
+    """Costs (negative log-probabilities) of pieces, and of a byte of a character that no piece has."""
 
-    def __init__(self, path: str):
-        import sentencepiece
+    def __init__(self, cost: dict[str, float], byte_cost: float):
+        self.cost, self.byte_cost = cost, byte_cost
+        self.longest = max(map(len, cost), default=1)
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        plain = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        harmonic = math.log(sum(1 / r for r in range(1, len(plain) + 1)))
-        self.cost = {p: math.log(r) + harmonic for r, p in enumerate(plain, 1)}
-        self.byte_cost = math.log(len(plain) + 1) + harmonic
-        self.longest = max(map(len, self.cost), default=1)
+    @classmethod
+    def by_uses(cls, pieces: Iterable[str], uses: dict[str, float], prior: float = 0.1) -> Unigram:
+        """Probabilities in proportion to uses and `prior`; a byte is as rare as a piece that is never used."""
+        weight = {p: uses.get(p, 0.0) + prior for p in pieces}
+        total = math.log(sum(weight.values()) + prior)
+        return cls({p: total - math.log(w) for p, w in weight.items()}, total - math.log(prior))
 
 
 class Trie:
-    """Prefixes of pre-tokens with the least cost to reach them, and among equal costs the fewest pieces."""
+    """Prefixes of pre-tokens with the least cost to reach them, among equal costs the fewest pieces, and the last piece's length."""
 
     def __init__(self, model: Unigram):
         self.model, self.next = model, {}
-        self.cost, self.pieces = [0.0], [0]
+        self.cost, self.pieces, self.last = [0.0], [0], [0]
 
-    def count(self, word: str) -> int:
-        """Number of pieces of a pre-token."""
-        word = START + word
+    def path(self, word: str) -> list[int]:
+        """The nodes of a pre-token's prefixes, from the root."""
         path, node = [0], 0
         find, cost, pieces, model = self.next, self.cost, self.pieces, self.model
         for at, char in enumerate(word, 1):
             child = find.get((node, char))
             if child is None:
                 size = len(char.encode())
-                best, n = cost[node] + size * model.byte_cost, pieces[node] + size
+                best, n, length = cost[node] + size * model.byte_cost, pieces[node] + size, 0
                 for back in range(1, min(at, model.longest) + 1):
                     c = model.cost.get(word[at - back : at])
                     if c is not None:
                         origin = path[-back]
                         c += cost[origin]
                         if c < best or c == best and pieces[origin] + 1 < n:
-                            best, n = c, pieces[origin] + 1
+                            best, n, length = c, pieces[origin] + 1, back
                 child = find[node, char] = len(cost)
                 cost.append(best)
                 pieces.append(n)
+                self.last.append(length)
             node = child
             path.append(node)
-        return pieces[node]
+        return path
+
+    def count(self, word: str) -> int:
+        """Number of pieces of a pre-token."""
+        return self.pieces[self.path(START + word)[-1]]
+
+    def cut(self, word: str) -> list[str]:
+        """The pieces of a pre-token, from the last; characters that go by bytes are left out."""
+        word = START + word
+        path, at, out = self.path(word), len(word), []
+        while at:
+            length = self.last[path[at]]
+            if length:
+                out.append(word[at - length : at])
+            at -= length or 1
+        return out
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> Unigram:
-    """Once a Python worker."""
-    return Unigram(path)
+def vocabulary(path: str) -> tuple[str, ...]:
+    """Pieces of a sentencepiece file that stand for text."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return tuple(model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)))
+
+
+def ranked(path: str) -> Unigram:
+    """What fit() starts from: uses by Zipf's law over the pieces' rank in the file."""
+    pieces = vocabulary(path)
+    return Unigram.by_uses(pieces, {p: 1e6 / r for r, p in enumerate(pieces, 1)})
+
 
+def count_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word and n: how often each pre-token occurs, summed up within a task as far as memory allows."""
+    counts: Counter[str] = Counter()
+    for batch in source:
+        for value in batch["text"]:
+            counts.update(WORD.findall(value.as_py() or ""))
+        if len(counts) > WORDS:
+            yield from _counted(counts)
+            counts = Counter()
+    yield from _counted(counts)
 
-def counter(path: str):
+
+def _counted(counts: Counter[str]) -> Iterator[pa.RecordBatch]:
+    words, numbers = list(counts), list(counts.values())
+    for at in range(0, len(words), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.string()), pa.array(numbers[at : at + 50_000], pa.int64())], ["word", "n"])
+
+
+def uses(model: Unigram):
+    """piece and n: how often the best cuts of the words use each piece; a row a piece and task at most."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[str] = Counter()
+        trie = Trie(model)
+        for batch in source:
+            for word, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist()):
+                if len(trie.cost) > NODES:
+                    trie = Trie(model)
+                for piece in trie.cut(word):
+                    total[piece] += n
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.string()), pa.array([*total.values()], pa.int64())], ["piece", "n"])
+
+    return run
+
+
+def fit(docs: DataFrame, path: str, text_col: str = "text", rounds: int = 2) -> Unigram:
+    """Probabilities of the pieces of a sentencepiece file from all texts of docs.
+
+    Distinct pre-tokens are counted once, by their words; in each round their best cuts under the costs so far are counted, a number
+    for each piece of the vocabulary, which come to the driver. Null and empty texts add nothing; without any word the costs by rank stay.
+    """
+    at, model = workspace(docs.sparkSession, "words"), ranked(path)
+    rows = docs.select(column(text_col).cast("string").alias("text"))
+    words = written(map_arrow(spread(rows), count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), at)
+    for _ in range(rounds):
+        found = map_arrow(words, uses(model), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        if found:
+            model = Unigram.by_uses(vocabulary(path), {r["piece"]: r["n"] for r in found})
+    delete(docs.sparkSession, at)
+    return model
+
+
+def counter(sent):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
+        model = sent.value
         trie, known = Trie(model), {}
         for batch in source:
             tokens, words = [], []
@@ -98,13 +179,14 @@ def counter(path: str):
     return run
 
 
-def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, model: Unigram, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_pretokens, n_tokens for each row of docs.
 
-    Pre-tokens are the runs of characters other than white space, each led by the mark of a word's start. path: a sentencepiece
-    file that all executors have; its pieces are ranked as they stand in it. A null or empty text has no tokens. Ids may be null
+    Pre-tokens are the runs of characters other than white space, each led by the mark of a word's start. model: of fit(),
+    which as large as the vocabulary is sent to all executors. A null or empty text has no tokens. Ids may be null
     or repeated; an empty table gives no rows. Only the two named columns are read. No shuffle; a task holds one batch and one
     trie of bounded size, but for a single word of more characters than that.
     """
     rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
-    return map_arrow(spread(rows), counter(path), StructType([rows.schema["id"], StructField("n_pretokens", LongType()), StructField("n_tokens", LongType())])).withColumnRenamed("id", id_col)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return map_arrow(spread(rows), counter(sent), StructType([rows.schema["id"], StructField("n_pretokens", LongType()), StructField("n_tokens", LongType())])).withColumnRenamed("id", id_col)

@@ -65,9 +65,10 @@ def test_named_columns_of_any_name(spark):
     df = table(spark, ROWS, "string").drop("my col", "a.b", "x`y").withColumnsRenamed({"doc_id": name, "text": "the.text", "source": "from where"})
     words, pieces = tokenizer("word_bpe_49k.json"), tokenizer("piece_bpe_32k.model")
     model = langid.train(df, pieces, name, "the.text", rounds=1)
+    unigram = tokencount.fit(df, pieces, "the.text", rounds=1)
     runs = {
         "bpe": lambda x: bpe.bpe_encode(x, words, name, "the.text"), "exact": lambda x: exactdedup.exact_dedup(x, name, "the.text"), "lines": lambda x: linededup.line_dedup(x, name, "the.text"),
-        "lang": lambda x: langid.identify(x, model, name, "the.text"), "tokens": lambda x: tokencount.token_counts(x, pieces, name, "the.text"), "quality": lambda x: quality.quality(x, name, "the.text"),
+        "lang": lambda x: langid.identify(x, model, name, "the.text"), "tokens": lambda x: tokencount.token_counts(x, unigram, name, "the.text"), "quality": lambda x: quality.quality(x, name, "the.text"),
         "jaccard": lambda x: jaccardjoin.jaccard_join(x, name, "the.text"),
     }
     for run in runs.values():

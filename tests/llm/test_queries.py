@@ -8,6 +8,7 @@ from foliant.llm.queries import QUERIES, SQL
 
 from .test_dedup import lines
 from .test_near_duplicates import brute
+from .test_text_models import counted
 
 COLUMNS = {
     "op1_bpe": "doc_id n_tokens ids_sha256 decoded_sha256", "op2_mix": "doc_id size source_size target taken", "op3_line_dedup": "doc_id n_lines n_dropped kept_sha256", "op4_language": "doc_id held_out lang_pred score",
@@ -80,11 +81,32 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
 
 
 def _kept(text):
+    """The verdict by hand: base rules, then the ratio of the whole and of each 4096 bytes, the last of them at the end of the text."""
     import zstandard
 
-    words = quality.WORD.findall(text or "")
-    failed = len(words) < quality.LEAST_WORDS or 100 * quality.repeated(words) > quality.MOST_REPEATED * len(words)
-    return not failed and quality.Bands().verdict((text or "").encode(), zstandard.ZstdCompressor(level=3))[3]
+    text, bands = text or "", quality.Bands()
+    n_words, *_, again = counted(text)
+    if n_words < 50 or 2 * again > n_words:
+        return False
+    raw = text.encode()
+    parts = []
+    for start in range(0, len(raw), 4096):
+        parts.append(raw[start : start + 4096] if start + 4096 <= len(raw) else raw[-4096:])
+
+    def fits(part, low, high):
+        at = sum(len(part) > limit for limit in bands.up_to)
+        ratio = len(part) / len(zstandard.compress(part, 3))
+        return low[at] <= ratio <= high[at]
+
+    return fits(raw, bands.low, bands.high) and (len(raw) <= 4096 or all(fits(p, bands.chunk_low, bands.chunk_high) for p in parts))
+
+
+def test_quality(spark, sf_dir):
+    """Counts and verdict of each document, both by hand."""
+    texts = dict(documents(spark, sf_dir))
+    for r in QUERIES["op8_quality"](spark, sf_dir).collect():
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == counted(texts[r["doc_id"]])
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and r["kept"] == _kept(texts[r["doc_id"]])
 
 
 def test_quality_rejects_by_bands(spark, sf_dir):

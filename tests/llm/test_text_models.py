@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -65,16 +66,47 @@ def viterbi(word, model):
 
 
 def test_token_counts(make, odd, monkeypatch):
-    model = tokencount.load(PIECES)
     rows = odd + [(50, "naïve 한국어 👍 ﬁne  x www.example.com/ÄÖ " + "z" * 300)]
-    found = tokencount.token_counts(make(rows), PIECES).collect()
+    model = tokencount.fit(make(rows), PIECES)
+    found = tokencount.token_counts(make(rows), model).collect()
     expected = sorted((i is None, i or 0, len(tokencount.WORD.findall(t or "")), sum(viterbi(w, model) for w in tokencount.WORD.findall(t or ""))) for i, t, *_ in rows)
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_pretokens"], r["n_tokens"]) for r in found) == expected
-    assert tokencount.token_counts(make([]), PIECES).collect() == []
+    assert tokencount.token_counts(make([]), model).collect() == []
+    nothing = tokencount.fit(make([(1, None)]), PIECES)
+    assert nothing.cost == tokencount.ranked(PIECES).cost
+
+
+def best_cuts(words, model):
+    """Uses of pieces in the best cuts, word by word, without a trie."""
+    total = Counter()
+    for word in words:
+        word = tokencount.START + word
+        best = [(0.0, 0, [])]
+        for e in range(1, len(word) + 1):
+            size = len(word[e - 1].encode())
+            options = [(best[e - 1][0] + size * model.byte_cost, best[e - 1][1] + size, best[e - 1][2])]
+            options += [(model.cost[word[s:e]] + best[s][0], best[s][1] + 1, [*best[s][2], word[s:e]]) for s in range(max(0, e - model.longest), e) if word[s:e] in model.cost]
+            best.append(min(options, key=lambda x: x[:2]))
+        total.update(best[-1][2])
+    return total
+
+
+def test_fitted_probabilities(make, monkeypatch):
+    """Two rounds of counting, by brute force; the probabilities of pieces and a byte sum to 1, and frequent pieces get cheaper."""
+    texts = ["the nation's internationalisation", "nation nation naïve 👍", "station to station", None, ""]
+    monkeypatch.setattr(tokencount, "WORDS", 2)
+    words = [w for t in texts for w in tokencount.WORD.findall(t or "")]
+    model = tokencount.ranked(PIECES)
+    for _ in range(2):
+        model = tokencount.Unigram.by_uses(tokencount.vocabulary(PIECES), best_cuts(words, model))
+    fitted = tokencount.fit(make(list(enumerate(texts))), PIECES)
+    assert fitted.cost == pytest.approx(model.cost) and fitted.byte_cost == pytest.approx(model.byte_cost)
+    assert sum(np.exp(-c) for c in fitted.cost.values()) + np.exp(-fitted.byte_cost) == pytest.approx(1)
+    assert fitted.cost["▁nation"] < tokencount.ranked(PIECES).cost["▁nation"]
 
 
 def test_a_trie_shares_prefixes():
-    trie = tokencount.Trie(tokencount.load(PIECES))
+    trie = tokencount.Trie(tokencount.ranked(PIECES))
     trie.count("internation")
     n = len(trie.cost)
     trie.count("international")
@@ -175,7 +207,8 @@ def counted(text):
     text = text or ""
     words = quality.WORD.findall(text)
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    again = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    times = Counter(windows)
+    again = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(3)}
     seen, dup = set(), 0
     for x in text.split("\n"):
         if quality.WORD.search(x):
