@@ -31,8 +31,11 @@ def add(index: Runs, new: DataFrame) -> None:
     index.add(keyed(new).groupBy("h1", "h2").agg(F.min("order").alias("keep_order")))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_batches: int = 4, fanout: int = 2) -> DataFrame:
-    """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_batches: int = 4, fanout: int = 2, path: str | None = None, buckets: int | None = None) -> DataFrame:
+    """One row for each row of docs: id_col, keep_id, group_size (rows of docs with this text), kept, text_sha256.
+
+    path: where the index lies or shall lie, and stays: rows whose text an earlier call has brought are dropped in favour of the row
+    that stayed then. Without one the index is thrown away. buckets: of a new index.
 
     Rows arrive in n_batches batches of ascending id, so the row that stays is the one with the smallest id. Ids may be of any type
     that can be sorted; texts sort by their bytes, so "10" is before "9". Null ids come after all others, and a null text equals an empty one. Of rows with the same id and text all are kept or dropped alike. An empty
@@ -42,7 +45,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = digests(docs, id_col, text_col)
     stored = keyed(written(found, f"{at}/digests"))
     cuts = batches(stored, "order", n_batches)
-    index = Runs(spark, f"{at}/index", fanout)
+    index = Runs(spark, path or f"{at}/index", fanout, buckets)
     for i in range(len(cuts) + 1):
         add(index, stored.where(batch_of(F.col("order"), cuts) == i))
     sizes = stored.groupBy("h1", "h2").agg(F.count("*").alias("group_size"))

@@ -30,12 +30,12 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> Data
     return keys.where(F.length("key") >= least).select("order", "row", "at", *hash128(F.col("key")))
 
 
-def drops(docs: DataFrame, id_col: str, text_col: str, least: int, n_batches: int, fanout: int) -> DataFrame:
+def drops(docs: DataFrame, id_col: str, text_col: str, least: int, n_batches: int, fanout: int, path: str | None = None, buckets: int | None = None) -> DataFrame:
     """order, row and the places of the lines to drop, for each row that loses any."""
     spark, at = docs.sparkSession, workspace(docs.sparkSession, "lines")
     cuts = batches(docs.select(column(id_col).alias("order")), "order", n_batches)
     found = written(occurrences(docs, id_col, text_col, least).withColumn("batch", batch_of(F.col("order"), cuts)), f"{at}/lines", "batch")
-    index = Runs(spark, f"{at}/index", fanout)
+    index = Runs(spark, path or f"{at}/index", fanout, buckets)
     for i in range(len(cuts) + 1):
         index.add(found.where(F.col("batch") == i).groupBy("h1", "h2").agg(F.min("order").alias("order")))
     # A key lies in one run, with the document that holds it first; that document keeps its lines of this key, all others lose theirs.
@@ -62,9 +62,9 @@ def rebuild(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["key"], *new], ["key", "kept_text", "n_lines", "n_dropped", "kept_sha256"])
 
 
-def _rebuilt(docs: DataFrame, key: Column, id_col: str, text_col: str, least: int, n_batches: int, fanout: int) -> DataFrame:
+def _rebuilt(docs: DataFrame, key: Column, id_col: str, text_col: str, *how) -> DataFrame:
     """key, kept_text, n_lines, n_dropped, kept_sha256 for each row of docs."""
-    lost = drops(docs, id_col, text_col, least, n_batches, fanout).withColumnsRenamed({"order": "of", "row": "which"})
+    lost = drops(docs, id_col, text_col, *how).withColumnsRenamed({"order": "of", "row": "which"})
     text = F.coalesce(column(text_col).cast("string"), F.lit(""))
     rows = docs.select(key.alias("key"), column(id_col).alias("order"), F.xxhash64(text).alias("row"), text.alias("text"))
     both = rows.join(lost, F.col("order").eqNullSafe(F.col("of")) & (F.col("row") == F.col("which")), "left").select("key", "text", "places")
@@ -72,21 +72,24 @@ def _rebuilt(docs: DataFrame, key: Column, id_col: str, text_col: str, least: in
     return map_arrow(both, rebuild, StructType([rows.schema["key"], *new]))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, n_batches: int = 4, fanout: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, n_batches: int = 4, fanout: int = 2, path: str | None = None, buckets: int | None = None) -> DataFrame:
     """id_col, kept_text, n_lines, n_dropped, kept_sha256 for each row of docs.
 
+    path: where the index of lines lies or shall lie, and stays: lines that documents of an earlier call hold are lost, but for that
+    document itself. Without one the index is thrown away. buckets: of a new index.
+
     A key of at least `least` code points that several documents hold stays in the document with the smallest id only, there with
     all its lines. Ids may be of any type that can be sorted; texts sort by their bytes, so "10" is before "9". Null ids count as
     one document after all others, null texts as empty, which is one empty line. Rows that
     share an id count as one document. A document that loses all its lines gets an empty text. An empty table gives no rows.
     Only the two named columns are read, so others may have any name. A line may be of any length; a text is held whole.
     """
-    return _rebuilt(docs, column(id_col), id_col, text_col, least, n_batches, fanout).withColumnRenamed("key", id_col)
+    return _rebuilt(docs, column(id_col), id_col, text_col, least, n_batches, fanout, path, buckets).withColumnRenamed("key", id_col)
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, n_batches: int = 4, fanout: int = 2) -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, n_batches: int = 4, fanout: int = 2, path: str | None = None, buckets: int | None = None) -> DataFrame:
     """All rows and columns of docs with the text that line_dedup() keeps, as a string and never null: ids, nulls, repeated rows and
     an empty table are dealt with as there. The other columns travel with their row, whatever their names and types."""
     rest = [c for c in docs.columns if c != text_col]
-    out = _rebuilt(docs, F.struct(*map(column, rest)), id_col, text_col, least, n_batches, fanout)
+    out = _rebuilt(docs, F.struct(*map(column, rest)), id_col, text_col, least, n_batches, fanout, path, buckets)
     return out.select(*[F.col("kept_text").alias(c) if c == text_col else F.col("key").getField(c).alias(c) for c in docs.columns])

@@ -25,7 +25,8 @@ class Runs:
     """Keys h1, h2 with the columns that are stored beside them.
 
     path: where the index lies or shall lie; without one it is in a workspace, and goes with it. fanout and buckets hold for a
-    new index; one that is there keeps its own.
+    new index; one that is there keeps its own, until rebucket(). Without a number, a new one has as many buckets as the session has shuffle
+    partitions.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 2, buckets: int | None = None):
@@ -86,6 +87,15 @@ class Runs:
                     delete(self.spark, f"{self.path}/{name}")
             level += 1
 
+    def rebucket(self, buckets: int) -> None:
+        """Rewrites all runs as one with so many buckets, for an index that has outgrown its own number."""
+        before, merged = self.tables(), self.all() if self.tables() else None
+        self.buckets = buckets
+        self._become([*[[] for _ in self.levels[:-1]], [self._write(merged.repartition(buckets, *KEY))]] if before else self.levels)
+        for name in before:
+            self.spark.sql(f"DROP TABLE {name}")
+            delete(self.spark, f"{self.path}/{name}")
+
     def all(self) -> DataFrame:
         """All keys, each once."""
         first, *rest = [self.spark.table(t) for t in self.tables()]

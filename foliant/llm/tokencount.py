@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,11 +31,38 @@ WORDS = 1_000_000
 
 
 class Unigram:
-    """Costs (negative log-probabilities) of pieces, and of a byte of a character that no piece has."""
+    """Costs (negative log-probabilities) of pieces, and of a byte of a character that no piece has.
+
+    ends: the lengths of the pieces of three characters or more, by their last three.
+    """
 
     def __init__(self, cost: dict[str, float], byte_cost: float):
         self.cost, self.byte_cost = cost, byte_cost
-        self.longest = max(map(len, cost), default=1)
+        ends: dict[str, set[int]] = {}
+        for piece in cost:
+            if len(piece) > 2:
+                ends.setdefault(piece[-3:], set()).add(len(piece))
+        self.ends = {k: tuple(sorted(v)) for k, v in ends.items()}
+
+    def step(self, word: str, at: int, cost: Sequence[float], pieces: Sequence[int]) -> tuple[float, int, int]:
+        """Of the prefix of `at` characters: the least cost, among equal ones the fewest pieces, and the last piece's length, 0 for
+        bytes. cost and pieces: those of the shorter prefixes, by length."""
+        known, char = self.cost, word[at - 1]
+        if (c := known.get(char)) is not None:
+            best, n, length = cost[at - 1] + c, pieces[at - 1] + 1, 1
+        else:
+            size = len(char.encode())
+            best, n, length = cost[at - 1] + size * self.byte_cost, pieces[at - 1] + size, 0
+        if at > 1 and (c := known.get(word[at - 2 : at])) is not None:
+            c += cost[at - 2]
+            if c < best or c == best and pieces[at - 2] + 1 < n:
+                best, n, length = c, pieces[at - 2] + 1, 2
+        for back in self.ends.get(word[at - 3 : at], ()) if at > 2 else ():
+            if back <= at and (c := known.get(word[at - back : at])) is not None:
+                c += cost[at - back]
+                if c < best or c == best and pieces[at - back] + 1 < n:
+                    best, n, length = c, pieces[at - back] + 1, back
+        return best, n, length
 
     @classmethod
     def by_uses(cls, pieces: Iterable[str], uses: dict[str, float], prior: float = 0.1) -> Unigram:
@@ -46,50 +73,32 @@ class Unigram:
 
 
 class Trie:
-    """Prefixes of pre-tokens with the least cost to reach them, among equal costs the fewest pieces, and the last piece's length."""
+    """Prefixes of pre-tokens with the least cost to reach them, and among equal costs the fewest pieces."""
 
     def __init__(self, model: Unigram):
-        self.model, self.next = model, {}
-        self.cost, self.pieces, self.last = [0.0], [0], [0]
-
-    def path(self, word: str) -> list[int]:
-        """The nodes of a pre-token's prefixes, from the root."""
-        path, node = [0], 0
-        find, cost, pieces, model = self.next, self.cost, self.pieces, self.model
-        for at, char in enumerate(word, 1):
-            child = find.get((node, char))
-            if child is None:
-                size = len(char.encode())
-                best, n, length = cost[node] + size * model.byte_cost, pieces[node] + size, 0
-                for back in range(1, min(at, model.longest) + 1):
-                    c = model.cost.get(word[at - back : at])
-                    if c is not None:
-                        origin = path[-back]
-                        c += cost[origin]
-                        if c < best or c == best and pieces[origin] + 1 < n:
-                            best, n, length = c, pieces[origin] + 1, back
-                child = find[node, char] = len(cost)
-                cost.append(best)
-                pieces.append(n)
-                self.last.append(length)
-            node = child
-            path.append(node)
-        return path
+        self.model, self.next, self.nodes = model, {}, [(0.0, 0)]
 
     def count(self, word: str) -> int:
         """Number of pieces of a pre-token."""
-        return self.pieces[self.path(START + word)[-1]]
-
-    def cut(self, word: str) -> list[str]:
-        """The pieces of a pre-token, from the last; characters that go by bytes are left out."""
         word = START + word
-        path, at, out = self.path(word), len(word), []
-        while at:
-            length = self.last[path[at]]
-            if length:
-                out.append(word[at - length : at])
-            at -= length or 1
-        return out
+        node, known, find, model = 0, [(0.0, 0)], self.next, self.model
+        at = 0
+        for at, char in enumerate(word, 1):  # along the prefixes that are there
+            child = find.get((node, char))
+            if child is None:
+                break
+            node = child
+            known.append(self.nodes[node])
+        else:
+            return known[-1][1]
+        cost, pieces = [x[0] for x in known], [x[1] for x in known]
+        for at in range(at, len(word) + 1):
+            best, n, _ = model.step(word, at, cost, pieces)
+            cost.append(best)
+            pieces.append(n)
+            find[node, word[at - 1]] = node = len(self.nodes)
+            self.nodes.append((best, n))
+        return pieces[-1]
 
 
 @lru_cache(maxsize=2)
@@ -125,32 +134,62 @@ def _counted(counts: Counter[str]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.string()), pa.array(numbers[at : at + 50_000], pa.int64())], ["word", "n"])
 
 
+class Path:
+    """The trie's path of one word at a time: of words that come sorted, each extends what it shares with the one before, so prefixes
+    are scored once and no more than a path is held."""
+
+    def __init__(self, model: Unigram):
+        self.model, self.word = model, ""
+        self.cost, self.pieces, self.last = [0.0], [0], [0]
+
+    def cut(self, word: str) -> list[str]:
+        """The pieces of a pre-token, from the last; characters that go by bytes are left out."""
+        word, old, keep = START + word, self.word, 0
+        if word[: len(old)] == old:
+            keep = len(old)
+        else:
+            while word[: keep + 1] == old[: keep + 1]:
+                keep += 1
+        cost, pieces, last, model = self.cost, self.pieces, self.last, self.model
+        del cost[keep + 1 :], pieces[keep + 1 :], last[keep + 1 :]
+        for at in range(keep + 1, len(word) + 1):
+            best, n, length = model.step(word, at, cost, pieces)
+            cost.append(best)
+            pieces.append(n)
+            last.append(length)
+        self.word, at, out = word, len(word), []
+        while at:
+            length = last[at]
+            if length:
+                out.append(word[at - length : at])
+            at -= length or 1
+        return out
+
+
 def uses(model: Unigram):
-    """piece and n: how often the best cuts of the words use each piece; a row a piece and task at most."""
+    """piece and n: how often the best cuts of the words, which come sorted, use each piece; a row a piece and task at most."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
-        trie = Trie(model)
+        path = Path(model)
         for batch in source:
             for word, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist()):
-                if len(trie.cost) > NODES:
-                    trie = Trie(model)
-                for piece in trie.cut(word):
+                for piece in path.cut(word):
                     total[piece] += n
         yield pa.RecordBatch.from_arrays([pa.array([*total], pa.string()), pa.array([*total.values()], pa.int64())], ["piece", "n"])
 
     return run
 
 
-def fit(docs: DataFrame, path: str, text_col: str = "text", rounds: int = 2) -> Unigram:
+def fit(docs: DataFrame, path: str, text_col: str = "text", rounds: int = 1) -> Unigram:
     """Probabilities of the pieces of a sentencepiece file from all texts of docs.
 
-    Distinct pre-tokens are counted once, by their words; in each round their best cuts under the costs so far are counted, a number
+    Distinct pre-tokens are counted once, and stay sorted; in each round their best cuts under the costs so far are counted, a number
     for each piece of the vocabulary, which come to the driver. Null and empty texts add nothing; without any word the costs by rank stay.
     """
     at, model = workspace(docs.sparkSession, "words"), ranked(path)
     rows = docs.select(column(text_col).cast("string").alias("text"))
-    words = written(map_arrow(spread(rows), count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), at)
+    words = written(map_arrow(spread(rows), count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).sortWithinPartitions("word"), at)
     for _ in range(rounds):
         found = map_arrow(words, uses(model), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         if found:
@@ -169,7 +208,7 @@ def counter(sent):
                 found = WORD.findall(value.as_py() or "")
                 for word in found:
                     if word not in known:
-                        if len(trie.cost) > NODES:
+                        if len(trie.nodes) > NODES:
                             trie, known = Trie(model), {w: known[w] for w in found if w in known}
                         known[word] = trie.count(word)
                 tokens.append(sum([known[w] for w in found]))

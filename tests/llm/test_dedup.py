@@ -121,6 +121,23 @@ def test_new_rows_against_a_digest_index(make, spark, tmp_path):
     assert sorted(r["keep_order"] for r in again.all().collect()) == [1, 2, 4] and len(again.tables()) == 2
 
 
+def test_an_index_that_stays(make, spark, tmp_path):
+    """What comes later is held against what came before, for texts and for lines; a second run over the same rows changes nothing."""
+    at, old, new = f"file://{tmp_path}", [(1, "a b"), (2, "a  b"), (3, "one line of text\nown 3")], [(4, "a b"), (5, "new"), (6, "ONE line of text\nown 6")]
+    for _ in range(2):
+        first = exact_dedup(make(old), n_batches=1, path=f"{at}/texts", buckets=2).collect()
+        assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in first} == {1: (1, True), 2: (1, False), 3: (3, True)}
+    later = exact_dedup(make(new), n_batches=2, path=f"{at}/texts").collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in later} == {4: (1, 1, False), 5: (5, 1, True), 6: (6, 1, True)}
+    assert {r["n_dropped"] for r in line_dedup(make(old), n_batches=1, path=f"{at}/lines", buckets=2).collect()} == {0}
+    assert {r["doc_id"]: r["kept_text"] for r in line_dedup(make(new), n_batches=1, path=f"{at}/lines").collect()} == {4: "a b", 5: "new", 6: "own 6"}
+    index = Runs(spark, f"{at}/texts")
+    before = {tuple(r) for r in index.all().collect()}
+    index.rebucket(5)
+    again = Runs(spark, f"{at}/texts")
+    assert again.buckets == 5 and len(again.tables()) == 1 and {tuple(r) for r in again.all().collect()} == before
+
+
 def test_the_runs_are_joined_without_a_shuffle(spark):
     index = Runs(spark, fanout=4, buckets=3)
     one = spark.range(100).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"))

@@ -60,7 +60,7 @@ def viterbi(word, model):
     for e in range(1, len(word) + 1):
         size = len(word[e - 1].encode())
         options = [(best[e - 1][0] + size * model.byte_cost, best[e - 1][1] + size)]
-        options += [(model.cost[word[s:e]] + best[s][0], best[s][1] + 1) for s in range(max(0, e - model.longest), e) if word[s:e] in model.cost]
+        options += [(model.cost[word[s:e]] + best[s][0], best[s][1] + 1) for s in range(e) if word[s:e] in model.cost]
         best.append(min(options))
     return best[-1][1]
 
@@ -85,7 +85,7 @@ def best_cuts(words, model):
         for e in range(1, len(word) + 1):
             size = len(word[e - 1].encode())
             options = [(best[e - 1][0] + size * model.byte_cost, best[e - 1][1] + size, best[e - 1][2])]
-            options += [(model.cost[word[s:e]] + best[s][0], best[s][1] + 1, [*best[s][2], word[s:e]]) for s in range(max(0, e - model.longest), e) if word[s:e] in model.cost]
+            options += [(model.cost[word[s:e]] + best[s][0], best[s][1] + 1, [*best[s][2], word[s:e]]) for s in range(e) if word[s:e] in model.cost]
             best.append(min(options, key=lambda x: x[:2]))
         total.update(best[-1][2])
     return total
@@ -99,7 +99,7 @@ def test_fitted_probabilities(make, monkeypatch):
     model = tokencount.ranked(PIECES)
     for _ in range(2):
         model = tokencount.Unigram.by_uses(tokencount.vocabulary(PIECES), best_cuts(words, model))
-    fitted = tokencount.fit(make(list(enumerate(texts))), PIECES)
+    fitted = tokencount.fit(make(list(enumerate(texts))), PIECES, rounds=2)
     assert fitted.cost == pytest.approx(model.cost) and fitted.byte_cost == pytest.approx(model.byte_cost)
     assert sum(np.exp(-c) for c in fitted.cost.values()) + np.exp(-fitted.byte_cost) == pytest.approx(1)
     assert fitted.cost["▁nation"] < tokencount.ranked(PIECES).cost["▁nation"]
@@ -108,9 +108,9 @@ def test_fitted_probabilities(make, monkeypatch):
 def test_a_trie_shares_prefixes():
     trie = tokencount.Trie(tokencount.ranked(PIECES))
     trie.count("internation")
-    n = len(trie.cost)
+    n = len(trie.nodes)
     trie.count("international")
-    assert len(trie.cost) == n + 2
+    assert len(trie.nodes) == n + 2
 
 
 def every_cut(word, vocabulary, p):
