@@ -15,27 +15,31 @@ from foliant.llm.shared import workspace, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, null, empty and blank texts among them; rows that come twice stay or go twice. All columns
+    are kept, whatever their names. An empty table gives no rows, here and in all stages."""
     return keep_good(docs, bands=Bands())
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A line of several documents stays in the first of them. All documents stay, a text may become empty; n_chars follows the text."""
+    """A line of several documents stays in the first of them. All documents stay, a text may become empty; n_chars follows the text.
+    A null text becomes an empty one; rows without an id count as one document after all others, rows that share one as one."""
     return drop_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest doc_id."""
+    """One document of each group of near duplicates stays, that with the smallest doc_id; those without an id come last. Of rows with
+    the same id and text one stays; a text without words is a group of its own."""
     return keep_first(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of its source takes it."""
+    """Each document as often as the mix of its source takes it. Rows without a source are a source of their own; rows that share an
+    id, or have none, are drawn alike."""
     return mix(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each row; a null or empty text has none. A row that comes twice stays two."""
     return bpe_encode(docs, tokenizer("word_bpe_49k.json"), with_ids=True)
 
 

@@ -119,11 +119,34 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str, stemming: bool = True) -> DataFrame:
-    """id_col, lexeme, pos: a row for each word but stop words, which still count in the positions (from 1)."""
-    rows = docs.select(F.col(id_col), F.posexplode(terms(F.col(text_col))).alias("at", "word"))
-    rows = rows.where(~F.col("word").isin(*STOP)) if STOP else rows
-    return rows.select(id_col, (stemmed("word") if stemming else F.col("word")).alias("lexeme"), (F.col("at") + 1).alias("pos"))
+def postings(docs: DataFrame, id_col: str, text_col: str, stemming: bool = True, only: Query | None = None) -> DataFrame:
+    """id_col, lexeme, pos: a row for each word but stop words, which still count in the positions (from 1).
+
+    only: a query that isn't stemmed. Texts that lack a word which it needs are passed over, and of the others its words alone
+    become rows; its ranks are those of the whole index.
+    """
+    words = terms(F.col(text_col))
+    if only is None:
+        rows = docs.select(F.col(id_col), F.posexplode(words).alias("at", "word")).where(~F.col("word").isin(*STOP))
+        return rows.select(id_col, (stemmed("word") if stemming else F.col("word")).alias("lexeme"), (F.col("at") + 1).alias("pos"))
+    if stemming:
+        raise ValueError("a stem doesn't tell which words of a text it stands for")
+    lower, named, may = F.lower(F.col(text_col)), only.lexemes(True), F.lit(False)
+    for must in (only.lexemes_of(a) for a in only.alternatives):
+        holds = F.lit(bool(must))
+        for word in must:
+            holds = holds & lower.contains(word)
+        may = may | holds
+    numbered = F.filter(F.transform(words, lambda w, i: F.struct((i + 1).alias("pos"), w.alias("lexeme"))), lambda x: x["lexeme"].isin(named))
+    return docs.where(may).select(F.col(id_col), F.explode(numbered).alias("x")).select(id_col, "x.lexeme", "x.pos")
+
+
+def store_postings(index: DataFrame, id_col: str, table: str, path: str, buckets: int = 64, parts: int = 8) -> DataFrame:
+    """postings as a table in buckets of their lexemes, sorted: a query reads the buckets of its lexemes only. The rows of a frequent
+    lexeme are written by up to `parts` tasks, each to a file of its own."""
+    dealt = index.repartition(F.col("lexeme"), F.pmod(F.xxhash64(id_col), F.lit(parts)))
+    dealt.write.bucketBy(buckets, "lexeme").sortBy("lexeme", id_col, "pos").option("path", path).mode("overwrite").saveAsTable(table)
+    return index.sparkSession.table(table)
 
 
 @dataclass(frozen=True)
@@ -140,6 +163,15 @@ class Query:
 
     alternatives: tuple[tuple[tuple[Term, ...], tuple[Term, ...]], ...]
 
+    @staticmethod
+    def lexemes_of(alternative: tuple[tuple[Term, ...], tuple[Term, ...]]) -> list[str]:
+        """The lexemes that an alternative needs."""
+        return sorted({x for t in alternative[0] for x in t.lexemes})
+
+    def lexemes(self, unwanted: bool = False) -> list[str]:
+        """Those that some alternative needs, and with `unwanted` those that must not occur."""
+        return sorted({x for a in self.alternatives for ts in (a if unwanted else a[:1]) for t in ts for x in t.lexemes})
+
 
 def parse(question: str, stemming: bool = True) -> Query:
     """A query as people type it: words together, "phrases", or, and a - before what isn't wanted. Nothing is an error."""
@@ -156,6 +188,11 @@ def parse(question: str, stemming: bool = True) -> Query:
     return Query(tuple(a for a in out if a[0] or a[1]))
 
 
+@lru_cache(maxsize=10_000)
+def parsed(question: str | None, stemming: bool) -> Query:
+    return parse(question or "", stemming)
+
+
 def _hits(found: DataFrame, id_col: str, term: Term) -> DataFrame:
     """id_col and the positions where a phrase begins."""
     first = found.where(F.col("lexeme") == term.lexemes[0]).select(id_col, "pos")
@@ -186,7 +223,7 @@ def keyword_rank(index: DataFrame, id_col: str, query: Query) -> DataFrame:
     divided by 1 + the number of words in it that the query doesn't name. index: postings. Only the postings of the query's
     lexemes are looked at, a filter that reaches the scan of a written index.
     """
-    wanted = sorted({x for must, _ in query.alternatives for t in must for x in t.lexemes})
+    wanted = query.lexemes()
     if not wanted:
         return index.select(id_col, F.lit(0.0).alias("rank")).limit(0)
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy("pos"))
@@ -220,7 +257,7 @@ def cover_ranks(found: list[tuple[int, str]], query: Query) -> float:
         sets = [{p - d for p in at.get(x, ())} for x, d in zip(term.lexemes, term.distances)]
         return bool(set.intersection(*sets))
 
-    wanted = {x for must, _ in query.alternatives for t in must for x in t.lexemes}
+    wanted = set(query.lexemes())
     own = [(pos, lexeme) for pos, lexeme in found if lexeme in wanted]
     ends: dict[int, int] = {}  # by the place of a cover's first posting, that of its last
     for must, never in query.alternatives:
@@ -242,21 +279,26 @@ def cover_ranks(found: list[tuple[int, str]], query: Query) -> float:
     return total
 
 
-def keyword_rank_batch(index: DataFrame, id_col: str, queries: dict[int, Query], query_col: str = "query_id") -> DataFrame:
-    """query_col, id_col, rank of all documents that match, for many queries in one pass over the index.
+def keyword_rank_batch(index: DataFrame, id_col: str, questions: DataFrame, stemming: bool = True, query_col: str = "query_id", text_col: str = "question") -> DataFrame:
+    """query_col, id_col, rank of all documents that match, for many questions (query_col, text_col) in one pass over the index.
 
-    The lexemes of the queries, one row for each, meet the postings; what a query finds in a document is brought together, never
-    more than the document has words, and ranked there as keyword_rank() would.
+    Questions are parsed in tasks. Their lexemes, one row for each, meet the postings; what a question finds in a document is
+    brought together, never more than the document has words, and ranked there as keyword_rank() would.
     """
-    spark = index.sparkSession
-    named = [(q, x) for q, query in queries.items() for x in sorted({x for a in query.alternatives for ts in a for t in ts for x in t.lexemes})]
-    wanted = spark.createDataFrame(named, "__q long, lexeme string")
-    rows = index.join(wanted, "lexeme").groupBy("__q", id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "lexeme"))).alias("found"))
+    own, known = dict(questions.dtypes)[query_col], dict(index.dtypes)[id_col]
 
-    def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lexemes(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in source:
-            ranks = [cover_ranks([(x["pos"], x["lexeme"]) for x in found], queries[q]) for q, found in zip(frame["__q"], frame["found"])]
-            yield pd.DataFrame({query_col: frame["__q"], id_col: frame[id_col], "rank": ranks})
+            rows = [(q, x) for q, text in zip(frame["q"], frame["text"]) for x in parsed(text, stemming).lexemes(True)]
+            yield pd.DataFrame(rows, columns=["q", "lexeme"])
 
-    kind = dict(index.dtypes)[id_col]
-    return rows.mapInPandas(run, f"`{query_col}` long, `{id_col}` {kind}, rank double").where("rank > 0")
+    def ranks(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in source:
+            found = [cover_ranks([(x["pos"], x["lexeme"]) for x in rows], parsed(text, stemming)) for text, rows in zip(frame["text"], frame["found"])]
+            yield pd.DataFrame({"q": frame["q"], "id": frame["id"], "rank": found})
+
+    asked = questions.select(F.col(query_col).alias("q"), F.col(text_col).alias("text"))
+    wanted = asked.mapInPandas(lexemes, f"q {own}, lexeme string")
+    rows = index.select(F.col(id_col).alias("id"), "lexeme", "pos").join(wanted, "lexeme").groupBy("q", "id").agg(F.sort_array(F.collect_list(F.struct("pos", "lexeme"))).alias("found"))
+    found = rows.join(asked, "q").select("q", "id", "text", "found").mapInPandas(ranks, f"q {own}, id {known}, rank double").where("rank > 0")
+    return found.select(F.col("q").alias(query_col), F.col("id").alias(id_col), "rank")

@@ -9,7 +9,10 @@ from .text import is_blank, strip
 
 # Types by extension, labels by route.
 DOCUMENT_TYPES = {"pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}
-IMAGE_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff"}
+IMAGE_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "jp2": "image/jp2"}
+#: Types of other images and files that documents hold, by extension, as registered with IANA.
+OTHER_TYPES = {"svg": "image/svg+xml", "ico": "image/vnd.microsoft.icon", "heic": "image/heic", "heif": "image/heif", "avif": "image/avif", "emf": "image/emf", "wmf": "image/wmf", "pdf": "application/pdf", "json": "application/json", "xml": "text/xml", "html": "text/html", "htm": "text/html", "css": "text/css", "csv": "text/csv", "txt": "text/plain", "zip": "application/zip"}
+UNKNOWN_TYPE = "application/octet-stream"
 CAPTIONED = ["image/png", "image/jpeg", "image/webp", "image/gif"]
 ROUTES = {"internal": "📚 Internal Knowledge", "web": "🌐 Web Search", "unavailable": "⚠️ No Reliable Source Found"}
 OTHER_ROUTE = "🤖 AI Response"
@@ -39,7 +42,16 @@ def extension(name: Column) -> Column:
 
 
 def image_mime(name: Column) -> Column:
-    return F.coalesce(lookup(IMAGE_TYPES, extension(name)), F.concat(F.lit("image/"), extension(name)))
+    """Type of an image by its extension; a general one where the extension isn't known."""
+    return F.coalesce(lookup({**OTHER_TYPES, **IMAGE_TYPES}, extension(name)), F.lit(UNKNOWN_TYPE))
+
+
+def image_extension(name: Column, mime: Column) -> Column:
+    """Extension of a file name, or where it has none that of its type; bin for types that aren't known."""
+    by_type = {v: k for k, v in reversed([*IMAGE_TYPES.items(), *OTHER_TYPES.items()])}
+    own = F.regexp_extract(file_name(name), r"[^.]\.([^.]+)$", 1)
+    found = lookup(by_type, F.lower(strip(mime)))
+    return F.when(own != "", extension(own)).when(found.isNotNull(), extension(found)).otherwise("bin")
 
 
 def image_blob(source: Column, document_id: Column, index: Column, name: Column) -> Column:

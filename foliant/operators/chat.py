@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.names import chat_title, history_title
+from .numbering import numbered
 
 
 def titles(messages: DataFrame, chat: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -18,14 +19,17 @@ def titles(messages: DataFrame, chat: str = "conv_id", turn: str = "turn") -> Da
 def history(messages: DataFrame, active: int | None = None, chat: str = "conv_id", turn: str = "turn", user: str | None = None) -> DataFrame:
     """user, chat, label, messages, place: chats that have messages, newest (the greatest chat) first.
 
-    user: whose chats they are; each user's are numbered for themselves. Without it they count as one user's.
+    user: whose chats they are; each user's are numbered for themselves. Without it they count as one user's, and are numbered
+    range by range: no task sees more than its range and a count for each.
     """
     keys = [user, chat] if user else [chat]
     asked = F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col(turn)))
     rows = messages.groupBy(*keys).agg(asked.alias("question"), F.count("*").alias("messages")).where("question is not null")
     label = history_title(chat_title(F.col("question")), F.col(chat) == F.lit(active) if active is not None else F.lit(False))
-    newest = Window.partitionBy(user or F.lit(0)).orderBy(F.desc(chat))
-    return rows.select(*keys, label.alias("label"), "messages", F.row_number().over(newest).alias("place"))
+    rows = rows.select(*keys, label.alias("label"), "messages")
+    if not user:
+        return numbered(rows, chat, "place", descending=True)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(user).orderBy(F.desc(chat))))
 
 
 def after(actions: DataFrame, user: str = "user_id", order: str = "seq") -> DataFrame:

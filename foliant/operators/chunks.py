@@ -176,7 +176,8 @@ def _column(values: Any, to: pa.Field) -> list[Any]:
 
 
 def build_chunks(elements: DataFrame, sizes: Sizes | None = None, document: str = "document_id", order: str = "unit_ordinal") -> DataFrame:
-    """Chunks (columns of CHUNK) of the documents whose elements analyze() gives. One shuffle, by document."""
+    """Chunks (columns of CHUNK) of the documents whose elements analyze() gives. One shuffle, by document: a document is packed in one
+    task, however long it is, which holds one chunk of it at a time."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 

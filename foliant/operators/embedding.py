@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from queue import Empty, Queue
+from threading import Thread
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +17,7 @@ from pyspark.sql.window import Window
 from ..functions.names import CAPTIONED, image_item_id, item_id
 from ..functions.text import is_blank, required
 from ..functions.vectors import is_valid
+from .numbering import numbered
 
 BATCH = 32
 
@@ -25,19 +31,70 @@ def image_inputs(images: DataFrame) -> DataFrame:
     return images.select(image_item_id(F.col("document_id"), F.col("image_index")).alias("item_id"), F.col("caption").alias("text"))
 
 
-def batch_number(order: str, size: int = BATCH, within: str | None = None) -> Column:
-    """Number of the batch that a row falls in, from 0. Without `within`, all rows are numbered in one task: for small tables."""
+def batched(inputs: DataFrame, order: str, size: int = BATCH, within: str | None = None) -> DataFrame:
+    """inputs with `batch`, the number of the batch that a row falls in, from 0. order: a column whose values differ, within each
+    value of `within` or else in the whole table, which is numbered range by range."""
     if size < 1:
         raise ValueError("a batch must have at least one row")
-    window = Window.partitionBy(within) if within else Window.partitionBy(F.lit(0))
-    return F.floor((F.row_number().over(window.orderBy(order)) - 1) / size)
+    if within:
+        rows = inputs.withColumn("__nth", F.row_number().over(Window.partitionBy(within).orderBy(order)))
+    else:
+        rows = numbered(inputs, order, "__nth")
+    return rows.withColumn("batch", F.floor((F.col("__nth") - 1) / size)).drop("__nth")
 
 
-def embed(inputs: DataFrame, model: Callable[[list[str]], tuple[list[list[float] | None], int | None]], name: str, size: int = BATCH) -> DataFrame:
+@dataclass(frozen=True)
+class Client:
+    """How a model is called: seconds that an answer may take, and how often a failed call is made again, after waits that double.
+
+    The call runs in a thread of its own; one that takes too long is left to itself and counts as failed.
+    """
+
+    timeout: float = 30.0
+    retries: int = 2
+    wait: float = 0.5
+
+    def __post_init__(self):
+        if self.timeout <= 0 or self.retries < 0 or self.wait < 0:
+            raise ValueError("the timeout must be positive, retries and wait not negative")
+
+    def __call__(self, call: Callable[..., Any], *given: Any) -> Any:
+        for attempt in range(self.retries + 1):
+            try:
+                return self._once(call, given)
+            except Exception:
+                if attempt == self.retries:
+                    raise
+                time.sleep(self.wait * 2**attempt)
+
+    def _once(self, call: Callable[..., Any], given: tuple[Any, ...]) -> Any:
+        box: Queue = Queue()
+
+        def run() -> None:
+            try:
+                box.put((call(*given), None))
+            except Exception as e:
+                box.put((None, e))
+
+        Thread(target=run, daemon=True).start()
+        try:
+            value, error = box.get(timeout=self.timeout)
+        except Empty:
+            raise TimeoutError(f"no answer within {self.timeout:g} seconds") from None
+        if error is not None:
+            raise error
+        return value
+
+
+#: Limits of calls for vectors and for captions.
+EMBEDDING, CAPTION = Client(), Client(timeout=60.0)
+
+
+def embed(inputs: DataFrame, model: Callable[[list[str]], tuple[list[list[float] | None], int | None]], name: str, size: int = BATCH, client: Client = EMBEDDING) -> DataFrame:
     """item_id, embedding, model, total_tokens (of the row's batch, on its first row), error.
 
     model: from texts to vectors in their order, and the tokens used. It is called for `size` texts at a time within a task. If a
-    call fails, or gives another number of vectors, its rows have an error in place of vectors, and the others go on.
+    call fails for good, as client has it, or gives another number of vectors, its rows have an error in place of vectors, and the others go on.
     """
 
     def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,7 +103,7 @@ def embed(inputs: DataFrame, model: Callable[[list[str]], tuple[list[list[float]
             for at in range(0, len(frame), size):
                 part = frame.iloc[at : at + size]
                 try:
-                    vectors, used = model(part["text"].tolist())
+                    vectors, used = client(model, part["text"].tolist())
                     if len(vectors) != len(part):
                         raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
                     error = None
@@ -58,7 +115,7 @@ def embed(inputs: DataFrame, model: Callable[[list[str]], tuple[list[list[float]
     return inputs.select("item_id", "text").mapInPandas(run, "item_id string, embedding array<float>, model string, total_tokens long, error string")
 
 
-def caption(images: DataFrame, model: Callable[[bytes, str], str], name: str) -> DataFrame:
+def caption(images: DataFrame, model: Callable[[bytes, str], str], name: str, client: Client = CAPTION) -> DataFrame:
     """images (content, mime_type, ...) with caption, caption_model and error. Images of other types than CAPTIONED are left out, a blank caption is an error."""
 
     @F.pandas_udf("struct<caption:string,error:string>")
@@ -66,7 +123,7 @@ def caption(images: DataFrame, model: Callable[[bytes, str], str], name: str) ->
         out = []
         for data, kind in zip(content, mime):
             try:
-                text = (model(bytes(data), kind) or "").strip()
+                text = (client(model, bytes(data), kind) or "").strip()
                 out.append((text or None, None if text else "the model gave no caption"))
             except Exception as e:
                 out.append((None, str(e) or type(e).__name__))
@@ -101,10 +158,11 @@ def by_index(items: DataFrame, inputs: DataFrame, index: str = "index") -> DataF
     return inputs.join(items, index)
 
 
-def totals(batches: DataFrame) -> DataFrame:
-    """input_count, total_tokens (null if a batch has none), models and whether they are one, over batches (n, total_tokens, model)."""
+def totals(batches: DataFrame, *by: str) -> DataFrame:
+    """input_count, total_tokens (null if a batch has none) and whether the models are one, over batches (n, total_tokens, model), or
+    for each value of `by`."""
     whole = F.when(F.count_if(F.col("total_tokens").isNull()) == 0, F.sum("total_tokens"))
-    return batches.agg(F.sum("n").alias("input_count"), whole.alias("total_tokens"), (F.count_distinct("model") == 1).alias("one_model"))
+    return batches.groupBy(*by).agg(F.sum("n").alias("input_count"), whole.alias("total_tokens"), (F.count_distinct("model") == 1).alias("one_model"))
 
 
 def caption_text(text: Column) -> Column:

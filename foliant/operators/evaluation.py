@@ -1,10 +1,18 @@
-"""Scores of answered questions that need no language model."""
+"""Scores of answered questions; what needs a language model gets it passed in."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .embedding import Client
+
+#: Limits of calls of a judge.
+JUDGE = Client(timeout=120.0)
+
 
 def routing(questions: DataFrame, answered: DataFrame, key: str = "id") -> DataFrame:
     """questions (expected_route) with actual_route, correct, highest_retrieval_score and route_reason. Unanswered ones are wrong."""
@@ -25,6 +33,26 @@ def metric_means(scores: DataFrame, digits: int = 4) -> DataFrame:
     return scores.groupBy("metric").agg(F.round(F.avg(good), digits).alias("value"))
 
 
+def judged(answered: DataFrame, judge: Callable[[str, str, list[str], str], dict[str, float]], metrics: list[str], client: Client = JUDGE) -> DataFrame:
+    """id, metric, score, error: what a judging model says of each answer (id, question, answer, contexts, reference), such as
+    faithfulness, context precision and recall. A metric that it leaves out, or a call that fails for good, gives a null score, which
+    metric_means() passes over; the others go on."""
+
+    def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in source:
+            out = []
+            for key, question, answer, contexts, reference in zip(*(frame[c] for c in ("id", "question", "answer", "contexts", "reference"))):
+                try:
+                    told, error = client(judge, question, answer, list(contexts) if contexts is not None else [], reference), None
+                except Exception as e:
+                    told, error = {}, str(e) or type(e).__name__
+                out += [(key, m, told.get(m), error) for m in metrics]
+            yield pd.DataFrame(out, columns=["id", "metric", "score", "error"])
+
+    rows = answered.select("id", "question", "answer", "contexts", "reference")
+    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, metric string, score double, error string")
+
+
 def ingestion_counts(documents: DataFrame) -> DataFrame:
     """total, succeeded, failed."""
     count = lambda s: F.count_if(F.col("processing_status") == s)

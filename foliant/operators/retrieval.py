@@ -18,8 +18,9 @@ from ..functions.vectors import blend, cosine
 # Fixed values of retrieval.
 TEXT_K, IMAGE_K, WEB_K, THRESHOLD, SIMILARITY_WEIGHT = 5, 3, 5, 0.30, 0.80
 NO_SOURCES = "The internal documents did not contain enough relevant information, and no useful web results were found."
-#: Queries that go over the chunks in one pass: their vectors are sent to all executors.
-QUERY_BLOCK = 2048
+NO_CHUNKS = "The available documents do not contain enough information to answer this question."
+#: Bytes of the query vectors that are sent to all executors for one pass over the chunks, and queries of a tile of its products.
+QUERY_BYTES, QUERY_TILE = 64 << 20, 2048
 
 
 def checked_k(k: int | None, default: int) -> int:
@@ -58,82 +59,94 @@ def vector_topk(chunks: DataFrame, query: list[float], k: int | None = None, vec
 def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int | None = None, vector: str = "embedding", key: str = "id", query_key: str = "query_id", other: bool = False, ranks: DataFrame | None = None, weight: float = SIMILARITY_WEIGHT) -> DataFrame:
     """query_key, key, score, rank: the k chunks most similar to each query (query_key, vector).
 
-    Queries go over the chunks in blocks of QUERY_BLOCK, a matrix product for each batch of chunks; a task returns its k best for
-    each query, and these few are ranked. So what is sent out and what is shuffled don't grow with the number of chunks times
-    queries. other: a query's own key isn't among its results. ranks: keyword ranks (query_key, key, rank) of those that have
-    one; scores then are `weight` of the similarity and the rest of the rank.
+    Queries go over the chunks in blocks of QUERY_BYTES, a matrix product for each tile of queries and batch of chunks; a task
+    returns its k best for each query, and these few are ranked. So what is sent out for a pass is bounded, and what is shuffled
+    doesn't grow with the number of chunks times queries. other: a query's own key isn't among its results.
+
+    ranks: keyword ranks (query_key, key, rank) of those pairs that have one; scores then are `weight` of the similarity and the
+    rest of the rank. A pair without a rank is among the best only if it is among the k most similar; so these and the pairs
+    with a rank, whose vectors are joined to them, are all that can be.
     """
     k = checked_k(k, TEXT_K)
-    spark = chunks.sparkSession
-    rows = chunks.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    v = F.col(vector).cast("array<double>").alias("v")
+    rows = chunks.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), v)
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("long").alias("query"), v)
+    found = _passes(rows, asked, k, other)
     if ranks is not None:
-        pairs = F.collect_list(F.struct(F.col(query_key).cast("long").alias("q"), F.least("rank", F.lit(1.0)).alias("r")))
-        rows = rows.join(ranks.groupBy(F.col(key).cast("long").alias("key")).agg(pairs.alias("ranks")), "key", "left")
-    parts: list[DataFrame] = []
+        pairs = ranks.select(F.col(query_key).cast("long").alias("query"), F.col(key).cast("long").alias("key"), "rank")
+        pairs = pairs.where("query <> key") if other else pairs
+        similarity = cosine(F.col("v"), F.col("w"))
+        ranked = pairs.join(asked.withColumnRenamed("v", "w"), "query").join(rows, "key").withColumn("similarity", similarity).where("similarity is not null")
+        ranked = ranked.select("query", "key", blend(F.col("similarity"), F.col("rank"), weight).alias("score"))
+        found = found.withColumn("score", F.lit(weight) * F.col("score")).unionByName(ranked).groupBy("query", "key").agg(F.max("score").alias("score"))
+    return top_by(found, ["query"], k, key="key").select(F.col("query").alias(query_key), F.col("key").alias(key), "score", "rank")
 
-    def block(ids: list[int], vectors: list[list[float]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(vectors, np.float64)))
-        return rows.mapInArrow(_best(sent, k, other, None if ranks is None else weight), "query long, key long, score double")
 
+def _passes(rows: DataFrame, asked: DataFrame, k: int, other: bool) -> DataFrame:
+    """query, key, score: of each task's rows the k most similar to each query, one pass over the rows for each block of queries."""
+    spark, found = rows.sparkSession, None
     ids: list[int] = []
-    vectors: list[list[float]] = []
-    for row in queries.select(F.col(query_key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).toLocalIterator():
-        ids.append(row["q"])
-        vectors.append(row["v"])
-        if len(ids) == QUERY_BLOCK:
-            parts.append(block(ids, vectors))
-            ids, vectors = [], []
-    if ids or not parts:
-        parts.append(block(ids, vectors))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return top_by(found, ["query"], k, key="key").select(F.col("query").alias(query_key), F.col("key").alias(key), "score", "rank")
+    vectors: list[np.ndarray] = []
+    held = 0
 
+    def one() -> DataFrame:
+        sent = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(vectors, np.float64)))
+        return rows.mapInArrow(_best(sent, k, other), "query long, key long, score double")
 
-def _best(sent, k: int, other: bool, weight: float | None = None):
+    for row in asked.toLocalIterator():
+        v = np.array(row["v"], np.float64)
+        if ids and (held + v.nbytes > QUERY_BYTES or len(v) != len(vectors[0])):
+            found, ids, vectors, held = one() if found is None else found.unionByName(one()), [], [], 0
+        ids.append(row["query"])
+        vectors.append(v)
+        held += v.nbytes
+    if ids or found is None:
+        found = one() if found is None else found.unionByName(one())
+    return found
+
+
+def _best(sent, k: int, other: bool):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = sent.value
-        place = {q: i for i, q in enumerate(ids.tolist())}
         queries = queries.reshape(len(ids), -1)
         sizes = np.sqrt((queries**2).sum(axis=1))
-        keys = np.zeros((len(ids), 0), np.int64)
-        scores = np.zeros((len(ids), 0))
+        tiles = [slice(at, at + QUERY_TILE) for at in range(0, len(ids), QUERY_TILE)]
+        best = [(np.zeros((len(ids[t]), 0), np.int64), np.zeros((len(ids[t]), 0))) for t in tiles]
         for batch in source:
-            if not batch.num_rows or not len(ids):
+            own, v = _matrix(batch, queries.shape[1])
+            if not len(own) or not len(ids):
                 continue
-            own = np.asarray(batch["key"])
-            flat, offsets = np.asarray(batch["v"].flatten()), np.asarray(batch["v"].offsets)
-            fits = np.diff(offsets) == queries.shape[1]
-            if not fits.all():
-                flat = np.concatenate([np.zeros(0), *[flat[a:b] for a, b, f in zip(offsets - offsets[0], offsets[1:] - offsets[0], fits) if f]])
-                own = own[fits]
-            v = flat.reshape(-1, queries.shape[1])
             size = np.sqrt((v**2).sum(axis=1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                new = (queries @ v.T) / (sizes[:, None] * size)
-            if weight is not None:
-                new *= weight
-                told = batch["ranks"].to_pylist()
-                for j, pairs in enumerate(t for t, f in zip(told, fits) if f):
-                    for x in pairs or ():
-                        if x["q"] in place:
-                            new[place[x["q"]], j] += (1 - weight) * x["r"]
-            new[~np.isfinite(new)] = -np.inf
-            if other:
-                new[own[None, :] == ids[:, None]] = -np.inf
-            keys = np.concatenate([keys, np.broadcast_to(own, new.shape)], axis=1)
-            scores = np.concatenate([scores, new], axis=1)
-            if keys.shape[1] > k:
-                by = np.lexsort((keys, -scores), axis=1)[:, :k]
-                keys, scores = np.take_along_axis(keys, by, 1), np.take_along_axis(scores, by, 1)
-        good = np.isfinite(scores)
-        q = np.broadcast_to(ids[:, None], scores.shape)[good]
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(keys[good]), pa.array(scores[good])], ["query", "key", "score"])
+            for n, t in enumerate(tiles):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    new = (queries[t] @ v.T) / (sizes[t][:, None] * size)
+                new[~np.isfinite(new)] = -np.inf
+                if other:
+                    new[own[None, :] == ids[t][:, None]] = -np.inf
+                keys = np.concatenate([best[n][0], np.broadcast_to(own, new.shape)], axis=1)
+                scores = np.concatenate([best[n][1], new], axis=1)
+                if keys.shape[1] > k:
+                    by = np.lexsort((keys, -scores), axis=1)[:, :k]
+                    keys, scores = np.take_along_axis(keys, by, 1), np.take_along_axis(scores, by, 1)
+                best[n] = keys, scores
+        for t, (keys, scores) in zip(tiles, best):
+            good = np.isfinite(scores)
+            q = np.broadcast_to(ids[t][:, None], scores.shape)[good]
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(keys[good]), pa.array(scores[good])], ["query", "key", "score"])
 
     return run
 
 
+def _matrix(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of the rows whose vectors have `width` numbers."""
+    own, offsets = np.asarray(batch["key"]), np.asarray(batch["v"].offsets)
+    flat = np.asarray(batch["v"].flatten())
+    fits = np.diff(offsets) == width
+    if not fits.all():
+        flat = np.concatenate([np.zeros(0), *[flat[a:b] for a, b, f in zip(offsets - offsets[0], offsets[1:] - offsets[0], fits) if f]])
+    return own[fits], flat.reshape(-1, width) if width else np.zeros((0, 0))
+
+
 def _named(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("id").alias("document_id"), F.col("file_name").alias("document_name"))
 

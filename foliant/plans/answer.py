@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fulltext import keyword_rank_batch, parse
+from ..functions.fulltext import keyword_rank_batch
 from ..functions.names import route_label
 from ..operators import embedding, retrieval
 
@@ -35,18 +35,47 @@ class Settings:
 def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, index: DataFrame, settings: Settings | None = None) -> DataFrame:
     """query_id, id, document_id, document_name, score, rank and the other columns of chunks: the best blended matches of each question.
 
-    questions: query_id, question, embedding. The questions' texts are parsed on the driver, a few words each; chunks are scored in
-    blocks of questions, and joined again only once they are chosen.
+    questions: query_id, question, embedding. Chunks are scored in blocks of questions, and joined again only once they are chosen.
     """
     settings = settings or Settings()
-    asked = {r["query_id"]: parse(r["question"] or "", settings.stemming) for r in questions.select("query_id", "question").toLocalIterator()}
-    ranks = keyword_rank_batch(index, "id", asked)
+    ranks = keyword_rank_batch(index, "id", questions, settings.stemming)
     names = documents.select(F.col("id").alias("document_id"), F.col("file_name").alias("document_name"))
     known = chunks.join(names.select("document_id"), "document_id", "left_semi")
     best = retrieval.vector_topk_batch(known, questions, settings.text_k, ranks=ranks)
     return best.join(chunks.drop("embedding"), "id").join(names, "document_id")
 
 
+def _asked(questions: DataFrame, model: Callable[[list[str]], Any]) -> tuple[DataFrame, DataFrame]:
+    """The valid questions, and those of them that the model gave a vector, with it."""
+    valid = questions.where(retrieval.valid_question(F.col("question")))
+    vectors = embedding.embed(valid.select(F.col("query_id").cast("string").alias("item_id"), F.col("question").alias("text")), model, "questions")
+    return valid, valid.join(vectors.select(F.col("item_id").cast("long").alias("query_id"), "embedding"), "query_id").where("embedding is not null")
+
+
+def _own_sources(found: DataFrame) -> DataFrame:
+    """query_id, own: the chunks of a question as its sources, in the order of their rank."""
+    rows = F.sort_array(F.collect_list(F.struct("rank", "title", "location", "score")))
+    one = lambda x: F.struct(F.lit("internal").alias("source_type"), x["title"].alias("title"), x["location"].alias("location"), F.lit(None).cast("string").alias("url"), x["score"].alias("score"))
+    return retrieval.sources(found).groupBy("query_id").agg(F.transform(rows, one).alias("own"))
+
+
+def grounded(questions: DataFrame, chunks: DataFrame, documents: DataFrame, index: DataFrame, model: Callable[[list[str]], Any], generate: Callable[[Column], Column], settings: Settings | None = None) -> DataFrame:
+    """A row for each valid question: answer, sources, retrieved_chunk_count, requires_web_search.
+
+    No threshold: whatever chunks there are make the prompt. Where there are none, the answer is a fixed one and a search of the web
+    is called for.
+    """
+    settings = settings or Settings()
+    valid, asked = _asked(questions, model)
+    found = retrieve(asked, chunks, documents, index, settings)
+    counts = found.groupBy("query_id").agg(F.count("*").alias("n"))
+    rows = valid.join(counts, "query_id", "left").join(retrieval.document_context(found), "query_id", "left").join(_own_sources(found), "query_id", "left")
+    n = F.coalesce("n", F.lit(0))
+    text = retrieval.prompt(settings.system, INTERNAL[0], F.col("context"), F.col("question"), INTERNAL[1])
+    told = F.when(n > 0, generate(text)).otherwise(retrieval.NO_CHUNKS)
+    return rows.select("query_id", "question", told.alias("answer"), F.col("own").alias("sources"), n.alias("retrieved_chunk_count"), (n == 0).alias("requires_web_search"))
+
+
 def answer(
     questions: DataFrame, chunks: DataFrame, documents: DataFrame, index: DataFrame, model: Callable[[list[str]], Any], generate: Callable[[Column], Column], images: DataFrame | None = None, web: DataFrame | None = None, settings: Settings | None = None
 ) -> DataFrame:
@@ -57,9 +86,7 @@ def answer(
     caption_embedding, found for internally answered questions only.
     """
     settings = settings or Settings()
-    valid = questions.where(retrieval.valid_question(F.col("question")))
-    vectors = embedding.embed(valid.select(F.col("query_id").cast("string").alias("item_id"), F.col("question").alias("text")), model, "questions")
-    asked = valid.join(vectors.select(F.col("item_id").cast("long").alias("query_id"), "embedding"), "query_id").where("embedding is not null")
+    valid, asked = _asked(questions, model)
     found = retrieve(asked, chunks, documents, index, settings)
     results = retrieval.web_results(web, settings.web_k) if web is not None else questions.sparkSession.createDataFrame([], "query_id long, position int, title string, link string, snippet string")
     routes = retrieval.route(valid, found, settings.threshold, results)
@@ -70,10 +97,8 @@ def answer(
     text = text.when(F.col("route") == "web", retrieval.prompt(settings.system, WEB[0], F.col("web_context"), F.col("question"), WEB[1]))
     told = retrieval.answers(routes, prompts.select("query_id", "question", text.alias("prompt")), generate)
 
-    sourced = retrieval.sources(found)
-    own = sourced.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "title", "location", "score"))), lambda x: F.struct(F.lit("internal").alias("source_type"), x["title"].alias("title"), x["location"].alias("location"), F.lit(None).cast("string").alias("url"), x["score"].alias("score"))).alias("own"))
     links = results.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "title", "link"))), lambda x: F.struct(F.lit("web").alias("source_type"), x["title"].alias("title"), F.lit(None).cast("string").alias("location"), x["link"].alias("url"), F.lit(None).cast("double").alias("score"))).alias("links"))
-    told = told.join(own, "query_id", "left").join(links, "query_id", "left")
+    told = told.join(_own_sources(found), "query_id", "left").join(links, "query_id", "left")
     told = told.withColumn("sources", F.when(F.col("route") == "internal", F.col("own")).when(F.col("route") == "web", F.col("links")))
     if images is not None:
         internal = asked.join(routes.where("route = 'internal'").select("query_id"), "query_id", "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -15,9 +15,16 @@ from ..operators import embedding, structure, tables
 from ..operators.chunks import Sizes, build_chunks
 from ..operators.validate import validate
 from ..sources import files as sources
-from ..sources.store import Store
+from ..sources.store import Store, Work
 
-SCHEMAS = {"documents": tables.DOCUMENTS, "document_chunks": tables.CHUNKS, "document_images": tables.IMAGES, "image_blobs": "image_blob_name string, content binary", "work_images": "document_id string, image_index int, file_name string, blob string, mime_type string, page_number int, width int, height int, caption string, caption_model string, error string, content binary", "work_units": "document_id string, " + sources.UNIT, "work_chunks": "document_id string, chunk_index int, content string, content_type string, token_count int, section_path array<string>, metadata string, file_name string, blob_name string, file_type string", "work_vectors": "item_id string, embedding array<float>, model string, total_tokens long, error string"}
+SCHEMAS = {"documents": tables.DOCUMENTS, "document_chunks": tables.CHUNKS, "document_images": tables.IMAGES, "image_blobs": "image_blob_name string, document_id string, content binary"}
+#: What deals the rows of a table to the buckets of the store.
+KEYS = {"documents": tables.KEY, "document_chunks": ("document_id",), "document_images": ("document_id",), "image_blobs": ("document_id",)}
+
+
+def open_store(spark: SparkSession, path: str, buckets: int = 64, keep: int = 2) -> Store:
+    """The store that ingest() writes to."""
+    return Store(spark, path, SCHEMAS, KEYS, buckets, keep)
 
 
 def preview(files: DataFrame, parsers: dict[str, sources.Parser] | None = None) -> DataFrame:
@@ -32,13 +39,13 @@ def incoming(files: DataFrame, container: Column) -> DataFrame:
     return rows.select(key.alias("document_id"), "path", "source_container", "source_blob_name", "file_name", "file_type", "mime_type", F.col("size").alias("file_size_bytes"), "checksum", F.lit("{}").alias("metadata"), "content")
 
 
-def _images(store: Store, new: DataFrame, ids: DataFrame, container: Column, captioner: Callable[[bytes, str], str], model: Callable[[list[str]], Any], name: str, now: Column) -> DataFrame:
+def _images(store: Store, work: Work, new: DataFrame, ids: DataFrame, container: Column, captioner: Callable[[bytes, str], str], model: Callable[[list[str]], Any], name: str, now: Column) -> DataFrame:
     """Takes in the images of documents: captions, vectors of the captions, bytes. Returns document_id and image_error of each document
     with a caption that failed; its old images stay. All others get their new images, which may be none."""
     found = sources.images(new).join(ids, "path").join(new.select("path", "source_blob_name"), "path")
     size = sources.image_size(F.col("content"))
     found = found.withColumns({"width": size["width"], "height": size["height"], "blob": names.image_blob(F.col("source_blob_name"), F.col("document_id"), F.col("image_index"), F.col("file_name"))})
-    told = store.write("work_images", embedding.caption(found, captioner, name))
+    told = work.write("images", embedding.caption(found, captioner, name))
     failed = told.where("error is not null").groupBy("document_id").agg(F.max("error").alias("image_error"))
     good = told.join(failed, "document_id", "left_anti")
     vectors = embedding.embed(embedding.image_inputs(good), model, name)
@@ -47,10 +54,10 @@ def _images(store: Store, new: DataFrame, ids: DataFrame, container: Column, cap
         F.sha2("item_id", 256).alias("id"), "document_id", "image_index", "page_number", F.col("file_name").alias("image_file_name"), container.alias("image_container"), F.col("blob").alias("image_blob_name"), "caption", F.col("embedding").alias("caption_embedding"),
         "mime_type", "width", "height", F.lit("{}").alias("metadata"), now.alias("created_at"),
     )
-    blobs = store.read("image_blobs").join(good.select(F.col("blob").alias("image_blob_name")), "image_blob_name", "left_anti")
-    store.write("image_blobs", blobs.unionByName(good.select(F.col("blob").alias("image_blob_name"), "content")))
-    replaced = ids.join(failed, "document_id", "left_anti")
-    store.write("document_images", tables.replace_children(store.read("document_images"), rows, replaced))
+    rows, replaced = work.write("image_rows", rows), work.write("replaced", ids.join(failed, "document_id", "left_anti").select("document_id").distinct())
+    contents = good.select(F.col("blob").alias("image_blob_name"), "document_id", "content")
+    store.update("image_blobs", replaced, lambda old: tables.replace_children(old, contents, replaced))
+    store.update("document_images", replaced, lambda old: tables.replace_children(old, rows, replaced))
     return failed
 
 
@@ -61,38 +68,42 @@ def ingest(
 
     A document that is there already keeps id and time of creation, and its chunks are replaced. One that can't be parsed, has no
     text, has faulty chunks or no proper vectors is marked as failed, and its old chunks stay; the others go on. Running it again
-    over the same files ends in the same state. Steps are written, so none is computed twice. captioner: describes images; with it,
+    over the same files ends in the same state. Only the buckets that hold these documents are read and rewritten, whatever the
+    size of the store; steps are written to a place of this run's own, so none is computed twice, and runs don't meet. captioner: describes images; with it,
     the images of the files are stored too, and a caption that fails makes its document a failed one.
     """
-    sizes = sizes or Sizes()
+    sizes, work = sizes or Sizes(), store.work()
     new = incoming(files, container)
-    documents = store.write("documents", tables.upsert_documents(store.read("documents"), new, now))
+    keys = work.write("keys", new.select(*tables.KEY).distinct())
+    store.update("documents", keys, lambda old: tables.upsert_documents(old, new, now))
+    documents = store.read("documents", keys=keys)
     ids = new.select("path", "document_id", "source_container", "source_blob_name").join(documents.select(F.col("id").alias("known"), *tables.KEY), list(tables.KEY), "left")
-    ids = ids.select("path", F.coalesce("known", "document_id").alias("document_id"))
+    ids = work.write("ids", ids.select("path", F.coalesce("known", "document_id").alias("document_id")))
     parsed = sources.parse(new.select("path", "file_type", "content"), parsers)
-    units = store.write("work_units", parsed.join(ids, "path"))
+    units = work.write("units", parsed.join(ids, "path"))
 
     meta = new.drop("document_id").join(ids, "path").select("document_id", "file_name", F.col("source_blob_name").alias("blob_name"), "file_type")
     typed = units.where("error is null").join(meta.select("document_id", "file_type"), "document_id")
     made = build_chunks(structure.analyze(typed), sizes)
     extra = F.to_json(F.struct("section", "page_start", "page_end", "paragraph_start", "paragraph_end", "styles", "element_metadata"))
-    chunks = store.write("work_chunks", made.withColumn("metadata", extra).join(meta, "document_id"))
+    chunks = work.write("chunks", made.withColumn("metadata", extra).join(meta, "document_id"))
 
     faulty = validate(chunks, most=sizes.most).where("severity = 'error'").groupBy("collection").agg(F.concat_ws(", ", F.sort_array(F.collect_set("code"))).alias("issues"))
     good = chunks.join(faulty.select(F.col("collection").alias("document_id")), "document_id", "left_anti")
-    vectors = store.write("work_vectors", embedding.embed(embedding.chunk_inputs(good), model, name))
+    vectors = work.write("vectors", embedding.embed(embedding.chunk_inputs(good), model, name))
 
     paired = good.withColumn("item_id", item_id(F.col("document_id"), F.col("chunk_index"))).join(vectors, "item_id", "left")
     bad = F.max(F.when(~is_valid(F.col("embedding"), dimensions), F.coalesce("error", F.lit("a vector is missing or has the wrong size"))))
     embedded = paired.groupBy("document_id").agg(bad.alias("no_vector"), F.count("*").alias("n"))
     unread = units.groupBy("document_id").agg(F.max("error").alias("unread"))
-    unseen = _images(store, new, ids, container, captioner, model, name, now) if captioner else store.spark.createDataFrame([], "document_id string, image_error string")
+    unseen = _images(store, work, new, ids, container, captioner, model, name, now) if captioner else store.spark.createDataFrame([], "document_id string, image_error string")
     told = ids.join(unread, "document_id", "left").join(unseen, "document_id", "left").join(faulty.withColumnRenamed("collection", "document_id"), "document_id", "left").join(embedded, "document_id", "left")
     error = F.coalesce("unread", "issues", "no_vector", F.when(F.col("n").isNull(), "the document has no text"), "image_error")
-    outcomes = told.select("document_id", F.when(error.isNull(), "completed").otherwise("failed").alias("status"), error.alias("error")).distinct()
+    outcomes = work.write("outcomes", told.select("document_id", F.when(error.isNull(), "completed").otherwise("failed").alias("status"), error.alias("error")).distinct())
 
     done = outcomes.where("status = 'completed'").select("document_id")
     rows = paired.join(done, "document_id", "left_semi").select(F.sha2("item_id", 256).alias("id"), "document_id", "chunk_index", "content", "embedding", "content_type", "token_count", "section_path", "metadata", now.alias("created_at"))
-    store.write("document_chunks", tables.replace_children(store.read("document_chunks"), rows, done))
-    store.write("documents", tables.mark(store.read("documents"), outcomes.withColumnRenamed("document_id", "id"), now))
+    store.update("document_chunks", done, lambda old: tables.replace_children(old, rows, done))
+    store.update("documents", keys, lambda old: tables.mark(old, outcomes.withColumnRenamed("document_id", "id"), now))
+    work.clear("outcomes")
     return outcomes

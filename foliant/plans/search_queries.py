@@ -60,8 +60,9 @@ def vector_validity(spark, sf_dir):
 
 
 def _rank(spark, sf_dir, question):
-    index = fulltext.postings(table(spark, sf_dir, "documents"), "doc_id", "text", stemming=False)
-    return fulltext.keyword_rank(index, "doc_id", fulltext.parse(question, stemming=False)).select("doc_id", F.round(F.least("rank", F.lit(1.0)), 9).alias("rank"))
+    query = fulltext.parse(question, stemming=False)
+    index = fulltext.postings(table(spark, sf_dir, "documents"), "doc_id", "text", stemming=False, only=query)
+    return fulltext.keyword_rank(index, "doc_id", query).select("doc_id", F.round(F.least("rank", F.lit(1.0)), 9).alias("rank"))
 
 
 def keyword_rank_one_term(spark, sf_dir):
@@ -84,11 +85,21 @@ def keyword_rank_stemmed(spark, sf_dir):
 
 
 def hybrid_topk(spark, sf_dir):
-    index = fulltext.postings(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), "id", "text", stemming=False)
+    index = fulltext.postings(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), "id", "text", stemming=False, only=fulltext.parse(WORDS, stemming=False))
     best = retrieval.hybrid_topk(_chunks(spark, sf_dir), _documents(spark, sf_dir), index, WORDS, _question(spark, sf_dir), 5, stemming=False)
     return best.select("id", "document_name", F.round("similarity", 6).alias("similarity"), F.round("rank", 6).alias("rank"), F.round("score", 6).alias("score"))
 
 
+def blended_topk_batch(spark, sf_dir):
+    """Many questions at a time: each row that is one asks for one word or two, and has a vector; all rows are ranked by both."""
+    chunks = _chunks(spark, sf_dir)
+    asked = chunks.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "embedding", F.when(F.col("id") % 40 == 0, WORDS).otherwise(WORDS.split()[0]).alias("question"))
+    index = fulltext.postings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id", "text", stemming=False)
+    ranks = fulltext.keyword_rank_batch(index, "id", asked.select("query_id", "question"), stemming=False)
+    best = retrieval.vector_topk_batch(chunks, asked, 5, ranks=ranks)
+    return best.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def _routes(spark, sf_dir):
     found = _retrieved(spark, sf_dir)
     questions = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "label")
@@ -107,6 +118,12 @@ def routing_accuracy(spark, sf_dir):
     return evaluation.accuracy(evaluation.routing(asked, routes.withColumnRenamed("query_id", "id")))
 
 
+def score_summary(spark, sf_dir):
+    """Least, median, mean and greatest of the questions' highest scores."""
+    found = evaluation.retrieval_scores(_routes(spark, sf_dir)[0])
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
 def metric_summary(spark, sf_dir):
     rows = table(spark, sf_dir, "labels")
     scores = rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("score")) for n in ("quality", "toxic")])).alias("x")).select("x.*")
@@ -137,19 +154,17 @@ def web_results(spark, sf_dir):
 
 
 def batch_plan(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    planned = rows.select("vec_id", "label", embedding.batch_number("vec_id", within="label").cast("long").alias("batch"))
+    planned = embedding.batched(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", within="label")
     return planned.groupBy("label", "batch").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
 
 
 def token_totals(spark, sf_dir):
     """Tokens by source: null where a document's number isn't known."""
-    rows = table(spark, sf_dir, "documents").select("source", F.when(F.col("n_chars") < 20000, F.col("n_chars")).alias("t"))
-    whole = F.when(F.count_if(F.col("t").isNull()) == 0, F.sum("t"))
-    return rows.groupBy("source").agg(F.count("*").alias("n"), whole.alias("total_tokens"))
+    rows = table(spark, sf_dir, "documents").select("source", F.lit(1).alias("n"), F.when(F.col("n_chars") < 20000, F.col("n_chars")).alias("total_tokens"), F.lit("m").alias("model"))
+    return embedding.totals(rows, "source").select("source", F.col("input_count").alias("n"), "total_tokens")
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_batch, image_topk, vector_validity, keyword_rank_one_term, keyword_rank_and, keyword_rank_phrase_or, keyword_rank_stemmed, hybrid_topk, route_decision, routing_accuracy, metric_summary, prompt_context, group_sources, web_results, batch_plan, token_totals)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_batch, image_topk, vector_validity, keyword_rank_one_term, keyword_rank_and, keyword_rank_phrase_or, keyword_rank_stemmed, hybrid_topk, blended_topk_batch, route_decision, routing_accuracy, score_summary, metric_summary, prompt_context, group_sources, web_results, batch_plan, token_totals)}
 
 COSINE = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
 FIRST = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
@@ -199,6 +214,34 @@ FROM (SELECT e.vec_id AS id, source AS document_name, {COSINE} AS score FROM emb
     "vector_validity": "SELECT vec_id AS id, len(embedding) = 64 AS valid, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings",
     "keyword_rank_one_term": POSTED + f"SELECT doc_id, round(least(count(*) * CAST(0.1 AS DOUBLE), 1.0), 9) AS rank FROM words WHERE lexeme = '{A}' GROUP BY doc_id",
     "keyword_rank_and": COVERED + "SELECT doc_id, round(least(rank, 1.0), 9) AS rank FROM ranks",
+    "keyword_rank_phrase_or": POSTED + """, own AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM words WHERE lexeme IN ('thing', 'er', 'ingedbl', 'clown')
+), phrase AS (
+  SELECT DISTINCT a.doc_id FROM own a JOIN own b ON a.doc_id = b.doc_id AND a.lexeme = 'thing' AND b.lexeme = 'er' AND b.pos = a.pos + 1
+), seen AS (
+  SELECT doc_id, nth, max(CASE WHEN lexeme = 'thing' THEN nth END) OVER w AS a, max(CASE WHEN lexeme = 'er' THEN nth END) OVER w AS b
+  FROM own WHERE lexeme IN ('thing', 'er') WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), one AS (
+  SELECT doc_id, least(a, b) AS b, nth AS e FROM seen WHERE a IS NOT NULL AND b IS NOT NULL AND doc_id IN (SELECT doc_id FROM phrase)
+  UNION ALL SELECT doc_id, nth, nth FROM own WHERE lexeme = 'ingedbl' AND doc_id NOT IN (SELECT doc_id FROM own WHERE lexeme = 'thing')
+  UNION ALL SELECT doc_id, nth, nth FROM own WHERE lexeme = 'clown'
+), ends AS (SELECT doc_id, b, min(e) AS e FROM one GROUP BY doc_id, b
+), covers AS (
+  SELECT * FROM (SELECT *, min(e) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS inner_end FROM ends) WHERE inner_end IS NULL OR inner_end > e
+), ranks AS (
+  SELECT c.doc_id, sum(CAST(0.1 AS DOUBLE) / (1 + (z.pos - a.pos) - (e - b))) AS rank FROM covers c JOIN own a ON a.doc_id = c.doc_id AND a.nth = b JOIN own z ON z.doc_id = c.doc_id AND z.nth = e GROUP BY c.doc_id
+)
+SELECT doc_id, round(least(rank, 1.0), 9) AS rank FROM ranks
+""",
+    "blended_topk_batch": COVERED + f""", both_ranks AS (
+  SELECT 0 AS kind, doc_id, rank FROM ranks UNION ALL SELECT 20, doc_id, count(*) * CAST(0.1 AS DOUBLE) FROM words WHERE lexeme = '{A}' GROUP BY doc_id
+), scored AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS id, 0.8 * {COSINE} + 0.2 * least(coalesce(rank, 0), 1.0) AS score
+  FROM embeddings q CROSS JOIN embeddings e LEFT JOIN both_ranks r ON r.kind = q.vec_id % 40 AND r.doc_id = e.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 5
+""",
+    "score_summary": ROUTED + "SELECT round(min(highest), 6) AS least, round(median(highest), 6) AS median, round(avg(highest), 6) AS mean, round(max(highest), 6) AS greatest FROM told",
     "hybrid_topk": COVERED + f"""
 SELECT id, d.source AS document_name, round(similarity, 6) AS similarity, round(coalesce(rank, 0), 6) AS rank, round(0.8 * similarity + 0.2 * least(coalesce(rank, 0), 1.0), 6) AS score
 FROM (SELECT e.vec_id AS id, {COSINE} AS similarity FROM embeddings e, (SELECT {FIRST} AS embedding) q) s LEFT JOIN ranks r ON r.doc_id = s.id JOIN documents d ON d.doc_id = s.id

@@ -84,7 +84,7 @@ def running_section(spark, sf_dir):
 
 def analyze_elements(spark, sf_dir):
     found = structure.analyze(_units(spark, sf_dir))
-    return found.groupBy("element_type", "heading_level").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("documents"))
+    return found.select("document_id", "unit_ordinal", "element_type", "heading_level", F.array_join("section_path", " > ").alias("path"), F.md5("text").alias("text_md5"))
 
 
 def analyze_pages(spark, sf_dir):
@@ -139,11 +139,12 @@ def _marked(line: str) -> str:
     return f"(regexp_matches({line}, '{LIST_ITEM}') OR regexp_matches({line}, '{NUMBERED}'))"
 
 
-#: cleaned(doc_id, source, cleaned) over documents.
-CLEANED = rf"""
-WITH whole AS (
+def _cleaned(source: str) -> str:
+    """cleaned(doc_id, source, cleaned) over a table of doc_id, source, text."""
+    return rf"""
+whole AS (
   SELECT doc_id, source, regexp_replace(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)),
-         '([\p{{L}}\p{{N}}_])-[ \t]*\n[ \t]*([a-z])', '\1\2', 'g'), '[ \t\v\f\x{{a0}}]+', ' ', 'g') AS t FROM documents
+         '([\p{{L}}\p{{N}}_])-[ \t]*\n[ \t]*([a-z])', '\1\2', 'g'), '[ \t\v\f\x{{a0}}]+', ' ', 'g') AS t FROM {source}
 ), split AS (
   SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS nth FROM whole
 ), kept AS (
@@ -157,20 +158,21 @@ WITH whole AS (
          AND NOT {_marked('before')} AND NOT {_marked('line')} AND regexp_matches(line, '^\p{{Ll}}') THEN ' ' ELSE chr(10) END AS sep FROM tied
 ), cleaned AS (
   SELECT d.doc_id, d.source, coalesce(trim(regexp_replace(string_agg(sep || line, '' ORDER BY nth), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)), '') AS cleaned
-  FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id GROUP BY d.doc_id, d.source
-)
-"""
+  FROM {source} d LEFT JOIN joined j ON d.doc_id = j.doc_id GROUP BY d.doc_id, d.source
+)"""
+
+
+CLEANED = f"WITH {_cleaned('documents')}\n"
 
 TITLE_WORD = r"regexp_replace(regexp_replace(w, '^[()\[\]{}:,\-/]+', ''), '[()\[\]{}:,\-/]+$', '')"
 
-#: lined(document_id, unit_ordinal, line, level, kind) over the lines of documents that have text.
-LINED = rf"""
-WITH split AS (
-  SELECT doc_id AS document_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS unit_ordinal FROM documents
-), stripped AS (
-  SELECT document_id, unit_ordinal, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line FROM split
-), worded AS (
-  SELECT *, list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '') AS words FROM stripped WHERE line <> ''
+
+
+def _lined(source: str) -> str:
+    """lined(document_id, unit_ordinal, line, level) over a table of document_id, unit_ordinal and line, without blank lines."""
+    return rf"""
+worded AS (
+  SELECT *, list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '') AS words FROM {source} WHERE line <> ''
 ), fit AS (
   SELECT *, length(line) <= 140 AND len(words) <= 16 AND NOT regexp_matches(line, '[.!?;]$') AS fits,
          list_filter(list_transform(words, lambda w, i: {{'w': {TITLE_WORD}, 'i': i}}),
@@ -184,6 +186,115 @@ WITH split AS (
     WHEN fits AND len(words) > 1 AND len(meaning) > 0 AND len(list_filter(meaning, lambda x: NOT regexp_matches(x.w, '^\p{{Lu}}')
          AND NOT (regexp_matches(x.w, '\p{{Lu}}') AND NOT regexp_matches(x.w, '[\p{{Ll}}\p{{Lt}}]')))) = 0 THEN 2 END AS BIGINT) AS level
   FROM fit
+)"""
+
+
+LINED = rf"""
+WITH raw AS (
+  SELECT doc_id AS document_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS unit_ordinal FROM documents
+), stripped AS (
+  SELECT document_id, unit_ordinal, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line FROM raw
+), {_lined("stripped")}
+"""
+
+#: seen(document_id, unit_ordinal, a, b, c): the last headings of the first three levels so far, over rows of document_id, unit_ordinal, line, level.
+SEEN = r"""seen AS (
+  SELECT *,
+         last_value(CASE WHEN level = 1 THEN {'at': unit_ordinal, 'title': line} END IGNORE NULLS) OVER w AS a,
+         last_value(CASE WHEN level = 2 THEN {'at': unit_ordinal, 'title': line} END IGNORE NULLS) OVER w AS b,
+         last_value(CASE WHEN level = 3 THEN {'at': unit_ordinal, 'title': line} END IGNORE NULLS) OVER w AS c
+  FROM lined WINDOW w AS (PARTITION BY document_id ORDER BY unit_ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)"""
+
+#: elements(document_id, unit_ordinal, line, level, kind, path) over the lines of documents, each cleaned by itself.
+ELEMENTS = rf"""
+WITH RECURSIVE units AS (
+  SELECT doc_id * 10000000 + nth AS doc_id, '' AS source, line AS text
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS nth FROM documents)
+), {_cleaned("units")}, bare AS (
+  SELECT doc_id // 10000000 AS document_id, doc_id % 10000000 AS unit_ordinal, cleaned AS line FROM cleaned
+), {_lined("bare")}, {SEEN}, elements AS (
+  SELECT document_id, unit_ordinal, line, level, CASE WHEN level IS NOT NULL THEN 'heading' WHEN regexp_matches(line, '{LIST_ITEM}') THEN 'list' ELSE 'text' END AS kind,
+         list_filter([a.title, CASE WHEN b.at > coalesce(a.at, -1) THEN b.title END, CASE WHEN c.at > greatest(coalesce(a.at, -1), coalesce(b.at, -1)) THEN c.title END], lambda x: x IS NOT NULL) AS path
+  FROM seen
+)
+"""
+
+
+def _sentences(text: str) -> str:
+    return rf"list_filter(list_transform(string_split(regexp_replace({text}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y)), lambda y: y <> '')"
+
+
+def _words(text: str) -> str:
+    return rf"regexp_extract_all({text}, '[^ \t\n\v\f\r]+')"
+
+
+#: chunked(document_id, idx, els, path): the elements of each chunk. cuts parts elements above 700 tokens, a part a step; packed makes
+#: chunks, one a step for each document: from `at` on up to the first element that doesn't fit, with the overlap `ov` before them.
+CHUNKED = ELEMENTS + rf""", sized AS (
+  SELECT document_id, unit_ordinal, line, kind, path, len({_words("line")}) AS n FROM elements
+), big AS (
+  SELECT document_id, unit_ordinal, s, list_transform(s, lambda x: len({_words("x")})) AS ns FROM (SELECT document_id, unit_ordinal, {_sentences("line")} AS s FROM sized WHERE n > 700)
+), cuts AS (
+  SELECT document_id, unit_ordinal, CAST(1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS nth, CAST([] AS VARCHAR[]) AS parts FROM big
+  UNION ALL
+  SELECT document_id, unit_ordinal, stop, nth + len(parts),
+         CASE WHEN ns[pos] > 700 THEN list_transform(range(0, ns[pos], 500), lambda i: array_to_string({_words("s[pos]")}[i + 1:i + 500], ' ')) ELSE [array_to_string(s[pos:stop - 1], ' ')] END
+  FROM (
+    SELECT c.*, s, ns, CASE WHEN ns[pos] > 700 THEN pos + 1 ELSE coalesce(list_filter(range(pos + 1, len(ns) + 1), lambda j: ns[j] > 700 OR list_sum(ns[pos:j]) > 500)[1], len(ns) + 1) END AS stop
+    FROM cuts c JOIN big b ON c.document_id = b.document_id AND c.unit_ordinal = b.unit_ordinal AND c.pos <= len(b.ns)
+  )
+), pieces AS (
+  SELECT document_id, unit_ordinal, nth + i AS piece, parts[i + 1] AS line FROM (SELECT *, unnest(range(len(parts))) AS i FROM cuts)
+), frags AS (
+  SELECT document_id, unit_ordinal, 0 AS piece, line, n, kind, path FROM sized WHERE n <= 700
+  UNION ALL SELECT document_id, unit_ordinal, piece, p.line, len({_words("p.line")}), kind, path FROM pieces p JOIN sized s USING (document_id, unit_ordinal)
+), counted AS (
+  SELECT document_id, unit_ordinal, piece, {{'t': line, 'n': n, 'k': kind, 'p': path, 'para': unit_ordinal + 1}} AS e,
+         sum(n) OVER w AS c, count(*) FILTER (WHERE kind <> 'heading') OVER w AS b
+  FROM frags WINDOW w AS (PARTITION BY document_id ORDER BY unit_ordinal, piece ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), docs AS (
+  SELECT document_id, list(e ORDER BY unit_ordinal, piece) AS f, list(CAST(c AS BIGINT) ORDER BY unit_ordinal, piece) AS c, list(b ORDER BY unit_ordinal, piece) AS b FROM counted GROUP BY document_id
+), packed AS (
+  SELECT document_id, CAST(0 AS BIGINT) AS idx, CAST(1 AS BIGINT) AS pos, CAST(NULL AS STRUCT(t VARCHAR, n BIGINT, k VARCHAR, para BIGINT)) AS ov FROM docs
+  UNION ALL
+  SELECT document_id, idx + 1, stop, CASE WHEN NOT parted AND text <> '' AND len({_words("text")}) + f[stop].n <= 700 THEN {{'t': text, 'n': len({_words("text")}), 'k': coalesce(last.k, ov.k), 'para': coalesce(last.para, ov.para)}} END
+  FROM (
+    SELECT *, CASE WHEN len(s) = 0 THEN '' WHEN ns[1] > 75 THEN array_to_string({_words("s[1]")}[-75:], ' ')
+                   ELSE array_to_string(list_reverse(s[1:len(list_filter(range(1, len(s) + 1), lambda j: list_sum(ns[1:j]) <= 75))]), ' ') END AS text
+    FROM (
+      SELECT *, list_transform(s, lambda x: len({_words("x")})) AS ns FROM (
+        SELECT *, f[stop - 1].p <> f[stop].p AND (ov IS NOT NULL OR len(body) > 0) AS parted, body[-1] AS last,
+               list_reverse(flatten(list_transform(list_concat(CASE WHEN ov IS NULL THEN CAST([] AS VARCHAR[]) ELSE [ov.t] END, list_transform(body, lambda x: x.t)), lambda x: {_sentences("x")})))[1:76] AS s
+        FROM (
+          SELECT *, list_filter(f[pos:stop - 1], lambda x: x.k <> 'heading') AS body FROM (
+            SELECT p.*, f, list_filter(range(pos + 1, least(len(f), pos + 701) + 1), lambda j: f[j - 1].p <> f[j].p AND (ov IS NOT NULL OR b[j - 1] > coalesce(b[pos - 1], 0)) OR coalesce(ov.n, 0) + c[j] - coalesce(c[pos - 1], 0) > 700)[1] AS stop
+            FROM packed p JOIN docs d ON p.document_id = d.document_id
+          ) WHERE stop IS NOT NULL
+        )
+      )
+    )
+  )
+), chunked AS (
+  SELECT document_id, idx, list_concat(CASE WHEN ov IS NULL THEN [] ELSE [{{'t': ov.t, 'n': ov.n, 'k': ov.k, 'p': f[pos].p, 'para': ov.para}}] END, f[pos:stop - 1]) AS els
+  FROM (SELECT p.*, f, coalesce(lead(pos) OVER (PARTITION BY p.document_id ORDER BY idx), len(f) + 1) AS stop FROM packed p JOIN docs d ON p.document_id = d.document_id)
+)
+"""
+
+
+def _form(line: str) -> str:
+    return rf"regexp_replace(regexp_replace(trim(replace(lower({line}), 'ß', 'ss')), '\d+', '<number>', 'g'), '\s+', ' ', 'g')"
+
+
+#: often(document_id, place, line, n): what the first and last lines of enough pages are, over sources as documents.
+MARGINS = CLEANED + rf""", bounds AS (
+  SELECT source AS document_id, list_filter(string_split(cleaned, chr(10)), lambda x: trim(x) <> '') AS l FROM cleaned
+), lines AS (
+  SELECT document_id, 'head' AS place, l[1] AS line FROM bounds WHERE len(l) > 0 UNION ALL SELECT document_id, 'foot', l[-1] FROM bounds WHERE len(l) > 0
+), counts AS (SELECT document_id, place, {_form("line")} AS line, count(*) AS n FROM lines GROUP BY ALL),
+sizes AS (SELECT document_id, count(*) AS pages, count(*) FILTER (WHERE len(l) > 0) AS full_pages FROM bounds GROUP BY document_id),
+often AS (
+  SELECT document_id, place, line, n FROM counts JOIN sizes USING (document_id) WHERE pages >= 3 AND n >= greatest(2, floor(full_pages * CAST(0.02 AS DOUBLE) + 0.999)) AND line <> ''
 )
 """
 
@@ -211,28 +322,56 @@ SELECT * FROM (VALUES (1, 'manufacturing and more'), (2, 'Risk-' || chr(10) || '
 """,
     "classify_lines": LINED + f"SELECT document_id, unit_ordinal, level, CASE WHEN level IS NOT NULL THEN 'heading' WHEN regexp_matches(line, '{LIST_ITEM}') THEN 'list' ELSE 'text' END AS kind FROM lined",
     "heading_paths": LINED
-    + r""", seen AS (
-  SELECT document_id, unit_ordinal,
-         last_value(CASE WHEN level = 1 THEN {'at': unit_ordinal, 'title': line} END IGNORE NULLS) OVER w AS a,
-         last_value(CASE WHEN level = 2 THEN {'at': unit_ordinal, 'title': line} END IGNORE NULLS) OVER w AS b,
-         last_value(CASE WHEN level = 3 THEN {'at': unit_ordinal, 'title': line} END IGNORE NULLS) OVER w AS c
-  FROM lined WINDOW w AS (PARTITION BY document_id ORDER BY unit_ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-)
+    + f", {SEEN}"
+    + r"""
 SELECT document_id, unit_ordinal, concat_ws(' > ', a.title, CASE WHEN b.at > coalesce(a.at, -1) THEN b.title END,
        CASE WHEN c.at > greatest(coalesce(a.at, -1), coalesce(b.at, -1)) THEN c.title END) AS path
 FROM seen
+""",
+    "analyze_elements": ELEMENTS + "SELECT document_id, CAST(unit_ordinal AS INTEGER) AS unit_ordinal, kind AS element_type, CAST(level AS INTEGER) AS heading_level, array_to_string(path, ' > ') AS path, md5(line) AS text_md5 FROM elements",
+    "analyze_pages": rf"""
+WITH cut AS (
+  SELECT page_id, unnest(string_split(regexp_replace(html, '(</?(?:p|li|h1|ul|article)\b|<br)', chr(1) || '\1', 'g'), chr(1))) AS part, generate_subscripts(string_split(regexp_replace(html, '(</?(?:p|li|h1|ul|article)\b|<br)', chr(1) || '\1', 'g'), chr(1)), 1) AS place FROM pages
+), found AS (
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY place) - 1 AS nth, regexp_extract(part, '^<(h1|p|li)>', 1) AS tag, regexp_replace(regexp_replace(part, '^<(h1|p|li)>', ''), '<[^>]*>', '', 'g') AS text
+  FROM cut WHERE regexp_matches(part, '^<(h1|p|li)>')
+), units AS (SELECT page_id * 10000000 + nth AS doc_id, tag AS source, text FROM found), {_cleaned("units")}, bare AS (
+  SELECT doc_id // 10000000 AS document_id, doc_id % 10000000 AS unit_ordinal, source AS tag, cleaned AS line FROM cleaned
+), {_lined("bare").replace("SELECT document_id, unit_ordinal, line, CAST(CASE", "SELECT document_id, unit_ordinal, tag, line, CAST(CASE WHEN tag = 'h1' THEN 1")}, {SEEN}
+SELECT document_id, CAST(unit_ordinal AS INTEGER) AS unit_ordinal, CASE WHEN level IS NOT NULL THEN 'heading' WHEN tag = 'li' OR regexp_matches(line, '{LIST_ITEM}') THEN 'list' ELSE 'text' END AS element_type, CAST(level AS INTEGER) AS heading_level,
+       coalesce(CASE WHEN c.at > greatest(coalesce(a.at, -1), coalesce(b.at, -1)) THEN c.title END, CASE WHEN b.at > coalesce(a.at, -1) THEN b.title END, a.title) AS section
+FROM seen
+""",
+    "chunk_documents": CHUNKED
+    + rf"""
+SELECT CAST(document_id AS VARCHAR) AS document_id, CAST(idx AS INTEGER) AS chunk_index, CASE WHEN len(kinds) > 0 AND len(list_filter(kinds, lambda k: k <> 'list')) = 0 THEN 'list' ELSE 'text' END AS content_type,
+       CAST(len({_words("content")}) AS INTEGER) AS token_count, path[-1] AS section, array_to_string(path, ' > ') AS path, CAST(list_min(paras) AS INTEGER) AS paragraph_start, CAST(list_max(paras) AS INTEGER) AS paragraph_end, md5(content) AS content_md5
+FROM (
+  SELECT document_id, idx, list_filter(list_transform(els, lambda x: x.k), lambda k: k <> 'heading') AS kinds, list_transform(els, lambda x: x.para) AS paras,
+         list_filter(els, lambda x: len(x.p) = list_max(list_transform(els, lambda y: len(y.p))))[1].p AS path,
+         trim(array_to_string(list_transform(els, lambda x, i: CASE WHEN i = 1 THEN '' WHEN x.k = 'list' AND els[i - 1].k = 'list' THEN chr(10) ELSE chr(10) || chr(10) END || trim(x.t)), '')) AS content
+  FROM chunked
+)
 """,
     "running_section": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM conversations",
-    "repeated_margins": CLEANED
-    + r""", ends AS (
-  SELECT source AS document_id, list_filter(string_split(cleaned, chr(10)), lambda x: trim(x) <> '') AS l FROM cleaned
-), lines AS (
-  SELECT document_id, 'head' AS place, l[1] AS line FROM ends WHERE len(l) > 0 UNION ALL SELECT document_id, 'foot', l[-1] FROM ends WHERE len(l) > 0
+    "repeated_margins": MARGINS + "SELECT document_id, place, line, n FROM often",
+    "clean_pages": MARGINS
+    + r""", numbered AS (
+  SELECT doc_id, source, cleaned, string_split(cleaned, chr(10)) AS l FROM cleaned
+), ends AS (
+  SELECT *, list_filter(range(1, len(l) + 1), lambda i: trim(l[i]) <> '') AS full_lines FROM numbered
 ), forms AS (
-  SELECT document_id, place, regexp_replace(regexp_replace(trim(replace(lower(line), 'ß', 'ss')), '\d+', '<number>', 'g'), '\s+', ' ', 'g') AS line FROM lines
-), counts AS (SELECT document_id, place, line, count(*) AS n FROM forms GROUP BY ALL),
-sizes AS (SELECT document_id, count(*) AS pages, count(*) FILTER (WHERE len(l) > 0) AS full_pages FROM ends GROUP BY document_id)
-SELECT document_id, place, line, n FROM counts JOIN sizes USING (document_id) WHERE pages >= 3 AND n >= greatest(2, floor(full_pages * CAST(0.02 AS DOUBLE) + 0.999)) AND line <> ''
+  SELECT *, """
+    + _form("l[full_lines[1]]")
+    + " AS head, "
+    + _form("l[full_lines[-1]]")
+    + r""" AS foot FROM ends
+), told AS (SELECT document_id, list(line) FILTER (WHERE place = 'head') AS heads, list(line) FILTER (WHERE place = 'foot') AS feet FROM often GROUP BY document_id),
+left_over AS (
+  SELECT doc_id, cleaned, t.document_id IS NULL AS whole, list_transform(l, lambda x, i: CASE WHEN i = full_lines[1] AND coalesce(list_contains(heads, head), false) OR i = full_lines[-1] AND coalesce(list_contains(feet, foot), false) THEN '' ELSE x END) AS kept
+  FROM forms f LEFT JOIN told t ON f.source = t.document_id
+)
+SELECT doc_id, md5(CASE WHEN whole THEN cleaned ELSE trim(regexp_replace(array_to_string(kept, chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) END) AS text_md5 FROM left_over
 """,
     "chunk_issues": rf"""
 WITH c AS (SELECT source AS collection, doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+')) AS BIGINT) AS tokens,

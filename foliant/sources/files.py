@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Callable, Iterator
 from typing import Any
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from ..functions.text import is_blank, required
 from .pdf import pdf_images, pdf_units
 
 SUPPORTED = ("pdf", "docx")
+#: Bytes of an image that are searched for its size.
+HEADERS = 1 << 20
 UNIT = "path string, unit_ordinal int, text string, page_number int, section string, paragraph_number int, style string, error string"
 IMAGE = "path string, image_index int, file_name string, mime_type string, content binary, page_number int, width int, height int"
 
@@ -110,18 +114,22 @@ def parse(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFra
 
 
 def images(files: DataFrame) -> DataFrame:
-    """image_index, file_name, mime_type, content and page_number of the images in documents, numbered within each. Files that can't be read have none."""
+    """image_index, file_name, mime_type, content and page_number of the images in documents, numbered within each. Files that can't
+    be read have none. A document's images leave its task one by one."""
 
-    @F.udf("array<struct<file_name:string,content:binary,page_number:int>>")
-    def found(kind, content):
-        try:
-            rows = docx_images(bytes(content)) if kind == "docx" else pdf_images(bytes(content))
-        except Exception:  # parse() tells what is wrong with the file
-            return []
-        return [(x["file_name"], x["content"], x.get("page_number")) for x in rows]
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for path, kind, content in zip(batch["path"], batch["file_type"].to_pylist(), batch["content"]):
+                try:
+                    rows = (docx_images if kind == "docx" else pdf_images)(content.as_py() or b"")
+                except Exception:  # parse() tells what is wrong with the file
+                    continue
+                for n, x in enumerate(rows):
+                    columns = [pa.array([path.as_py()]), pa.array([n], pa.int32()), pa.array([x["file_name"]]), pa.array([x["content"]], pa.binary()), pa.array([x.get("page_number")], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, ["path", "image_index", "file_name", "content", "page_number"])
 
-    rows = files.select("path", F.posexplode(found("file_type", "content")).alias("image_index", "i"))
-    return rows.select("path", "image_index", "i.file_name", image_mime(F.regexp_extract("i.file_name", r"\.([^.]+)$", 1)).alias("mime_type"), "i.content", "i.page_number")
+    rows = files.select("path", "file_type", "content").mapInArrow(run, "path string, image_index int, file_name string, content binary, page_number int")
+    return rows.select("path", "image_index", "file_name", image_mime(F.regexp_extract("file_name", r"\.([^.]+)$", 1)).alias("mime_type"), "content", "page_number")
 
 
 def _size(data: bytes) -> tuple[int | None, int | None]:
@@ -143,11 +151,12 @@ def _size(data: bytes) -> tuple[int | None, int | None]:
 def image_size(content):
     """width and height of images, null where they can't be read."""
 
-    @F.udf("struct<width:int,height:int>")
-    def size(data):
-        return _size(bytes(data or b""))
+    @F.pandas_udf("struct<width:int,height:int>")
+    def size(heads: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_size(bytes(x or b"")) for x in heads], columns=["width", "height"], dtype="Int32")
 
-    return size(content)
+    # A jpeg's sizes stand behind its other headers, which may be long; all other formats have them in the first bytes.
+    return size(F.substring(content, 1, HEADERS))
 
 
 def largest(found: DataFrame, by: str = "path", order: str = "image_index") -> DataFrame:
@@ -175,9 +184,12 @@ def distinct_images(found: DataFrame, order: str = "place") -> DataFrame:
     return once.withColumn("image_index", F.row_number().over(Window.partitionBy("path").orderBy("page_number", order)) - 1)
 
 
-def counts(units: DataFrame) -> DataFrame:
-    """path, page_count, paragraph_count."""
-    return units.groupBy("path").agg(F.count_distinct("page_number").alias("page_count"), F.count("paragraph_number").alias("paragraph_count"))
+def counts(units: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """path, page_count, paragraph_count of documents, and with their images (path, ...) also image_count, 0 for none."""
+    rows = units.groupBy("path").agg(F.count_distinct("page_number").alias("page_count"), F.count("paragraph_number").alias("paragraph_count"))
+    if found is None:
+        return rows
+    return rows.join(found.groupBy("path").agg(F.count("*").alias("image_count")), "path", "left").fillna(0, "image_count")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -193,8 +205,27 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def read_url(container, blob):
-    """Where a blob is read: container and name. Signed links are the store's business."""
-    return F.when(~is_blank(blob), F.concat_ws("/", container, blob))
+def read_url(container, blob, secret: str | None = None, expires=None):
+    """Where a blob is read: container and name, null for a blank name. With a secret, a link that holds until `expires` (a timestamp
+    column): its end in seconds and an HMAC-SHA-256 of place and end, made in the JVM; valid_url() tells whether it still holds."""
+    place = F.when(~is_blank(blob), F.concat_ws("/", container, blob))
+    if secret is None:
+        return place
+    until = F.unix_timestamp(expires).cast("string")
+    return F.concat(place, F.lit("?expires="), until, F.lit("&signature="), _signature(F.concat_ws("\n", place, until), secret))
+
+
+def valid_url(url, secret: str, now):
+    """Whether a signed link is whole, ours, and not over at `now`."""
+    part = lambda n: F.regexp_extract(url, r"^(.*)\?expires=(\d+)&signature=([0-9a-f]{64})$", n)
+    own = _signature(F.concat_ws("\n", part(1), part(2)), secret)
+    return F.coalesce((part(3) == own) & (F.unix_timestamp(now) < part(2).cast("long")), F.lit(False))
 
 
+def _signature(text, secret: str):
+    """HMAC (RFC 2104) of a text with SHA-256, in hex."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    pad = lambda x: F.lit(bytes(b ^ x for b in key))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), F.encode(text, "UTF-8")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)

@@ -286,17 +286,72 @@ class Pdf:
         return "".join(out).strip()
 
     def images(self, page: dict) -> list[dict[str, Any]]:
-        """JPEG images of a page: xref, content, width, height; each once."""
+        """Images of a page: xref, content, extension, width, height; each once. JPEG and JPEG 2000 images are files as they stand,
+        samples become PNG files; other codings, as of faxes, are left out."""
         found = self.get((self.get(page["Resources"]) or {}).get("XObject")) or {}
         out = {}
         for ref in found.values():
             about = self.get(ref)
             if isinstance(ref, Ref) and isinstance(about, dict) and about.get("Subtype") == "Image" and int(ref) in self.streams:
                 filters = self.get(about.get("Filter"))
-                if filters == "DCTDecode" or filters == ["DCTDecode"]:
-                    out[int(ref)] = {"xref": int(ref), "content": self.streams[int(ref)], "width": self.get(about.get("Width")), "height": self.get(about.get("Height"))}
+                last = self.get(filters[-1]) if isinstance(filters, list) and filters else filters
+                size = {"width": self.get(about.get("Width")), "height": self.get(about.get("Height"))}
+                try:
+                    if last in ("DCTDecode", "JPXDecode"):
+                        whole = filters == last or len(filters) == 1
+                        file = (self.streams[int(ref)], "jpg" if last == "DCTDecode" else "jp2") if whole else None
+                    else:
+                        file = self._png(int(ref), about), "png"
+                except (ValueError, TypeError, zlib.error):
+                    continue
+                if file and file[0]:
+                    out[int(ref)] = {"xref": int(ref), "content": file[0], "extension": file[1], **size}
         return list(out.values())
 
+    def _png(self, number: int, about: dict) -> bytes | None:
+        """The samples of an image as a PNG file: gray, RGB or with a palette as they are, CMYK as RGB; None for other colour spaces.
+        Rows that a PNG predictor has made stand in the file as PNG has them too."""
+        width, height, bits = (self.get(about.get(k)) for k in ("Width", "Height", "BitsPerComponent"))
+        masked = self.get(about.get("ImageMask")) is True
+        colours, palette = (1, None) if masked else self._colours(self.get(about.get("ColorSpace")))
+        bits = 1 if masked else bits
+        if not all(isinstance(x, int) and x > 0 for x in (width, height, bits)) or colours not in (1, 3, 4) or colours == 4 and bits != 8:
+            return None
+        parms = self.get(about.get("DecodeParms"))
+        parms = self.get(parms[-1]) if isinstance(parms, list) and parms else parms
+        predictor = self.get(parms.get("Predictor")) or 1 if isinstance(parms, dict) else 1
+        row = (width * colours * bits + 7) // 8
+        data = self.content(number)
+        if predictor >= 10 and colours != 4:
+            rows = data[: height * (row + 1)]
+        elif predictor == 1:
+            if colours == 4:
+                data = bytes(min(255, (255 - data[i + c]) * (255 - data[i + 3]) // 255) for i in range(0, len(data) - 3, 4) for c in range(3))
+                row, colours = width * 3, 3
+            rows = b"".join(b"\0" + data[y * row : (y + 1) * row].ljust(row, b"\0") for y in range(height))
+        else:
+            return None
+        chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+        kind = 3 if palette else 2 if colours == 3 else 0
+        head = width.to_bytes(4, "big") + height.to_bytes(4, "big") + bytes([bits, kind, 0, 0, 0])
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+    def _colours(self, space: Any) -> tuple[int, bytes | None]:
+        """Number of components of a colour space, 0 if it isn't known, and the palette of one with RGB entries."""
+        if isinstance(space, str):
+            return {"DeviceGray": 1, "CalGray": 1, "G": 1, "DeviceRGB": 3, "CalRGB": 3, "RGB": 3, "DeviceCMYK": 4, "CMYK": 4}.get(space, 0), None
+        if not isinstance(space, list) or not space:
+            return 0, None
+        kind = self.get(space[0])
+        if kind == "ICCBased" and len(space) > 1:
+            about = self.get(space[1])
+            return (self.get(about.get("N")) or 0 if isinstance(about, dict) else 0), None
+        if kind in ("Indexed", "I") and len(space) > 3 and self._colours(self.get(space[1]))[0] == 3:
+            table = self.get(space[3])
+            table = self.content(int(space[3])) if isinstance(space[3], Ref) and int(space[3]) in self.streams else table
+            return (1, table[: len(table) // 3 * 3]) if isinstance(table, bytes) and len(table) >= 3 else (0, None)
+        return (self._colours(kind)[0] if len(space) == 1 or kind in ("CalGray", "CalRGB") else 0), None
+
 
 class Font:
     """From the codes of a font to text: by its map to Unicode, or its encoding."""
@@ -360,7 +415,7 @@ def pdf_units(content: bytes) -> list[dict[str, Any]]:
 
 
 def pdf_images(content: bytes) -> list[dict[str, Any]]:
-    """JPEG images of all pages, each once a page, numbered through the file."""
+    """Images of all pages, each once a page, numbered through the file."""
     pdf = Pdf(content)
     found = [(n, image) for n, page in enumerate(pdf.pages(), 1) for image in pdf.images(page)]
-    return [{"file_name": f"page-{n}-image-{i}.jpg", "page_number": n, **image} for i, (n, image) in enumerate(found)]
+    return [{"file_name": f"page-{n}-image-{i}.{image['extension']}", "page_number": n, **image} for i, (n, image) in enumerate(found)]

@@ -1,50 +1,158 @@
-"""A store of tables as Parquet folders, a version for each state.
+"""A store of tables as Parquet files in buckets of their keys; a change rewrites the buckets that it touches, and no others.
 
-A new state is written beside the old ones and counts once it is complete; so readers never see half of it, a failed write leaves the
-table as it was, and a write that runs again does no harm.
+Each state of a table is a small list that names, for each bucket, the folder with its rows. A new state is written beside the old
+ones and counts once its list is there; so readers never see half of it, a failed write leaves the table as it was, and a write that
+runs again does no harm. Two writers at a time are told apart by their buckets: the later one to finish takes over what the other
+changed elsewhere, and starts again where both changed the same bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import re
+import uuid
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Column that deals rows to buckets, in the folders' names only.
+BUCKET = "__bucket"
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, str], keep: int = 2):
-        """schemas: columns of each table, for when it is still empty. keep: versions that stay for those who still read them."""
-        self.spark, self.path, self.schemas, self.keep = spark, path.rstrip("/"), schemas, max(1, keep)
+    def __init__(self, spark: SparkSession, path: str, schemas: Mapping[str, str], keys: Mapping[str, tuple[str, ...]] | None = None, buckets: int = 64, keep: int = 2):
+        """schemas: columns of each table. keys: the columns whose hash deals a table's rows to buckets; a table without has one
+        bucket. buckets: how many a new table gets, so many that one is rewritten in a short time; a table that is there keeps its
+        own number. keep: states that stay for those who still read them."""
+        self.spark, self.path, self.schemas, self.keys = spark, path.rstrip("/"), schemas, keys or {}
+        self.buckets, self.keep = max(1, buckets), max(1, keep)
 
-    def _folder(self, path: str):
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
+    def _at(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
+    def _names(self, path: str) -> list[str]:
+        files, where = self._at(path)
+        return [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
+
+    def _delete(self, path: str) -> None:
+        files, where = self._at(path)
+        files.delete(where, True)
+
     def versions(self, name: str) -> list[int]:
-        """Numbers of the complete versions, in order."""
-        files, where = self._folder(f"{self.path}/{name}")
-        if not files.exists(where):
-            return []
-        found = []
-        for status in files.listStatus(where):
-            at = status.getPath()
-            if at.getName().startswith("v") and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")):
-                found.append(int(at.getName()[1:]))
-        return sorted(found)
-
-    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """Numbers of the states that are there, in order."""
+        return sorted(int(n[6:-5]) for n in self._names(f"{self.path}/{name}") if re.fullmatch(r"state-\d+\.json", n))
+
+    def _state(self, name: str, number: int | None = None) -> tuple[int, int, dict[int, str]]:
+        """Number of a state, of its buckets, and the run that wrote each bucket with rows."""
         found = self.versions(name)
         if not found:
-            return self.spark.createDataFrame([], self.schemas[name])
-        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}/v{version if version is not None else found[-1]:09d}")
+            return 0, self.buckets if self.keys.get(name) else 1, {}
+        number = found[-1] if number is None else number
+        files, where = self._at(f"{self.path}/{name}/state-{number:09d}.json")
+        source = files.open(where)
+        told = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+        source.close()
+        return number, told["buckets"], {int(b): run for b, run in told["runs"].items()}
+
+    def _commit(self, name: str, number: int, buckets: int, runs: dict[int, str]) -> bool:
+        """Whether this has become the state of that number; no, if another writer was faster."""
+        files, to = self._at(f"{self.path}/{name}/state-{number:09d}.json")
+        _, by = self._at(f"{self.path}/{name}/.{uuid.uuid4().hex}")
+        out = files.create(by, True)
+        out.write(bytearray(json.dumps({"buckets": buckets, "runs": runs}).encode()))
+        out.close()
+        done = not files.exists(to) and files.rename(by, to)
+        if not done:
+            files.delete(by, False)
+        return done
+
+    def _folder(self, name: str, run: str, bucket: int) -> str:
+        return f"{self.path}/{name}/data/{run}/{BUCKET}={bucket}"
+
+    def _rows(self, name: str, runs: Mapping[int, str]) -> DataFrame:
+        paths = [self._folder(name, run, b) for b, run in sorted(runs.items())]
+        return self.spark.read.schema(self.schemas[name]).parquet(*paths) if paths else self.spark.createDataFrame([], self.schemas[name])
+
+    def _bucket(self, name: str, buckets: int) -> Column:
+        keys = self.keys.get(name)
+        return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int") if keys else F.lit(0)
+
+    def touched(self, name: str, keys: DataFrame) -> list[int]:
+        """The buckets of the rows that have these keys: as many numbers at most as the table has buckets."""
+        _, buckets, _ = self._state(name)
+        return sorted(r[0] for r in keys.select(self._bucket(name, buckets).alias("b")).distinct().collect())
+
+    def read(self, name: str, version: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """A table, or its buckets that hold the keys."""
+        _, _, runs = self._state(name, version)
+        if keys is not None:
+            wanted = self.touched(name, keys)
+            runs = {b: run for b, run in runs.items() if b in wanted}
+        return self._rows(name, runs)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        """Makes df the state of a table; columns in the order of the schema, missing ones null. Old versions beyond `keep` go."""
+        """Makes df the state of a table; columns in the order of the schema, missing ones null."""
+        _, buckets, _ = self._state(name)
+        return self._put(name, list(range(buckets)), lambda _: df)
+
+    def update(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Rewrites the buckets that hold the keys: change takes their rows and gives the new ones, whose keys must be among these."""
+        return self._put(name, self.touched(name, keys), change)
+
+    def _put(self, name: str, touched: list[int], change: Callable[[DataFrame], DataFrame]) -> DataFrame:
         empty = self.spark.createDataFrame([], self.schemas[name])
+        while True:
+            _, buckets, before = self._state(name)
+            df = change(self._rows(name, {b: before[b] for b in touched if b in before}))
+            whole = empty.unionByName(df.select(*[c for c in empty.columns if c in df.columns]), allowMissingColumns=True)
+            run = uuid.uuid4().hex
+            at = f"{self.path}/{name}/data/{run}"
+            # Rebalanced, a bucket is one file, and one of a great many rows is several.
+            whole.withColumn(BUCKET, self._bucket(name, buckets)).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(at)
+            full = {int(n.split("=")[1]) for n in self._names(at) if n.startswith(f"{BUCKET}=")}
+            if not full <= set(touched):
+                self._delete(at)
+                raise ValueError(f"rows for buckets of {name} that weren't asked for")
+            while True:
+                number, _, now = self._state(name)
+                if any(now.get(b) != before.get(b) for b in touched):
+                    self._delete(at)
+                    break  # another writer has changed these rows: once more, from what it left
+                if self._commit(name, number + 1, buckets, {b: r for b, r in now.items() if b not in touched} | dict.fromkeys(full, run)):
+                    self._forget(name)
+                    return self.read(name)
+
+    def _forget(self, name: str) -> None:
+        """Drops all but the last `keep` states, and the buckets that only those had."""
         found = self.versions(name)
-        number = (found[-1] if found else 0) + 1
-        whole = empty.unionByName(df.select(*[c for c in empty.columns if c in df.columns]), allowMissingColumns=True)
-        whole.write.mode("overwrite").parquet(f"{self.path}/{name}/v{number:09d}")
-        for old in [*found, number][: -self.keep]:
-            files, where = self._folder(f"{self.path}/{name}/v{old:09d}")
-            files.delete(where, True)
-        return self.read(name)
+        held = {x for n in found[-self.keep :] for x in self._state(name, n)[2].items()}
+        for n in found[: -self.keep]:
+            for bucket, run in set(self._state(name, n)[2].items()) - held:
+                self._delete(self._folder(name, run, bucket))
+            self._delete(f"{self.path}/{name}/state-{n:09d}.json")
+
+    def work(self) -> Work:
+        """A place for the steps of one run."""
+        return Work(self.spark, f"{self.path}/work/{uuid.uuid4().hex}")
+
+
+class Work:
+    """Tables that one run writes between its steps; runs at the same time have places of their own."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.names = spark, path, []
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        self.names.append(name)
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def clear(self, *kept: str) -> None:
+        """Deletes all tables but those named."""
+        for name in self.names:
+            if name not in kept:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.names = [n for n in self.names if n in kept]

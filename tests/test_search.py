@@ -28,8 +28,11 @@ def test_parse():
 
 def ranks(spark, docs, question, stemming=False):
     df = spark.createDataFrame(list(enumerate(docs)), "id int, text string")
-    found = fulltext.keyword_rank(fulltext.postings(df, "id", "text", stemming), "id", fulltext.parse(question, stemming))
-    return {r["id"]: round(r["rank"], 6) for r in found.collect()}
+    query = fulltext.parse(question, stemming)
+    plain = lambda index: {r["id"]: round(r["rank"], 6) for r in fulltext.keyword_rank(index, "id", query).collect()}
+    found = plain(fulltext.postings(df, "id", "text", stemming))
+    assert stemming or plain(fulltext.postings(df, "id", "text", False, only=query)) == found
+    return found
 
 
 def test_keyword_rank(spark):
@@ -83,7 +86,8 @@ def test_topk_in_blocks(spark, monkeypatch):
     v[30] = v[31]
     rows = [(i, x.tolist() if i != 9 else None) for i, x in enumerate(v)] + [(1000, [1.0, 2.0])]
     chunks = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5)
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 7 * 64)
+    monkeypatch.setattr(retrieval, "QUERY_TILE", 3)
     queries = chunks.where("id % 10 = 0 and id < 1000").select(F.col("id").alias("query_id"), "embedding")
     found = {}
     for r in retrieval.vector_topk_batch(chunks, queries, 4, other=True).collect():
@@ -97,6 +101,36 @@ def test_topk_in_blocks(spark, monkeypatch):
     assert [r["id"] for r in one][1:] == [found[0][1], found[0][2]] and one[0]["id"] == 0
 
 
+def test_blended_topk_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 4)).round(1)
+    chunks = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(90, [0.0] * 4), (91, [1.0])], "id long, embedding array<float>").repartition(3)
+    queries = chunks.where("id % 20 = 0 and id < 60").select(F.col("id").alias("query_id"), "embedding")
+    told = {(q, i): float(rng.choice([0.1, 0.5, 3.0])) for q in (0, 20, 40) for i in rng.choice(60, 15, replace=False)} | {(20, 90): 1.0, (20, 91): 1.0}
+    ranks = spark.createDataFrame([(int(q), int(i), r) for (q, i), r in told.items()], "query_id long, id long, rank double")
+    u = v.astype(np.float32).astype(float)
+    u = u / np.sqrt((u**2).sum(axis=1, keepdims=True))
+    found = {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in retrieval.vector_topk_batch(chunks, queries, 6, ranks=ranks).collect()}
+    for q in (0, 20, 40):
+        scores = sorted((-round(0.8 * s + 0.2 * min(1.0, told.get((q, i), 0.0)), 9), i) for i, s in enumerate(u @ u[q]))[:6]
+        assert [found[q, n + 1] for n in range(6)] == [(i, -s) for s, i in scores]
+
+
+def test_stored_postings(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"cat w{i} dog") for i in range(50)], "id int, text string")
+    index = fulltext.store_postings(fulltext.postings(docs, "id", "text", False), "id", "stored_postings", str(tmp_path / "postings"), buckets=8)
+    try:
+        query = fulltext.parse("cat w7", False)
+        ranked = fulltext.keyword_rank(index, "id", query)
+        assert [r["id"] for r in ranked.collect()] == [7]
+        plan = index.where(F.col("lexeme").isin("cat", "w7"))._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [In(lexeme, [cat,w7])]" in plan
+        told = {r["col_name"]: r["data_type"] for r in spark.sql("DESCRIBE EXTENDED stored_postings").collect()}
+        assert told["Num Buckets"] == "8" and told["Bucket Columns"] == "[`lexeme`]"
+    finally:
+        spark.sql("DROP TABLE stored_postings")
+
+
 def test_k():
     assert retrieval.checked_k(0, 5) == 5 and retrieval.checked_k(None, 3) == 3 and retrieval.checked_k(2, 5) == 2
     with pytest.raises(ValueError):
@@ -167,6 +201,54 @@ def test_embedding(spark):
     assert {(r["caption"], r["error"]) for r in told} == {("cat", None), (None, "the model gave no caption")}
 
 
+def test_calls_of_models():
+    import time
+
+    calls = []
+
+    def often(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return x * 2
+
+    assert embedding.Client(wait=0)(often, 4) == 8 and len(calls) == 3
+    with pytest.raises(OSError):
+        embedding.Client(retries=1, wait=0)(lambda: (_ for _ in ()).throw(OSError("down")))
+    before = time.time()
+    with pytest.raises(TimeoutError):
+        embedding.Client(timeout=0.05, retries=1, wait=0)(time.sleep, 5)
+    assert time.time() - before < 2
+    for bad in ({"timeout": 0}, {"retries": -1}, {"wait": -1}):
+        with pytest.raises(ValueError):
+            embedding.Client(**bad)
+
+
+def test_judged_scores(spark):
+    rows = spark.createDataFrame([(1, "q", "a", ["c"], "r"), (2, "bad", "a", None, None)], "id int, question string, answer string, contexts array<string>, reference string")
+
+    def judge(question, answer, contexts, reference):
+        if question == "bad":
+            raise RuntimeError("refused")
+        return {"faithfulness": len(contexts) / 2}
+
+    found = evaluation.judged(rows, judge, ["faithfulness", "context_recall"], embedding.Client(retries=0))
+    assert {(r["id"], r["metric"]): (r["score"], r["error"]) for r in found.collect()} == {(1, "faithfulness"): (0.5, None), (1, "context_recall"): (None, None), (2, "faithfulness"): (None, "refused"), (2, "context_recall"): (None, "refused")}
+    assert {r["metric"]: r["value"] for r in evaluation.metric_means(found).collect()} == {"faithfulness": 0.5, "context_recall": None}
+
+
+def test_batches_of_a_whole_table(spark):
+    rows = spark.range(100).selectExpr("id * 7 % 100 AS id", "id % 3 AS g").repartition(5)
+    assert sorted((r["id"], r["batch"]) for r in embedding.batched(rows, "id", 32).collect()) == [(i, i // 32) for i in range(100)]
+    assert embedding.batched(rows, "id", 10, "g").where("batch = 3").count() == 4 + 3 + 3
+    assert embedding.batched(rows.limit(0), "id").collect() == []
+    words = rows.selectExpr("concat('w', id) AS id")
+    order = sorted(f"w{i}" for i in range(100))
+    assert sorted((r["id"], r["batch"]) for r in embedding.batched(words, "id", 7).collect()) == [(w, n // 7) for n, w in enumerate(order)]
+    with pytest.raises(ValueError):
+        embedding.batched(rows, "id", 0)
+
+
 def test_evaluation(spark):
     q = spark.createDataFrame([(1, "internal"), (2, "web"), (3, "internal")], "id int, expected_route string")
     a = spark.createDataFrame([(1, "internal", 0.5, "r"), (2, "internal", 0.4, "r")], "id int, route string, highest_retrieval_score double, route_reason string")
@@ -186,13 +268,14 @@ def test_batch_ranks_equal_single_ones(spark):
     index = fulltext.postings(spark.createDataFrame(list(enumerate(docs)), "id int, text string"), "id", "text")
     asked = ["cat", "cat dog", '"cat dog"', "cat dog bird", "cat -fish", "cat dog or stone", '"dog the cat" or bird -stone', "the", "-cat", "none"]
     queries = {n: fulltext.parse(q) for n, q in enumerate(asked)}
-    many = {(r["query_id"], r["id"]): round(r["rank"], 9) for r in fulltext.keyword_rank_batch(index, "id", queries).collect()}
+    questions = spark.createDataFrame(list(enumerate(asked)), "query_id int, question string")
+    many = {(r["query_id"], r["id"]): round(r["rank"], 9) for r in fulltext.keyword_rank_batch(index, "id", questions).collect()}
     single = {(n, r["id"]): round(r["rank"], 9) for n, q in queries.items() for r in fulltext.keyword_rank(index, "id", q).collect()}
     assert many == single and len({n for n, _ in many}) == 7
 
 
 def test_answers(spark):
-    from foliant.plans.answer import Settings, answer
+    from foliant.plans.answer import Settings, answer, grounded
 
     chunks = spark.createDataFrame([(1, 10, [1.0, 0.0], "Wear gloves.", 3, None, None, None), (2, 11, [0.9, 0.1], "Hard hats.", None, "S", 1, 2), (3, 99, [1.0, 0.0], "an orphan", 1, None, None, None)], "id long, document_id long, embedding array<float>, content string, page int, section string, paragraph_start int, paragraph_end int")
     docs = spark.createDataFrame([(10, "a.pdf"), (11, "b.docx")], "id long, file_name string")
@@ -209,3 +292,7 @@ def test_answers(spark):
     assert [s["url"] for s in got[2]["sources"]] == ["http://w"] and got[4]["answer"] == retrieval.NO_SOURCES and got[4]["sources"] is None
     with pytest.raises(ValueError):
         Settings(text_k=0)
+    plain = {r["query_id"]: r for r in grounded(questions, chunks, docs, index, model, lambda p: F.concat(F.lit("re: "), p)).collect()}
+    assert set(plain) == {1, 2, 4} and plain[1]["answer"] == one["answer"] and plain[1]["retrieved_chunk_count"] == 2 and not plain[2]["requires_web_search"]
+    none = grounded(questions, chunks.limit(0), docs, index, model, lambda p: p).collect()
+    assert all(r["answer"] == retrieval.NO_CHUNKS and r["requires_web_search"] and r["sources"] is None and r["retrieved_chunk_count"] == 0 for r in none) and len(none) == 3

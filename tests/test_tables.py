@@ -5,8 +5,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions import names
 from foliant.operators import chat, tables
-from foliant.plans.ingest import SCHEMAS, ingest, preview
+from foliant.plans.ingest import ingest, open_store, preview
 from foliant.sources import files
 from foliant.sources.pdf import pdf_images, pdf_units
 from foliant.sources.store import Store
@@ -133,6 +134,34 @@ def test_pdf(packed):
         pdf_units(pdf(packed, b"/Encrypt 1 0 R "))
 
 
+def test_pdf_images_of_samples():
+    """Samples become PNG files that hold the same rows; a predictor's rows are taken over."""
+    rgb, gray, cmyk = bytes(range(24)), b"\xaa\x55", bytes([0, 0, 0, 0, 255, 255, 0, 0, 0, 0, 0, 255])
+    filtered = b"\2" + bytes(12) + b"\1" + bytes(range(12))
+    kinds = [
+        (b"/ColorSpace /DeviceRGB /BitsPerComponent 8 /Width 4 /Height 2", rgb, (2, b"\0" + rgb[:12] + b"\0" + rgb[12:])),
+        (b"/ColorSpace [/ICCBased 9 0 R] /BitsPerComponent 8 /Width 4 /Height 2 /DecodeParms << /Predictor 15 /Colors 3 /Columns 4 >>", filtered, (2, filtered)),
+        (b"/ImageMask true /Width 8 /Height 2", gray, (0, b"\0\xaa\0\x55")),
+        (b"/ColorSpace [/Indexed /DeviceRGB 1 <0000FF00FF00>] /BitsPerComponent 1 /Width 8 /Height 2", gray, (3, b"\0\xaa\0\x55")),
+        (b"/ColorSpace /DeviceCMYK /BitsPerComponent 8 /Width 3 /Height 1", cmyk, (2, b"\0" + bytes([255, 255, 255, 0, 0, 255, 0, 0, 0]))),
+        (b"/ColorSpace /Pattern /BitsPerComponent 8 /Width 3 /Height 1", cmyk, None),
+        (b"/ColorSpace /DeviceGray /BitsPerComponent 1 /Width 8 /Height 2 /Filter /CCITTFaxDecode", gray, None),
+    ]
+    for about, data, expected in kinds:
+        packed = data if b"Filter" in about else zlib.compress(data)
+        more = b"" if b"Filter" in about else b" /Filter /FlateDecode"
+        body = b"<< /Type /XObject /Subtype /Image " + about + more + b" /Length %d >>\nstream\n" % len(packed) + packed + b"\nendstream"
+        parts = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Resources << /XObject << /I 4 0 R >> >> >>", body]
+        file = b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n" % n + b + b"\nendobj\n" for n, b in enumerate(parts, 1)) + b"9 0 obj\n<< /N 3 /Length 0 >>\nstream\n\nendstream\nendobj\ntrailer << /Root 1 0 R >>"
+        found = pdf_images(file)
+        assert len(found) == (expected is not None)
+        if expected:
+            png, (kind, rows) = found[0]["content"], expected
+            assert found[0]["file_name"] == "page-1-image-0.png" and files._size(png) == (found[0]["width"], found[0]["height"]) and png[25] == kind
+            at = png.index(b"IDAT")
+            assert zlib.decompress(png[at + 4 : at + 4 + int.from_bytes(png[at - 4 : at], "big")]) == rows and (b"PLTE" in png) == (kind == 3)
+
+
 @pytest.fixture
 def folder(tmp_path):
     at = tmp_path / "blobs"
@@ -167,7 +196,7 @@ def model():
 
 
 def test_ingest(spark, folder, tmp_path, model):
-    store, now = Store(spark, str(tmp_path / "store"), SCHEMAS), F.lit(NOW).cast("timestamp")
+    store, now = open_store(spark, str(tmp_path / "store"), 4), F.lit(NOW).cast("timestamp")
     pdf = {"pdf": lambda content: [{"text": "Page text of a scan. " * 8, "page_number": 1}]}
     run = lambda: {r["document_id"]: (r["status"], r["error"]) for r in ingest(store, files.blobs(spark, folder), F.lit("c"), model, "m", 2, now, parsers=pdf).collect()}
     first = run()
@@ -181,7 +210,7 @@ def test_ingest(spark, folder, tmp_path, model):
 
 
 def test_ingest_with_images(spark, folder, tmp_path, model):
-    store, now = Store(spark, str(tmp_path / "store"), SCHEMAS), F.lit(NOW).cast("timestamp")
+    store, now = open_store(spark, str(tmp_path / "store"), 4), F.lit(NOW).cast("timestamp")
     run = lambda captioner: {r["document_id"]: r["error"] for r in ingest(store, files.blobs(spark, folder).where("name = 'good.docx'"), F.lit("c"), model, "m", 2, now, captioner=captioner).collect()}
     assert list(run(lambda data, mime: f"{mime} of {len(data)} bytes").values()) == [None]
     image = store.read("document_images").first()
@@ -191,6 +220,53 @@ def test_ingest_with_images(spark, folder, tmp_path, model):
     assert store.read("documents").first()["processing_status"] == "failed" and store.read("document_images").count() == 1
 
 
+@pytest.fixture
+def store(spark, tmp_path):
+    return Store(spark, str(tmp_path / "store"), {"t": "k int, v string"}, {"t": ("k",)}, buckets=16)
+
+
+def written_at(tmp_path):
+    return {str(p): p.stat().st_mtime_ns for p in (tmp_path / "store" / "t" / "data").rglob("*.parquet")}
+
+
+def test_a_change_rewrites_its_buckets_only(spark, store, tmp_path):
+    store.write("t", spark.range(1000).selectExpr("cast(id as int) k", "'old' v"))
+    before = written_at(tmp_path)
+    assert len(before) == 16
+    keys = spark.createDataFrame([(3,), (500,), (2000,)], "k int")
+    touched = store.touched("t", keys)
+    new = spark.createDataFrame([(3, "new"), (2000, "new")], "k int, v string")
+    out = store.update("t", keys, lambda old: old.join(keys, "k", "left_anti").unionByName(new))
+    assert {r["k"]: r["v"] for r in out.collect()} == {k: "old" for k in range(1000) if k not in (3, 500)} | {3: "new", 2000: "new"}
+    assert all(written_at(tmp_path)[p] == t for p, t in before.items())
+    fresh = {int(p.split("__bucket=")[1].split("/")[0]) for p in set(written_at(tmp_path)) - set(before)}
+    assert fresh == set(touched) and len(touched) <= 3
+    assert store.read("t", keys=keys).count() < 1000 and store.read("t", version=1).where("v = 'new'").count() == 0
+    store.update("t", keys, lambda old: old.where("false"))
+    assert len(store.versions("t")) == 2 and len(written_at(tmp_path)) < 16 + len(touched)  # the first state is gone
+    with pytest.raises(ValueError):
+        store.update("t", keys, lambda old: spark.range(1000).selectExpr("cast(id as int) k", "'x' v"))
+
+
+def test_writers_at_the_same_time(spark, store):
+    store.keep = 5  # the state that the slow one reads stays
+    store.write("t", spark.range(200).selectExpr("cast(id as int) k", "'old' v"))
+    one = spark.createDataFrame([(1,)], "k int")
+    other = next(k for k in range(200) if store.touched("t", spark.createDataFrame([(k,)], "k int")) != store.touched("t", one))
+    set_to = lambda k, v: lambda old: old.selectExpr("k", f"if(k = {k}, '{v}', v) v")
+    calls = []
+
+    def slow(old):
+        if not calls:  # while this one works, others change another bucket and the same one
+            store.update("t", spark.createDataFrame([(other,)], "k int"), set_to(other, "theirs"))
+            store.update("t", one, lambda rows: rows.selectExpr("k", "concat(v, '+') v"))
+        calls.append(1)
+        return old.selectExpr("k", "if(k = 1, concat(v, '!'), v) v")
+
+    found = {r["k"]: r["v"] for r in store.update("t", one, slow).collect()}
+    assert found[1] == "old+!" and found[other] == "theirs" and len(found) == 200 and len(calls) == 2
+
+
 def test_image_sizes(spark):
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + (48).to_bytes(2, "big") + (64).to_bytes(2, "big") + b"\0" * 10
@@ -206,12 +282,38 @@ def test_image_sizes(spark):
 
 def test_stream(spark, folder, tmp_path, model):
     at = str(tmp_path / "store")
-    query = watch(spark, folder, at, str(tmp_path / "checkpoint"), model, "m", 2, files_a_batch=2)
+    query = watch(spark, folder, at, str(tmp_path / "checkpoint"), model, "m", 2, files_a_batch=2, buckets=4)
     query.awaitTermination()
-    states = {r["source_blob_name"]: r["processing_status"] for r in Store(spark, at, SCHEMAS).read("documents").collect()}
+    states = {r["source_blob_name"]: r["processing_status"] for r in open_store(spark, at).read("documents").collect()}
     assert states == {"good.docx": "completed", "scan.pdf": "completed", "empty.docx": "failed", "sub/bad.DOCX": "failed"}
 
 
+def test_counts_and_types(spark):
+    units = spark.createDataFrame([("a", 1, 1), ("a", 2, None), ("b", None, 3)], "path string, page_number int, paragraph_number int")
+    found = spark.createDataFrame([("a",), ("a",)], "path string")
+    assert sorted(map(tuple, files.counts(units, found).collect())) == [("a", 2, 1, 2), ("b", 0, 1, 0)]
+    rows = [(".JPEG", "image/jpeg"), ("svg", "image/svg+xml"), ("jp2", "image/jp2"), ("xyz", "application/octet-stream"), (None, "image/png")]
+    got = spark.createDataFrame(rows, "e string, m string").select(names.image_mime(F.col("e")), "m").collect()
+    assert all(a == b for a, b in got)
+    cases = [("a/b.JPE", "image/gif", "jpg"), ("noext", "image/tiff", "tif"), ("noext", "IMAGE/JPEG ", "jpg"), ("x", "what/ever", "bin"), ("x", None, "bin"), (None, "image/png", "png"), (".hidden", "image/webp", "webp")]
+    got = spark.createDataFrame(cases, "n string, m string, x string").select(names.image_extension(F.col("n"), F.col("m")), "x").collect()
+    assert all(a == b for a, b in got)
+
+
+def test_signed_links(spark):
+    import hashlib
+    import hmac
+
+    at = lambda s: F.lit(s).cast("timestamp")
+    row = spark.range(1).select(files.read_url(F.lit("c"), F.lit("a/ü b.pdf"), "key", at("2024-01-01 00:00:10")).alias("u"), files.read_url(F.lit("c"), F.lit(" "), "key", at("2024-01-01")).alias("none"))
+    url, none = row.first()
+    place, until = "c/a/ü b.pdf", "1704067210"
+    assert none is None and url == f"{place}?expires={until}&signature=" + hmac.new(b"key", f"{place}\n{until}".encode(), hashlib.sha256).hexdigest()
+    now, late = at("2024-01-01 00:00:09"), at("2024-01-01 00:00:10")
+    check = row.select(files.valid_url(F.col("u"), "key", now), files.valid_url(F.col("u"), "key", late), files.valid_url(F.col("u"), "k" * 80, now), files.valid_url(F.concat(F.lit("x"), "u"), "key", now), files.valid_url(F.col("none"), "key", now))
+    assert list(check.first()) == [True, False, False, False, False]
+
+
 def test_csv_and_json(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "q", b\nc'), (2, None)], "id int, t string")
     files.write_csv(df, str(tmp_path / "c"))
