@@ -52,10 +52,11 @@ TEXT, OPEN, CLOSE = 0, 1, 2
 #: Elements whose content isn't shown.
 UNSEEN = RAW | {"head"}
 PARAGRAPHS = FLOW - LISTS
-#: Kinds of subtrees: containers; whole lists and tables within an article; paragraphs and the like outside and inside of articles.
-PAGE, BOX, LIST, LOOSE, PROSE = 0, 1, 2, 3, 4
+#: Kinds of subtrees: containers; whole lists and tables within an article; paragraphs and the like outside and inside of articles;
+#: containers within an article.
+PAGE, BOX, LIST, LOOSE, PROSE, INNER = 0, 1, 2, 3, 4, 5
 #: By kind: of how many different pages of the host a template is, and for paragraphs of which share of those of the host or a section.
-LEAST = {BOX: 3, LIST: 20, LOOSE: 5, PROSE: 20}
+LEAST = {BOX: 3, INNER: 5, LIST: 20, LOOSE: 5, PROSE: 20}
 SHARE = {LOOSE: 0.5, PROSE: 0.8}
 
 
@@ -284,7 +285,7 @@ class Content:
                 unseen = stop
             elif name in BLOCK and name not in ("html", "body", "article", "main"):
                 prose = inside and bool(self.main)
-                self.candidates.append((n, (PROSE if prose else LOOSE) if name in PARAGRAPHS else LIST if prose and name in LISTS else BOX))
+                self.candidates.append((n, (PROSE if prose else LOOSE) if name in PARAGRAPHS else BOX if not prose else LIST if name in LISTS else INNER))
             if inside and start >= end and (name in UNSEEN or names and is_around(name, attributes, bool(self.main))):
                 self.cut.append((start, stop))
                 end = stop
@@ -425,7 +426,7 @@ def keyed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: Mapping[int, int] = LEAST, names: bool = True) -> DataFrame:
     """id_col, url_col, text, n_chars for each row of pages.
 
-    least: by kind (BOX, LIST, LOOSE, PROSE), of how many different pages of its host a template is. names: whether the second rule
+    least: by kind (BOX, INNER, LIST, LOOSE, PROSE), of how many different pages of its host a template is. names: whether the second rule
     follows; without it the counts alone decide. Null or empty html gives an empty text;
     pages with a null url count as one host. Malformed html is read as browsers do, roughly: an end tag without a start is passed
     over, what is open at the end is closed, a tag that the page's end cuts off is dropped. Ids may be null or repeated; rows with
