@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fulltext, vectors
 from ..operators import embedding, evaluation, retrieval
-from ..session import table
+from ..session import spread, table
 
 WORDS, PHRASE = "thing tion", '"thing er"'
 
@@ -61,7 +61,7 @@ def vector_validity(spark, sf_dir):
 
 def _rank(spark, sf_dir, question):
     query = fulltext.parse(question, stemming=False)
-    index = fulltext.postings(table(spark, sf_dir, "documents"), "doc_id", "text", stemming=False, only=query)
+    index = fulltext.postings(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", stemming=False, only=query)
     return fulltext.keyword_rank(index, "doc_id", query).select("doc_id", F.round(F.least("rank", F.lit(1.0)), 9).alias("rank"))
 
 
@@ -85,7 +85,7 @@ def keyword_rank_stemmed(spark, sf_dir):
 
 
 def hybrid_topk(spark, sf_dir):
-    index = fulltext.postings(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), "id", "text", stemming=False, only=fulltext.parse(WORDS, stemming=False))
+    index = fulltext.postings(spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")), "id", "text", stemming=False, only=fulltext.parse(WORDS, stemming=False))
     best = retrieval.hybrid_topk(_chunks(spark, sf_dir), _documents(spark, sf_dir), index, WORDS, _question(spark, sf_dir), 5, stemming=False)
     return best.select("id", "document_name", F.round("similarity", 6).alias("similarity"), F.round("rank", 6).alias("rank"), F.round("score", 6).alias("score"))
 
