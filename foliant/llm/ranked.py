@@ -1,10 +1,13 @@
 """Ranked lexical search: posting lists cut into blocks of similar documents, each with the coordinatewise maximum of its documents.
 
 Documents are dealt to shards, so a term's list is spread over all of them and none grows with the corpus. In a shard each posting list is
-clustered: some of its documents are representatives, each document goes to the one that is most like it. A block's summary holds, for every
-term, the largest gain of any of its documents. What a query can get from a block is at most the product with its summary, which is
-exact arithmetic of integers; a block is skipped only where that is below the query's k-th best score so far. Terms are taken from the one
-that can add most; once all that are left can't reach that score together, their lists are not looked at.
+clustered: some of its documents are representatives, each document goes to the one that is most like it. A block's summary is the
+coordinatewise maximum of its documents' gains. A query goes through its terms from the weightiest to the lightest. A document of
+a later list that also has an earlier term has been scored by then, or lies in a block that was skipped for good; so a summary needs
+the coordinates of its own term and lighter ones only, which keeps those of the long lists of common words short and makes bounds
+tight. What a query can get from a block is at most the product with its summary, which is exact arithmetic of integers; a block is
+skipped only where that is below the query's k-th best score so far. Once all terms that are left can't reach that score together, their lists aren't
+looked at.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ from ..session import spread
 from .shared import column, hash128, map_arrow, workspace, written
 
 #: Documents of a shard at most, and cells of its table of documents by terms, which bound a task's memory.
-SHARD, CELLS = 2048, 8 << 20
+SHARD, CELLS = 1024, 4 << 20
 #: Documents of a block, on average; twice as many at most.
-BLOCK = 64
+BLOCK = 32
 #: Numbers that stand for a document where documents are compared for clustering.
 SKETCH = 48
 #: Bytes of queries that are searched for in one pass over the documents.
@@ -94,15 +97,25 @@ def cluster(likeness: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(within % (2 * block) == 0)
 
 
+def placed(weights: np.ndarray) -> np.ndarray:
+    """The place of each term among all, from the weightiest."""
+    out = np.empty(len(weights), np.int64)
+    out[np.argsort(-weights, kind="stable")] = np.arange(len(weights))
+    return out
+
+
 def shard(ids: pa.Array, starts: np.ndarray, found: np.ndarray, gains: np.ndarray, weights: np.ndarray, block: int) -> list:
     """The columns of one row of the index. Document i has the entries starts[i] to starts[i + 1] of found (its terms) and gains."""
-    n = len(ids)
+    n, place = len(ids), placed(weights)
     of = np.repeat(np.arange(n), np.diff(starts))
-    here, at = np.unique(found, return_inverse=True)
+    here, at = np.unique(place[found], return_inverse=True)
+    here = np.argsort(place)[here]
     table = np.zeros((n, len(here)), np.int32)
     table[of, at] = gains
     base = np.random.default_rng(1).standard_normal((len(weights), SKETCH), np.float32)
-    like = table.astype(np.float32) * weights[here].astype(np.float32) @ base[here]
+    like = np.zeros((n, SKETCH), np.float32)
+    for a in range(0, n, 256):
+        like[a : a + 256] = (table[a : a + 256] * weights[here].astype(np.float32)) @ base[here]
     like /= np.maximum(np.linalg.norm(like, axis=1, keepdims=True), 1e-9)
     by_term = np.argsort(at, kind="stable")
     edges = np.searchsorted(at[by_term], np.arange(len(here) + 1))
@@ -111,13 +124,13 @@ def shard(ids: pa.Array, starts: np.ndarray, found: np.ndarray, gains: np.ndarra
         docs = of[by_term[edges[t] : edges[t + 1]]]
         order, first = cluster(like[docs], block)
         docs = docs[order]
-        most = np.maximum.reduceat(table[docs], first, axis=0)
+        most = np.maximum.reduceat(table[docs, t:], first, axis=0)
         rows, cols = np.nonzero(most)
         block_term.append(np.full(len(first), here[t]))
         members.append(docs)
         sizes.append(np.diff(first, append=len(docs)))
         entries.append(np.bincount(rows, minlength=len(first)))
-        sum_terms.append(here[cols])
+        sum_terms.append(here[t + cols])
         sum_gains.append(most[rows, cols])
     joined = [np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32) for x in (block_term, members, sizes, entries, sum_terms, sum_gains)]
     return [ids, starts.astype(np.int32), found.astype(np.int32), gains.astype(np.int32), *joined]
@@ -194,27 +207,28 @@ class Shard:
     """One row of the index."""
 
     def __init__(self, row: pa.RecordBatch, i: int, n_terms: int):
-        part = {c: row[c].slice(i, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in COLUMNS}
+        part = {c: row[c].slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in COLUMNS}
         self.ids = row["ids"].slice(i, 1).flatten()
-        self.starts, self.found, self.gains, self.members = part["starts"], part["found"], part["gains"], part["members"]
-        self.first = np.concatenate([[0], np.cumsum(part["sizes"])])
-        self.entries = np.concatenate([[0], np.cumsum(part["entries"])])
+        self.starts, self.found, self.gains, self.members = part["starts"].astype(np.int64), part["found"], part["gains"], part["members"]
+        self.first = np.concatenate([[0], np.cumsum(part["sizes"], dtype=np.int64)])
+        self.entries = np.concatenate([[0], np.cumsum(part["entries"], dtype=np.int64)])
         self.sum_terms, self.sum_gains = part["sum_terms"], part["sum_gains"]
-        self.lists = np.searchsorted(part["block_term"], np.arange(n_terms + 1))
+        # The blocks of a term lie side by side.
+        self.low, self.high = np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int64)
+        edges = np.flatnonzero(np.diff(part["block_term"], prepend=-1, append=-1))
+        self.low[part["block_term"][edges[:-1]]], self.high[part["block_term"][edges[:-1]]] = edges[:-1], edges[1:]
         self.most = np.zeros(n_terms, np.int64)
         np.maximum.at(self.most, self.found, self.gains)
 
-    def search(self, query: np.ndarray, weight: np.ndarray, dense: np.ndarray, best: Best) -> tuple[int, int]:
-        """Puts the documents of this shard that belong there into best. dense: weights by term, of this query. Returns how many
-        documents were scored, and how many blocks were skipped."""
-        can = weight * self.most[query]
-        order = np.argsort(-can, kind="stable")
-        left = np.cumsum(can[order][::-1])[::-1]
+    def search(self, query: np.ndarray, dense: np.ndarray, best: Best) -> tuple[int, int]:
+        """Puts the documents of this shard that belong there into best. query: its terms, from the weightiest; dense: its weights by
+        term. Returns how many documents were scored, and how many blocks were skipped."""
+        left = np.cumsum((dense[query] * self.most[query])[::-1])[::-1]
         seen, scored, skipped = np.zeros(len(self.ids), bool), 0, 0
-        for t, rest in zip(query[order], left):
+        for t, rest in zip(query, left):
             if rest < best.least:
                 break
-            low, high = self.lists[t], self.lists[t + 1]
+            low, high = self.low[t], self.high[t]
             if low == high:
                 continue
             e = self.entries[low : high + 1]
@@ -248,7 +262,7 @@ def searcher(sent, k: int):
                 part = Shard(batch, i, n_terms)
                 for (_, _, query, weight), found in zip(queries, best):
                     dense[query] = weight
-                    part.search(query, weight, dense, found)
+                    part.search(query, dense, found)
                     dense[query] = 0
         rows = [(h1, h2, None if none else i, -s) for (h1, h2, _, _), found in zip(queries, best) for s, none, i in found.found]
         if rows:
@@ -260,9 +274,9 @@ def searcher(sent, k: int):
 
 def search(index: Index, queries: list[tuple[int, int, list[bytes]]], k: int = 10) -> DataFrame:
     """h1, h2, id, score: the k best documents of each task's shards for queries (two hashes, and terms with repeats)."""
-    ready = []
+    ready, place = [], placed(index.weights)
     for h1, h2, words in queries:
-        often = sorted(Counter(index.vocabulary[w] for w in words if w in index.vocabulary).items())
+        often = sorted(Counter(index.vocabulary[w] for w in words if w in index.vocabulary).items(), key=lambda x: place[x[0]])
         query = np.array([t for t, _ in often], np.int64)
         ready.append((h1, h2, query, np.array([c for _, c in often], np.int64) * index.weights[query]))
     schema = StructType([StructField("h1", LongType()), StructField("h2", LongType()), StructField("id", index.id_type), StructField("score", LongType())])
