@@ -23,12 +23,11 @@ from ..session import spread
 from .shared import column, map_arrow, workspace, written
 
 #: Words that are counted together in a task; a text of more is a part of its own.
-PART = 2_000_000
+PART = 1_000_000
 #: A proposal bitmap has 2**most bits at most, which is 8 MB for each length of phrase.
 MOST_BITS = 26
 #: Rows of a list are gathered in so many parts before they meet.
 PARTS = 32
-SCHEMA = "lang string, phrase string, k int, extended boolean, f long"
 
 
 def _clean() -> bytes:
@@ -76,28 +75,26 @@ class Proposals:
 
 
 def count_part(ids: np.ndarray, words: list[bytes], lang_of: np.ndarray, langs: list[str], hashes: np.ndarray, passes: list[Proposals], longest: int) -> Iterator[pa.RecordBatch]:
-    """The counts of the phrases that the last of the passes counts and no earlier one has. ids: words in their order, 0 between pieces."""
-    spelled, names = pa.array(words, pa.binary()).cast(pa.string()), pa.array(langs, pa.string())
-
-    def rows(k: int, starts: np.ndarray, f: np.ndarray, extended: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(starts), 1 << 16):
-            s = starts[at : at + (1 << 16)]
-            parts = [spelled.take(pa.array(ids[s + i])) for i in range(k)]
-            phrase = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
-            lang = names.take(pa.array(lang_of[ids[s]]))
-            yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(s), k, np.int32)), pa.array(extended[at : at + (1 << 16)]), pa.array(f[at : at + (1 << 16)])], ["lang", "phrase", "k", "extended", "f"])
+    """The counts of the phrases that the last of the passes counts and no earlier one has. ids: words in their order, 0 between pieces.
+    A phrase is named by its language, a tab and its words."""
+    spelled, own_lang = pa.array(words, pa.binary()).cast(pa.string()), pa.array([f"{x}\t" for x in langs], pa.string())
+
+    def rows(parts: list[np.ndarray], f: np.ndarray, extended: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(f), 1 << 16):
+            some = [p[at : at + (1 << 16)] for p in parts]
+            phrase = [spelled.take(pa.array(p)) for p in some]
+            phrase = pc.binary_join_element_wise(*phrase, " ") if len(phrase) > 1 else phrase[0]
+            name = pc.binary_join_element_wise(own_lang.take(pa.array(lang_of[some[0]])), phrase, "")
+            yield pa.RecordBatch.from_arrays([name, pa.array(extended[at : at + (1 << 16)]), pa.array(f[at : at + (1 << 16)])], ["name", "extended", "f"])
 
     there, own = ids > 0, hashes[ids]
     if len(passes) == 1:
         of = np.bincount(ids, minlength=len(words))[1:]
         n = np.bincount(lang_of[1:], weights=of, minlength=len(langs)).astype(np.int64)
-        blank = pa.nulls(len(langs), pa.string())
-        yield pa.RecordBatch.from_arrays([names, blank, pa.array(np.zeros(len(langs), np.int32)), pa.array(np.ones(len(langs), bool)), pa.array(n)], ["lang", "phrase", "k", "extended", "f"])
-        _, first = np.unique(ids, return_index=True)
-        first = first[len(first) - len(of) :]
-        yield from rows(1, first, of.astype(np.int64), passes[0].has(1, own[first]))
-    # open[j][i]: pass j extends the phrase of k words that starts at i.
-    h, open_ = own, [there & p.has(1, own) for p in passes]
+        yield pa.RecordBatch.from_arrays([own_lang, pa.array(np.ones(len(langs), bool)), pa.array(n)], ["name", "extended", "f"])
+        yield from rows([np.arange(1, len(words))], of.astype(np.int64), passes[0].has(1, hashes[1:]))
+    # open_[j][i]: pass j extends the phrase of k words that starts at i.
+    h, open_ = own, [there & p.has(1, hashes)[ids] for p in passes]
     for k in range(2, longest + 1):
         if len(h) < 2:
             return
@@ -110,53 +107,53 @@ def count_part(ids: np.ndarray, words: list[bytes], lang_of: np.ndarray, langs:
             open_[j] = (p.has(k, h) & there[: len(h)] & there[k - 1 :]) | (new & (j > 0)) if k < longest else new
         at = np.flatnonzero(new)
         if len(at):
-            key = ids[at]
-            for i in range(1, k):
-                _, key = np.unique(key.astype(np.int64) << 32 | ids[at + i], return_inverse=True)
+            key = ids[at] << 32 | ids[at + 1]
+            for i in range(2, k):
+                key = np.searchsorted(np.unique(key), key) << 32 | ids[at + i]
             _, first, f = np.unique(key, return_index=True, return_counts=True)
-            yield from rows(k, at[first], f.astype(np.int64), np.ones(len(first), bool) if k == longest else open_[-1][at[first]])
+            first = at[first]
+            yield from rows([ids[first + i] for i in range(k)], f.astype(np.int64), np.ones(len(first), bool) if k == longest else open_[-1][first])
 
 
 def counter(sent, longest: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = [Proposals(m) for m in sent.value]
 
-        def part(held: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
-            words, lang_of, hashes, langs, runs = [b""], [0], [0], list(held), []
-            for n, lang in enumerate(langs):
-                known: dict[bytes, int] = defaultdict(numbers(len(words)).__next__)
-                known[b"."] = 0
-                for found in held[lang]:
-                    runs += [np.fromiter(map(known.__getitem__, found), np.int64, len(found)), np.zeros(1, np.int64)]
-                held[lang].clear()
-                del known[b"."]
-                own = [w for w, _ in sorted(known.items(), key=lambda x: x[1])]
-                words += own
-                lang_of += [n] * len(own)
-                hashes += [word_hash(w, lang) for w in own]
-            yield from count_part(np.concatenate(runs), words, np.array(lang_of), langs, np.array(hashes, np.uint64), passes, longest)
-
-        held, size = defaultdict(list), 0
+        def part(known: dict[str, dict[bytes, int]], runs: list[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
+            words, lang_of, hashes, langs = [b""] * n, np.zeros(n, np.int64), np.zeros(n, np.uint64), list(known)
+            for k, lang in enumerate(langs):
+                for word, at in known[lang].items():
+                    if at:
+                        words[at], lang_of[at], hashes[at] = word, k, word_hash(word, lang)
+            yield from count_part(np.concatenate(runs), words, lang_of, langs, hashes, passes, longest)
+
+        known, runs, size, number = {}, [], 0, numbers(1)
         for batch in source:
             for text, lang in zip(batch["text"], batch["lang"]):
+                if (name := lang.as_py()) not in known:
+                    known[name] = defaultdict(number.__next__, {b".": 0})
                 found = tokens(text.as_py())
-                held[lang.as_py()].append(found)
-                size += len(found) + 1
+                found.append(b".")
+                runs.append(np.fromiter(map(known[name].__getitem__, found), np.int64, len(found)))
+                size += len(found)
                 if size >= PART:
-                    yield from part(held)
-                    held, size = defaultdict(list), 0
-        if held:
-            yield from part(held)
+                    yield from part(known, runs, next(number))
+                    known, runs, size, number = {}, [], 0, numbers(1)
+        if runs:
+            yield from part(known, runs, next(number))
 
     return run
 
 
 def counts(rows: DataFrame, passes: list[dict[int, np.ndarray] | None], longest: int, least: int) -> DataFrame:
     """lang, phrase, k, extended, f: phrases of k words found `least` times or more; k is 0 where f counts all words of a language.
-    extended: the pass has counted the phrases around this one too."""
+    extended: the pass has counted the phrases around this one too. Tasks have added up what they met, so rows are dealt as they are."""
     sent = rows.sparkSession.sparkContext.broadcast(passes)
-    found = map_arrow(rows, counter(sent, longest), SCHEMA)
-    return found.groupBy("lang", "phrase", "k", "extended").agg(F.sum("f").alias("f")).where((F.col("k") == 0) | (F.col("f") >= least))
+    found = map_arrow(rows, counter(sent, longest), "name string, extended boolean, f long").repartition("name")
+    phrase = F.substring_index("name", "\t", -1)
+    total = found.groupBy("name").agg(F.sum("f").alias("f"), F.max("extended").alias("extended")).where((F.col("f") >= least) | F.endswith("name", F.lit("\t")))
+    k = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1)
+    return total.select(F.expr("left(name, length(name) - length(substring_index(name, '\t', -1)) - 1)").alias("lang"), phrase.alias("phrase"), k.cast("int").alias("k"), "extended", "f")
 
 
 def positions(size: int):
@@ -187,7 +184,7 @@ def propose(frequent: DataFrame, longest: int, most_bits: int = MOST_BITS) -> di
     return maps
 
 
-def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, longest: int = 3, share: float = 0.25, most_bits: int = MOST_BITS) -> DataFrame:
+def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, longest: int = 3, share: float = 0.05, most_bits: int = MOST_BITS) -> DataFrame:
     """lang, phrase, k, f: all phrases of 1 to `longest` words found `least` times or more in a language, and k = 0 for all its words.
 
     share: of the texts, picked by their hash, that propose; of a phrase that has `least` occurrences they must hold about half as many
@@ -196,8 +193,11 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
     spark, at = docs.sparkSession, workspace(docs.sparkSession, "phrases")
     rows = docs.select(F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(column(lang_col).cast("string"), F.lit("und")).alias("lang"))
     sample = spread(rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    rows = spread(rows)
-    proposed = written(counts(sample, [None], max(1, longest - 1), max(2, round(0.5 * share * least))), f"{at}/sample")
+    rows, few = spread(rows), max(2, round(0.5 * share * least))
+    # The sample is mined a length at a time, each from the one before.
+    proposed = written(counts(sample, [None], 1, few), f"{at}/sample-1")
+    for k in range(2, longest):
+        proposed = written(counts(sample, [propose(proposed, k, most_bits)], k, few), f"{at}/sample-{k}")
     passes, found = [propose(proposed, longest, most_bits)], []
     while True:
         found.append(written(counts(rows, passes, longest, least), f"{at}/{len(found)}"))
@@ -230,7 +230,7 @@ def score(mined: DataFrame) -> DataFrame:
     return best.select("lang", "phrase", "k", "a", "best.l", "best.r", "best.score")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, longest: int = 3, within: int = 50, top: int = 2000, share: float = 0.25, most_bits: int = MOST_BITS) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, longest: int = 3, within: int = 50, top: int = 2000, share: float = 0.05, most_bits: int = MOST_BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the `top` phrases of each language.
 
     Texts are lower-cased in A-Z, cut at `.,;:!?` and line ends, and split at spaces and tabs. A phrase of 2 to `longest` words with a
