@@ -19,9 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from ..session import spread
 from .shared import column, hash128, map_arrow, workspace, written
@@ -139,6 +140,18 @@ def shard(ids: pa.Array, starts: np.ndarray, found: np.ndarray, gains: np.ndarra
 COLUMNS = ["starts", "found", "gains", "block_term", "members", "sizes", "entries", "sum_terms", "sum_gains"]
 
 
+def packed(ids: pa.Array, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A row of the index: its ids, the lengths of its columns, and the columns compressed."""
+    whole = zstandard.ZstdCompressor(level=1).compress(b"".join(x.astype("<i4").tobytes() for x in columns))
+    listed = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, pa.array([len(x) for x in columns], pa.int32()))]
+    return pa.RecordBatch.from_arrays([*listed, pa.array([whole], pa.binary())], ["ids", "lengths", "packed"])
+
+
+def unpacked(row: pa.RecordBatch, i: int) -> dict[str, np.ndarray]:
+    whole = np.frombuffer(zstandard.decompress(row["packed"][i].as_py()), "<i4")
+    return dict(zip(COLUMNS, np.split(whole, np.cumsum(row["lengths"][i].as_py())[:-1])))
+
+
 def sharder(sent, n_docs: int, length: int, block: int, most: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = sent.value
@@ -152,8 +165,7 @@ def sharder(sent, n_docs: int, length: int, block: int, most: int):
             m = np.array([25 + 75 * n * n_docs // length for n in lists[1].to_pylist()], np.int64)
             gains = 1_000_000_000 * often // (1000 * often + 8 * np.repeat(m, np.diff(starts)))
             ids, *rest = shard(lists[0], starts - starts[0], found, gains, weights, block)
-            listed = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x)) for x in (ids, *rest)]
-            return pa.RecordBatch.from_arrays(listed, ["ids", *COLUMNS])
+            return packed(ids, rest)
 
         held, size = [], 0
         for batch in source:
@@ -182,9 +194,9 @@ def build(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str = "doc_id",
     # One row a term of the vocabulary, which is bounded.
     df = dict(found.select(F.explode("terms").alias("t")).groupBy("t").count().collect())
     weights = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df.get(t, 0) + 1))) for t in range(len(vocabulary))], np.int64)
-    kinds = StructType([StructField("ids", ArrayType(id_type)), *[StructField(c, ArrayType(IntegerType())) for c in COLUMNS]])
+    kinds = StructType([StructField("ids", ArrayType(id_type)), StructField("lengths", ArrayType(IntegerType())), StructField("packed", BinaryType())])
     # Rows without a term of the vocabulary have no score.
-    some = found.where(F.size("terms") > 0)
+    some = spread(found.where(F.size("terms") > 0), 1 << 20)
     shards = written(map_arrow(some, sharder(sc.broadcast(weights), n_docs, length or 1, block, most), kinds), f"{at}/shards")
     return Index(shards, vocabulary, weights, n_docs, length or 0, id_type)
 
@@ -207,7 +219,7 @@ class Shard:
     """One row of the index."""
 
     def __init__(self, row: pa.RecordBatch, i: int, n_terms: int):
-        part = {c: row[c].slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in COLUMNS}
+        part = unpacked(row, i)
         self.ids = row["ids"].slice(i, 1).flatten()
         self.starts, self.found, self.gains, self.members = part["starts"].astype(np.int64), part["found"], part["gains"], part["members"]
         self.first = np.concatenate([[0], np.cumsum(part["sizes"], dtype=np.int64)])

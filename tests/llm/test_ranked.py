@@ -85,9 +85,8 @@ def parts(n=600, n_terms=80, groups=6, block=16):
     lists = [np.unique(np.concatenate([rng.integers(0, 8, 3), 8 + (i % groups) * 12 + rng.integers(0, 12, 6)])) for i in range(n)]
     starts, found = np.concatenate([[0], np.cumsum([len(x) for x in lists])]), np.concatenate(lists)
     gains, weights = rng.integers(1, 10**6, len(found)), rng.integers(1, 9000, n_terms)
-    columns = ranked.shard(pa.array(range(n)), starts, found, gains, weights, block)
-    listed = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x)) for x in columns]
-    return pa.RecordBatch.from_arrays(listed, ["ids", *ranked.COLUMNS]), starts, found, gains, weights
+    ids, *columns = ranked.shard(pa.array(range(n)), starts, found, gains, weights, block)
+    return ranked.packed(ids, columns), starts, found, gains, weights
 
 
 def test_blocks_and_summaries():
@@ -95,7 +94,7 @@ def test_blocks_and_summaries():
     term and lighter ones."""
     batch, starts, found, gains, weights = parts()
     place = ranked.placed(weights)
-    part, terms_of = ranked.Shard(batch, 0, 80), batch["block_term"].slice(0, 1).flatten().to_numpy()
+    part, terms_of = ranked.Shard(batch, 0, 80), ranked.unpacked(batch, 0)["block_term"]
     own = [dict(zip(found[a:b], gains[a:b])) for a, b in zip(starts, starts[1:])]
     listed = {}
     for b, t in enumerate(terms_of):
