@@ -29,6 +29,8 @@ from .shared import column, hash128, map_arrow, workspace, written
 
 #: Documents of a shard at most, and cells of its table of documents by terms, which bound a task's memory.
 SHARD, CELLS = 1024, 4 << 20
+#: Shards of a file: a reader of Parquet holds up to 4096 rows of one, whatever their size.
+FILE = 8
 #: Documents of a block, on average; twice as many at most.
 BLOCK = 32
 #: Numbers that stand for a document where documents are compared for clustering.
@@ -197,8 +199,8 @@ def build(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str = "doc_id",
     kinds = StructType([StructField("ids", ArrayType(id_type)), StructField("lengths", ArrayType(IntegerType())), StructField("packed", BinaryType())])
     # Rows without a term of the vocabulary have no score.
     some = spread(found.where(F.size("terms") > 0), 1 << 20)
-    shards = written(map_arrow(some, sharder(sc.broadcast(weights), n_docs, length or 1, block, most), kinds), f"{at}/shards")
-    return Index(shards, vocabulary, weights, n_docs, length or 0, id_type)
+    map_arrow(some, sharder(sc.broadcast(weights), n_docs, length or 1, block, most), kinds).write.option("maxRecordsPerFile", FILE).parquet(f"{at}/shards")
+    return Index(spark.read.schema(kinds).parquet(f"{at}/shards"), vocabulary, weights, n_docs, length or 0, id_type)
 
 
 class Best:
