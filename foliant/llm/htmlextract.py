@@ -1,8 +1,10 @@
 """HTML extraction: the main text of pages, after templates that a site repeats are removed.
 
-The subtrees of all block elements of a page are hashed, bottom-up, and counted for each host in Spark; a subtree that many
-different pages of its host have is a template and is deleted. What remains goes through a second rule: where a page marks up its
-article, the rest of it goes, and so do elements that are no article by their tag, role or class, recurring or not.
+The subtrees of all block elements of a page are hashed, bottom-up, and counted in Spark: for each host, and for containers also among
+all pages of the same layout at the same place in it, since a host may have too few pages to tell by. The page's own host name
+counts as a blank in its texts. A subtree that many different pages have is a template and is deleted. What remains goes
+through a second rule: where a page marks up its article, the rest of it goes, and so do elements that are no article by their tag,
+role or class, recurring or not. Within an article a class that merely may mean surroundings counts only if the block also recurs.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Iterator, Mapping
 from hashlib import blake2b
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,29 +37,37 @@ FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbo
 LISTS = frozenset("ul ol dl table figure details".split())
 GONE = frozenset("nav aside form footer menu dialog button select option input search svg object canvas audio video head".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-AROUND = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice"
-    " notices popup modal overlay newsletter subscribe subscription signup nav navbar navigation menu menus breadcrumb breadcrumbs sidebar"
-    " sidebars widget widgets toolbar masthead footer share sharing social related recommended recommendations comments comment respond"
-    " replies reply disqus pagination pager login skiplink alert announcement".split()
+#: Whole names of classes and ids, with - for _: what is never part of an article, and what may be.
+SURE = frozenset(
+    "ad ads advert adverts advertisement advertising adsbygoogle ad-slot ad-banner ad-container ad-unit ad-box adbanner google-ad sponsored-content"
+    " cookie-notice cookie-banner cookie-consent cookie-bar cookiebanner gdpr-consent consent-banner newsletter-signup newsletter-form subscribe-form"
+    " share-buttons share-links share-bar social-share social-sharing social-links social-icons breadcrumb breadcrumbs pagination pager"
+    " site-header site-footer site-nav site-menu main-nav main-menu nav-bar navbar related-posts related-articles related-links"
+    " recommended-articles skip-link skiplink sidebar side-bar widget-area masthead comments comment-list comment-section comments-area"
+    " comment-respond respond replies disqus disqus-thread reader-comments user-comments".split()
 )
-HEADS = frozenset(("header", "topbar", "top-bar", "site-header", "page-header"))
+MAYBE = frozenset(
+    "sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe"
+    " subscription signup nav navigation menu menus sidebars widget widgets toolbar footer share sharing social related recommended"
+    " recommendations comment reply login alert announcement".split()
+)
+HEADS = frozenset(("header", "topbar", "top-bar", "page-header"))
 NESTED = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "option": ("select",)}
 SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 TEXT, OPEN, CLOSE = 0, 1, 2
 #: Elements whose content isn't shown.
 UNSEEN = RAW | {"head"}
 PARAGRAPHS = FLOW - LISTS
 #: Kinds of subtrees: containers; whole lists and tables within an article; paragraphs and the like outside and inside of articles;
-#: containers within an article.
-PAGE, BOX, LIST, LOOSE, PROSE, INNER = 0, 1, 2, 3, 4, 5
-#: By kind: of how many different pages of the host a template is, and for paragraphs of which share of those of the host or a section.
-LEAST = {BOX: 3, INNER: 5, LIST: 20, LOOSE: 5, PROSE: 20}
+#: containers within an article; blocks within an article that may be surroundings by their class; containers by layout and place.
+PAGE, BOX, LIST, LOOSE, PROSE, INNER, NAMED, POOLED = range(8)
+#: By kind: of how many different pages of the host a template is, of the layout for POOLED, and for paragraphs of which share of
+#: those of the host or a section.
+LEAST = {BOX: 3, INNER: 5, LIST: 20, LOOSE: 5, PROSE: 20, NAMED: 2, POOLED: 3}
 SHARE = {LOOSE: 0.5, PROSE: 0.8}
 
 
@@ -176,18 +187,19 @@ class Page:
                 return chosen
         return []
 
-    def hashes(self) -> dict[int, tuple[int, int]]:
-        """By the place where an element starts: a hash of it with all that it holds and shows, names and texts, white space aside,
-        without attributes, and the number of letters of its text. -1 stands for the whole page. One pass, bottom-up: an element's
-        hash goes into that of the one around it."""
+    def hashes(self, site: str = "") -> dict[int, tuple[int, int]]:
+        """By the place where an element starts: a hash of it with all that it holds and shows, names and texts, white space and the
+        name of the site aside, without attributes, and the number of letters of its text. -1 stands for the whole page. One pass,
+        bottom-up: an element's hash goes into that of the one around it."""
         out: dict[int, tuple[int, int]] = {}
+        blank = re.compile(re.escape(site), re.I) if site else None
         ends = {start: stop for _, _, start, stop in self.nodes}
         stack, unseen = [[-1, blake2b(digest_size=8), 0]], 0
         for i, (kind, value) in enumerate(zip(self.kinds, self.values)):
             if i < unseen:
                 continue
             if kind == TEXT:
-                words = value.split()
+                words = (blank.sub("", value) if blank and len(value) >= len(site) else value).split()
                 stack[-1][1].update(f"{TEXT}{' '.join(words)}\n".encode("utf-8", "replace"))
                 stack[-1][2] += sum(map(len, words))
                 continue
@@ -205,6 +217,23 @@ class Page:
         out[-1] = 0, stack[0][2]
         return out
 
+    def places(self) -> tuple[list[int], int]:
+        """For each element a hash of its place, which is the names on the way to it, each with its number among its siblings of
+        that name; and a hash of the page's layout, which is the names of its outermost blocks, those in a row once."""
+        out, layout, stack = [], [], [(len(self.kinds) + 1, 0, {})]
+        for name, _, start, stop in self.nodes:
+            while stack[-1][0] <= start:
+                stack.pop()
+            _, around, seen = stack[-1]
+            seen[name] = nth = seen.get(name, 0) + 1
+            outer = around == 0 and name in ("html", "body")
+            here = 0 if outer else xxhash.xxh64_intdigest(f"{around}/{name}{nth}")
+            if around == 0 and not outer and name in BLOCK and name not in UNSEEN and layout[-1:] != [name]:
+                layout.append(name)
+            out.append(here)
+            stack.append((stop, here, {}))
+        return out, signed(xxhash.xxh64_intdigest(" ".join(layout)))
+
     def text(self, regions: list[tuple[int, int]], without: list[tuple[int, int]]) -> str:
         """Text of the regions, outside of the ranges `without`, each sorted by start."""
         parts, skip = [], 0
@@ -236,6 +265,11 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(source)}
 
 
+def _names(found: dict[str, str]) -> set[str]:
+    """The whole class names and the id."""
+    return {*f"{found.get('class', '')} {found.get('id', '')}".lower().replace("_", "-").split()}
+
+
 def is_comment(attributes: str) -> bool:
     """Whether an article element is a reader's comment."""
     return "comment" in attributes and bool({"comment", "comment-body", "reply"} & {*_attributes(attributes).get("class", "").lower().split()})
@@ -252,27 +286,34 @@ def is_around(name: str, attributes: str, inside: bool) -> bool:
         return True
     if name == "article":
         return is_comment(attributes)
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    if not names.strip():
-        return False
-    if not inside and HEADS & {*names.lower().split()}:
-        return True
-    return not AROUND.isdisjoint(t.lower() for t in TOKEN.findall(names))
+    names = _names(found)
+    return not SURE.isdisjoint(names) or not inside and not (MAYBE.isdisjoint(names) and HEADS.isdisjoint(names))
+
+
+def may_be_around(attributes: str) -> bool:
+    """Whether an element within the main text has a class or id that would make it surroundings elsewhere."""
+    return bool(attributes) and not MAYBE.isdisjoint(_names(_attributes(attributes)))
+
+
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
 class Content:
     """What of a page may be main text: its regions, what is cut out of them by name, and the subtrees that could be templates.
 
     candidates: node and kind of each block element that is shown, wherever it stands. names: whether the second rule holds; without
-    it the whole page is the region, and nothing but what isn't shown is cut.
+    it the whole page is the region, and nothing but what isn't shown is cut. site: the page's host.
     """
 
-    def __init__(self, source: str, names: bool = True):
+    def __init__(self, source: str, names: bool = True, site: str = ""):
         self.page = page = Page(source)
+        self.site = site
         self.main = page.articles() if names else []
         self.regions = [(page.nodes[n][2], page.nodes[n][3]) for n in self.main] or [(0, len(page.kinds))]
         self.cut: list[tuple[int, int]] = []
         self.candidates: list[tuple[int, int]] = []
+        self.places, self.layout = page.places()
         chosen = set(self.main)
         r, end, unseen = 0, -1, -1
         for n, (name, attributes, start, stop) in enumerate(page.nodes):
@@ -281,10 +322,12 @@ class Content:
             if start < unseen or n in chosen:
                 continue
             inside = r < len(self.regions) and self.regions[r][0] <= start
+            prose = inside and bool(self.main)
             if name in UNSEEN:
                 unseen = stop
+            elif prose and may_be_around(attributes):
+                self.candidates.append((n, NAMED))
             elif name in BLOCK and name not in ("html", "body", "article", "main"):
-                prose = inside and bool(self.main)
                 self.candidates.append((n, (PROSE if prose else LOOSE) if name in PARAGRAPHS else BOX if not prose else LIST if name in LISTS else INNER))
             if inside and start >= end and (name in UNSEEN or names and is_around(name, attributes, bool(self.main))):
                 self.cut.append((start, stop))
@@ -292,10 +335,12 @@ class Content:
 
     def subtrees(self) -> list[tuple[int, int, int, int, int]]:
         """Kind, hash, start, stop and number of letters of the candidates with text. What has more than two thirds of the text of
-        the regions isn't among them, for it is the text itself; what lies outside of the regions is, however large."""
+        the regions isn't among them, for it is the text itself; what lies outside of the regions is, however large. A container
+        comes as POOLED too, with a hash of its place, unless it has more than a third of the page's text: that much is
+        rather an article that several sites took over."""
         if not self.candidates:
             return []
-        found, nodes = self.page.hashes(), self.page.nodes
+        found, nodes = self.page.hashes(self.site), self.page.nodes
         most = 2 * (sum(found[nodes[n][2]][1] for n in self.main) if self.main else found[-1][1])
         most -= 2 * sum(found[start][1] for start, _ in self.cut if start in found)
         out, r = [], 0
@@ -307,6 +352,8 @@ class Content:
             outside = r == len(self.regions) or stop <= self.regions[r][0]
             if letters and (outside or 3 * letters <= most):
                 out.append((kind, h, start, stop, letters))
+                if kind == BOX and 3 * letters <= found[-1][1]:
+                    out.append((POOLED, signed(xxhash.xxh64_intdigest(f"{h} {self.places[n]}")), start, stop, letters))
         return out
 
     def text(self, templates: set[int]) -> str:
@@ -352,37 +399,39 @@ KEY = ("host", "section", "h1", "h2")
 
 
 def subtrees(names: bool):
-    """KEY of the page, kind and hash of each of its subtrees that could be a template, and a hash of the page's text by the second
-    rule alone. A row of the kind PAGE stands for the page itself."""
+    """KEY and layout of the page, kind and hash of each of its subtrees that could be a template, and a hash of the page's text by the
+    second rule alone. A row of the kind PAGE stands for the page itself."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            at, kinds, hashes, pages = [], [], [], []
-            for i, value in enumerate(batch["html"]):
-                content = Content(value.as_py() or "", names)
+            at, kinds, hashes, pages, layouts = [], [], [], [], []
+            for i, (value, site) in enumerate(zip(batch["html"], batch["site"])):
+                content = Content(value.as_py() or "", names, site.as_py())
                 page = int.from_bytes(blake2b(content.text(set()).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
                 for kind, h in {(PAGE, 0), *(x[:2] for x in content.subtrees())}:
                     at.append(i)
                     kinds.append(kind)
                     hashes.append(h)
                     pages.append(page)
+                    layouts.append(content.layout)
             rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch[c].take(rows) for c in KEY), pa.array(kinds, pa.int32()), pa.array(hashes, pa.int64()), pa.array(pages, pa.int64())], [*KEY, "kind", "subtree", "page"])
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(rows) for c in KEY), pa.array(kinds, pa.int32()), pa.array(hashes, pa.int64()), pa.array(pages, pa.int64()), pa.array(layouts, pa.int64())], [*KEY, "kind", "subtree", "page", "layout"])
 
     return run
 
 
 def templates(pages: DataFrame, least: Mapping[int, int] = LEAST, names: bool = True, at: str | None = None) -> DataFrame:
-    """KEY, templates: for each page (KEY, html) with any, the hashes of its subtrees that are templates. at: where steps are written.
+    """KEY, templates: for each page (KEY, site, html) with any, the hashes of its subtrees that are templates. at: where steps are written.
 
     Containers, and whole lists and tables, are templates by the number of different texts of the host that have them, however
-    large the host is. Paragraphs that articles share are told from templates by their share of the host or of a section of it.
+    large the host is; containers also by that of all hosts with the same layout, at the same place of it. Paragraphs that articles
+    share are told from templates by their share of the host or of a section of it.
     Copies of a page count once, else the text that they share would look like a template. A page's list is no longer than the page.
     """
     at = at or workspace(pages.sparkSession, "pages")
-    found = written(map_arrow(spread(pages.select("html", *KEY)), subtrees(names), "host long, section long, h1 long, h2 long, kind int, subtree long, page long"), f"{at}/subtrees")
+    found = written(map_arrow(spread(pages.select("html", "site", *KEY)), subtrees(names), "host long, section long, h1 long, h2 long, kind int, subtree long, page long, layout long"), f"{at}/subtrees")
     whole, part = F.array("host"), F.array("host", F.xxhash64("host", "section"))
-    scope = F.explode(F.when(F.col("kind").isin(PAGE, *SHARE), part).otherwise(whole)).alias("scope")
+    scope = F.explode(F.when(F.col("kind").isin(PAGE, *SHARE), part).when(F.col("kind") == POOLED, F.array("layout")).otherwise(whole)).alias("scope")
     scoped = found.select(scope, "kind", "subtree", "page", *KEY)
     by = ["scope", "kind", "subtree"]
     number = F.create_map(*[F.lit(x) for kind in LEAST for x in (kind, least.get(kind, LEAST[kind]))])[F.col("kind")]
@@ -400,9 +449,9 @@ def extract(names: bool):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             texts = []
-            for value, found in zip(batch["packed"], batch["templates"]):
+            for value, found, site in zip(batch["packed"], batch["templates"], batch["site"]):
                 html = zstandard.decompress(value.as_py()).decode() if value.is_valid else ""
-                texts.append(Content(html, names).text(set(found.values.to_pylist()) if found.is_valid else set()))
+                texts.append(Content(html, names, site.as_py()).text(set(found.values.to_pylist()) if found.is_valid else set()))
             text = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([batch["id"], batch["url"], text, pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
@@ -418,15 +467,15 @@ def packed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, html and KEY: hashes of host and section, and two of the html."""
+    """id, url, html, site (the host's name) and KEY: hashes of host and section, and two of the html."""
     html, url = column(html_col).cast("string"), column(url_col)
-    return pages.select(column(id_col).alias("id"), url.alias("url"), html.alias("html"), F.xxhash64(host(url)).alias("host"), F.xxhash64(section(url)).alias("section"), *hash128(html))
+    return pages.select(column(id_col).alias("id"), url.alias("url"), html.alias("html"), host(url).alias("site"), F.xxhash64(host(url)).alias("host"), F.xxhash64(section(url)).alias("section"), *hash128(html))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: Mapping[int, int] = LEAST, names: bool = True) -> DataFrame:
     """id_col, url_col, text, n_chars for each row of pages.
 
-    least: by kind (BOX, INNER, LIST, LOOSE, PROSE), of how many different pages of its host a template is. names: whether the second rule
+    least: by kind (BOX, INNER, LIST, LOOSE, PROSE, NAMED; POOLED for a layout), of how many different pages of its host a template is. names: whether the second rule
     follows; without it the counts alone decide. Null or empty html gives an empty text;
     pages with a null url count as one host. Malformed html is read as browsers do, roughly: an end tag without a start is passed
     over, what is open at the end is closed, a tag that the page's end cuts off is dropped. Ids may be null or repeated; rows with
@@ -438,8 +487,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     for done in ("subtrees", "counts", "recurring"):
         delete(spark, f"{at}/{done}")
     kinds = {f.name: f.dataType for f in rows.schema}
-    small = map_arrow(spread(rows.select("id", "url", *KEY, "html")), packed, StructType([*(StructField(n, kinds[n]) for n in ("id", "url", *KEY)), StructField("packed", BinaryType())]))
+    small = map_arrow(spread(rows.select("id", "url", "site", *KEY, "html")), packed, StructType([*(StructField(n, kinds[n]) for n in ("id", "url", "site", *KEY)), StructField("packed", BinaryType())]))
     # Lists grow with the pages, so they aren't broadcast, whatever their size; copies of a page are split as a skewed key.
-    both = small.join(found.hint("merge"), list(KEY), "left").select("id", "url", "packed", "templates")
+    both = small.join(found.hint("merge"), list(KEY), "left").select("id", "url", "site", "packed", "templates")
     out = map_arrow(both, extract(names), StructType([StructField("id", kinds["id"]), StructField("url", kinds["url"]), StructField("text", StringType()), StructField("n_chars", LongType())]))
     return out.toDF(id_col, url_col, "text", "n_chars")
