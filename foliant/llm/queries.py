@@ -16,7 +16,7 @@ from .langid import held_out, identify, train
 from .linededup import line_dedup
 from .mix import mix_plan
 from .phrases import collocations
-from .quality import Bands, quality
+from .quality import quality
 from .ranked import ranked_search
 from .tokencount import fit, token_counts
 from .warc import warc
@@ -67,7 +67,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(_read(spark, sf_dir, "documents"), bands=Bands())
+    return quality(_read(spark, sf_dir, "documents"), labels=_read(spark, sf_dir, "labels"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,37 +243,70 @@ def test_compression_bands(make):
     assert kept[1] == kept[2] == kept[6] == (False, True)
     assert kept[3] == kept[4] == (False, False) and not kept[5][1]
     packed = zstandard.ZstdCompressor(level=3)
-    whole, low, high, good = quality.Bands().verdict(b"a" * 100_000, packed)
-    assert whole > 1000 and not good and low <= high
+    whole, low, high = quality.compressed(b"a" * 100_000, packed)
+    assert whole > 1000 and low <= high and not quality.WIDE.keeps(100_000, whole, low, high)
     assert [r["doc_id"] for r in quality.keep_good(make(rows)).orderBy("doc_id").collect()] == [1, 2, 6]
     assert quality.keep_good(make(rows)).columns == make(rows).columns
 
 
-def test_bands_tell_links_and_symbols_from_prose(make):
-    rng = random.Random(7)
+def samples(seed, n):
+    """Prose of syllables, random letters, and a passage that is repeated with other words between, n of each."""
+    rng = random.Random(seed)
     syllables = ["th", "er", "an", "in", "on", "ed", "nd", "ha", "re", "ou", "ea", "ing", "tion", "st", "en", "of", "wh", "ti", "es", "or", "sh", "ly", "ble", "at"]
-    words = lambda n: ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(n)]
-    prose = lambda n: " ".join(w + rng.choice(["", "", "", "", ",", ".\n"]) for w in words(n))
-    links = lambda n: " | ".join(words(n))
-    symbols = lambda n: " ".join(w + rng.choice(["###", "$$$", "%%%", "&&&", "***"]) for w in words(n))
-    bands = quality.Bands.fit([prose(rng.randint(100, 2000)).encode() for _ in range(600)], (768, 1536, 3072, 4096, 8192, 16384))
-    kinds = [prose] * 20 + [links, symbols] * 10
-    for given in (bands, quality.Bands()):
-        kept = {r["doc_id"]: r["kept"] for r in quality.quality(make([(i, kind(900)) for i, kind in enumerate(kinds)]), bands=given).collect()}
-        assert given is not bands or sum(kept[i] for i in range(20)) >= 18
-        assert not any(kept[i] for i in range(20, 40))
-    few = quality.Bands.fit([], (512, 1024))
-    assert (few.low, few.high) == (quality.WIDE.low[:3], quality.WIDE.high[:3]) == (few.chunk_low, few.chunk_high)
+    prose = lambda k: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "", "", ",", ".\n"]) for _ in range(k))
+    noise = lambda k: " ".join("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(12)) for _ in range(k))
+    cyrillic = str.maketrans("abcdefghilnorstuvw", "абцдефгхилнорстувщ")
+    size = lambda: rng.randint(60, 900)
+    again = prose(90)
+    return [prose(size()) for _ in range(n)], [noise(size() + 300) for _ in range(n)], [" ".join(f"{prose(40)} {again}" for _ in range(8)) for _ in range(n)], [prose(size()).translate(cyrillic) for _ in range(n)]
+
+
+def test_bands_from_labels(spark, make):
+    """Limits come from the labelled documents that aren't held out, and hold for those that are; other scripts have limits of their own."""
+    good, noise, again, cyrillic = samples(7, 800)
+    texts = good + noise[:60] + again[:60] + cyrillic[:400]
+    labels = spark.createDataFrame([(i, int(i < 800 or i >= 920), "x") for i in range(len(texts))] + [(10**6, 1, "gone"), (3, None, "y")], "doc_id long, quality int, id string")
+    rows = make(list(enumerate(texts)))
+    found = quality.quality(rows, labels=labels).collect()
+    kept = {r["doc_id"]: r["kept"] for r in found}
+    assert all(kept[i] for i in range(800)) and not any(kept[i] for i in range(800, 920)) and all(kept[920 + i] for i in range(400))
+    measures = quality.measured(rows.select(quality.F.col("doc_id").alias("id"), "text"))
+    bands, figures = quality.fit(measures, labels)
+    assert figures["good"]["rejected"] == 0 and figures["bad"]["rejected"] + figures["bad"]["base_failed"] == figures["bad"]["n"] > 10
+    assert all(kept[r["doc_id"]] == (not r["base_failed"] and (bands.many if r["many_bytes"] else bands).keeps(r["n_bytes"], r["ratio"], r["least_chunk_ratio"], r["largest_chunk_ratio"])) for r in found)
+    # Lengths with too few good documents have the hand-set limits.
+    assert bands.low[0] == quality.WIDE.low[0] and bands.low[8] != quality.WIDE.low[8] and bands.many.high[8] > bands.high[8]
+    assert quality.fit(measures, labels.where("quality = 7"))[0] == quality.WIDE and quality.fit(measures.limit(0), labels) == (quality.WIDE, {})
+    assert [r["doc_id"] for r in quality.keep_good(rows, labels=labels).orderBy("doc_id").collect()] == sorted(i for i, k in kept.items() if k)
+
+
+def test_fitted_limits_leave_other_prose_alone(spark, make):
+    """Limits fitted on made-up prose keep real English of several kinds: help topics and docstrings that come with Python."""
+    import importlib
+    import inspect
+
+    import pydoc_data.topics
+
+    names = "argparse asyncio collections csv datetime decimal difflib email functools http.client inspect io itertools json logging os pathlib pickle random re shutil socket statistics string subprocess tarfile tempfile textwrap threading typing unittest urllib.parse zipfile turtle doctest optparse fractions ast calendar cmd codecs configparser contextlib dataclasses enum pandas numpy".split()
+    modules = [importlib.import_module(n) for n in names]
+    owners = [x for m in modules for x in (m, *(v for v in vars(m).values() if inspect.isclass(v)))]
+    texts = {d for o in owners for x in (o, *vars(o).values()) if isinstance(d := getattr(x, "__doc__", None), str)} | set(pydoc_data.topics.topics.values())
+    real = sorted(t for t in texts if len(t) > 800)
+    good, *_ = samples(9, 500)
+    labels = spark.createDataFrame([(i, 1) for i in range(500)], "doc_id long, quality int")
+    found = quality.quality(make(list(enumerate(good + real))), labels=labels).where("doc_id >= 500 and not base_failed").collect()
+    assert len(found) > 100 and sum(not x["kept"] for x in found) <= 0.05 * len(found)
 
 
 def test_the_end_of_a_text_is_judged():
     rng = random.Random(8)
     noise = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(900))
     raw = "".join(rng.choice(["river ", "stone ", "over ", "cloud ", "seven "]) for _ in range(900)).encode()[:4096]
-    packed, bands = zstandard.ZstdCompressor(level=3), quality.Bands()
+    packed = zstandard.ZstdCompressor(level=3)
     tail = raw + b"same " * 180
     for text in (raw + noise.encode(), tail, tail * 3):
-        parts = bands.chunks(text)
+        parts = quality.chunks(text)
         assert {len(p) for p in parts} == {4096} and text.startswith(parts[0]) and text.endswith(parts[-1]) and len(parts) == -(-len(text) // 4096)
-    assert bands.chunks(raw) == [raw]
-    assert bands.verdict(tail, packed)[2] == max(bands.ratio(tail[:4096], packed), bands.ratio(tail[-4096:], packed)) > bands.verdict(raw, packed)[0]
+    ratio = lambda part: len(part) / len(packed.compress(part))
+    assert quality.chunks(raw) == [raw]
+    assert quality.compressed(tail, packed)[2] == max(ratio(tail[:4096]), ratio(tail[-4096:])) > quality.compressed(raw, packed)[0]
