@@ -9,15 +9,18 @@ from foliant.llm.bpe import bpe_encode
 from foliant.llm.jaccardjoin import keep_first
 from foliant.llm.linededup import drop_lines
 from foliant.llm.mix import mix
-from foliant.llm.quality import Bands, keep_good
+from foliant.llm.quality import keep_good
 from foliant.llm.queries import tokenizer
-from foliant.llm.shared import workspace, written
+from foliant.llm.shared import names, workspace, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go, null, empty and blank texts among them; rows that come twice stay or go twice. All columns
-    are kept, whatever their names. An empty table gives no rows, here and in all stages."""
-    return keep_good(docs, bands=Bands())
+    """Documents that the rules reject go, null, empty and blank texts among them; rows that come twice stay or go twice. The limits are
+    fitted from the table labels, or are hand-set, wide ones where sf_dir has none. All columns are kept, whatever their names.
+    An empty table gives no rows, here and in all stages."""
+    path = f"{sf_dir}/labels.parquet"
+    labelled = sf_dir and "labels.parquet" in names(spark, sf_dir)
+    return keep_good(docs, labels=spark.read.parquet(path) if labelled else None)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
