@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -22,6 +23,9 @@ from .shared import column, map_arrow, workspace, written
 
 #: Runs of letters and of characters that are neither digits nor letters but count as numbers, such as fractions.
 RUNS = re.compile(r"[^\W\d_]+")
+#: From here on characters may be marks, such as the vowel signs of many scripts; a word is a letter with all letters and marks behind it.
+MARKS = re.compile("[\u0300-\U0010ffff]")
+MARKED, PIECE = regex.compile(r"\p{L}[\p{L}\p{M}]*"), regex.compile(r"[\p{L}\p{M}]+")
 #: Mark of a word's start in the vocabulary.
 START = "▁"
 #: Longest piece, and words from this length on are summed by logarithms: a shorter one's probability stays in a double's range.
@@ -73,13 +77,16 @@ def pieces(path: str) -> Vocabulary:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    found = [p for i in range(model.get_piece_size()) if ((p := model.id_to_piece(i)).lstrip(START) or "x").isalpha() and len(p) <= LONGEST]
+    found = [p for i in range(model.get_piece_size()) if PIECE.fullmatch((p := model.id_to_piece(i)).lstrip(START) or "x") and len(p) <= LONGEST]
     return Vocabulary({p: i + 1 for i, p in enumerate(dict.fromkeys(p for p in found if p.lower() == p))})
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    found = RUNS.findall(text.lower())
+    """Runs of letters and of marks that follow them, lower-cased."""
+    lower = text.lower()
+    if MARKS.search(lower):
+        return MARKED.findall(lower)
+    found = RUNS.findall(lower)
     if found and not "".join(found).isalpha():
         return "".join([c if c.isalpha() else " " for run in found for c in (*run, " ")]).split()
     return found

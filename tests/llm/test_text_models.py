@@ -159,6 +159,23 @@ def test_words_are_letters():
     assert langid.words_of("½ ² ① x½y Straße3 ωΧ_a ٣ Ⅷ") == ["x", "y", "straße", "ωχ", "a"]
 
 
+def test_marks_belong_to_their_letters():
+    assert langid.words_of("हिन्दी भाषा, น้ำ x\u0301y İx") == ["हिन्दी", "भाषा", "น้ำ", "x\u0301y", "i\u0307x"]
+    assert langid.words_of("\u0301 \u0301\u0301 ½\u0301") == [] and langid.words_of("\u0301a – b½") == ["a", "b"]
+
+
+def test_languages_told_apart_by_marks(spark):
+    """The same letters with other vowel signs are other words; a text of marks alone has no letter."""
+    rng = random.Random(3)
+    word = lambda signs: "".join(rng.choice("कखगनम") + rng.choice(signs) for _ in range(3))
+    signs = {"aa": ["\u093e", "\u093f", ""], "uu": ["\u0941", "\u0947", ""]}
+    rows = [(i, " ".join(word(signs[x]) for _ in range(30)), x) for i, x in enumerate(["aa", "uu"] * 60)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), tokenizer("piece_bpe_32k.model"), rounds=2)
+    new = [(i, " ".join(word(signs[x]) for _ in range(12)), x) for i, x in enumerate(["aa", "uu"] * 20)] + [(99, "\u093e \u0941", None)]
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(new, "doc_id long, text string, lang string"), model).collect()}
+    assert found[99] == "und" and sum(found[i] == x for i, _, x in new[:-1]) >= 38
+
+
 def test_expected_uses():
     """Each character of each word is covered by the pieces that are expected."""
     vocabulary = langid.pieces(PIECES)
