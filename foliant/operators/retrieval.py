@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.fulltext import keyword_rank, parse
@@ -19,7 +21,7 @@ from ..functions.vectors import blend, cosine
 TEXT_K, IMAGE_K, WEB_K, THRESHOLD, SIMILARITY_WEIGHT = 5, 3, 5, 0.30, 0.80
 NO_SOURCES = "The internal documents did not contain enough relevant information, and no useful web results were found."
 NO_CHUNKS = "The available documents do not contain enough information to answer this question."
-#: Bytes of the query vectors that are sent to all executors for one pass over the chunks, and queries of a tile of its products.
+#: Bytes of the query vectors that are sent to all executors, and that a band of more of them has; queries of a tile of products.
 QUERY_BYTES, QUERY_TILE = 64 << 20, 2048
 
 
@@ -57,11 +59,12 @@ def vector_topk(chunks: DataFrame, query: list[float], k: int | None = None, vec
 
 
 def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int | None = None, vector: str = "embedding", key: str = "id", query_key: str = "query_id", other: bool = False, ranks: DataFrame | None = None, weight: float = SIMILARITY_WEIGHT) -> DataFrame:
-    """query_key, key, score, rank: the k chunks most similar to each query (query_key, vector).
+    """query_key, key, score, rank: the k chunks most similar to each query (query_key, vector). Keys are of any type that can be sorted.
 
-    Queries go over the chunks in blocks of QUERY_BYTES, a matrix product for each tile of queries and batch of chunks; a task
-    returns its k best for each query, and these few are ranked. So what is sent out for a pass is bounded, and what is shuffled
-    doesn't grow with the number of chunks times queries. other: a query's own key isn't among its results.
+    Queries up to QUERY_BYTES, which is looked up first, are sent to all tasks, a matrix product for each tile of queries and batch of
+    chunks. More of them never pass the driver: queries are dealt to bands and chunks to columns, and each cell of that grid is
+    a task of its own. Either way a task returns its k best for each query, and these few are ranked; what is shuffled doesn't
+    grow with the number of chunks times queries. other: a query's own key isn't among its results.
 
     ranks: keyword ranks (query_key, key, rank) of those pairs that have one; scores then are `weight` of the similarity and the
     rest of the rank. A pair without a rank is among the best only if it is among the k most similar; so these and the pairs
@@ -69,11 +72,11 @@ def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int | None = Non
     """
     k = checked_k(k, TEXT_K)
     v = F.col(vector).cast("array<double>").alias("v")
-    rows = chunks.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), v)
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("long").alias("query"), v)
-    found = _passes(rows, asked, k, other)
+    rows = chunks.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), v)
+    asked = queries.where(F.col(vector).isNotNull() & F.col(query_key).isNotNull()).select(F.col(query_key).alias("query"), v)
+    found = _nearest(rows, asked, k, other)
     if ranks is not None:
-        pairs = ranks.select(F.col(query_key).cast("long").alias("query"), F.col(key).cast("long").alias("key"), "rank")
+        pairs = ranks.select(F.col(query_key).alias("query"), F.col(key).alias("key"), "rank")
         pairs = pairs.where("query <> key") if other else pairs
         similarity = cosine(F.col("v"), F.col("w"))
         ranked = pairs.join(asked.withColumnRenamed("v", "w"), "query").join(rows, "key").withColumn("similarity", similarity).where("similarity is not null")
@@ -82,71 +85,127 @@ def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int | None = Non
     return top_by(found, ["query"], k, key="key").select(F.col("query").alias(query_key), F.col("key").alias(key), "score", "rank")
 
 
-def _passes(rows: DataFrame, asked: DataFrame, k: int, other: bool) -> DataFrame:
-    """query, key, score: of each task's rows the k most similar to each query, one pass over the rows for each block of queries."""
-    spark, found = rows.sparkSession, None
-    ids: list[int] = []
-    vectors: list[np.ndarray] = []
-    held = 0
+def _nearest(rows: DataFrame, asked: DataFrame, k: int, other: bool) -> DataFrame:
+    """query, key, score: of each task's rows (key, v) the k most similar to each query (query, v)."""
+    spark = rows.sparkSession
+    schema = StructType([asked.schema["query"], rows.schema["key"], StructField("score", DoubleType())])
+    size = asked.agg(F.sum(8 * F.size("v").cast("long"))).first()[0] or 0
+    if size <= QUERY_BYTES:
+        found = asked.toArrow()
+        sent = spark.sparkContext.broadcast((found["query"].to_pylist(), [np.array(v, np.float64) for v in found["v"].to_pylist()]))
+        return rows.mapInArrow(_against(sent, schema, k, other), schema)
+    bands = -(-size // QUERY_BYTES)
+    columns = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // bands)
+    number = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    up = asked.select(F.pmod(F.xxhash64("query"), F.lit(bands)).cast("int").alias("band"), F.explode(number(columns)).alias("column"), F.lit(0).alias("side"), "query", F.lit(None).cast(rows.schema["key"].dataType).alias("key"), "v")
+    down = rows.select(F.explode(number(bands)).alias("band"), F.pmod(F.xxhash64("key"), F.lit(columns)).cast("int").alias("column"), F.lit(1).alias("side"), F.lit(None).cast(asked.schema["query"].dataType).alias("query"), "key", "v")
+    cells = up.unionByName(down).repartition(bands * columns, "band", "column").sortWithinPartitions("band", "column", "side")
+    return cells.mapInArrow(_cells(schema, k, other), schema)
+
+
+class _Best:
+    """The k best keys of some queries whose vectors have the same length, as numbers in the order of the keys' names."""
+
+    def __init__(self, ids: list, vectors: list[np.ndarray], k: int, other: bool):
+        self.ids, self.k, self.other = ids, k, other
+        self.queries = np.array(vectors, np.float64).reshape(len(ids), -1)
+        self.sizes = np.sqrt((self.queries**2).sum(axis=1))
+        self.names: list = []
+        self.keys, self.scores = np.full((len(ids), k), -1), np.full((len(ids), k), -np.inf)
+
+    def add(self, keys: list, v: np.ndarray) -> None:
+        known = sorted({*self.names, *keys})
+        at = {x: i for i, x in enumerate(known)}
+        own = np.array([at[x] for x in keys])
+        held = np.append(np.array([at[x] for x in self.names], np.int64), -1)
+        self.keys = held[self.keys]
+        size = np.sqrt((v**2).sum(axis=1))
+        place = {x: i for i, x in enumerate(keys)} if self.other else {}
+        for start in range(0, len(self.ids), QUERY_TILE):
+            t = slice(start, start + QUERY_TILE)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                new = (self.queries[t] @ v.T) / (self.sizes[t][:, None] * size)
+            new[~np.isfinite(new)] = -np.inf
+            if self.other:
+                for row, x in enumerate(self.ids[t]):
+                    if x in place:
+                        new[row, own == at[x]] = -np.inf
+            cut = np.partition(new, -self.k, axis=1)[:, -self.k] if new.shape[1] > self.k else np.full(len(new), -np.inf)
+            row, col = np.nonzero((new >= np.maximum(cut, self.scores[t][:, -1])[:, None]) & np.isfinite(new))
+            r0, c0 = np.nonzero(np.isfinite(self.scores[t]))
+            rows, names, scores = np.append(r0, row), np.append(self.keys[t][r0, c0], own[col]), np.append(self.scores[t][r0, c0], new[row, col])
+            by = np.lexsort((names, -scores, rows))
+            rows, names, scores = rows[by], names[by], scores[by]
+            nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            some = nth < self.k
+            self.keys[t], self.scores[t] = -1, -np.inf
+            self.keys[t][rows[some], nth[some]] = names[some]
+            self.scores[t][rows[some], nth[some]] = scores[some]
+        used = np.unique(self.keys[self.keys >= 0])
+        self.keys = np.where(self.keys >= 0, np.searchsorted(used, self.keys), -1)
+        self.names = [known[i] for i in used]
+
+    def rows(self, schema: pa.Schema) -> pa.RecordBatch:
+        row, col = np.nonzero(np.isfinite(self.scores))
+        columns = [[self.ids[i] for i in row], [self.names[i] for i in self.keys[row, col]], self.scores[row, col]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _by_length(ids: list, vectors: list[np.ndarray], k: int, other: bool) -> dict[int, _Best]:
+    lengths: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        lengths.setdefault(len(v), []).append(i)
+    return {n: _Best([ids[i] for i in at], [vectors[i] for i in at], k, other) for n, at in lengths.items() if n}
+
+
+def _meet(best: dict[int, _Best], batch: pa.RecordBatch) -> None:
+    """Puts the keys of a batch (key, v) into the queries' best."""
+    offsets, flat, keys = np.asarray(batch["v"].offsets), np.asarray(batch["v"].flatten()), batch["key"].to_pylist()
+    lengths, offsets = np.diff(offsets), offsets - offsets[0]
+    for n, found in best.items():
+        fits = np.flatnonzero(lengths == n)
+        if len(fits):
+            whole = flat.reshape(-1, n) if len(fits) == len(keys) else flat[offsets[fits][:, None] + np.arange(n)]
+            found.add([keys[i] for i in fits], whole)
+
+
+def _against(sent, schema: StructType, k: int, other: bool):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _by_length(*sent.value, k, other)
+        for batch in source:
+            _meet(best, batch)
+        for found in best.values():
+            yield found.rows(to_arrow_schema(schema))
 
-    def one() -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(vectors, np.float64)))
-        return rows.mapInArrow(_best(sent, k, other), "query long, key long, score double")
+    return run
 
-    for row in asked.toLocalIterator():
-        v = np.array(row["v"], np.float64)
-        if ids and (held + v.nbytes > QUERY_BYTES or len(v) != len(vectors[0])):
-            found, ids, vectors, held = one() if found is None else found.unionByName(one()), [], [], 0
-        ids.append(row["query"])
-        vectors.append(v)
-        held += v.nbytes
-    if ids or found is None:
-        found = one() if found is None else found.unionByName(one())
-    return found
 
+def _cells(schema: StructType, k: int, other: bool):
+    """Cells one after the other, in each the queries before the rows."""
 
-def _best(sent, k: int, other: bool):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = sent.value
-        queries = queries.reshape(len(ids), -1)
-        sizes = np.sqrt((queries**2).sum(axis=1))
-        tiles = [slice(at, at + QUERY_TILE) for at in range(0, len(ids), QUERY_TILE)]
-        best = [(np.zeros((len(ids[t]), 0), np.int64), np.zeros((len(ids[t]), 0))) for t in tiles]
+        now, ids, vectors, best = None, [], [], None
         for batch in source:
-            own, v = _matrix(batch, queries.shape[1])
-            if not len(own) or not len(ids):
-                continue
-            size = np.sqrt((v**2).sum(axis=1))
-            for n, t in enumerate(tiles):
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    new = (queries[t] @ v.T) / (sizes[t][:, None] * size)
-                new[~np.isfinite(new)] = -np.inf
-                if other:
-                    new[own[None, :] == ids[t][:, None]] = -np.inf
-                keys = np.concatenate([best[n][0], np.broadcast_to(own, new.shape)], axis=1)
-                scores = np.concatenate([best[n][1], new], axis=1)
-                if keys.shape[1] > k:
-                    by = np.lexsort((keys, -scores), axis=1)[:, :k]
-                    keys, scores = np.take_along_axis(keys, by, 1), np.take_along_axis(scores, by, 1)
-                best[n] = keys, scores
-        for t, (keys, scores) in zip(tiles, best):
-            good = np.isfinite(scores)
-            q = np.broadcast_to(ids[t][:, None], scores.shape)[good]
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(keys[good]), pa.array(scores[good])], ["query", "key", "score"])
+            cell = np.stack([np.asarray(batch[c]) for c in ("band", "column", "side")])
+            edges = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if (at := (cell[0, a], cell[1, a])) != now:
+                    for found in (best or {}).values():
+                        yield found.rows(to_arrow_schema(schema))
+                    now, ids, vectors, best = at, [], [], None
+                part = batch.slice(a, b - a)
+                if cell[2, a] == 0:
+                    ids += part["query"].to_pylist()
+                    vectors += [np.array(v, np.float64) for v in part["v"].to_pylist()]
+                    continue
+                best = _by_length(ids, vectors, k, other) if best is None else best
+                _meet(best, part)
+        for found in (best or {}).values():
+            yield found.rows(to_arrow_schema(schema))
 
     return run
 
 
-def _matrix(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and vectors of the rows whose vectors have `width` numbers."""
-    own, offsets = np.asarray(batch["key"]), np.asarray(batch["v"].offsets)
-    flat = np.asarray(batch["v"].flatten())
-    fits = np.diff(offsets) == width
-    if not fits.all():
-        flat = np.concatenate([np.zeros(0), *[flat[a:b] for a, b, f in zip(offsets - offsets[0], offsets[1:] - offsets[0], fits) if f]])
-    return own[fits], flat.reshape(-1, width) if width else np.zeros((0, 0))
-
-
 def _named(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("id").alias("document_id"), F.col("file_name").alias("document_name"))
 

@@ -87,12 +87,13 @@ def orphans(children: DataFrame, parents: DataFrame, key: str = "document_id", p
 
 def duplicates(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """keys and n of the keys that several rows have. Rows with a null in the key never conflict."""
-    full = df.where(" and ".join(f"`{k}` is not null" for k in keys)) if len(keys) > 1 else df
+    full = df.where(" and ".join(f"`{k}` is not null" for k in keys))
     return full.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def _json_is(value: Column, kind: str) -> Column:
-    return F.schema_of_variant(F.try_parse_json(value)).startswith(kind)
+    """Whether a text is JSON of a kind; null where it is null."""
+    return F.when(value.isNotNull(), F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith(kind), F.lit(False)))
 
 
 def rules(table: str) -> dict[str, Column]:

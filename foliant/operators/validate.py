@@ -47,7 +47,7 @@ def validate(chunks: DataFrame, collection: str = "document_id", order: str = "c
 
     nth = F.row_number().over(Window.partitionBy("__in").orderBy(order))
     placed = chunks.select("__in", "document_id", F.col("chunk_index").cast("int").alias("chunk_index"), nth.alias("nth"))
-    sums = placed.groupBy("__in").agg(F.size(F.collect_set("document_id")).alias("ids"), F.count_if(F.col("nth") - 1 != F.col("chunk_index")).alias("gaps"))
+    sums = placed.groupBy("__in").agg(F.count_distinct("document_id").alias("ids"), F.count_if(F.col("nth") - 1 != F.col("chunk_index")).alias("gaps"))
     whole = sums.select("__in", F.explode(F.filter(F.array(_issue(F.col("ids") > 1, "INCONSISTENT_DOCUMENT_IDS", "document_id"), _issue(F.col("gaps") > 0, "NON_SEQUENTIAL_CHUNK_INDEXES", "chunk_index")), lambda x: x.isNotNull())).alias("i"))
     out = out.unionByName(whole.select("__in", "i.severity", "i.code", F.lit(None).cast("int").alias("chunk_index"), "i.field_name"))
     twice = placed.groupBy("__in", "chunk_index").agg(F.count("*").alias("n")).where("n > 1")

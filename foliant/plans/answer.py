@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.fulltext import keyword_rank_batch
 from ..functions.names import route_label
@@ -32,6 +33,13 @@ class Settings:
             raise ValueError("numbers of results must be positive and the threshold between 0 and 1")
 
 
+def _placed(chunks: DataFrame) -> DataFrame:
+    """chunks with page, section and paragraphs; stored ones have them in their metadata."""
+    of = lambda name, kind: F.get_json_object("metadata", f"$.{name}").cast(kind)
+    told = {"page": ("page_start", "int"), "section": ("section", "string"), "paragraph_start": ("paragraph_start", "int"), "paragraph_end": ("paragraph_end", "int")}
+    return chunks.withColumns({c: of(*where) for c, where in told.items() if c not in chunks.columns}) if "metadata" in chunks.columns else chunks
+
+
 def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, index: DataFrame, settings: Settings | None = None) -> DataFrame:
     """query_id, id, document_id, document_name, score, rank and the other columns of chunks: the best blended matches of each question.
 
@@ -39,6 +47,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, inde
     """
     settings = settings or Settings()
     ranks = keyword_rank_batch(index, "id", questions, settings.stemming)
+    chunks = _placed(chunks)
     names = documents.select(F.col("id").alias("document_id"), F.col("file_name").alias("document_name"))
     known = chunks.join(names.select("document_id"), "document_id", "left_semi")
     best = retrieval.vector_topk_batch(known, questions, settings.text_k, ranks=ranks)
@@ -49,7 +58,7 @@ def _asked(questions: DataFrame, model: Callable[[list[str]], Any]) -> tuple[Dat
     """The valid questions, and those of them that the model gave a vector, with it."""
     valid = questions.where(retrieval.valid_question(F.col("question")))
     vectors = embedding.embed(valid.select(F.col("query_id").cast("string").alias("item_id"), F.col("question").alias("text")), model, "questions")
-    return valid, valid.join(vectors.select(F.col("item_id").cast("long").alias("query_id"), "embedding"), "query_id").where("embedding is not null")
+    return valid, valid.join(vectors.select("item_id", "embedding"), F.col("query_id").cast("string") == F.col("item_id")).where("embedding is not null").drop("item_id")
 
 
 def _own_sources(found: DataFrame) -> DataFrame:
@@ -79,7 +88,7 @@ def grounded(questions: DataFrame, chunks: DataFrame, documents: DataFrame, inde
 def answer(
     questions: DataFrame, chunks: DataFrame, documents: DataFrame, index: DataFrame, model: Callable[[list[str]], Any], generate: Callable[[Column], Column], images: DataFrame | None = None, web: DataFrame | None = None, settings: Settings | None = None
 ) -> DataFrame:
-    """A row for each valid question (query_id, question): route, label, reason, counts, highest score, answer, sources, image ids.
+    """A row for each valid question (query_id of any type, question): route, label, reason, counts, highest score, answer, sources, image ids.
 
     model embeds texts, generate is a function of a column of prompts. web: results of a search (query_id, position, title, link,
     snippet) for questions that the documents don't answer; without it such questions have no source. images: id, document_id,
@@ -88,7 +97,8 @@ def answer(
     settings = settings or Settings()
     valid, asked = _asked(questions, model)
     found = retrieve(asked, chunks, documents, index, settings)
-    results = retrieval.web_results(web, settings.web_k) if web is not None else questions.sparkSession.createDataFrame([], "query_id long, position int, title string, link string, snippet string")
+    nothing = questions.where("false").select("query_id", F.lit(0).alias("position"), *[F.lit("").alias(c) for c in ("title", "link", "snippet")])
+    results = retrieval.web_results(web, settings.web_k) if web is not None else nothing
     routes = retrieval.route(valid, found, settings.threshold, results)
 
     inside, outside = retrieval.document_context(found), retrieval.web_context(results)
@@ -106,5 +116,5 @@ def answer(
         shown = seen.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("images"))
         told = told.join(shown, "query_id", "left")
     else:
-        told = told.withColumn("images", F.lit(None).cast("array<long>"))
+        told = told.withColumn("images", F.lit(None).cast(ArrayType(chunks.schema["id"].dataType)))
     return told.select("query_id", "question", "route", route_label(F.col("route")).alias("label"), "route_reason", "retrieved_chunk_count", "highest_retrieval_score", "web_result_count", F.lit(settings.threshold).alias("retrieval_threshold"), "answer", "sources", "images")

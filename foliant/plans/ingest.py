@@ -8,23 +8,58 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import names
+from ..functions import fulltext, names
+from ..functions.containment import hashes as leaves_of
 from ..functions.names import item_id
 from ..functions.vectors import is_valid
-from ..operators import embedding, structure, tables
+from ..operators import containment, embedding, structure, tables
 from ..operators.chunks import Sizes, build_chunks
 from ..operators.validate import validate
 from ..sources import files as sources
-from ..sources.store import Store, Work
+from ..sources.store import Change, Store, Table, Work
+
+#: The tables of the store, with the indexes that are kept with them: postings of the chunks' words, and the leaves of their metadata
+#: and section paths.
+TABLES = {
+    "documents": Table(
+        tables.DOCUMENTS, tables.KEY, filters=("processing_status", "checksum"), unique=(("id",), tables.KEY), rules=lambda: tables.rules("documents"),
+        cascades=tuple((t, "document_id") for t in ("document_chunks", "document_images", "image_blobs", "postings", "items")),
+    ),
+    "document_chunks": Table(tables.CHUNKS, ("document_id",), unique=(("id",), ("document_id", "chunk_index")), rules=lambda: tables.rules("document_chunks"), references=(("document_id", "documents", "id"),)),
+    "document_images": Table(tables.IMAGES, ("document_id",), unique=(("id",), ("document_id", "image_index")), rules=lambda: tables.rules("document_images"), references=(("document_id", "documents", "id"),)),
+    "image_blobs": Table("image_blob_name string, document_id string, content binary", ("document_id",), references=(("document_id", "documents", "id"),)),
+    "postings": Table("lexeme string, id string, document_id string, pos int", ("lexeme",), owner=("document_id",)),
+    "items": Table(containment.ITEMS, ("item",), owner=("document_id",)),
+}
+
+
+def open_store(spark: SparkSession, path: str, bucket_rows: int = 1 << 16, keep: int = 2, **how: int) -> Store:
+    """The store that ingest() writes to."""
+    return Store(spark, path, TABLES, bucket_rows, keep=keep, **how)
 
-SCHEMAS = {"documents": tables.DOCUMENTS, "document_chunks": tables.CHUNKS, "document_images": tables.IMAGES, "image_blobs": "image_blob_name string, document_id string, content binary"}
-#: What deals the rows of a table to the buckets of the store.
-KEYS = {"documents": tables.KEY, "document_chunks": ("document_id",), "document_images": ("document_id",), "image_blobs": ("document_id",)}
 
+def indexes(chunks: DataFrame, stemming: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Rows of the tables postings and items for chunks."""
+    words = fulltext.postings(chunks.select(F.struct("id", "document_id").alias("key"), "content"), "key", "content", stemming)
+    return words.select("lexeme", "key.id", "key.document_id", "pos"), containment.entries(chunks, ["metadata", "section_path"])
 
-def open_store(spark: SparkSession, path: str, buckets: int = 64, keep: int = 2) -> Store:
-    """The store that ingest() writes to."""
-    return Store(spark, path, SCHEMAS, KEYS, buckets, keep)
+
+def matching(store: Store, query: fulltext.Query) -> DataFrame:
+    """id and rank of the stored chunks that a query matches; the postings of its lexemes alone are read."""
+    named = query.lexemes(True)
+    wanted = store.spark.createDataFrame([(x,) for x in named], "lexeme string")
+    return fulltext.keyword_rank(store.read("postings", keys=wanted), "id", query)
+
+
+def containing(store: Store, column: str, part: Any) -> DataFrame:
+    """The stored chunks whose metadata or section_path contains a value; only the leaves of the value are looked up."""
+    wanted = store.spark.createDataFrame([(x,) for x in leaves_of(part)], "item long")
+    return containment.containing(store.read("document_chunks"), store.read("items", keys=wanted), column, part)
+
+
+def delete_documents(store: Store, documents: DataFrame) -> None:
+    """Deletes documents (KEY) with all that belongs to them, in one commit."""
+    store.apply([Change("documents", documents.select(*tables.KEY), lambda old: old.where("false"))])
 
 
 def preview(files: DataFrame, parsers: dict[str, sources.Parser] | None = None) -> DataFrame:
@@ -39,9 +74,9 @@ def incoming(files: DataFrame, container: Column) -> DataFrame:
     return rows.select(key.alias("document_id"), "path", "source_container", "source_blob_name", "file_name", "file_type", "mime_type", F.col("size").alias("file_size_bytes"), "checksum", F.lit("{}").alias("metadata"), "content")
 
 
-def _images(store: Store, work: Work, new: DataFrame, ids: DataFrame, container: Column, captioner: Callable[[bytes, str], str], model: Callable[[list[str]], Any], name: str, now: Column) -> DataFrame:
-    """Takes in the images of documents: captions, vectors of the captions, bytes. Returns document_id and image_error of each document
-    with a caption that failed; its old images stay. All others get their new images, which may be none."""
+def _images(work: Work, new: DataFrame, ids: DataFrame, container: Column, captioner: Callable[[bytes, str], str], model: Callable[[list[str]], Any], name: str, now: Column) -> tuple[DataFrame, list[Change]]:
+    """The images of documents: captions, vectors of the captions, bytes. Returns document_id and image_error of each document
+    with a caption that failed, whose old images stay, and the changes that give all others their new images, which may be none."""
     found = sources.images(new).join(ids, "path").join(new.select("path", "source_blob_name"), "path")
     size = sources.image_size(F.col("content"))
     found = found.withColumns({"width": size["width"], "height": size["height"], "blob": names.image_blob(F.col("source_blob_name"), F.col("document_id"), F.col("image_index"), F.col("file_name"))})
@@ -56,21 +91,21 @@ def _images(store: Store, work: Work, new: DataFrame, ids: DataFrame, container:
     )
     rows, replaced = work.write("image_rows", rows), work.write("replaced", ids.join(failed, "document_id", "left_anti").select("document_id").distinct())
     contents = good.select(F.col("blob").alias("image_blob_name"), "document_id", "content")
-    store.update("image_blobs", replaced, lambda old: tables.replace_children(old, contents, replaced))
-    store.update("document_images", replaced, lambda old: tables.replace_children(old, rows, replaced))
-    return failed
+    return failed, [Change("image_blobs", replaced, lambda old: tables.replace_children(old, contents, replaced)), Change("document_images", replaced, lambda old: tables.replace_children(old, rows, replaced))]
 
 
 def ingest(
-    store: Store, files: DataFrame, container: Column, model: Callable[[list[str]], Any], name: str, dimensions: int, now: Column, sizes: Sizes | None = None, parsers: dict[str, sources.Parser] | None = None, captioner: Callable[[bytes, str], str] | None = None
+    store: Store, files: DataFrame, container: Column, model: Callable[[list[str]], Any], name: str, dimensions: int, now: Column, sizes: Sizes | None = None, parsers: dict[str, sources.Parser] | None = None, captioner: Callable[[bytes, str], str] | None = None, stemming: bool = True
 ) -> DataFrame:
     """Brings files (of sources.blobs()) into the store, and returns document_id, status, error of each.
 
     A document that is there already keeps id and time of creation, and its chunks are replaced. One that can't be parsed, has no
     text, has faulty chunks or no proper vectors is marked as failed, and its old chunks stay; the others go on. Running it again
-    over the same files ends in the same state. Only the buckets that hold these documents are read and rewritten, whatever the
-    size of the store; steps are written to a place of this run's own, so none is computed twice, and runs don't meet. captioner: describes images; with it,
-    the images of the files are stored too, and a caption that fails makes its document a failed one.
+    over the same files ends in the same state. Two commits: documents become known as `processing`, and then chunks, images, postings,
+    containment index and outcomes change together or not at all. What is written is in proportion to these documents, whatever the
+    size of the store; steps are written to a place of this run's own, so none is computed twice, and runs don't meet. captioner:
+    describes images; with it, the images of the files are stored too, and a caption that fails makes its document a failed one.
+    stemming: of the postings.
     """
     sizes, work = sizes or Sizes(), store.work()
     new = incoming(files, container)
@@ -96,14 +131,17 @@ def ingest(
     bad = F.max(F.when(~is_valid(F.col("embedding"), dimensions), F.coalesce("error", F.lit("a vector is missing or has the wrong size"))))
     embedded = paired.groupBy("document_id").agg(bad.alias("no_vector"), F.count("*").alias("n"))
     unread = units.groupBy("document_id").agg(F.max("error").alias("unread"))
-    unseen = _images(store, work, new, ids, container, captioner, model, name, now) if captioner else store.spark.createDataFrame([], "document_id string, image_error string")
+    unseen, changes = _images(work, new, ids, container, captioner, model, name, now) if captioner else (store.spark.createDataFrame([], "document_id string, image_error string"), [])
     told = ids.join(unread, "document_id", "left").join(unseen, "document_id", "left").join(faulty.withColumnRenamed("collection", "document_id"), "document_id", "left").join(embedded, "document_id", "left")
     error = F.coalesce("unread", "issues", "no_vector", F.when(F.col("n").isNull(), "the document has no text"), "image_error")
     outcomes = work.write("outcomes", told.select("document_id", F.when(error.isNull(), "completed").otherwise("failed").alias("status"), error.alias("error")).distinct())
 
     done = outcomes.where("status = 'completed'").select("document_id")
     rows = paired.join(done, "document_id", "left_semi").select(F.sha2("item_id", 256).alias("id"), "document_id", "chunk_index", "content", "embedding", "content_type", "token_count", "section_path", "metadata", now.alias("created_at"))
-    store.update("document_chunks", done, lambda old: tables.replace_children(old, rows, done))
-    store.update("documents", keys, lambda old: tables.mark(old, outcomes.withColumnRenamed("document_id", "id"), now))
+    rows = work.write("rows", rows)
+    words, leaves = indexes(rows, stemming)
+    for table, new_rows in (("document_chunks", rows), ("postings", words), ("items", leaves)):
+        changes.append(Change(table, done, lambda old, new_rows=new_rows: tables.replace_children(old, new_rows, done)))
+    store.apply([*changes, Change("documents", keys, lambda old: tables.mark(old, outcomes.withColumnRenamed("document_id", "id"), now))])
     work.clear("outcomes")
     return outcomes

@@ -10,7 +10,6 @@ from foliant.operators import chat, tables
 from foliant.plans.ingest import ingest, open_store, preview
 from foliant.sources import files
 from foliant.sources.pdf import pdf_images, pdf_units
-from foliant.sources.store import Store
 from foliant.streaming.ingest import watch
 
 NOW = "2024-06-01 00:00:00"
@@ -206,7 +205,7 @@ def test_ingest(spark, folder, tmp_path, model):
     chunks = store.read("document_chunks").orderBy("content").collect()
     assert [r["section_path"] for r in chunks] == [[], ["Safety"]] and all(len(r["embedding"]) == 2 for r in chunks)
     assert run() == first and store.read("document_chunks").count() == 2
-    assert len(store.versions("document_chunks")) == 2
+    assert len(store.versions()) == 2
 
 
 def test_ingest_with_images(spark, folder, tmp_path, model):
@@ -220,53 +219,6 @@ def test_ingest_with_images(spark, folder, tmp_path, model):
     assert store.read("documents").first()["processing_status"] == "failed" and store.read("document_images").count() == 1
 
 
-@pytest.fixture
-def store(spark, tmp_path):
-    return Store(spark, str(tmp_path / "store"), {"t": "k int, v string"}, {"t": ("k",)}, buckets=16)
-
-
-def written_at(tmp_path):
-    return {str(p): p.stat().st_mtime_ns for p in (tmp_path / "store" / "t" / "data").rglob("*.parquet")}
-
-
-def test_a_change_rewrites_its_buckets_only(spark, store, tmp_path):
-    store.write("t", spark.range(1000).selectExpr("cast(id as int) k", "'old' v"))
-    before = written_at(tmp_path)
-    assert len(before) == 16
-    keys = spark.createDataFrame([(3,), (500,), (2000,)], "k int")
-    touched = store.touched("t", keys)
-    new = spark.createDataFrame([(3, "new"), (2000, "new")], "k int, v string")
-    out = store.update("t", keys, lambda old: old.join(keys, "k", "left_anti").unionByName(new))
-    assert {r["k"]: r["v"] for r in out.collect()} == {k: "old" for k in range(1000) if k not in (3, 500)} | {3: "new", 2000: "new"}
-    assert all(written_at(tmp_path)[p] == t for p, t in before.items())
-    fresh = {int(p.split("__bucket=")[1].split("/")[0]) for p in set(written_at(tmp_path)) - set(before)}
-    assert fresh == set(touched) and len(touched) <= 3
-    assert store.read("t", keys=keys).count() < 1000 and store.read("t", version=1).where("v = 'new'").count() == 0
-    store.update("t", keys, lambda old: old.where("false"))
-    assert len(store.versions("t")) == 2 and len(written_at(tmp_path)) < 16 + len(touched)  # the first state is gone
-    with pytest.raises(ValueError):
-        store.update("t", keys, lambda old: spark.range(1000).selectExpr("cast(id as int) k", "'x' v"))
-
-
-def test_writers_at_the_same_time(spark, store):
-    store.keep = 5  # the state that the slow one reads stays
-    store.write("t", spark.range(200).selectExpr("cast(id as int) k", "'old' v"))
-    one = spark.createDataFrame([(1,)], "k int")
-    other = next(k for k in range(200) if store.touched("t", spark.createDataFrame([(k,)], "k int")) != store.touched("t", one))
-    set_to = lambda k, v: lambda old: old.selectExpr("k", f"if(k = {k}, '{v}', v) v")
-    calls = []
-
-    def slow(old):
-        if not calls:  # while this one works, others change another bucket and the same one
-            store.update("t", spark.createDataFrame([(other,)], "k int"), set_to(other, "theirs"))
-            store.update("t", one, lambda rows: rows.selectExpr("k", "concat(v, '+') v"))
-        calls.append(1)
-        return old.selectExpr("k", "if(k = 1, concat(v, '!'), v) v")
-
-    found = {r["k"]: r["v"] for r in store.update("t", one, slow).collect()}
-    assert found[1] == "old+!" and found[other] == "theirs" and len(found) == 200 and len(calls) == 2
-
-
 def test_image_sizes(spark):
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + (48).to_bytes(2, "big") + (64).to_bytes(2, "big") + b"\0" * 10
@@ -282,7 +234,7 @@ def test_image_sizes(spark):
 
 def test_stream(spark, folder, tmp_path, model):
     at = str(tmp_path / "store")
-    query = watch(spark, folder, at, str(tmp_path / "checkpoint"), model, "m", 2, files_a_batch=2, buckets=4)
+    query = watch(spark, folder, at, str(tmp_path / "checkpoint"), model, "m", 2, files_a_batch=2, bucket_rows=4)
     query.awaitTermination()
     states = {r["source_blob_name"]: r["processing_status"] for r in open_store(spark, at).read("documents").collect()}
     assert states == {"good.docx": "completed", "scan.pdf": "completed", "empty.docx": "failed", "sub/bad.DOCX": "failed"}
