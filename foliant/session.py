@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +37,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares, spark.checkpoint.dir, deleted when the program ends; in local mode without that setting
+    one in the machine's temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"file://{tempfile.gettempdir()}/foliant-scratch"
+    path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+    def gone() -> None:
+        if spark.sparkContext._jsc is not None:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    atexit.register(gone)
+    return path
+
+
 def spread(df: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
     """df over as many partitions as there are cores, where a plain scan has fewer: a step that takes long for each row then keeps all
     cores busy, at the price of one exchange of what it reads. A scan with enough partitions, a small one, and what has been
