@@ -104,7 +104,16 @@ def route_label(route: Column) -> Column:
     return F.coalesce(lookup(ROUTES, route), F.lit(OTHER_ROUTE))
 
 
+def steps(answer: Column) -> Column:
+    """In how many steps an answer is shown: word by word."""
+    return F.size(F.split(answer, " "))
+
+
+def beginning(answer: Column, step: Column) -> Column:
+    """What is shown of an answer at a step, from 1."""
+    return F.array_join(F.slice(F.split(answer, " "), F.lit(1), step), " ")
+
+
 def progressive(answer: Column) -> Column:
-    """The answer's beginnings, word by word, as they are shown."""
-    parts = F.split(answer, " ")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), " "))
+    """All steps of an answer, which together are as long as its square: for short ones."""
+    return F.transform(F.sequence(F.lit(1), steps(answer)), lambda i: beginning(answer, i))

@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from ..functions.headings import body_type, heading_level
 from ..functions.text import clean_text, optional_int, required
 
-#: Levels that section_path() tracks by windows; deeper headings, which only styles can name, count as this level.
-DEEPEST = 9
+#: Levels that section_path() tracks one by one; deeper headings, which only styles can name, are rare and kept as a list.
+TRACKED = 9
 
 UNIT = {"text": "string", "style": "string", "section": "string", "content_type": "string", "page_number": "int", "paragraph_number": "int", "metadata": "map<string,string>"}
 
@@ -37,12 +37,18 @@ def section_path(level: Column, title: Column, document: str, order: str) -> Col
     """Titles of the headings that a row stands under, from the top; a heading stands under itself.
 
     Of each level the last heading so far counts, unless a heading of a higher level came after it. All levels share one
-    window, so one sort by document serves them.
+    window, so one sort by document serves them. Levels have no end: those beyond TRACKED are a list of all such headings so far, of
+    which those after the last tracked one make a stack.
     """
     so_far = Window.partitionBy(document).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    last = [F.last(F.when(F.when(level > DEEPEST, DEEPEST).otherwise(level) == n, F.struct(F.col(order).alias("at"), title.alias("title"))), ignorenulls=True).over(so_far) for n in range(1, DEEPEST + 1)]
-    held = [last[0]] + [F.when(F.coalesce(last[n]["at"] > F.greatest(F.lit(-1), *[x["at"] for x in last[:n]]), F.lit(False)), last[n]) for n in range(1, DEEPEST)]
-    return F.transform(F.filter(F.array(*held), lambda x: x.isNotNull()), lambda x: x["title"])
+    here = F.struct(F.col(order).alias("at"), title.alias("title"), level.cast("int").alias("level"))
+    last = [F.last(F.when(level == n, here), ignorenulls=True).over(so_far) for n in range(1, TRACKED + 1)]
+    held = [last[0]] + [F.when(F.coalesce(last[n]["at"] > F.greatest(F.lit(-1), *[x["at"] for x in last[:n]]), F.lit(False)), last[n]) for n in range(1, TRACKED)]
+    tracked = F.transform(F.filter(F.array(*held), lambda x: x.isNotNull()), lambda x: x["title"])
+    since = F.greatest(F.lit(-1), *[x["at"] for x in last])
+    deep = F.filter(F.collect_list(F.when(level > TRACKED, here)).over(so_far), lambda x: x["at"] > since)
+    stack = F.aggregate(deep, F.filter(deep, lambda _: F.lit(False)), lambda held, x: F.concat(F.filter(held, lambda y: y["level"] < x["level"]), F.array(x)))
+    return F.concat(tracked, F.when(F.size(deep) > 0, F.transform(stack, lambda x: x["title"])).otherwise(F.array().cast("array<string>")))
 
 
 def analyze(df: DataFrame, document: str = "document_id", order: str = "unit_ordinal", file_type: str = "file_type", clean_twice: bool = True) -> DataFrame:

@@ -85,13 +85,18 @@ def orphans(children: DataFrame, parents: DataFrame, key: str = "document_id", p
     return children.join(parents.select(F.col(parent).alias(key)), key, "left_anti").select(*children.columns)
 
 
-def duplicates(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """keys and n of the keys that several rows have. Rows with a null in the key never conflict."""
+def per_parent(children: DataFrame, key: str = "document_id", **counted: Column) -> DataFrame:
+    """key and, by name, how many of its rows meet a condition."""
+    return children.groupBy(key).agg(*[F.count_if(c).alias(n) for n, c in counted.items()])
+
+
+def duplicates(df: DataFrame, keys: tuple[str, ...], first: str | None = None) -> DataFrame:
+    """keys and n of the keys that several rows have, and the least value of a column `first`. Rows with a null in the key never conflict."""
     full = df.where(" and ".join(f"`{k}` is not null" for k in keys))
-    return full.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return full.groupBy(*keys).agg(F.count("*").alias("n"), *([F.min(first).alias("first")] if first else [])).where("n > 1")
 
 
-def _json_is(value: Column, kind: str) -> Column:
+def json_is(value: Column, kind: str) -> Column:
     """Whether a text is JSON of a kind; null where it is null."""
     return F.when(value.isNotNull(), F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith(kind), F.lit(False)))
 
@@ -110,14 +115,14 @@ def rules(table: str) -> dict[str, Column]:
             "token_count": c("token_count") >= 0,
             "content": ~is_blank(c("content")),
             "section_path": c("section_path").isNotNull(),
-            "metadata": _json_is(c("metadata"), "OBJECT"),
+            "metadata": json_is(c("metadata"), "OBJECT"),
         },
         "document_images": {
             "image_index": c("image_index") >= 0,
             "page_number": c("page_number") > 0,
             "width": c("width") > 0,
             "height": c("height") > 0,
-            "metadata": _json_is(c("metadata"), "OBJECT"),
+            "metadata": json_is(c("metadata"), "OBJECT"),
         },
     }[table]
 

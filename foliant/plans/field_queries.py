@@ -14,24 +14,23 @@ from . import text_queries
 
 def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as fields that may be blank: what counts as text, as a number, and as a question."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" \t"), F.substring("text", 1, 12), F.lit("\n "))).when(F.col("turn") % 3 == 1, F.concat(F.lit(" "), (F.col("turn") - 2).cast("string"), F.lit(" "))).otherwise(F.lit(" \n")).alias("field"), "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" \t"), F.col("text"), F.lit("\n "))).when(F.col("turn") % 3 == 1, F.concat(F.lit(" "), (F.col("turn") - 2).cast("string"), F.lit(" "))).otherwise(F.lit(" \n")).alias("field"), "text")
     number = text.optional_int(F.col("field"))
     return rows.select("conv_id", "turn", text.is_blank(F.col("field")).alias("blank"), text.required(F.col("field")).alias("required"), number.cast("long").alias("number"), text.positive_int(F.col("field")).cast("long").alias("positive"), retrieval.valid_question(F.col("text"), 200).alias("is_question"))
 
 
 def labels_and_links(spark, sf_dir):
     """Labels of routes, where a blob is read, data URLs, and the steps in which an answer is shown."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 40).alias("t"), F.element_at(F.array(F.lit("internal"), F.lit("web"), F.lit("unavailable"), F.lit("other")), (F.col("doc_id") % 4 + 1).cast("int")).alias("route"))
-    steps = names.progressive(F.col("t"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("t"), F.element_at(F.array(F.lit("internal"), F.lit("web"), F.lit("unavailable"), F.lit("other")), (F.col("doc_id") % 4 + 1).cast("int")).alias("route"))
     return rows.select(
         "doc_id", names.route_label(F.col("route")).alias("label"), files.read_url(F.col("source"), F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))).alias("link"),
-        names.data_url(F.lit("image/png"), F.encode(F.col("source"), "UTF-8")).alias("data"), F.size(steps).cast("long").alias("steps"), F.element_at(steps, 1).alias("first_step"), names.image_mime(F.col("source")).alias("mime"),
+        names.data_url(F.lit("image/png"), F.encode(F.col("source"), "UTF-8")).alias("data"), names.steps(F.col("t")).cast("long").alias("steps"), names.beginning(F.col("t"), F.lit(3)).alias("third_step"), names.image_mime(F.col("source")).alias("mime"),
     )
 
 
 def vector_forms(spark, sf_dir):
     """Vectors as text, the first given of several, and a constant one."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.transform("embedding", lambda x: F.round(x * 4).cast("float")), 1, 3).alias("v"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * 4).cast("float")).alias("v"))
     given = vectors.first_given(F.when(F.col("vec_id") % 2 == 0, F.array().cast("array<float>")), F.when(F.col("vec_id") % 3 == 0, F.col("v")), vectors.constant(0.5, 3))
     return rows.select("vec_id", F.array_join(F.transform(given, lambda x: (x * 2).cast("long").cast("string")), ",").alias("given"), F.length(vectors.literal(vectors.constant(0.5, 3))).cast("long").alias("length"), F.round(vectors.norm(F.col("v")), 6).alias("norm"))
 
@@ -92,9 +91,9 @@ def column_defaults(spark, sf_dir):
 def provider_items(spark, sf_dir):
     """A provider's vectors meet their inputs by index; some are missing, some have the wrong size."""
     inputs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index"), F.col("source").alias("item"))
-    items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("index"), F.slice("embedding", 1, F.when(F.col("vec_id") % 9 == 0, 3).otherwise(4)).alias("embedding"))
+    items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("index"), F.when(F.col("vec_id") % 9 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("embedding"))
     paired = embedding.by_index(items, inputs)
-    faulty = embedding.faulty_vectors(paired, 4).select("index", F.lit(1).alias("f"))
+    faulty = embedding.faulty_vectors(paired, 64).select("index", F.lit(1).alias("f"))
     return paired.join(faulty, "index", "left").select("index", "item", F.col("f").isNotNull().alias("faulty"))
 
 
@@ -113,7 +112,8 @@ def faulty_inputs(spark, sf_dir):
 
 def chunks_by_document(spark, sf_dir):
     """How many turns each conversation has, and which have a user's turn without any from the other side."""
-    rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("document_id")).agg(F.count("*").alias("chunks"), F.count_if(F.col("role") == "user").alias("asked"))
+    turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "document_id")
+    rows = tables.per_parent(turns, chunks=F.lit(True), asked=F.col("role") == "user")
     return rows.select("document_id", "chunks", (F.col("asked") == F.col("chunks")).alias("unanswered"))
 
 
@@ -121,7 +121,7 @@ def element_kinds(spark, sf_dir):
     """What lines are by style, declared type and metadata: levels of heading styles, then tables and lists in their order."""
     d = F.col("doc_id")
     pick = lambda n, *of: F.element_at(F.array(*[F.lit(x) for x in of]), (d % n + 1).cast("int"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.strip(F.regexp_extract("text", "^[^\n]{0,30}", 0)).alias("line"), pick(6, None, "Table Grid", " heading 2", "List Paragraph", "Heading 10 ", "Heading").alias("style"), pick(5, None, "Table_Row ", " bullet", "text", "tabular").alias("declared"), pick(7, "TABLE", "list", None, "x", None, None, None).alias("told"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.strip(F.regexp_extract("text", "^[^\n]*", 0)).alias("line"), pick(6, None, "Table Grid", " heading 2", "List Paragraph", "Heading 10 ", "Heading").alias("style"), pick(5, None, "Table_Row ", " bullet", "text", "tabular").alias("declared"), pick(7, "TABLE", "list", None, "x", None, None, None).alias("told"))
     kind = headings.body_type(F.coalesce("line", F.lit("")), F.col("style"), F.col("declared"), F.col("told"))
     return rows.select("doc_id", headings.style_level(F.col("style")).cast("long").alias("level"), kind.alias("kind"))
 
@@ -134,18 +134,18 @@ IMAGES = "images AS (SELECT source AS path, doc_id % 10 AS page_number, doc_id %
 
 SQL = {
     "text_rules": rf"""
-WITH r AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN ' ' || chr(9) || substr(text, 1, 12) || chr(10) || ' ' WHEN turn % 3 = 1 THEN ' ' || (turn - 2) || ' ' ELSE ' ' || chr(10) END AS field FROM conversations),
+WITH r AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN ' ' || chr(9) || text || chr(10) || ' ' WHEN turn % 3 = 1 THEN ' ' || (turn - 2) || ' ' ELSE ' ' || chr(10) END AS field FROM conversations),
 s AS (SELECT *, regexp_replace(field, '^\s+|\s+$', '', 'g') AS bare FROM r)
 SELECT conv_id, turn, {BLANK.format('field')} AS blank, nullif(bare, '') AS required, TRY_CAST(bare AS BIGINT) AS number, CASE WHEN TRY_CAST(bare AS BIGINT) > 0 THEN TRY_CAST(bare AS BIGINT) END AS positive,
        regexp_matches(coalesce(text, ''), '\S') AND length(text) <= 200 AS is_question FROM s
 """,
     "labels_and_links": """
-WITH r AS (SELECT *, substr(text, 1, 40) AS t FROM documents)
+WITH r AS (SELECT *, text AS t FROM documents)
 SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '📚 Internal Knowledge' WHEN 1 THEN '🌐 Web Search' WHEN 2 THEN '⚠️ No Reliable Source Found' ELSE '🤖 AI Response' END AS label, source || '/' || doc_id || '.pdf' AS link,
-       'data:image/png;base64,' || base64(encode(source)) AS data, CAST(len(string_split(t, ' ')) AS BIGINT) AS steps, string_split(t, ' ')[1] AS first_step, 'application/octet-stream' AS mime FROM r
+       'data:image/png;base64,' || base64(encode(source)) AS data, CAST(len(string_split(t, ' ')) AS BIGINT) AS steps, array_to_string(string_split(t, ' ')[1:3], ' ') AS third_step, 'application/octet-stream' AS mime FROM r
 """,
     "vector_forms": """
-WITH r AS (SELECT vec_id, list_transform(embedding[1:3], lambda x: CAST(round(x * 4) AS FLOAT)) AS v FROM embeddings)
+WITH r AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(x * 4) AS FLOAT)) AS v FROM embeddings)
 SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN array_to_string(list_transform(v, lambda x: CAST(CAST(x * 2 AS BIGINT) AS VARCHAR)), ',') ELSE '1,1,1' END AS given, CAST(13 AS BIGINT) AS length, round(sqrt(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) * x))), 6) AS norm FROM r
 """,
     "map_merge": """
@@ -184,7 +184,7 @@ g AS (SELECT item_id, count(*) AS times, count(*) FILTER (WHERE {BLANK.format('i
 SELECT item_id, blank, times FROM g WHERE blank > 0 OR times > 1
 """,
     "element_kinds": rf"""
-WITH r AS (SELECT doc_id, trim(regexp_extract(coalesce(text, ''), '^[^\n]{{0,30}}')) AS line, [NULL, 'Table Grid', ' heading 2', 'List Paragraph', 'Heading 10 ', 'Heading'][doc_id % 6 + 1] AS style,
+WITH r AS (SELECT doc_id, trim(regexp_extract(coalesce(text, ''), '^[^\n]*')) AS line, [NULL, 'Table Grid', ' heading 2', 'List Paragraph', 'Heading 10 ', 'Heading'][doc_id % 6 + 1] AS style,
   [NULL, 'Table_Row ', ' bullet', 'text', 'tabular'][doc_id % 5 + 1] AS declared, ['TABLE', 'list', NULL, 'x', NULL, NULL, NULL][doc_id % 7 + 1] AS told FROM documents),
 s AS (SELECT *, coalesce(lower(trim(declared)), '') AS d, coalesce(lower(told), '') AS m, coalesce(lower(style), '') AS st FROM r)
 SELECT doc_id, CAST(nullif(regexp_extract(trim(style), '(?i)^heading\s+([1-9]\d*)$', 1), '') AS BIGINT) AS level,

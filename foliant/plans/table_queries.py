@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import names, text
+from ..functions import names, text, values
 from ..operators import chat, embedding, evaluation, tables
 from ..session import table
 
@@ -89,7 +89,7 @@ def duplicate_keys(spark, sf_dir):
 
 def duplicate_content(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("checksum"))
-    return rows.groupBy("checksum").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    return tables.duplicates(rows, ("checksum",), first="doc_id")
 
 
 def mispaired(spark, sf_dir):
@@ -126,8 +126,8 @@ def chat_history(spark, sf_dir):
 
 def json_props(spark, sf_dir):
     """Fields of the JSON that events carry, through a variant, with a default for what is missing."""
-    rows = table(spark, sf_dir, "events").select("event_type", F.try_parse_json("props").alias("v"))
-    keys = rows.select("event_type", F.coalesce(F.try_variant_get("v", "$.k", "string"), F.lit("none")).alias("k"), F.schema_of_variant("v").startswith("OBJECT").alias("is_object"))
+    rows = table(spark, sf_dir, "events")
+    keys = rows.select("event_type", values.json_value(F.col("props"), "$.k", default="none").alias("k"), tables.json_is(F.col("props"), "OBJECT").alias("is_object"))
     return keys.groupBy("event_type", "k", "is_object").agg(F.count("*").alias("n"))
 
 

@@ -59,8 +59,10 @@ FIXTURE = [
 
 
 def clean_fixture(spark, sf_dir):
-    rows = spark.createDataFrame(FIXTURE, "id int, raw string")
-    return rows.select("id", text.clean_text(F.col("raw")).alias("cleaned"))
+    """Each document's source as a last paragraph behind one of the odd texts."""
+    raw = F.element_at(F.array(*[F.lit(t) for _, t in FIXTURE]), (F.col("doc_id") % len(FIXTURE) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce(raw, F.lit("")), F.lit("\n\n"), F.col("source")).alias("raw"))
+    return rows.select("doc_id", text.clean_text(F.col("raw")).alias("cleaned"))
 
 
 def classify_lines(spark, sf_dir):
@@ -74,7 +76,7 @@ def heading_paths(spark, sf_dir):
     rows = _units(spark, sf_dir).withColumn("text", text.strip(F.col("text"))).where("text <> ''")
     level = headings.heading_level(F.col("text"), F.lit(None).cast("string"), F.lit("pdf"))
     path = structure.section_path(F.col("level"), F.col("text"), "document_id", "unit_ordinal")
-    return rows.withColumn("level", level).select("document_id", F.col("unit_ordinal").cast("long").alias("unit_ordinal"), F.array_join(path, " > ").alias("path"))
+    return rows.withColumn("level", level).withColumn("path", F.array_join(path, " > ")).select("document_id", F.col("unit_ordinal").cast("long").alias("unit_ordinal"), "path")
 
 
 def running_section(spark, sf_dir):
@@ -316,9 +318,10 @@ SELECT doc_id, array_to_string(w[greatest(1, len(w) - 74):len(w)], ' ') AS tail
 """,
     "clean_documents": CLEANED + "SELECT doc_id, cleaned FROM cleaned",
     "clean_fixture": r"""
-SELECT * FROM (VALUES (1, 'manufacturing and more'), (2, 'Risk-' || chr(10) || 'Assessment'), (3, 'body text'), (4, '- first' || chr(10) || '-' || chr(10) || '- second'),
+WITH t AS (SELECT * FROM (VALUES (1, 'manufacturing and more'), (2, 'Risk-' || chr(10) || 'Assessment'), (3, 'body text'), (4, '- first' || chr(10) || '-' || chr(10) || '- second'),
  (5, 'a b c d' || chr(10) || chr(10) || 'e'), (6, 'the pump must stop.' || chr(10) || 'Note:' || chr(10) || 'next' || chr(10) || '- item' || chr(10) || 'more'),
- (7, '2.1 Scope' || chr(10) || 'of work'), (8, ''), (9, '')) t(id, cleaned)
+ (7, '2.1 Scope' || chr(10) || 'of work'), (8, ''), (9, '')) v(id, cleaned))
+SELECT doc_id, CASE WHEN cleaned <> '' THEN cleaned || chr(10) || chr(10) ELSE '' END || source AS cleaned FROM documents JOIN t ON id = doc_id % 9 + 1
 """,
     "classify_lines": LINED + f"SELECT document_id, unit_ordinal, level, CASE WHEN level IS NOT NULL THEN 'heading' WHEN regexp_matches(line, '{LIST_ITEM}') THEN 'list' ELSE 'text' END AS kind FROM lined",
     "heading_paths": LINED

@@ -155,8 +155,11 @@ def image_size(content):
     def size(heads: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_size(bytes(x or b"")) for x in heads], columns=["width", "height"], dtype="Int32")
 
-    # A jpeg's sizes stand behind its other headers, which may be long; all other formats have them in the first bytes.
-    return size(F.substring(content, 1, HEADERS))
+    # A jpeg's sizes stand behind its other headers, which may be long: where they aren't within HEADERS, the whole value is walked.
+    # All other formats have them in the first bytes.
+    head = size(F.substring(content, 1, HEADERS))
+    more = size(F.when(head["width"].isNull() & (F.length(content) > HEADERS) & (F.substring(content, 1, 2) == F.unhex(F.lit("FFD8"))), content))
+    return F.when(head["width"].isNotNull(), head).otherwise(more)
 
 
 def largest(found: DataFrame, by: str = "path", order: str = "image_index") -> DataFrame:

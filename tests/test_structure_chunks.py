@@ -28,7 +28,7 @@ def test_heading_paths_like_a_dictionary(spark):
     for d in range(40):
         active = {}
         for o in range(30):
-            level = rng.choice([None, None, 1, 2, 3, 4, 9])
+            level = rng.choice([None, None, 1, 2, 3, 4, 9, 10, 12, 31])
             if level:
                 active = {k: v for k, v in active.items() if k < level} | {level: f"{d}-{o}"}
             rows.append((d, o, level, f"{d}-{o}"))
