@@ -22,7 +22,7 @@ from ..sources.store import Change, Store, Table, Work
 #: and section paths.
 TABLES = {
     "documents": Table(
-        tables.DOCUMENTS, tables.KEY, filters=("processing_status", "checksum"), unique=(("id",), tables.KEY), rules=lambda: tables.rules("documents"),
+        tables.DOCUMENTS, tables.KEY, filters=("processing_status", "checksum"), ranges=("created_at", "file_size_bytes"), unique=(("id",), tables.KEY), rules=lambda: tables.rules("documents"),
         cascades=tuple((t, "document_id") for t in ("document_chunks", "document_images", "image_blobs", "postings", "items")),
     ),
     "document_chunks": Table(tables.CHUNKS, ("document_id",), unique=(("id",), ("document_id", "chunk_index")), rules=lambda: tables.rules("document_chunks"), references=(("document_id", "documents", "id"),)),

@@ -130,6 +130,15 @@ def metric_summary(spark, sf_dir):
     return evaluation.metric_means(scores)
 
 
+def answer_metrics(spark, sf_dir):
+    """Verdicts on chunks, statements and claims as labels give them: each question is judged by the quality of what it found."""
+    told = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 0).alias("clean"))
+    found = _retrieved(spark, sf_dir).join(told, "id", "left").select(F.col("query_id").alias("id"), F.col("rank").alias("place"), "good", "clean")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("verdict")) for k, v in (("chunk", F.coalesce("good", F.lit(False))), ("statement", F.coalesce("clean", F.lit(True))), ("claim", F.col("good")))])
+    judged = found.select("id", "place", F.explode(kinds).alias("x")).select("id", "place", "x.*")
+    return evaluation.answer_metrics(judged).select("id", "metric", F.round("score", 9).alias("score"))
+
+
 def _passages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("document_name"), F.col("text").alias("content"), "lang")
     return _retrieved(spark, sf_dir).join(docs, "id").withColumns({"document_id": F.col("id"), "page": F.when(F.col("lang") == "en", F.col("id"))})
@@ -164,7 +173,7 @@ def token_totals(spark, sf_dir):
     return embedding.totals(rows, "source").select("source", F.col("input_count").alias("n"), "total_tokens")
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_batch, image_topk, vector_validity, keyword_rank_one_term, keyword_rank_and, keyword_rank_phrase_or, keyword_rank_stemmed, hybrid_topk, blended_topk_batch, route_decision, routing_accuracy, score_summary, metric_summary, prompt_context, group_sources, web_results, batch_plan, token_totals)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_batch, image_topk, vector_validity, keyword_rank_one_term, keyword_rank_and, keyword_rank_phrase_or, keyword_rank_stemmed, hybrid_topk, blended_topk_batch, route_decision, routing_accuracy, score_summary, metric_summary, answer_metrics, prompt_context, group_sources, web_results, batch_plan, token_totals)}
 
 COSINE = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
 FIRST = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
@@ -255,6 +264,17 @@ FROM told
 """,
     "routing_accuracy": ROUTED + "SELECT count(*) AS total, count(*) FILTER (WHERE met) AS correct_count, CAST(count(*) FILTER (WHERE met) AS DOUBLE) / count(*) AS accuracy FROM told",
     "metric_summary": "SELECT 'quality' AS metric, round(avg(CAST(quality AS DOUBLE)), 4) AS value FROM labels UNION ALL SELECT 'toxic', round(avg(CAST(toxic AS DOUBLE)), 4) FROM labels",
+    "answer_metrics": RETRIEVED + """, judged AS (
+  SELECT query_id AS id, rank, quality = 1 AS good, toxic = 0 AS clean FROM retrieved LEFT JOIN labels ON doc_id = retrieved.id
+), chunk AS (
+  SELECT id, rank, CASE WHEN coalesce(good, false) THEN 1 ELSE 0 END AS useful FROM judged
+), seen AS (
+  SELECT *, CAST(sum(useful) OVER (PARTITION BY id ORDER BY rank) AS DOUBLE) / rank AS share FROM chunk
+)
+SELECT id, 'context_precision' AS metric, round(coalesce(sum(useful * share) / nullif(sum(useful), 0), 0), 9) AS score FROM seen GROUP BY id
+UNION ALL SELECT id, 'context_recall', round(CAST(count(*) FILTER (WHERE coalesce(clean, true)) AS DOUBLE) / count(*), 9) FROM judged GROUP BY id
+UNION ALL SELECT id, 'faithfulness', CASE WHEN count(good) = count(*) THEN round(CAST(count(*) FILTER (WHERE good) AS DOUBLE) / count(*), 9) END FROM judged GROUP BY id
+""",
     "prompt_context": RETRIEVED + r""", parts AS (
   SELECT query_id, rank, 'Source ' || row_number() OVER (PARTITION BY query_id ORDER BY rank) || ': ' || source || CASE WHEN lang = 'en' THEN ', page ' || doc_id ELSE '' END || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g') AS t
   FROM retrieved JOIN documents ON doc_id = id

@@ -44,7 +44,7 @@ class Refused(ValueError):
 @dataclass(frozen=True)
 class Table:
     """schema: its columns. keys: whose hash deals rows to buckets. owner: the columns by which rows are replaced; keys unless given.
-    filters: columns that are asked for by value. unique: keys that no two rows share, nulls aside; those beyond the owner have a filter.
+    filters: columns that are asked for by value; ranges: numbers and times that are asked for by their least and greatest value. unique: keys that no two rows share, nulls aside; those beyond the owner have a filter.
     rules: conditions that each row meets, by name. references: column, table and column that it names. cascades: tables and
     their columns that name this table's first unique column, and whose rows go with it."""
 
@@ -52,6 +52,7 @@ class Table:
     keys: tuple[str, ...] = ()
     owner: tuple[str, ...] = ()
     filters: tuple[str, ...] = ()
+    ranges: tuple[str, ...] = ()
     unique: tuple[tuple[str, ...], ...] = ()
     rules: Callable[[], Mapping[str, Column]] | None = None
     references: tuple[tuple[str, str, str], ...] = ()
@@ -221,10 +222,17 @@ class Store:
             rows = self._live(table, runs, self._touched(table, runs, keys))
             return rows.join(names, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in own]), "left_semi")
         if where:
-            values = [self.spark.range(1).select(F.lit(v).cast(self._empty(table).schema[c].dataType).alias(c)) for c, v in where.items()]
-            found = [self._may_have(table, runs, c, v) for (c, _), v in zip(where.items(), values)]
+            kinds = {f.name: f.dataType for f in self._empty(table).schema}
+            found, met = [], []
+            for c, v in where.items():
+                if isinstance(v, tuple):
+                    found.append(self._may_lie(table, runs, c, *v))
+                    met.append(F.col(c).between(*[F.lit(x).cast(kinds[c]) for x in v]))
+                else:
+                    found.append(self._may_have(table, runs, c, self.spark.range(1).select(F.lit(v).cast(kinds[c]).alias(c))))
+                    met.append(F.col(c) == F.lit(v))
             rows = self._live(table, runs, lambda r: set.intersection(*(f.get(r["id"], set()) for f in found)))
-            return rows.where(reduce(Column.__and__, [F.col(c) == F.lit(v) for c, v in where.items()]))
+            return rows.where(reduce(Column.__and__, met))
         return self._live(table, runs)
 
     def _may_have(self, table: str, runs: list[dict], column: str, values: DataFrame) -> dict[str, set[int]]:
@@ -235,13 +243,25 @@ class Store:
             return out
         at = values.where(F.col(column).isNotNull()).select((F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)) + 1).alias("at")).distinct()
         at = at.select(F.bitmap_bucket_number("at").alias("page"), F.bitmap_bit_position("at").cast("int").alias("bit"))
-        maps = self.spark.read.schema(FILTERS).parquet(*paths).where(F.col("column") == column)
+        maps = self.spark.read.schema(FILTERS).parquet(*paths).where((F.col("column") == column) & (F.col("page") > 0))
         byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
         hit = maps.join(at, "page").withColumn("byte", byte).where(F.expr("(byte & shiftleft(1, cast(bit % 8 as int))) != 0"))
         for r in hit.select("run", "bucket").distinct().collect():
             out.setdefault(r["run"], set()).add(r["bucket"])
         return out
 
+    def _may_lie(self, table: str, runs: list[dict], column: str, low: object, high: object) -> dict[str, set[int]]:
+        """By run the buckets whose least and greatest values of a column leave room for a range; all of a run's that has none."""
+        out = {r["id"]: set(r["buckets"]) for r in runs if column not in r["filters"]}
+        paths = [f"{self._folder(table, r['id'])}/filters" for r in runs if column in r["filters"] and r["buckets"]]
+        if paths:
+            kind = self._empty(table).schema[column].dataType
+            x, y = (_number(F.lit(v).cast(kind), kind.simpleString()) for v in (low, high))
+            maps = self.spark.read.schema(FILTERS).parquet(*paths).where((F.col("column") == column) & (F.col("page") == 0))
+            for r in maps.where((F.col("least") <= y) & (F.col("greatest") >= x)).select("run", "bucket").distinct().collect():
+                out.setdefault(r["run"], set()).add(r["bucket"])
+        return out
+
     # Writing.
 
     def write(self, table: str, df: DataFrame) -> DataFrame:
@@ -338,18 +358,22 @@ class Store:
         if owners is not None:
             owners.write.parquet(f"{at}/gone")
         buckets = sorted(int(x.split("=")[1]) for x in self._names(f"{at}/rows") if x.startswith(f"{BUCKET}=")) if n else []
-        out = {"id": run, "rows": n, "bits": bits, "buckets": buckets, "replaces": owners is not None, "filters": spec.filtered() if n else []}
+        out = {"id": run, "rows": n, "bits": bits, "buckets": buckets, "replaces": owners is not None, "filters": [*spec.filtered(), *spec.ranges] if n else []}
         if out["filters"]:
             self._filters(table, out)
         return out
 
     def _filters(self, table: str, run: dict) -> None:
-        """For each bucket and filtered column the pages of a bitmap of its values' hashes."""
-        rows = self._rows(table, run).withColumn("bucket", self._hash(self.tables[table].keys, run["bits"]))
-        each = F.array(*[F.struct(F.lit(c).alias("column"), F.when(F.col(c).isNotNull(), F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)) + 1).alias("at")) for c in run["filters"]])
-        at = rows.select("bucket", F.explode(each).alias("x")).select("bucket", "x.*").where("at is not null")
-        maps = at.groupBy("bucket", "column", F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-        maps.select(F.lit(run["id"]).alias("run"), "bucket", "column", "page", "bits").hint("rebalance").write.parquet(f"{self._folder(table, run['id'])}/filters")
+        """For each bucket and filtered column the pages, from 1, of a bitmap of its values' hashes; for each range, as page 0, its ends."""
+        spec = self.tables[table]
+        rows = self._rows(table, run).withColumn("bucket", self._hash(spec.keys, run["bits"]))
+        kinds, none = dict(rows.dtypes), F.lit(None).cast("long")
+        each = [F.struct(F.lit(c).alias("column"), F.when(F.col(c).isNotNull(), F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)) + 1).alias("at"), none.alias("number")) for c in spec.filtered()]
+        each += [F.struct(F.lit(c).alias("column"), none.alias("at"), _number(F.col(c), kinds[c]).alias("number")) for c in spec.ranges]
+        at = rows.select("bucket", F.explode(F.array(*each)).alias("x")).select("bucket", "x.*").where("at is not null or number is not null")
+        page = F.coalesce(F.bitmap_bucket_number("at"), F.lit(0)).alias("page")
+        maps = at.groupBy("bucket", "column", page).agg(F.bitmap_construct_agg(F.coalesce(F.bitmap_bit_position("at"), F.lit(0))).alias("bits"), F.min("number").alias("least"), F.max("number").alias("greatest"))
+        maps.select(F.lit(run["id"]).alias("run"), "bucket", "column", "page", "bits", "least", "greatest").hint("rebalance").write.parquet(f"{self._folder(table, run['id'])}/filters")
 
     def _met(self, before: State, now: State, mine: dict[str, list[dict]]) -> bool:
         """Whether others have replaced rows of the owners that I replace, or merged runs that I need, since I began."""
@@ -432,7 +456,12 @@ class Store:
 
 
 #: The filters of a run.
-FILTERS = "run string, bucket int, column string, page long, bits binary"
+FILTERS = "run string, bucket int, column string, page long, bits binary, least long, greatest long"
+
+
+def _number(value: Column, kind: str) -> Column:
+    """A time or number as an integer that sorts as it does, or as its neighbours do."""
+    return F.unix_micros(value.cast("timestamp")) if kind in ("timestamp", "date") else F.floor(value).cast("long")
 
 
 class Work:

@@ -296,3 +296,20 @@ def test_answers(spark):
     assert set(plain) == {1, 2, 4} and plain[1]["answer"] == one["answer"] and plain[1]["retrieved_chunk_count"] == 2 and not plain[2]["requires_web_search"]
     none = grounded(questions, chunks.limit(0), docs, index, model, lambda p: p).collect()
     assert all(r["answer"] == retrieval.NO_CHUNKS and r["requires_web_search"] and r["sources"] is None and r["retrieved_chunk_count"] == 0 for r in none) and len(none) == 3
+
+
+def test_metrics_of_answers(spark):
+    """Rank-weighted precision, recall and faithfulness from the verdicts of a judge; a judge that fails leaves its metric out."""
+    items = [("a", "chunk", p, t, "x") for p, t in enumerate(["yes", "no", "yes", "no"])] + [("a", "statement", p, t, "x") for p, t in enumerate(["yes", "yes", "no"])]
+    items += [("b", "chunk", 0, "no", "x"), ("b", "claim", 0, "yes", "x"), ("b", "claim", 1, "fails", "x"), ("c", "claim", 0, "yes", None)]
+    asked = spark.createDataFrame(items, "id string, kind string, place int, text string, against string")
+
+    def judge(kind, text, against):
+        if text == "fails":
+            raise ValueError("no verdict")
+        return text == "yes"
+
+    told = evaluation.verdicts(asked, judge, embedding.Client(timeout=5.0, retries=0))
+    assert {r["error"] for r in told.where("verdict is null").collect()} == {"no verdict"}
+    found = {(r["id"], r["metric"]): r["score"] for r in evaluation.answer_metrics(told).collect()}
+    assert found == {("a", "context_precision"): pytest.approx((1 + 2 / 3) / 2), ("a", "context_recall"): pytest.approx(2 / 3), ("b", "context_precision"): 0.0, ("b", "faithfulness"): None, ("c", "faithfulness"): 1.0}

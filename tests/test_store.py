@@ -173,6 +173,19 @@ def test_values_are_looked_up_by_filters(spark, make):
     assert store.read("parents", where={"id": 500, "state": "done"}).collect() == [] and store.read("parents", where={"state": "none such"}).collect() == []
 
 
+def test_ranges_are_looked_up_by_their_ends(spark, make):
+    """Runs and buckets whose least and greatest values leave no room for a range aren't read."""
+    store = make({"t": Table("k int, day timestamp, size double", ("k",), ranges=("day", "size"))}, bucket_rows=50, fanout=9)
+    rows = spark.range(600).selectExpr("cast(id as int) k", "timestamp'2024-01-01' + make_dt_interval(cast(id div 100 as int)) day", "if(id % 7 = 0, null, id / 10) size")
+    for i in range(6):
+        some = rows.where(f"k div 100 = {i}")
+        store.update("t", some.select("k"), lambda _, some=some: some)
+    found = store.read("t", where={"day": ("2024-01-03 00:00:00", "2024-01-04 00:00:00")})
+    assert sorted(r["k"] for r in found.collect()) == list(range(200, 400)) and len(found.inputFiles()) <= len(store.read("t").inputFiles()) / 2
+    assert sorted(r["k"] for r in store.read("t", where={"size": (12.35, 12.95)}).collect()) == [k for k in range(124, 130) if k % 7]
+    assert store.read("t", where={"day": ("2025-01-01", "2026-01-01")}).collect() == [] and store.read("t", where={"day": ("2024-01-01", "2024-01-01"), "size": (0.0, 0.2)}).count() == 2
+
+
 def test_rows_by_word_and_by_document(spark, make):
     """A table whose rows lie by one column and are replaced by another: an index of words."""
     store = make({"words": Table("word string, doc int", ("word",), owner=("doc",))}, bucket_rows=50, fanout=3, level_rows=50)
