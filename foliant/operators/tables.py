@@ -97,8 +97,13 @@ def duplicates(df: DataFrame, keys: tuple[str, ...], first: str | None = None) -
 
 
 def json_is(value: Column, kind: str) -> Column:
-    """Whether a text is JSON of a kind; null where it is null."""
-    return F.when(value.isNotNull(), F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith(kind), F.lit(False)))
+    """Whether a text is JSON of a kind; null where it is null or no JSON."""
+    return F.schema_of_variant(F.try_parse_json(value)).startswith(kind)
+
+
+def is_json(value: Column) -> Column:
+    """Whether a text is JSON, as a column of that type asks for; null where it is null."""
+    return F.when(value.isNotNull(), F.try_parse_json(value).isNotNull())
 
 
 def rules(table: str) -> dict[str, Column]:

@@ -18,15 +18,21 @@ from ..operators.validate import validate
 from ..sources import files as sources
 from ..sources.store import Change, Store, Table, Work
 
+
+def _rules(table: str) -> dict[str, Column]:
+    """The rules of a table, and that its metadata are JSON."""
+    return tables.rules(table) | {"json": tables.is_json(F.col("metadata"))}
+
+
 #: The tables of the store, with the indexes that are kept with them: postings of the chunks' words, and the leaves of their metadata
 #: and section paths.
 TABLES = {
     "documents": Table(
-        tables.DOCUMENTS, tables.KEY, filters=("processing_status", "checksum"), ranges=("created_at", "file_size_bytes"), unique=(("id",), tables.KEY), rules=lambda: tables.rules("documents"),
+        tables.DOCUMENTS, tables.KEY, filters=("processing_status", "checksum"), ranges=("created_at", "file_size_bytes"), unique=(("id",), tables.KEY), rules=lambda: _rules("documents"),
         cascades=tuple((t, "document_id") for t in ("document_chunks", "document_images", "image_blobs", "postings", "items")),
     ),
-    "document_chunks": Table(tables.CHUNKS, ("document_id",), unique=(("id",), ("document_id", "chunk_index")), rules=lambda: tables.rules("document_chunks"), references=(("document_id", "documents", "id"),)),
-    "document_images": Table(tables.IMAGES, ("document_id",), unique=(("id",), ("document_id", "image_index")), rules=lambda: tables.rules("document_images"), references=(("document_id", "documents", "id"),)),
+    "document_chunks": Table(tables.CHUNKS, ("document_id",), unique=(("id",), ("document_id", "chunk_index")), rules=lambda: _rules("document_chunks"), references=(("document_id", "documents", "id"),)),
+    "document_images": Table(tables.IMAGES, ("document_id",), unique=(("id",), ("document_id", "image_index")), rules=lambda: _rules("document_images"), references=(("document_id", "documents", "id"),)),
     "image_blobs": Table("image_blob_name string, document_id string, content binary", ("document_id",), references=(("document_id", "documents", "id"),)),
     "postings": Table("lexeme string, id string, document_id string, pos int", ("lexeme",), owner=("document_id",)),
     "items": Table(containment.ITEMS, ("item",), owner=("document_id",)),
