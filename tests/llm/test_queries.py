@@ -14,6 +14,7 @@ COLUMNS = {
     "op1_bpe": "doc_id n_tokens ids_sha256 decoded_sha256", "op2_mix": "doc_id size source_size target taken", "op3_line_dedup": "doc_id n_lines n_dropped kept_sha256", "op4_language": "doc_id held_out lang_pred score",
     "op5_exact_dedup": "doc_id keep_id group_size kept text_sha256", "op6_main_text": "page_id url text n_chars", "op8_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op9_jaccard_join": "doc_id class_id n_links", "op10_warc": "page_id payload_bytes payload_digest record_type refers_to",
+    "op11_phrases": "lang rank phrase a l r n score", "op12_chat": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op13_search": "item_id rank doc_id score",
 }
 
 
@@ -21,14 +22,21 @@ COLUMNS = {
 def test_columns_and_rows(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     assert set(COLUMNS.get(name, "").split()) <= set(df.columns)
-    table = "pages" if name in ("op6_main_text", "op10_warc") else "documents"
-    assert df.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+    rows = lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if name == "op11_phrases":
+        assert 0 < df.count() <= 2000 * rows("documents").select("lang").distinct().count()
+    elif name == "op12_chat":
+        assert df.count() == rows("conversations").select("conv_id").distinct().count() + 1
+    elif name == "op13_search":
+        assert 0 < df.count() <= 10 * rows("benchmark").count()
+    else:
+        assert df.count() == rows("pages" if name in ("op6_main_text", "op10_warc") else "documents").count()
 
 
 @pytest.mark.parametrize("name", list(SQL))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     cur = con.execute(SQL[name])
     columns = [d[0] for d in cur.description]
