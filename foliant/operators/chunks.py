@@ -148,7 +148,9 @@ class Packer:
             self.tokens += e.tokens
 
 
-def packing(sizes: Sizes, schema: pa.Schema):
+def packing(sizes: Sizes, schema: pa.Schema, piece: str | None = None):
+    """Packs rows that come document by document in order. piece: a column with the number of a part of a document that is packed for itself;
+    it is the last column of the chunks then."""
     names = ["document_id", "text", "element_type", "section_path", "section", "page_number", "paragraph_number", "style", "metadata"]
 
     def batch(rows: list[tuple[Any, ...]]) -> pa.RecordBatch:
@@ -157,16 +159,18 @@ def packing(sizes: Sizes, schema: pa.Schema):
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer: Packer | None = None
+        of: tuple[Any, ...] = ()
         for part in source:
             out: list[tuple[Any, ...]] = []
-            for document, text, kind, path, section, page, paragraph, style, metadata in zip(*(part[n].to_pylist() for n in names)):
-                if packer is None or packer.document != document:
-                    out += packer.flush() if packer else []
-                    packer = Packer(document, sizes)
-                out += packer.put(Element(text or "", kind, tuple(path or ()), section, page, paragraph, style, dict(metadata or ())))
+            pieces = part[piece].to_pylist() if piece else [None] * part.num_rows
+            for nth, document, text, kind, path, section, page, paragraph, style, metadata in zip(pieces, *(part[n].to_pylist() for n in names)):
+                if packer is None or (packer.document, *of) != (document, *((nth,) if piece else ())):
+                    out += (c + of for c in packer.flush()) if packer else []
+                    packer, of = Packer(document, sizes), (nth,) if piece else ()
+                out += (c + of for c in packer.put(Element(text or "", kind, tuple(path or ()), section, page, paragraph, style, dict(metadata or ()))))
             yield batch(out)
         if packer:
-            yield batch(list(packer.flush()))
+            yield batch([c + of for c in packer.flush()])
 
     return run
 
@@ -175,13 +179,20 @@ def _column(values: Any, to: pa.Field) -> list[Any]:
     return [[list(m.items()) for m in v] for v in values] if to.name == "element_metadata" else list(values)
 
 
-def build_chunks(elements: DataFrame, sizes: Sizes | None = None, document: str = "document_id", order: str = "unit_ordinal") -> DataFrame:
-    """Chunks (columns of CHUNK) of the documents whose elements analyze() gives. One shuffle, by document: a document is packed in one
-    task, however long it is, which holds one chunk of it at a time."""
+def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    rows = elements.select(F.col(document).cast("string").alias("document_id"), F.col(order).alias("__order"), "text", "element_type", "section_path", "section", "page_number", "paragraph_number", "style", "metadata")
-    schema = to_arrow_schema(_parse_datatype_string(CHUNK))
-    rows = rows.repartition("document_id").sortWithinPartitions("document_id", "__order")
-    return rows.mapInArrow(packing(sizes or Sizes(), schema), CHUNK)
+    return to_arrow_schema(_parse_datatype_string(ddl))
+
+
+def packable(elements: DataFrame, document: str, order: str, *more: str) -> DataFrame:
+    """The columns that packing() reads, with __order."""
+    return elements.select(F.col(document).cast("string").alias("document_id"), F.col(order).alias("__order"), "text", "element_type", "section_path", "section", "page_number", "paragraph_number", "style", "metadata", *more)
+
+
+def build_chunks(elements: DataFrame, sizes: Sizes | None = None, document: str = "document_id", order: str = "unit_ordinal") -> DataFrame:
+    """Chunks (columns of CHUNK) of the documents whose elements analyze() gives. One shuffle, by document: a document is packed in one
+    task, which holds one chunk of it at a time. For documents that are long for one task there is long_documents.build_chunks()."""
+    rows = packable(elements, document, order).repartition("document_id").sortWithinPartitions("document_id", "__order")
+    return rows.mapInArrow(packing(sizes or Sizes(), arrow_schema(CHUNK)), CHUNK)

@@ -12,13 +12,17 @@ from ..functions import fulltext, names
 from ..functions.containment import hashes as leaves_of
 from ..functions.names import item_id
 from ..functions.vectors import is_valid
-from ..operators import containment, embedding, structure, tables
+from ..operators import containment, embedding, long_documents, structure, tables
 from ..operators.chunks import Sizes, build_chunks
 from ..operators.validate import validate
 from ..sources import files as sources
 from ..sources.store import Change, Store, Table, Work
 
 
+#: Units from which on a document is long for one task.
+LONG = 100_000
+
+
 def _rules(table: str) -> dict[str, Column]:
     """The rules of a table, and that its metadata are JSON."""
     return tables.rules(table) | {"json": tables.is_json(F.col("metadata"))}
@@ -125,7 +129,9 @@ def ingest(
 
     meta = new.drop("document_id").join(ids, "path").select("document_id", "file_name", F.col("source_blob_name").alias("blob_name"), "file_type")
     typed = units.where("error is null").join(meta.select("document_id", "file_type"), "document_id")
-    made = build_chunks(structure.analyze(typed), sizes)
+    # Where a document is long for one task, all are dealt to tasks by blocks, with the same chunks.
+    long = (units.agg(F.max("unit_ordinal")).first()[0] or 0) >= LONG
+    made = long_documents.build_chunks(typed, sizes) if long else build_chunks(structure.analyze(typed), sizes)
     extra = F.to_json(F.struct("section", "page_start", "page_end", "paragraph_start", "paragraph_end", "styles", "element_metadata"))
     chunks = work.write("chunks", made.withColumn("metadata", extra).join(meta, "document_id"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import headings, names, text
-from ..operators import chunks, margins, structure, validate
+from ..operators import chunks, long_documents, margins, structure, validate
 from ..session import spread, table
 
 
@@ -114,6 +114,19 @@ def chunk_documents(spark, sf_dir):
     return found.select("document_id", "chunk_index", "content_type", "token_count", "section", F.array_join("section_path", " > ").alias("path"), "paragraph_start", "paragraph_end", F.md5("content").alias("content_md5"))
 
 
+#: Values of the order for each document of a source, and documents in a block.
+LINES, DOCUMENTS = 10_000_000, 1024
+
+
+def chunk_sources(spark, sf_dir):
+    """Each source as one long document: the lines of its documents, by id."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    rows = docs.select(F.coalesce("source", F.lit("")).alias("document_id"), "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "text"))
+    units = rows.select("document_id", (F.col("doc_id") * LINES + F.col("line")).alias("unit_ordinal"), "text", F.lit("docx").alias("file_type"))
+    found = long_documents.build_chunks(units, block=LINES * DOCUMENTS)
+    return found.select("document_id", "chunk_index", "content_type", "token_count", "section", F.array_join("section_path", " > ").alias("path"), F.md5("content").alias("content_md5"))
+
+
 def chunk_issues(spark, sf_dir):
     """Faults of chunks: here each document is one, so long and short ones have issues."""
     docs = table(spark, sf_dir, "documents")
@@ -129,7 +142,7 @@ def source_locations(spark, sf_dir):
     return rows.select("doc_id", names.location(page, section, first, last).alias("location"))
 
 
-QUERIES = {f.__name__: f for f in (token_count, oversized_docs, sentence_stats, word_fragments, trailing_words, clean_documents, clean_fixture, classify_lines, heading_paths, running_section, analyze_elements, analyze_pages, repeated_margins, clean_pages, chunk_documents, chunk_issues, source_locations)}
+QUERIES = {f.__name__: f for f in (token_count, oversized_docs, sentence_stats, word_fragments, trailing_words, clean_documents, clean_fixture, classify_lines, heading_paths, running_section, analyze_elements, analyze_pages, repeated_margins, clean_pages, chunk_documents, chunk_sources, chunk_issues, source_locations)}
 
 WS = r"[ \t\n\v\f\r]"
 TOKENS = f"CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\v\\f\\r]+')) AS BIGINT)"
@@ -208,13 +221,17 @@ SEEN = r"""seen AS (
   FROM lined WINDOW w AS (PARTITION BY document_id ORDER BY unit_ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 )"""
 
+#: Which document a cleaned line is of, and its place there: each document for itself, or a source with all its documents' lines.
+OF_DOCUMENTS = "SELECT doc_id // 10000000 AS document_id, doc_id % 10000000 AS unit_ordinal, cleaned AS line FROM cleaned"
+OF_SOURCES = "SELECT coalesce(d.source, '') AS document_id, c.doc_id AS unit_ordinal, c.cleaned AS line FROM cleaned c JOIN documents d ON d.doc_id = c.doc_id // 10000000"
+
 #: elements(document_id, unit_ordinal, line, level, kind, path) over the lines of documents, each cleaned by itself.
 ELEMENTS = rf"""
 WITH RECURSIVE units AS (
   SELECT doc_id * 10000000 + nth AS doc_id, '' AS source, line AS text
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS nth FROM documents)
 ), {_cleaned("units")}, bare AS (
-  SELECT doc_id // 10000000 AS document_id, doc_id % 10000000 AS unit_ordinal, cleaned AS line FROM cleaned
+  {OF_DOCUMENTS}
 ), {_lined("bare")}, {SEEN}, elements AS (
   SELECT document_id, unit_ordinal, line, level, CASE WHEN level IS NOT NULL THEN 'heading' WHEN regexp_matches(line, '{LIST_ITEM}') THEN 'list' ELSE 'text' END AS kind,
          list_filter([a.title, CASE WHEN b.at > coalesce(a.at, -1) THEN b.title END, CASE WHEN c.at > greatest(coalesce(a.at, -1), coalesce(b.at, -1)) THEN c.title END], lambda x: x IS NOT NULL) AS path
@@ -284,6 +301,19 @@ CHUNKED = ELEMENTS + rf""", sized AS (
 """
 
 
+def _chunks(more: str) -> str:
+    return rf"""
+SELECT CAST(document_id AS VARCHAR) AS document_id, CAST(idx AS INTEGER) AS chunk_index, CASE WHEN len(kinds) > 0 AND len(list_filter(kinds, lambda k: k <> 'list')) = 0 THEN 'list' ELSE 'text' END AS content_type,
+       CAST(len({_words("content")}) AS INTEGER) AS token_count, path[-1] AS section, array_to_string(path, ' > ') AS path, {more}md5(content) AS content_md5
+FROM (
+  SELECT document_id, idx, list_filter(list_transform(els, lambda x: x.k), lambda k: k <> 'heading') AS kinds, list_transform(els, lambda x: x.para) AS paras,
+         list_filter(els, lambda x: len(x.p) = list_max(list_transform(els, lambda y: len(y.p))))[1].p AS path,
+         trim(array_to_string(list_transform(els, lambda x, i: CASE WHEN i = 1 THEN '' WHEN x.k = 'list' AND els[i - 1].k = 'list' THEN chr(10) ELSE chr(10) || chr(10) END || trim(x.t)), '')) AS content
+  FROM chunked
+)
+"""
+
+
 def _form(line: str) -> str:
     return rf"regexp_replace(regexp_replace(trim(replace(lower({line}), 'ß', 'ss')), '\d+', '<number>', 'g'), '\s+', ' ', 'g')"
 
@@ -345,17 +375,8 @@ SELECT document_id, CAST(unit_ordinal AS INTEGER) AS unit_ordinal, CASE WHEN lev
        coalesce(CASE WHEN c.at > greatest(coalesce(a.at, -1), coalesce(b.at, -1)) THEN c.title END, CASE WHEN b.at > coalesce(a.at, -1) THEN b.title END, a.title) AS section
 FROM seen
 """,
-    "chunk_documents": CHUNKED
-    + rf"""
-SELECT CAST(document_id AS VARCHAR) AS document_id, CAST(idx AS INTEGER) AS chunk_index, CASE WHEN len(kinds) > 0 AND len(list_filter(kinds, lambda k: k <> 'list')) = 0 THEN 'list' ELSE 'text' END AS content_type,
-       CAST(len({_words("content")}) AS INTEGER) AS token_count, path[-1] AS section, array_to_string(path, ' > ') AS path, CAST(list_min(paras) AS INTEGER) AS paragraph_start, CAST(list_max(paras) AS INTEGER) AS paragraph_end, md5(content) AS content_md5
-FROM (
-  SELECT document_id, idx, list_filter(list_transform(els, lambda x: x.k), lambda k: k <> 'heading') AS kinds, list_transform(els, lambda x: x.para) AS paras,
-         list_filter(els, lambda x: len(x.p) = list_max(list_transform(els, lambda y: len(y.p))))[1].p AS path,
-         trim(array_to_string(list_transform(els, lambda x, i: CASE WHEN i = 1 THEN '' WHEN x.k = 'list' AND els[i - 1].k = 'list' THEN chr(10) ELSE chr(10) || chr(10) END || trim(x.t)), '')) AS content
-  FROM chunked
-)
-""",
+    "chunk_documents": CHUNKED + _chunks("CAST(list_min(paras) AS INTEGER) AS paragraph_start, CAST(list_max(paras) AS INTEGER) AS paragraph_end, "),
+    "chunk_sources": CHUNKED.replace(OF_DOCUMENTS, OF_SOURCES) + _chunks(""),
     "running_section": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM conversations",
     "repeated_margins": MARGINS + "SELECT document_id, place, line, n FROM often",
     "clean_pages": MARGINS

@@ -173,3 +173,14 @@ def test_search_in_a_grid(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_TILE", 3)
     assert run() == plain and len(plain) == 40 * 4 + 1 and ("q-short", 1, "short", 1.0) in plain
     assert ("q5", 1, "c005", 1.0) in plain and ("q5", 2, "c006", 1.0) in plain
+
+
+def test_long_documents_are_stored_alike(spark, store, folder, tmp_path, monkeypatch):
+    (folder / "alarm.docx").write_bytes(docx(*[x for i in range(30) for x in (("H1", f"Part {i} of it"), ("", f"Words of part {i} stand here. " * 30))]))
+    shutil.copytree(store.path, tmp_path / "other")
+    other = plans.open_store(spark, str(tmp_path / "other"), bucket_rows=20)
+    take(spark, store, folder, "alarm")
+    monkeypatch.setattr(plans, "LONG", 1)
+    take(spark, other, folder, "alarm")
+    rows = lambda s: sorted((r["id"], r["chunk_index"], r["content"], r["section_path"], r["metadata"]) for r in s.read("document_chunks").collect())
+    assert rows(store) == rows(other) and len(rows(store)) > 30
