@@ -26,7 +26,7 @@ FAN = 64
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written to the folder that the cluster shares and read again: what is used twice isn't computed twice."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
