@@ -123,6 +123,7 @@ def build_chunks(df: DataFrame, sizes: Sizes | None = None, document: str = "doc
     rows = packable(rows, document, order, "piece").repartition("document_id", "piece").sortWithinPartitions("document_id", "piece", "__order")
     made = CHUNK + ", piece bigint"
     packed = kept(rows.mapInArrow(packing(sizes or Sizes(), arrow_schema(made), "piece"), made), "pieces").withColumn("key", F.struct(F.col("document_id").alias("document")))
-    starts = ahead(packed.groupBy("key", F.col("piece").alias("at")).agg(F.count("*").alias("state")), _sum).withColumnRenamed("at", "piece")
+    # Written, the table of starts has a known size, by which Spark sends it to all tasks where it is small.
+    starts = kept(ahead(packed.groupBy("key", F.col("piece").alias("at")).agg(F.count("*").alias("state")), _sum).withColumnRenamed("at", "piece"), "starts")
     numbered = packed.join(starts, ["key", "piece"]).withColumn("chunk_index", (F.col("chunk_index") + F.col("before")).cast("int"))
     return numbered.drop("key", "piece", "before")
