@@ -4,8 +4,10 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -113,6 +115,42 @@ def test_a_trie_shares_prefixes():
     assert len(trie.nodes) == n + 2
 
 
+def test_words_are_scored_depth_by_depth(monkeypatch):
+    """Counts and uses are those of single words, each prefix is one node, and no word is scored by itself but where few are so long;
+    one by one they took 879 CPU seconds a GB."""
+    rng = random.Random(5)
+    words = {"".join(rng.choice("aeinrst'éß中👍") for _ in range(rng.randint(1, 12))) for _ in range(800)} | {"▁", "\x00", "▁▁", "international", "internation", "n" * 31, "क्ष"}
+    words |= {"".join(rng.choice("aeinrst中👍") for _ in range(200)) for _ in range(20)}
+    long, short = ["n" * 65, "ab" * 300, "n" * 40], sorted(words)
+    zipf = tokencount.ranked(PIECES)
+    for model in (zipf, tokencount.Unigram(dict.fromkeys(zipf.cost, 1.0), 1.0), tokencount.Unigram({}, 2.0), tokencount.Unigram({"▁ab": 1.0, "中é": 2.0}, 3.0)):
+        levels = tokencount.Levels(model, short)
+        assert levels.counts() == [viterbi(w, model) for w in short]
+        assert levels.nodes == len({(tokencount.START + w)[:n] for w in short for n in range(1, len(w) + 2)})
+        path, expected = tokencount.Path(model), Counter()
+        for i, word in enumerate(short):
+            for piece in path.cut(word):
+                expected[piece] += i + 1
+        assert {p: n for p, n in zip(model.cost, levels.uses(range(1, len(short) + 1)).tolist()) if n} == expected
+    assert tokencount.Levels(zipf, []).counts() == []
+    monkeypatch.setattr(tokencount, "CHARACTERS", 300 << 5)
+    scored, step = [], tokencount.Unigram.step
+    monkeypatch.setattr(tokencount.Unigram, "step", lambda self, word, *more: scored.append(word[1:]) or step(self, word, *more))
+    texts = [" ".join(short), " ".join(long + short[:9]), None, "", *short]
+    run = tokencount.counter(SimpleNamespace(value=zipf))
+    expected = [sum(viterbi(w, zipf) for w in (t or "").split(" ") if w) for t in texts]
+    batch = pa.RecordBatch.from_pydict({"id": range(len(texts)), "text": texts})
+    assert next(run(iter([batch])))["n_tokens"].to_pylist() == expected
+    whole = pa.RecordBatch.from_pydict({"word": sorted(short + long), "n": [2] * (len(short) + len(long))})
+    (found,) = tokencount.uses(zipf)(iter([whole]))
+    assert dict(zip(*found.to_pydict().values())) == {p: 2 * n for p, n in best_cuts(short + long, zipf).items()}
+    assert set(scored) == set(long)
+    monkeypatch.setattr(tokencount, "TOGETHER", 50)
+    for most in (10**6, 20):
+        monkeypatch.setattr(tokencount, "WORDS", most)
+        assert next(run(iter([batch])))["n_tokens"].to_pylist() == expected
+
+
 def every_cut(word, vocabulary, p):
     word = langid.START + word
     if not word:
