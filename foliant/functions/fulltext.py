@@ -26,6 +26,8 @@ STOP = frozenset(
 )
 #: Weight of a lexeme in a cover; all lexemes have the lowest class.
 WEIGHT = 0.1
+#: Bytes of questions, with 64 for each, that are sent to all executors.
+ASKED_BYTES = 8 << 20
 
 VOWEL = "[aeiouy]"
 SHORT = re.compile(r"(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$")
@@ -283,9 +285,12 @@ def keyword_rank_batch(index: DataFrame, id_col: str, questions: DataFrame, stem
     """query_col, id_col, rank of all documents that match, for many questions (query_col, text_col) in one pass over the index.
 
     Questions are parsed in tasks. Their lexemes, one row for each, meet the postings; what a question finds in a document is
-    brought together, never more than the document has words, and ranked there as keyword_rank() would.
+    brought together, never more than the document has words, and ranked there as keyword_rank() would. Questions up to ASKED_BYTES, a
+    size that is looked up first, are sent to all tasks, so that only the postings that they name are shuffled.
     """
     own, known = dict(questions.dtypes)[query_col], dict(index.dtypes)[id_col]
+    size = questions.agg(F.sum(F.octet_length(F.coalesce(text_col, F.lit(""))) + 64)).first()[0] or 0
+    sent = F.broadcast if size <= ASKED_BYTES else lambda df: df
 
     def lexemes(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in source:
@@ -299,6 +304,6 @@ def keyword_rank_batch(index: DataFrame, id_col: str, questions: DataFrame, stem
 
     asked = questions.select(F.col(query_col).alias("q"), F.col(text_col).alias("text"))
     wanted = asked.mapInPandas(lexemes, f"q {own}, lexeme string")
-    rows = index.select(F.col(id_col).alias("id"), "lexeme", "pos").join(wanted, "lexeme").groupBy("q", "id").agg(F.sort_array(F.collect_list(F.struct("pos", "lexeme"))).alias("found"))
-    found = rows.join(asked, "q").select("q", "id", "text", "found").mapInPandas(ranks, f"q {own}, id {known}, rank double").where("rank > 0")
+    rows = index.select(F.col(id_col).alias("id"), "lexeme", "pos").join(sent(wanted), "lexeme").groupBy("q", "id").agg(F.sort_array(F.collect_list(F.struct("pos", "lexeme"))).alias("found"))
+    found = rows.join(sent(asked), "q").select("q", "id", "text", "found").mapInPandas(ranks, f"q {own}, id {known}, rank double").where("rank > 0")
     return found.select(F.col("q").alias(query_col), F.col("id").alias(id_col), "rank")

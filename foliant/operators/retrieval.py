@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -21,8 +22,9 @@ from ..functions.vectors import blend, cosine
 TEXT_K, IMAGE_K, WEB_K, THRESHOLD, SIMILARITY_WEIGHT = 5, 3, 5, 0.30, 0.80
 NO_SOURCES = "The internal documents did not contain enough relevant information, and no useful web results were found."
 NO_CHUNKS = "The available documents do not contain enough information to answer this question."
-#: Bytes of the query vectors that are sent to all executors, and that a band of more of them has; queries of a tile of products.
-QUERY_BYTES, QUERY_TILE = 64 << 20, 2048
+#: Bytes of the query vectors that are sent to all executors, and that a band of more of them has; queries and rows of a product, and pairs
+#: that are scored at once in doubles.
+QUERY_BYTES, QUERY_TILE, ROW_BLOCK, PAIRS = 64 << 20, 1024, 4096, 1 << 17
 
 
 def checked_k(k: int | None, default: int) -> int:
@@ -58,150 +60,265 @@ def vector_topk(chunks: DataFrame, query: list[float], k: int | None = None, vec
     return top(rows if documents is None else rows.join(_named(documents), "document_id"), checked_k(k, TEXT_K), key=key)
 
 
-def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int | None = None, vector: str = "embedding", key: str = "id", query_key: str = "query_id", other: bool = False, ranks: DataFrame | None = None, weight: float = SIMILARITY_WEIGHT) -> DataFrame:
+def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int | None = None, vector: str = "embedding", key: str = "id", query_key: str = "query_id", other: bool = False, ranks: DataFrame | None = None, weight: float = SIMILARITY_WEIGHT, by: str | None = None) -> DataFrame:
     """query_key, key, score, rank: the k chunks most similar to each query (query_key, vector). Keys are of any type that can be sorted.
 
-    Queries up to QUERY_BYTES, which is looked up first, are sent to all tasks, a matrix product for each tile of queries and batch of
+    Queries up to QUERY_BYTES, which is looked up first, are sent to all tasks, a matrix product for each tile of queries and block of
     chunks. More of them never pass the driver: queries are dealt to bands and chunks to columns, and each cell of that grid is
     a task of its own. Either way a task returns its k best for each query, and these few are ranked; what is shuffled doesn't
     grow with the number of chunks times queries. other: a query's own key isn't among its results.
 
     ranks: keyword ranks (query_key, key, rank) of those pairs that have one; scores then are `weight` of the similarity and the
-    rest of the rank. A pair without a rank is among the best only if it is among the k most similar; so these and the pairs
-    with a rank, whose vectors are joined to them, are all that can be.
+    rest of the rank. A chunk comes to the product with its ranks. by: a column of queries that names the query whose ranks
+    hold, as alike() gives it: queries that ask for the same words then have their ranks once.
     """
     k = checked_k(k, TEXT_K)
+    rows = chunks.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"))
     v = F.col(vector).cast("array<double>").alias("v")
-    rows = chunks.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), v)
-    asked = queries.where(F.col(vector).isNotNull() & F.col(query_key).isNotNull()).select(F.col(query_key).alias("query"), v)
-    found = _nearest(rows, asked, k, other)
+    asked = queries.where(F.col(vector).isNotNull() & F.col(query_key).isNotNull()).select(F.col(query_key).alias("query"), F.col(by or query_key).alias("as"), v)
     if ranks is not None:
-        pairs = ranks.select(F.col(query_key).alias("query"), F.col(key).alias("key"), "rank")
-        pairs = pairs.where("query <> key") if other else pairs
-        similarity = cosine(F.col("v"), F.col("w"))
-        ranked = pairs.join(asked.withColumnRenamed("v", "w"), "query").join(rows, "key").withColumn("similarity", similarity).where("similarity is not null")
-        ranked = ranked.select("query", "key", blend(F.col("similarity"), F.col("rank"), weight).alias("score"))
-        found = found.withColumn("score", F.lit(weight) * F.col("score")).unionByName(ranked).groupBy("query", "key").agg(F.max("score").alias("score"))
+        told = ranks.where(F.col("rank").isNotNull()).groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct(F.col(query_key).alias("as"), F.col("rank").cast("double").alias("rank"))).alias("ranks"))
+        rows = rows.join(told, "key", "left")
+    rows = rows.withColumn("v", F.col("v").cast("array<double>"))
+    found = _nearest(rows, asked, k, other, weight if ranks is not None else None)
     return top_by(found, ["query"], k, key="key").select(F.col("query").alias(query_key), F.col("key").alias(key), "score", "rank")
 
 
-def _nearest(rows: DataFrame, asked: DataFrame, k: int, other: bool) -> DataFrame:
-    """query, key, score: of each task's rows (key, v) the k most similar to each query (query, v)."""
+def alike(questions: DataFrame, text: str = "question", query_key: str = "query_id", name: str = "asked_as") -> DataFrame:
+    """questions with the least key of those that have the same text."""
+    first = questions.groupBy(F.col(text).alias("__text")).agg(F.min(query_key).alias(name))
+    return questions.join(first, F.col(text).eqNullSafe(F.col("__text"))).drop("__text")
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, k: int, other: bool, weight: float | None) -> DataFrame:
+    """query, key, score: of each task's rows (key, v, and with a weight ranks) the k best for each query (query, as, v)."""
     spark = rows.sparkSession
     schema = StructType([asked.schema["query"], rows.schema["key"], StructField("score", DoubleType())])
     size = asked.agg(F.sum(8 * F.size("v").cast("long"))).first()[0] or 0
     if size <= QUERY_BYTES:
         found = asked.toArrow()
-        sent = spark.sparkContext.broadcast((found["query"].to_pylist(), [np.array(v, np.float64) for v in found["v"].to_pylist()]))
-        return rows.mapInArrow(_against(sent, schema, k, other), schema)
+        sent = spark.sparkContext.broadcast((found["query"].to_pylist(), found["as"].to_pylist(), [np.array(v, np.float64) for v in found["v"].to_pylist()]))
+        return rows.mapInArrow(_against(sent, schema, k, other, weight), schema)
     bands = -(-size // QUERY_BYTES)
     columns = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // bands)
     number = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    up = asked.select(F.pmod(F.xxhash64("query"), F.lit(bands)).cast("int").alias("band"), F.explode(number(columns)).alias("column"), F.lit(0).alias("side"), "query", F.lit(None).cast(rows.schema["key"].dataType).alias("key"), "v")
-    down = rows.select(F.explode(number(bands)).alias("band"), F.pmod(F.xxhash64("key"), F.lit(columns)).cast("int").alias("column"), F.lit(1).alias("side"), F.lit(None).cast(asked.schema["query"].dataType).alias("query"), "key", "v")
+    none = lambda df, *names: [F.lit(None).cast(df.schema[n].dataType).alias(n) for n in names]
+    more = ["ranks"] if weight is not None else []
+    up = asked.select(F.pmod(F.xxhash64("query"), F.lit(bands)).cast("int").alias("band"), F.explode(number(columns)).alias("column"), F.lit(0).alias("side"), "query", "as", "v", *none(rows, "key", *more))
+    down = rows.select(F.explode(number(bands)).alias("band"), F.pmod(F.xxhash64("key"), F.lit(columns)).cast("int").alias("column"), F.lit(1).alias("side"), *none(asked, "query", "as"), "v", "key", *more)
     cells = up.unionByName(down).repartition(bands * columns, "band", "column").sortWithinPartitions("band", "column", "side")
-    return cells.mapInArrow(_cells(schema, k, other), schema)
-
-
-class _Best:
-    """The k best keys of some queries whose vectors have the same length, as numbers in the order of the keys' names."""
-
-    def __init__(self, ids: list, vectors: list[np.ndarray], k: int, other: bool):
-        self.ids, self.k, self.other = ids, k, other
-        self.queries = np.array(vectors, np.float64).reshape(len(ids), -1)
-        self.sizes = np.sqrt((self.queries**2).sum(axis=1))
-        self.names: list = []
-        self.keys, self.scores = np.full((len(ids), k), -1), np.full((len(ids), k), -np.inf)
-
-    def add(self, keys: list, v: np.ndarray) -> None:
-        known = sorted({*self.names, *keys})
-        at = {x: i for i, x in enumerate(known)}
-        own = np.array([at[x] for x in keys])
-        held = np.append(np.array([at[x] for x in self.names], np.int64), -1)
-        self.keys = held[self.keys]
-        size = np.sqrt((v**2).sum(axis=1))
-        place = {x: i for i, x in enumerate(keys)} if self.other else {}
-        for start in range(0, len(self.ids), QUERY_TILE):
-            t = slice(start, start + QUERY_TILE)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                new = (self.queries[t] @ v.T) / (self.sizes[t][:, None] * size)
-            new[~np.isfinite(new)] = -np.inf
-            if self.other:
-                for row, x in enumerate(self.ids[t]):
-                    if x in place:
-                        new[row, own == at[x]] = -np.inf
-            cut = np.partition(new, -self.k, axis=1)[:, -self.k] if new.shape[1] > self.k else np.full(len(new), -np.inf)
-            row, col = np.nonzero((new >= np.maximum(cut, self.scores[t][:, -1])[:, None]) & np.isfinite(new))
-            r0, c0 = np.nonzero(np.isfinite(self.scores[t]))
-            rows, names, scores = np.append(r0, row), np.append(self.keys[t][r0, c0], own[col]), np.append(self.scores[t][r0, c0], new[row, col])
-            by = np.lexsort((names, -scores, rows))
+    return cells.mapInArrow(_cells(schema, k, other, weight), schema)
+
+
+class Best:
+    """The k best keys of some queries so far. Keys are held as numbers of `names`; a tile of queries has its own arrays of candidates.
+
+    Candidates beyond the k-th best score of a query are dropped as they come; the others are held until there are so many that
+    sorting them pays.
+    """
+
+    def __init__(self, ids: list, k: int):
+        self.ids, self.k, self.names = ids, k, []
+        self.least = np.full(len(ids), -np.inf)
+        self.held: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(0, len(ids), QUERY_TILE)]
+
+    def tiles(self) -> Iterator[tuple[int, slice]]:
+        return ((i, slice(i * QUERY_TILE, min(len(self.ids), (i + 1) * QUERY_TILE))) for i in range(len(self.held)))
+
+    def candidates(self, least: np.ndarray, scores: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places in scores, a row for a query whose k-th best score is `least`, that may be among the k best; scores are right but for a margin."""
+        cut = least - margin
+        fresh = np.flatnonzero(np.isneginf(least))
+        if len(fresh) and scores.shape[1] > self.k:
+            cut[fresh] = np.partition(scores[fresh], -self.k, axis=1)[:, -self.k] - 2 * margin
+        return np.nonzero((scores >= cut.astype(scores.dtype)[:, None]) & (scores > -np.inf))
+
+    def put(self, tile: int, rows: np.ndarray, names: np.ndarray, scores: np.ndarray) -> None:
+        """rows: places of queries in their tile."""
+        if not len(rows):
+            return
+        self.held[tile].append((rows, names, scores))
+        t = slice(tile * QUERY_TILE, (tile + 1) * QUERY_TILE)
+        if sum(len(x[0]) for x in self.held[tile]) > 2 * self.k * len(self.ids[t]) or np.isneginf(self.least[t][rows]).any():
+            self._sort(tile, t)
+
+    def _sort(self, tile: int, t: slice) -> None:
+        if not self.held[tile]:
+            return
+        rows, names, scores = (np.concatenate(x) for x in zip(*self.held[tile]))
+        by = np.lexsort((-scores, rows))
+        rows, names, scores = rows[by], names[by], scores[by]
+        same = (rows[1:] == rows[:-1]) & (scores[1:] == scores[:-1])
+        if same.any():  # of equal scores the smallest key
+            tied = np.append(False, same) | np.append(same, False)
+            some = np.unique(names[tied])
+            place = np.empty(len(some), np.int64)
+            place[sorted(range(len(some)), key=lambda i: self.names[some[i]])] = np.arange(len(some))
+            order = np.zeros(len(rows), np.int64)
+            order[tied] = place[np.searchsorted(some, names[tied])]
+            by = np.lexsort((order, -scores, rows))
             rows, names, scores = rows[by], names[by], scores[by]
-            nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            some = nth < self.k
-            self.keys[t], self.scores[t] = -1, -np.inf
-            self.keys[t][rows[some], nth[some]] = names[some]
-            self.scores[t][rows[some], nth[some]] = scores[some]
-        used = np.unique(self.keys[self.keys >= 0])
-        self.keys = np.where(self.keys >= 0, np.searchsorted(used, self.keys), -1)
-        self.names = [known[i] for i in used]
-
-    def rows(self, schema: pa.Schema) -> pa.RecordBatch:
-        row, col = np.nonzero(np.isfinite(self.scores))
-        columns = [[self.ids[i] for i in row], [self.names[i] for i in self.keys[row, col]], self.scores[row, col]]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
-def _by_length(ids: list, vectors: list[np.ndarray], k: int, other: bool) -> dict[int, _Best]:
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        few, last = nth < self.k, nth == self.k - 1
+        self.held[tile] = [(rows[few], names[few], scores[few])]
+        self.least[t][rows[last]] = scores[last]
+
+    def forget(self) -> None:
+        """Leaves names that no candidate has, once they are most."""
+        if len(self.names) <= 100_000 + 4 * self.k * len(self.ids):
+            return
+        for tile, t in self.tiles():
+            self._sort(tile, t)
+        parts = [x for held in self.held for x in held]
+        used = np.unique(np.concatenate([x[1] for x in parts])) if parts else np.array([], np.int64)
+        self.held = [[(r, np.searchsorted(used, n), s) for r, n, s in held] for held in self.held]
+        self.names = [self.names[i] for i in used]
+
+    def rows(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for tile, t in self.tiles():
+            self._sort(tile, t)
+            for row, name, score in self.held[tile]:
+                columns = [[self.ids[t][i] for i in row], [self.names[i] for i in name], score]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """v with rows of length 1, and which of them have a length."""
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        v = v / np.sqrt((v**2).sum(axis=1))[:, None]
+    return v, np.isfinite(v).all(axis=1)
+
+
+class _Similar(Best):
+    """The best by similarity, blended with ranks where there is a weight, for queries whose vectors have the same length.
+
+    A product in single precision tells which pairs may be among the best, by a bound of its errors; these few are scored in doubles.
+    """
+
+    def __init__(self, ids: list, alike: list, vectors: list[np.ndarray], k: int, other: bool, weight: float | None):
+        self.other, self.weight = other, weight
+        queries, good = unit(np.array(vectors, np.float64).reshape(len(ids), -1))
+        good = np.flatnonzero(good)
+        super().__init__([ids[i] for i in good], k)
+        self.queries, self.single = queries[good], queries[good].astype(np.float32)
+        self.margin = 2 * (self.queries.shape[1] + 8) * 2.0**-23
+        whose: dict = {}
+        self.whose = np.array([whose.setdefault(alike[i], len(whose)) for i in good], np.int64)
+        self.groups, self.at = list(whose), {}
+        for i, x in enumerate(self.ids):
+            self.at.setdefault(x, []).append(i)
+
+    def add(self, keys: list, v: np.ndarray, told: tuple[np.ndarray, pa.Array, np.ndarray] | None = None) -> None:
+        """told: of each rank the place of its key, whose it is, and the rank."""
+        v, good = unit(v)
+        first = len(self.names)
+        self.names += keys
+        own = [(q, i) for i, x in enumerate(keys) for q in self.at.get(x, ())] if self.other else []
+        pairs = np.array(own, np.int64).reshape(-1, 2)
+        known = self._known(told)
+        with np.errstate(over="ignore"):
+            single = np.where(good[:, None], v, 0).astype(np.float32)
+        for tile, t in self.tiles():
+            groups, place = np.unique(self.whose[t], return_inverse=True)
+            at = np.full(len(self.groups), -1)
+            at[groups] = np.arange(len(groups))
+            here = at[known[0]] >= 0
+            ranks = (at[known[0][here]], known[1][here], known[2][here])
+            for start in range(0, len(keys), ROW_BLOCK):
+                some = slice(start, start + ROW_BLOCK)
+                new = self.single[t] @ single[some].T
+                blend = None
+                if self.weight is not None:
+                    blend = np.zeros((len(groups), new.shape[1]))
+                    within = (ranks[1] >= some.start) & (ranks[1] < some.stop)
+                    np.maximum.at(blend, (ranks[0][within], ranks[1][within] - start), round(1 - self.weight, 10) * np.minimum(ranks[2][within], 1.0))
+                    new *= np.float32(self.weight)
+                    if within.any():
+                        new += blend.astype(np.float32)[place]
+                new[:, ~good[some]] = -np.inf
+                mine = pairs[(pairs[:, 0] >= t.start) & (pairs[:, 0] < t.stop) & (pairs[:, 1] >= some.start) & (pairs[:, 1] < some.stop)]
+                new[mine[:, 0] - t.start, mine[:, 1] - start] = -np.inf
+                row, col = self.candidates(self.least[t], new, self.margin)
+                for a in range(0, len(row), PAIRS):
+                    r, c = row[a : a + PAIRS], col[a : a + PAIRS]
+                    scores = (self.queries[t][r] * v[some][c]).sum(axis=1)
+                    if blend is not None:
+                        scores = self.weight * scores + blend[place[r], c]
+                    self.put(tile, r, first + start + c, scores)
+        self.forget()
+
+    def _known(self, told: tuple[np.ndarray, pa.Array, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ranks whose they are, as numbers of groups, the places of their keys, and they themselves."""
+        if told is None or not len(self.groups):
+            return np.array([], np.int64), np.array([], np.int64), np.array([])
+        found = pc.index_in(told[1], value_set=pa.array(self.groups, told[1].type))
+        has = np.asarray(pc.is_valid(found))
+        return np.asarray(found.drop_null()).astype(np.int64), told[0][has], told[2][has]
+
+
+def _by_length(ids: list, alike: list, vectors: list[np.ndarray], k: int, other: bool, weight: float | None) -> dict[int, _Similar]:
     lengths: dict[int, list[int]] = {}
     for i, v in enumerate(vectors):
         lengths.setdefault(len(v), []).append(i)
-    return {n: _Best([ids[i] for i in at], [vectors[i] for i in at], k, other) for n, at in lengths.items() if n}
+    return {n: _Similar(*([x[i] for i in at] for x in (ids, alike, vectors)), k, other, weight) for n, at in lengths.items() if n}
 
 
-def _meet(best: dict[int, _Best], batch: pa.RecordBatch) -> None:
-    """Puts the keys of a batch (key, v) into the queries' best."""
+def _meet(best: dict[int, _Similar], batch: pa.RecordBatch) -> None:
+    """Puts the keys of a batch (key, v, ranks) into the queries' best."""
     offsets, flat, keys = np.asarray(batch["v"].offsets), np.asarray(batch["v"].flatten()), batch["key"].to_pylist()
     lengths, offsets = np.diff(offsets), offsets - offsets[0]
+    told = None
+    if "ranks" in batch.schema.names:
+        ranks = batch["ranks"]
+        x = ranks.flatten()
+        told = (np.repeat(np.arange(len(keys)), np.asarray(pc.fill_null(pc.list_value_length(ranks), 0))), x.field("as"), np.asarray(x.field("rank")))
     for n, found in best.items():
         fits = np.flatnonzero(lengths == n)
         if len(fits):
             whole = flat.reshape(-1, n) if len(fits) == len(keys) else flat[offsets[fits][:, None] + np.arange(n)]
-            found.add([keys[i] for i in fits], whole)
+            own = told
+            if told is not None and len(fits) < len(keys):
+                place = np.full(len(keys), -1)
+                place[fits] = np.arange(len(fits))
+                some = place[told[0]] >= 0
+                own = (place[told[0]][some], told[1].filter(pa.array(some)), told[2][some])
+            found.add([keys[i] for i in fits], whole, own)
 
 
-def _against(sent, schema: StructType, k: int, other: bool):
+def _against(sent, schema: StructType, k: int, other: bool, weight: float | None):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _by_length(*sent.value, k, other)
+        best = _by_length(*sent.value, k, other, weight)
         for batch in source:
             _meet(best, batch)
         for found in best.values():
-            yield found.rows(to_arrow_schema(schema))
+            yield from found.rows(to_arrow_schema(schema))
 
     return run
 
 
-def _cells(schema: StructType, k: int, other: bool):
+def _cells(schema: StructType, k: int, other: bool, weight: float | None):
     """Cells one after the other, in each the queries before the rows."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, vectors, best = None, [], [], None
+        now, ids, alike, vectors, best = None, [], [], [], None
         for batch in source:
             cell = np.stack([np.asarray(batch[c]) for c in ("band", "column", "side")])
             edges = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1), batch.num_rows]
             for a, b in zip(edges, edges[1:]):
                 if (at := (cell[0, a], cell[1, a])) != now:
                     for found in (best or {}).values():
-                        yield found.rows(to_arrow_schema(schema))
-                    now, ids, vectors, best = at, [], [], None
+                        yield from found.rows(to_arrow_schema(schema))
+                    now, ids, alike, vectors, best = at, [], [], [], None
                 part = batch.slice(a, b - a)
                 if cell[2, a] == 0:
                     ids += part["query"].to_pylist()
+                    alike += part["as"].to_pylist()
                     vectors += [np.array(v, np.float64) for v in part["v"].to_pylist()]
                     continue
-                best = _by_length(ids, vectors, k, other) if best is None else best
+                best = _by_length(ids, alike, vectors, k, other, weight) if best is None else best
                 _meet(best, part)
         for found in (best or {}).values():
-            yield found.rows(to_arrow_schema(schema))
+            yield from found.rows(to_arrow_schema(schema))
 
     return run
 

@@ -46,11 +46,12 @@ def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, inde
     questions: query_id, question, embedding. Chunks are scored in blocks of questions, and joined again only once they are chosen.
     """
     settings = settings or Settings()
-    ranks = keyword_rank_batch(index, "id", questions, settings.stemming)
+    questions = retrieval.alike(questions)
+    ranks = keyword_rank_batch(index, "id", questions.where("query_id = asked_as"), settings.stemming)
     chunks = _placed(chunks)
     names = documents.select(F.col("id").alias("document_id"), F.col("file_name").alias("document_name"))
     known = chunks.join(names.select("document_id"), "document_id", "left_semi")
-    best = retrieval.vector_topk_batch(known, questions, settings.text_k, ranks=ranks)
+    best = retrieval.vector_topk_batch(known, questions, settings.text_k, ranks=ranks, by="asked_as")
     return best.join(chunks.drop("embedding"), "id").join(names, "document_id")
 
 

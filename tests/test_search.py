@@ -116,6 +116,44 @@ def test_blended_topk_by_brute_force(spark):
         assert [found[q, n + 1] for n in range(6)] == [(i, -s) for s, i in scores]
 
 
+def test_equal_questions_share_their_ranks(spark, monkeypatch):
+    """A question's words are ranked once, whatever the number of questions that ask for them; small tiles, and a grid, give the same."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 4)).round(1)
+    v[8] = v[9]
+    chunks = spark.createDataFrame([(f"c{i:02d}", x.tolist()) for i, x in enumerate(v)], "id string, embedding array<float>").repartition(3)
+    texts = ["cat dog" if i % 2 else "cat" for i in range(30)]
+    asked = spark.createDataFrame([(f"q{i:02d}", v[i].tolist(), t) for i, t in enumerate(texts)], "query_id string, embedding array<float>, question string")
+    words = ["cat " * (i % 4) + "stone " * (i % 3) + "dog" * (i % 5 == 0) for i in range(90)]
+    index = fulltext.postings(spark.createDataFrame([(f"c{i:02d}", w) for i, w in enumerate(words)], "id string, text string"), "id", "text", stemming=False)
+    asked = retrieval.alike(asked)
+    ranks = fulltext.keyword_rank_batch(index, "id", asked.where("query_id = asked_as").select("query_id", "question"), stemming=False)
+    told = {(r["query_id"], r["id"]): r["rank"] for r in ranks.collect()}
+    assert {q for q, _ in told} == {"q00", "q01"} and len(told) == sum("cat" in w for w in words) + sum("cat" in w and "dog" in w for w in words)
+    u = v.astype(np.float32).astype(float)
+    u = u / np.sqrt((u**2).sum(axis=1, keepdims=True))
+    want = {}
+    for q in range(30):
+        scores = [(-round(0.8 * s + 0.2 * min(1.0, told.get((f"q{q % 2:02d}", f"c{i:02d}"), 0.0)), 9), f"c{i:02d}") for i, s in enumerate(u @ u[q])]
+        want |= {(f"q{q:02d}", n): (i, -s) for n, (s, i) in enumerate(sorted(scores)[:6], 1)}
+    run = lambda: {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in retrieval.vector_topk_batch(chunks, asked, 6, ranks=ranks, by="asked_as").collect()}
+    assert run() == want
+    monkeypatch.setattr(retrieval, "QUERY_TILE", 7)
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 11)
+    assert run() == want
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 300)
+    assert run() == want
+
+
+def test_only_asked_postings_are_shuffled(spark):
+    """Few questions are sent to the postings: these meet no exchange before they are filtered."""
+    index = fulltext.postings(spark.range(200).select(F.col("id"), F.lit("cat dog bird").alias("text")), "id", "text", stemming=False)
+    questions = spark.createDataFrame([(1, "cat"), (2, "dog bird")], "query_id int, question string")
+    plan = fulltext.keyword_rank_batch(index, "id", questions, stemming=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+
 def test_stored_postings(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"cat w{i} dog") for i in range(50)], "id int, text string")
     index = fulltext.store_postings(fulltext.postings(docs, "id", "text", False), "id", "stored_postings", str(tmp_path / "postings"), buckets=8)
