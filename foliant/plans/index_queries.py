@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import containment, fulltext
 from ..operators import containment as lookups
 from ..operators import retrieval, vector_index
-from ..session import scratch, table
+from ..session import scratch, spread, table
 from ..sources.store import Change, Store, Table
 from . import search_queries
 
@@ -56,8 +56,10 @@ def retrieve_text_ids(spark, sf_dir):
     chunks = table(spark, sf_dir, "embeddings").select(name("vec_id", "c-").alias("id"), "vec_id", "embedding")
     asked = chunks.where("vec_id % 20 = 0").select(name("vec_id", "q-").alias("query_id"), "embedding", F.when(F.col("vec_id") % 40 == 0, search_queries.WORDS).otherwise(search_queries.WORDS.split()[0]).alias("question"))
     texts = table(spark, sf_dir, "documents").select(name("doc_id", "c-").alias("id"), "text")
-    ranks = fulltext.keyword_rank_batch(fulltext.postings(texts, "id", "text", stemming=False), "id", asked.select("query_id", "question"), stemming=False)
-    best = retrieval.vector_topk_batch(chunks, asked, 5, ranks=ranks)
+    asked = retrieval.alike(asked)
+    index = fulltext.postings(spread(texts), "id", "text", stemming=False, only=search_queries.EITHER)
+    ranks = fulltext.keyword_rank_batch(index, "id", asked.where("query_id = asked_as").select("query_id", "question"), stemming=False)
+    best = retrieval.vector_topk_batch(chunks, asked, 5, ranks=ranks, by="asked_as")
     return best.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -145,6 +145,16 @@ def test_equal_questions_share_their_ranks(spark, monkeypatch):
     assert run() == want
 
 
+def test_text_keys_share_ranks(spark, sf_dir, monkeypatch):
+    """The query over keys that are texts asks for the ranks of its two texts, not of each question."""
+    from foliant.plans import index_queries
+
+    seen, real = [], fulltext.keyword_rank_batch
+    monkeypatch.setattr(fulltext, "keyword_rank_batch", lambda index, key, questions, **how: seen.append(questions) or real(index, key, questions, **how))
+    assert index_queries.retrieve_text_ids(spark, sf_dir).count() > 0
+    assert sorted(r["question"] for r in seen[0].collect()) == ["thing", "thing tion"]
+
+
 def test_only_asked_postings_are_shuffled(spark):
     """Few questions are sent to the postings: these meet no exchange before they are filtered."""
     index = fulltext.postings(spark.range(200).select(F.col("id"), F.lit("cat dog bird").alias("text")), "id", "text", stemming=False)
